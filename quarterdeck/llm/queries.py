@@ -39,3 +39,35 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_quality"] = op9_quality
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify, train
+
+    docs = common.documents(spark, sf_dir)
+    scored = classify(docs, train(docs, common.labels(spark, sf_dir)))
+    return scored.select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES["op2_toxicity"] = op2_toxicity
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, train
+
+    docs = common.documents(spark, sf_dir)
+    found = identify(docs, train(docs))
+    return found.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op8_language"] = op8_language
+
+
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decision_list import judge, learn, statistics
+
+    stats = common.written(statistics(common.documents(spark, sf_dir)), "rule-statistics")
+    return judge(stats, learn(stats, common.labels(spark, sf_dir)))
+
+
+QUERIES["op5_rules"] = op5_rules
