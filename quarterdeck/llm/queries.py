@@ -71,3 +71,12 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_rules"] = op5_rules
+
+
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score
+
+    return score(common.documents(spark, sf_dir))
+
+
+QUERIES["op1_context_tree"] = op1_context_tree
