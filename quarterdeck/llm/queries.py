@@ -80,3 +80,12 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_context_tree"] = op1_context_tree
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(common.documents(spark, sf_dir), common.benchmark(spark, sf_dir))
+
+
+QUERIES["op4_decontamination"] = op4_decontamination
