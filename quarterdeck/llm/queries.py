@@ -89,3 +89,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_decontamination"] = op4_decontamination
+
+
+def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicate_classes
+
+    return near_duplicate_classes(common.documents(spark, sf_dir))
+
+
+QUERIES["op6_weighted_minhash"] = op6_weighted_minhash
