@@ -98,3 +98,12 @@ def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_weighted_minhash"] = op6_weighted_minhash
+
+
+def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(common.documents(spark, sf_dir))
+
+
+QUERIES["op7_prefix_free_parsing"] = op7_prefix_free_parsing
