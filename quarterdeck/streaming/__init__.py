@@ -1,0 +1 @@
+"""The reference has no stream type: its jobs are one-shot, so no streaming operator is planned here."""
