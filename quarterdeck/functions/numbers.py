@@ -12,37 +12,41 @@ def economic_value(value: Column, multiplier: Column) -> Column:
 
 
 def parse_number(raw: Column) -> Column:
-    """(1,234) is negative; a comma groups thousands where three digits follow each, else it is the decimal mark."""
-    s = F.regexp_replace(F.translate(F.trim(raw), " −–", " --"), r"\s", "")
-    negative = s.rlike(r"^\(.*\)$")
-    s = F.regexp_replace(s, r"[()]", "")
-    s = F.when(s.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"), F.regexp_replace(s, ",", "")).otherwise(F.regexp_replace(s, ",", "."))
-    n = F.when(s.rlike(r"^-?\d+(\.\d+)?$"), s.try_cast("double"))
-    return F.when(negative, -n).otherwise(n)
+    """Brackets mean negative; letters and signs of money are dropped; a lone comma groups thousands where three digits
+    follow every comma, else it is the decimal mark; what is left and no number is null."""
+    s = F.trim(F.translate(raw, "\u2013\u2014\u2212\u00a0", "--- "))
+    negative = s.startswith("(") & s.endswith(")")
+    n = F.trim(F.regexp_replace(F.btrim(s, F.lit("()")), r"[^0-9,.\-\s]", ""))
+    grouped = n.rlike(r"^[^,]*(,[^,]{3})+$")
+    plain = F.when(n.contains(",") & n.contains("."), F.replace(n, F.lit(","), F.lit(""))).when(grouped, F.replace(n, F.lit(","), F.lit(""))).otherwise(F.replace(n, F.lit(","), F.lit(".")))
+    number = F.regexp_replace(plain, " ", "").try_cast("double")
+    return F.when(negative, -number).otherwise(number)
+
+
+def contains_any(text: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.coalesce(text.contains(w), F.lit(False))
+    return out
 
 
-def unit_multiplier(text: Column) -> Column:
+def unit_multiplier(text: Column, explicit: Column | None = None) -> Column:
+    """An explicit factor first, else by the unit's word, else 1."""
     t = F.lower(text)
-    has = lambda *words: F.coalesce(*[t.contains(w) for w in words]) if len(words) == 1 else _any(t, words)
-    return F.when(has("billion", "bn", "млрд"), 1e9).when(has("million", "mln", "млн"), 1e6).when(has("thousand", "тыс"), 1e3).otherwise(1.0)
-
-
-def _any(t: Column, words) -> Column:
-    out = t.contains(words[0])
-    for w in words[1:]:
-        out = out | t.contains(w)
-    return out
+    by_word = F.when(contains_any(t, ("billion", "миллиард")), 1e9).when(contains_any(t, ("million", "млн")), 1e6).when(contains_any(t, ("thousand", "тыс")), 1e3).otherwise(1.0)
+    return by_word if explicit is None else F.coalesce(F.nullif(explicit, F.lit(0.0)), by_word)
 
 
 def detect_currency(text: Column) -> Column:
-    t = F.upper(text)
-    return F.when(_any(t, ("RUB", "РУБ", "₽")), "RUB").when(_any(t, ("USD", "US$", "$")), "USD")
+    t = F.lower(text)
+    return F.when(contains_any(t, ("rub", "rouble", "руб")), "RUB").when(contains_any(t, ("usd",)), "USD")
 
 
 def display_value(value: Column, output_format: Column) -> Column:
     """percent 12.3%, currency 1,234 RUB, ratio 1.23x; halves are rounded away from zero, and zero has no sign."""
     return (
-        F.when(output_format == "percent", F.format_string("%.1f%%", F.round(value * 100, 1)))
+        F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(output_format == "percent", F.format_string("%.1f%%", F.round(value * 100, 1)))
         .when(output_format == "currency", F.concat(F.format_number(F.round(value, 0), 0), F.lit(" RUB")))
         .otherwise(F.format_string("%.2fx", F.round(value, 2)))
     )
