@@ -293,3 +293,11 @@ def ytd_to_quarter(facts: DataFrame) -> DataFrame:
 def periods_between(spark: SparkSession, period_from: str, period_to: str) -> DataFrame:
     a, b = P.range_bounds(period_from, period_to)
     return spark.range(a, b + 1).select(P.period_from_index(F.col("id")).alias("period"))
+
+
+def augment_analysis(old: DataFrame, added: DataFrame) -> DataFrame:
+    """The facts of an analysis with more documents: the largest value of each key, and what that changes."""
+    from .metrics import result_delta
+
+    best = lambda df: df.groupBy(*KEY).agg(F.max("value").alias("value"))
+    return result_delta(best(old), best(old.unionByName(added)))

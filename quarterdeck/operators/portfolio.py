@@ -124,3 +124,35 @@ def assemble_payload(facts: DataFrame, metrics: DataFrame, quality: DataFrame) -
 def write_reports(reports: DataFrame, path: str) -> None:
     """One JSON line an entity and period range, in a folder an entity."""
     reports.write.mode("overwrite").partitionBy("entity").json(path)
+
+
+def source_catalog(catalog: DataFrame, banks: DataFrame) -> DataFrame:
+    """Catalogue rows overlaid with bank rows: a bank's own fields come first."""
+    own = banks.select("entity", F.col("status").alias("bank_status"), F.col("hint").alias("bank_hint"))
+    rows = catalog.join(own, "entity", "left")
+    return rows.select("entity", "name", F.coalesce("bank_status", "status").alias("status"), F.coalesce("bank_hint", F.lit("manual_upload")).alias("hint"), F.col("bank_status").isNotNull().alias("is_bank_row"))
+
+
+def ready_blockers(audited: DataFrame, facts: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(entity, fact, metric) → periods in which the metric is missing for want of the fact. inputs: metric_code, input."""
+    wanted = audited.where(F.col("status") == "missing").join(inputs, "metric_code").withColumnRenamed("input", "fact_code")
+    gaps = wanted.join(facts.select("entity", "period", F.col("metric_code").alias("fact_code")), ["entity", "period", "fact_code"], "left_anti")
+    return gaps.groupBy("entity", "fact_code", "metric_code").agg(F.array_join(F.array_sort(F.collect_set("period")), ",").alias("periods"))
+
+
+def statement_metric_audit(audited: DataFrame) -> DataFrame:
+    """The share of each entity's periods in which each metric is valid, best entities first among equals by name."""
+    return audited.groupBy("entity", "metric_code").agg(F.count(F.lit(1)).alias("periods"), F.count_if(F.col("status") == "valid").alias("valid")).withColumn("share", F.round(F.col("valid") / F.col("periods"), 6))
+
+
+def match_entity_in_text(docs: DataFrame, entities: DataFrame, stopwords=("and", "the", "company", "group")) -> DataFrame:
+    """(doc_id, entity): a name of three characters or more stands in the text, or all of its two or more tokens do, or
+    its only token of five or more does.  entities: entity, name; a dimension of companies, compared with every text."""
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-zа-я]+", " "))
+    names = entities.select("entity", norm(F.col("name")).alias("n")).where("n <> ''")
+    names = names.withColumn("tokens", F.array_distinct(F.filter(F.split("n", " "), lambda t: (F.length(t) >= 3) & ~t.isin(*stopwords))))
+    texts = docs.select("doc_id", norm(F.col("text")).alias("t")).withColumn("words", F.array_distinct(F.split("t", " ")))
+    whole = (F.length("n") >= 3) & F.col("t").contains(F.col("n"))
+    every = (F.size("tokens") >= 2) & (F.size(F.array_except("tokens", "words")) == 0)
+    single = (F.size("tokens") == 1) & (F.length(F.col("tokens")[0]) >= 5) & F.array_contains("words", F.col("tokens")[0])
+    return texts.join(names.hint("broadcast"), whole | every | single).select("doc_id", "entity")
