@@ -26,7 +26,7 @@ def docs(spark):
     """Makes a documents table: rows of (doc_id, text[, lang, source]); an extra column with a clashing name rides along."""
 
     def make(rows):
-        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", len(r[1] or ""), 0.5) for r in rows]
-        return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, score double")
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", len(r[1] or ""), 0.5, 1.5, 7) for r in rows]
+        return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, score double, target double, size int")
 
     return make
