@@ -17,15 +17,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401  as pa.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, text_buffers, written
+from .common import mix64, release, text_buffers, written
 
 LENGTH = 200
 #: Window starts that the kernel takes at once.
 CHUNK = 2 << 20
-#: Bits of the table of repeated triggers, which spares the rows of single ones; it never loses a repeated one.
+#: Bytes of text over which a task first joins equal phrases.
+HELD = 24 << 20
+#: Bits of the tables of hashes to look at again, which spare the rows of the others; they never lose one.
 SLOT_BITS = 27
 _MASK = (1 << 64) - 1
 _BASE = 0x5851F42D4C957F2D
@@ -108,89 +111,193 @@ def _triggers(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _slots(triggers: DataFrame) -> np.ndarray:
-    """Bits of the slots of repeated triggers (2**SLOT_BITS bits at any input size)."""
+def _slots(hashes: DataFrame) -> np.ndarray:
+    """Bits of the slots of a column h of hashes (2**SLOT_BITS bits at any input size)."""
     slot = F.shiftrightunsigned("h", 64 - SLOT_BITS) + 1
-    rows = triggers.where(F.col("n") > 1).groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    rows = hashes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     out = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
     for r in rows:
         out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h >> np.uint64(64 - SLOT_BITS)
+    return bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def _held(batches, length: int, wanted):
+    """Runs of about HELD bytes of text: phrases (h, q) that wanted takes, their text's key, place and size, and bytes."""
+    parts, size = [], 0
+
+    def flush():
+        h, q, start, width = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        keys = pa.concat_arrays([p[4] for p in parts])
+        order = np.lexsort((np.arange(len(h)), q, h))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (q[order][1:] != q[order][:-1])
+        first = np.flatnonzero(new)
+        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        piece = lambda i: parts[source[i]][5][(at := parts[source[i]][6][i - begin[source[i]]]) : at + width[i]].tobytes()
+        begin = np.cumsum([0] + [len(p[0]) for p in parts])
+        return h, q, start, width, keys, order, first, np.diff(np.append(first, len(h))), piece
+
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(1))
+        for a, b, h, q in phrases(data, offsets, length):
+            hit = np.flatnonzero(wanted(h, q))
+            a, b, h, q = a[hit], b[hit], h[hit], q[hit]
+            doc = np.searchsorted(offsets, a, side="right") - 1
+            if len(h):
+                parts.append((h, q, a - offsets[doc], b - a + length, batch.column(0).take(pa.array(doc)), data, a))
+        size += int(offsets[-1] - offsets[0])
+        if size >= HELD and parts:
+            yield flush()
+            parts, size = [], 0
+    if parts:
+        yield flush()
+
+
 def _parse(docs: DataFrame, slots, length: int) -> DataFrame:
-    """Occurrences of phrases whose trigger may repeat: (h, q, n, key, a, size, phrase), and where n is 0, spans
-    (key, a, size) that are already known to repeat within a task's rows."""
+    """Occurrences of phrases whose trigger repeats: (h, q, n, key, a, size), one a run of text; and, where n is 0,
+    spans (key, a, size) that repeat within the run."""
 
     def run(batches):
-        bits = slots.value
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            keys = batch.column(0)
-            for a, b, h, q in phrases(data, offsets, length):
-                slot = h >> np.uint64(64 - SLOT_BITS)
-                hit = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                a, b, h, q = a[hit], b[hit], h[hit], q[hit]
-                order = np.lexsort((a, q, h))
-                new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (q[order][1:] != q[order][:-1])]) if len(order) else np.zeros(0, bool)
-                first = order[new]
-                n = np.diff(np.append(np.flatnonzero(new), len(order)))
-                doc = np.searchsorted(offsets, a, side="right") - 1
-                start = a - offsets[doc]
-                size = b - a + length
-                rows = {"h": pa.array(h[first].view(np.int64)), "q": pa.array(q[first].view(np.int64)), "n": pa.array(n), "key": keys.take(pa.array(doc[first])), "a": pa.array(start[first]), "size": pa.array(size[first]), "phrase": pa.array([data[s : s + k].tobytes() for s, k in zip(a[first], size[first])], pa.binary())}
-                yield pa.RecordBatch.from_pydict(rows)
-                many = np.sort(order[np.repeat(n > 1, n)])  # in place order: merge what touches
-                if len(many):
-                    cut = np.flatnonzero(np.concatenate([[True], (doc[many][1:] != doc[many][:-1]) | (start[many][1:] > start[many][:-1] + size[many][:-1])]))
-                    last = np.append(cut[1:], len(many)) - 1
-                    s, e = start[many][cut], start[many][last] + size[many][last]
-                    none = pa.nulls(len(cut), pa.int64())
-                    yield pa.RecordBatch.from_pydict({"h": none, "q": none, "n": pa.array(np.zeros(len(cut), np.int64)), "key": keys.take(pa.array(doc[many][cut])), "a": pa.array(s), "size": pa.array(e - s), "phrase": pa.nulls(len(cut), pa.binary())})
-
-    return docs.select("key", "text").mapInArrow(run, "h long, q long, n long, key binary, a long, size long, phrase binary")
-
-
-def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """Of dictionary phrases (h, q, phrase): each suffix's prefix of length bytes, by hash: (h, w, q, at)."""
+        for h, q, start, width, keys, order, first, n, _ in _held(batches, length, lambda h, q: _in(slots.value, h)):
+            one = order[first]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[one].view(np.int64)), "q": pa.array(q[one].view(np.int64)), "n": pa.array(n), "key": keys.take(pa.array(one)), "a": pa.array(start[one]), "size": pa.array(width[one])})
+            many = np.sort(order[np.repeat(n > 1, n)])  # in the order of the text: merge what touches
+            if len(many):
+                s, e = start[many], start[many] + width[many]
+                fresh = np.ones(len(many), bool)
+                fresh[1:] = (s[1:] > e[:-1]) | (s[1:] < s[:-1]) | np.array(pa.compute.not_equal(keys.take(pa.array(many[1:])), keys.take(pa.array(many[:-1]))))
+                cut = np.flatnonzero(fresh)
+                last = np.append(cut[1:], len(many)) - 1
+                none = pa.nulls(len(cut), pa.int64())
+                yield pa.RecordBatch.from_pydict({"h": none, "q": none, "n": pa.array(np.zeros(len(cut), np.int64)), "key": keys.take(pa.array(many[cut])), "a": pa.array(s[cut]), "size": pa.array(e[last] - s[cut])})
+
+    return docs.select("key", "text").mapInArrow(run, "h long, q long, n long, key binary, a long, size long")
+
+
+def _dictionary(docs: DataFrame, slots, length: int) -> DataFrame:
+    """(h, q, phrase): the bytes of the phrases in slots, once a run of text."""
+
+    def run(batches):
+        for h, q, _, _, _, order, first, _, piece in _held(batches, length, lambda h, q: _in(slots.value, _pair(h, q))):
+            one = order[first]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[one].view(np.int64)), "q": pa.array(q[one].view(np.int64)), "phrase": pa.array([piece(i) for i in one], pa.binary())})
+
+    return docs.select("key", "text").mapInArrow(run, "h long, q long, phrase binary")
+
+
+def _pair(h: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return mix64(h * np.uint64(3) + q)
+
+
+def _suffixes(rows: DataFrame, length: int, cells, windows) -> DataFrame:
+    """Of the suffixes of dictionary phrases (h, q, phrase), by hash, what may be shared.
+
+    Windows go in cells, runs of starts counted from the trigger; all windows of a cell hold its core, so a window can
+    be shared only if its core is.  Without cells: (x) the cores' hashes.  With cells, the slots of repeated cores:
+    (x) the hashes of the windows in them.  With windows too, the slots of repeated windows: (h, w, q, at) of those.
+    """
+    gram, cell = max(1, length // 2), max(1, length // 12)
 
     def run(batches):
         for batch in batches:
-            h, q = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            h, q = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
             data, offsets = text_buffers(batch.column(2))
             for i in range(0, len(h), 4096):
                 j = min(len(h), i + 4096)
                 part = offsets[i : j + 1]
-                rolling = Rolling(data[part[0] : part[-1]])
+                text = data[part[0] : part[-1]]
+                rolling = Rolling(text)
+                order = mix64(rolling.all(gram)) >> np.uint64(32)
+                place = np.array([int(np.argmin(order[s - part[0] : s - part[0] + length - gram + 1])) for s in part[:-1]])  # of the trigger
                 each = np.diff(part) - length + 1
-                owner = np.repeat(np.arange(i, j), each)
+                owner = np.repeat(np.arange(j - i), each)
                 at = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
-                start = (offsets[owner] - part[0] + at).astype(np.int64)
-                w = mix64(rolling(start, start + length))
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h[owner]), "w": pa.array(w.view(np.int64)), "q": pa.array(q[owner]), "at": pa.array(at.astype(np.int32))})
-
-    return rows.select("h", "q", "phrase").mapInArrow(run, "h long, w long, q long, at int")
+                c = (place[owner] - at) // cell
+                base = (part[:-1] - part[0])[owner]
+                new = np.ones(len(owner), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (c[1:] != c[:-1])
+                start = (base + place[owner] - c * cell)[new]
+                x = mix64(rolling(start, start + length - cell + 1) + mix64(h[i:j][owner[new]] + c[new].astype(np.uint64)))
+                if cells is None:
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(x.view(np.int64))})
+                    continue
+                live = _in(cells.value, x)[np.cumsum(new) - 1]
+                owner, at, base = owner[live], at[live], base[live]
+                w = mix64(rolling(base + at, base + at + length))
+                x = mix64(w + mix64(h[i:j][owner]))
+                if windows is None:
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(x.view(np.int64))})
+                    continue
+                hit = _in(windows.value, x)
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h[i:j][owner[hit]].view(np.int64)), "w": pa.array(w[hit].view(np.int64)), "q": pa.array(q[i:j][owner[hit]].view(np.int64)), "at": pa.array(at[hit].astype(np.int32))})
+
+    return rows.select("h", "q", "phrase").mapInArrow(run, "h long" if windows is None else "h long, w long, q long, at int")
+
+
+def _repeated(hashes: DataFrame) -> DataFrame:
+    return hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
-    """(key, spans): for each text with repeats, by md5, arrays of (start, end) bytes to remove; spans may overlap."""
+    """(key, spans): for each text with repeats, by md5, arrays of (s, e) bytes to remove; spans may overlap."""
     spark = docs.sparkSession
+
+    def slots(hashes: DataFrame):
+        bits = spark.sparkContext.broadcast(_slots(hashes))
+        release(spark)
+        return bits
+
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    slots = spark.sparkContext.broadcast(_slots(_triggers(texts, length)))
-    parse = written(_parse(texts, slots, length), "pfp-parse")
-    phrase = parse.where(F.col("n") > 0)
-    dictionary = written(phrase.groupBy("h", "q").agg(F.sum("n").alias("n"), F.min(F.struct("key", "a")).alias("one")), "pfp-dictionary")
-    whole = phrase.where(F.col("n") == 1).select("h", "q", "key", "a", "size").join(dictionary.where(F.col("n") > 1).select("h", "q").hint("merge"), ["h", "q"])
-    mixed = dictionary.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1).select("h")
-    differ = dictionary.join(mixed.hint("merge"), "h").select("h", "q", F.col("n").alias("total"), F.col("one.key").alias("key"), F.col("one.a").alias("a"))
-    differ = written(phrase.select("h", "q", "key", "a", "phrase").join(differ.hint("merge"), ["h", "q", "key", "a"]).dropDuplicates(["h", "q"]), "pfp-differ")
-    suffixes = written(_windows(differ, length), "pfp-suffixes")
-    shared = suffixes.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("h", "w")
-    some = suffixes.join(shared.hint("merge"), ["h", "w"]).select("h", "q", "at")
-    part = some.join(differ.where(F.col("total") == 1).select("h", "q", "key", "a").hint("merge"), ["h", "q"]).select("key", (F.col("a") + F.col("at")).alias("s"), (F.col("a") + F.col("at") + length).alias("e"))
-    spans = parse.where(F.col("n") == 0).select("key", F.col("a").alias("s"), (F.col("a") + F.col("size")).alias("e"))
-    spans = spans.unionByName(whole.select("key", F.col("a").alias("s"), (F.col("a") + F.col("size")).alias("e"))).unionByName(part)
-    return written(spans.distinct().groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "pfp-spans")
+    triggers = slots(_triggers(texts, length).where(F.col("n") > 1))
+    # a phrase has a row a run of text, so that even a hot one has few rows to number
+    same = Window.partitionBy("h", "q")
+    parsed = written(_parse(texts, triggers, length), "pfp-parse")
+    counted = parsed.where(F.col("n") > 0).withColumns({"total": F.sum("n").over(same), "row": F.row_number().over(same.orderBy("key", "a"))})
+    counted = written(counted, "pfp-counted")
+    release(spark)
+    one = counted.where(F.col("row") == 1)
+    mixed = one.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1).select("h")
+    differ = written(one.join(mixed.hint("merge"), "h").select("h", "q", "total", "key", "a"), "pfp-differ")
+    wanted = slots(differ.select("h", "q").mapInArrow(_pairs, "h long"))
+    found = _dictionary(texts, wanted, length).join(differ.select("h", "q").hint("merge"), ["h", "q"], "left_semi")
+    phrase = written(found.groupBy("h", "q").agg(F.min("phrase").alias("phrase")), "pfp-dictionary")
+    release(spark)
+    cells = slots(_repeated(_suffixes(phrase, length, None, None)))
+    windows = slots(_repeated(_suffixes(phrase, length, cells, None)))
+    likely = written(_suffixes(phrase, length, cells, windows), "pfp-suffixes")
+    shared = likely.groupBy("h", "w").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") > 1).select("h", "w")
+    single = differ.where(F.col("total") == 1).select("h", "q", "key", "a")
+    part = likely.join(shared.hint("merge"), ["h", "w"]).select("h", "q", "at").join(single.hint("merge"), ["h", "q"]).select("key", (F.col("a") + F.col("at")).alias("s"), (F.col("a") + F.col("at") + length).alias("e"))
+    part = written(part.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("p")).select("key", F.explode(_joined(F.col("p"))).alias("x")).select("key", "x.s", "x.e"), "pfp-part")
+    release(spark)
+    span = lambda df: df.select("key", F.col("a").alias("s"), (F.col("a") + F.col("size")).alias("e"))
+    spans = span(parsed.where(F.col("n") == 0)).unionByName(span(counted.where((F.col("n") == 1) & (F.col("total") > 1)))).unionByName(part)
+    spans = written(spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "pfp-spans")
+    release(spark)
+    return spans
+
+
+def _joined(spans):
+    """Sorted spans with those that touch made one."""
+    start = F.array().cast("array<struct<s:bigint,e:bigint>>")
+
+    def step(out, x):
+        last = F.get(out, F.size(out) - 1)
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when((F.size(out) > 0) & (x["s"] <= last["e"]), longer).otherwise(F.concat(out, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+
+    return F.aggregate(spans, start, step)
+
+
+def _pairs(batches):
+    for batch in batches:
+        h, q = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_pydict({"h": pa.array(_pair(h, q).view(np.int64))})
 
 
 def _merged(spans: list | None) -> list[tuple[int, int]]:
