@@ -111,7 +111,7 @@ class WindowIndex:
     def symbols(self, words: list[bytes]) -> np.ndarray:
         """A number above 0 for each word; the walk may mix up words of one number, the verification doesn't."""
         new = set(words).difference(self.cache)
-        if len(self.cache) + len(new) > 1_500_000:
+        if len(self.cache) + len(new) > 200_000:
             self.cache.clear()
             new = set(words)
         for w in new:
@@ -169,7 +169,7 @@ class WindowIndex:
             segment = b" ".join(words[text][max(0, start - slack) : max(0, start) + n + slack]).decode("utf-8", "replace")
             known = self.known.get((item, segment))
             if known is None:
-                if len(self.known) > 50_000:
+                if len(self.known) > 5_000:
                     self.known.clear()
                 known = self.known[item, segment] = edit_distance_in(self.texts[item], segment)
             last, reach = (text, item), start + slack

@@ -29,9 +29,9 @@ BLOCK = 128
 RANK = 115
 MAGIC = b"QPF1"
 #: Ids after which a shard file ends at the next document, so that a file and its reader stay small.
-SHARD_IDS = 3 << 20
-#: Words kept by a worker's cache before it starts anew.
-CACHE_WORDS = 1_500_000
+SHARD_IDS = 2 << 20
+#: Pieces and words kept by a worker's caches before they start anew.
+CACHE_PIECES, CACHE_WORDS = 80_000, 200_000
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
@@ -151,8 +151,9 @@ class CachedEncoder:
         return ids
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.pieces) + len(new) > CACHE_WORDS:
+        if len(self.pieces) + len(new) > CACHE_PIECES:
             self.pieces.clear()
+        if len(self.cores) > CACHE_WORDS:
             self.cores.clear()
         for piece in new:
             text = piece.decode("utf-8", "replace")
