@@ -31,7 +31,7 @@ MAGIC = b"QPF1"
 #: Ids after which a shard file ends at the next document, so that a file and its reader stay small.
 SHARD_IDS = 2 << 20
 #: Pieces and words kept by a worker's caches before they start anew.
-CACHE_PIECES, CACHE_WORDS = 80_000, 200_000
+CACHE_PIECES, CACHE_WORDS = 200_000, 400_000
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
