@@ -8,12 +8,17 @@ texts agree on a sample with the probability of their weighted Jaccard similarit
 Texts that share a band meet in a bucket.  A bucket of up to GROUP texts compares all signatures in memory and hands
 on, for each text, its nearest two and a spanning forest by estimated similarity; a larger one links all to a leader,
 those that turn out unlike it to another, and those unlike both meet in random parts of bounded size, anew for each
-band, so that the work stays in proportion to the texts.  Links are verified on whole texts,
-and classes are the connected components of what holds.
+band.  Links are verified on whole texts, and classes are the connected components of what holds.
+
+Those links only join most copies cheaply.  After them, all likely pairs of a large bucket's texts that are in
+different classes are verified: first the best few of each class, which join further classes, and at last every pair
+that is left.  A large bucket meets in pairs of parts; texts of its largest class don't meet one another.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +40,8 @@ LIKELY = 0.55
 #: each edit is rare, so that at full strength copies that share 19 of 20 shingles would count as different.
 IDF_STRENGTH = 0.05
 GROUP = 400
+#: Likely pairs of a class that a unit hands on, by round; the last round hands on all.
+ROUNDS = (4, 64, None)
 BUCKETS = 1 << 20
 #: Word hashes that a worker keeps.
 CACHE_WORDS = 200_000
@@ -227,6 +234,79 @@ def _bucket_links(members: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _apart(ids: np.ndarray, sig: np.ndarray, label: np.ndarray, part: np.ndarray, most: int | None) -> tuple[list, bool]:
+    """(likely pairs of different labels, and parts if there are two, the best of each label; whether there are more)."""
+    across = bool((part != part[0]).any())
+    left, right, near = [], [], []
+    for i in range(len(ids) - 1):
+        other = label[i + 1 :] != label[i]
+        if across:
+            other &= part[i + 1 :] != part[i]
+        j = np.flatnonzero(other) + i + 1
+        est = (sig[j] == sig[i]).mean(axis=1) if len(j) else np.zeros(0)
+        j, est = j[est >= LIKELY], est[est >= LIKELY]
+        left.append(np.full(len(j), i))
+        right.append(j)
+        near.append(est)
+    x, y, est = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right, near))
+    take = np.ones(len(x), bool)
+    if most is not None and len(x):
+        take[:] = False
+        for side in (label[x], label[y]):
+            order = np.lexsort((y, x, -est, side))
+            first = np.flatnonzero(np.concatenate([[True], side[order][1:] != side[order][:-1]]))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            take[order[rank < most]] = True
+    pairs = [(min(a, b), max(a, b)) for a, b in zip(ids[x[take]].tolist(), ids[y[take]].tolist())]
+    return pairs, not take.all()
+
+
+def _unsettled(met: DataFrame, sigs: DataFrame, labels: DataFrame, most: int | None) -> DataFrame:
+    """(a, b) of the buckets' likely pairs of different labels, the best of each label; (-1, -1) if there are more.
+
+    met: band, v, node.  Parts of the largest label come after the others' and meet those only, so that a group of
+    copies that is one class already costs a row a text for each part of the rest.
+    """
+
+    def run(batches):
+        held: list = []
+
+        def out(rows, last):
+            pairs, start = set(), 0
+            for k in range(1, len(rows) + 1):
+                if k == len(rows) or rows[k][:4] != rows[start][:4]:
+                    if k == len(rows) and not last:
+                        break
+                    unit = rows[start:k]
+                    if len(unit) > 1:
+                        found, more = _apart(np.array([r[4] for r in unit]), np.stack([np.frombuffer(r[7], "<u2") for r in unit]), np.array([r[5] for r in unit]), np.array([r[6] for r in unit]), most)
+                        pairs.update(found)
+                        if more:
+                            pairs.add((-1, -1))
+                    start = k
+            return rows[start:], pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+        for batch in batches:
+            held += list(zip(*[c.to_pylist() for c in batch.columns]))
+            held, found = out(held, False)
+            yield found
+        yield out(held, True)[1]
+
+    here = met.select("band", "v", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = here.groupBy("band", "v", "label").agg(F.count(F.lit(1)).alias("c"))
+    buckets = sizes.groupBy("band", "v").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    parts = lambda n: F.ceil(n / (GROUP / 2)).cast("int")
+    rest, top = F.when(F.col("n") <= GROUP, 1).otherwise(parts(F.col("n") - F.col("top.c"))), F.when(F.col("n") <= GROUP, 0).otherwise(parts(F.col("top.c")))
+    buckets = buckets.select("band", "v", F.col("top.label").alias("most"), rest.alias("rest"), top.alias("tops"))
+    h = F.xxhash64("node", F.lit(3))
+    last = (F.col("label") == F.col("most")) & (F.col("tops") > 0)
+    placed = here.join(buckets.hint("merge"), ["band", "v"]).withColumn("p", F.when(last, F.col("rest") + F.pmod(h, "tops")).otherwise(F.pmod(h, "rest")).cast("int"))
+    others = F.sequence(F.lit(0), F.when(last, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1)
+    units = placed.join(sigs.hint("merge"), "node").withColumn("q", F.explode(others)).select("band", "v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "label", "p", "nd_sig")
+    key = ["band", "v", "i", "j"]
+    return units.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(links: DataFrame, texts: DataFrame, sampler) -> DataFrame:
     """links (a, b) with their weighted Jaccard similarity on whole texts; texts: node, text."""
 
@@ -282,17 +362,19 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     sigs = firsts.select("node", "nd_sig")
     place = firsts.select("node", F.posexplode("nd_bands").alias("band", "v"))
     texts = some.select(F.col("nd_row").alias("node"), F.col("text").cast("string").alias("text"))
-    held, members, turn = [], place, 0
+    held, tested, members, met, turn = [], [], place, None, 0
     while True:
         order = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
         buckets = members.groupBy("band", "v").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where(F.col("n") > 1).select("band", "v", "n", F.col("first.node").alias("leader"))
         members = written(members.join(buckets.hint("merge"), ["band", "v"]), "nd-members")
+        met = members if met is None else met
         small, large = members.where(F.col("n") <= GROUP), members.where(F.col("n") > GROUP)
         near = _bucket_links(small.join(sigs.hint("merge"), "node"))
         starred = large.where(F.col("node") != F.col("leader"))
         star = starred.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         links = _verified(written(near.unionByName(star).distinct(), "nd-links"), texts, sampler)
         checked = written(links, "nd-checked")
+        tested.append(checked.select("a", "b"))
         held.append(checked.where(F.col("similarity") >= similarity).select("a", "b"))
         if not large.head(1):
             break
@@ -305,10 +387,18 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
         turn += 1
         if not members.head(1):
             break
-    links = held[0]
-    for more in held[1:]:
-        links = links.unionByName(more)
-    labels = components(links, "nd")
+    labels = components(reduce(DataFrame.unionByName, held), "nd")
+    met = met.where(F.col("n") > GROUP)
+    for most in ROUNDS if met.head(1) else ():
+        pairs = written(_unsettled(met, sigs, labels, most), "nd-unsettled")
+        new = written(pairs.where(F.col("a") >= 0).join(reduce(DataFrame.unionByName, tested).hint("merge"), ["a", "b"], "left_anti"), "nd-links")
+        if new.head(1):
+            checked = written(_verified(new, texts, sampler), "nd-checked")
+            tested.append(checked.select("a", "b"))
+            held.append(checked.where(F.col("similarity") >= similarity).select("a", "b"))
+            labels = components(reduce(DataFrame.unionByName, held), "nd")
+        if not pairs.where(F.col("a") < 0).head(1):
+            break
     by_text = nodes.join(labels.hint("merge"), "node", "left").select("nd_text", F.coalesce("label", "node").alias("nd_label"))
     out = rows.drop("nd_bands", "nd_sig")
     joined = out.join(by_text.hint("merge"), "nd_text", "left").drop("nd_text").withColumn("nd_label", F.coalesce("nd_label", "nd_row"))

@@ -396,3 +396,60 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and got[103] == got[101] == 100 and got[201] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def by_likely_pairs(N, d):
+    """The classes by brute force: all pairs that share a band, by estimate and then by exact similarity."""
+    sampler = N.Sampler(N.inverse_frequencies(d))
+    rows = [r for r in N.signed(d, type("Held", (), {"value": sampler})()).collect() if r.nd_bands]
+    sets = [dict(zip(*(x.tolist() for x in N._SHINGLER(r.text)))) for r in rows]
+    weight = [dict(zip(s, sampler.weights(np.array(list(s), np.uint64), np.array(list(s.values()))).tolist())) for s in sets]
+    sig = np.stack([np.frombuffer(r.nd_sig, "<u2") for r in rows])
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if find(i) != find(j) and any(a == b for a, b in zip(rows[i].nd_bands, rows[j].nd_bands)) and (sig[i] == sig[j]).mean() >= N.LIKELY:
+                x, y = weight[i], weight[j]
+                both = sum(min(w, y[s]) for s, w in x.items() if s in y)
+                if both / (sum(x.values()) + sum(y.values()) - both) >= N.SIMILARITY:
+                    root[find(i)] = find(j)
+    found = collections.defaultdict(set)
+    for i, r in enumerate(rows):
+        found[find(i)].add(r.doc_id)
+    return {frozenset(s) for s in found.values()}
+
+
+def by_operator(N, d):
+    found = collections.defaultdict(set)
+    for r in N.near_duplicate_classes(d).collect():
+        found[r.class_id].add(r.doc_id)
+    return {frozenset(s) for s in found.values()}
+
+
+def drifting(seed, chains, links, share, shared=60, own=60):
+    """Chains of texts from one start, each with one more word changed than the one before it."""
+    r, rows = random.Random(seed), []
+    base = prose(seed, shared + own).split()
+    for c in range(chains):
+        w = list(base)
+        for k in range(links):
+            for at in r.sample(range(own), share):
+                w[at] = f"c{c}x{k}y{at}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_large_buckets_are_searched_whole(spark, docs, monkeypatch):
+    from quarterdeck.llm import near_duplicates as N
+
+    monkeypatch.setattr(N, "GROUP", 4)
+    d = docs(drifting(1, 8, 5, 2))  # chains that leave the leader
+    assert by_operator(N, d) == by_likely_pairs(N, d)
+    d = docs(drifting(2, 20, 2, 5, 100))  # texts unlike each other
+    assert by_operator(N, d) == by_likely_pairs(N, d)
