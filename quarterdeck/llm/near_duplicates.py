@@ -10,7 +10,7 @@ on, for each text, its nearest two and a spanning forest by estimated similarity
 those that turn out unlike it to another, and those unlike both meet in random parts of bounded size, anew for each
 band.  Links are verified on whole texts, and classes are the connected components of what holds.
 
-Those links only join most copies cheaply.  After them, all likely pairs of a large bucket's texts that are in
+Those links only join most copies cheaply.  After them, all likely pairs of a bucket's texts that are in
 different classes are verified: first the best few of each class, which join further classes, and at last every pair
 that is left.  A large bucket meets in pairs of parts; texts of its largest class don't meet one another.
 """
@@ -388,7 +388,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
         if not members.head(1):
             break
     labels = components(reduce(DataFrame.unionByName, held), "nd")
-    met = met.where(F.col("n") > GROUP)
+    met = met.where(F.col("n") > 2)  # a bucket of two is settled
     for most in ROUNDS if met.head(1) else ():
         pairs = written(_unsettled(met, sigs, labels, most), "nd-unsettled")
         new = written(pairs.where(F.col("a") >= 0).join(reduce(DataFrame.unionByName, tested).hint("merge"), ["a", "b"], "left_anti"), "nd-links")

@@ -453,3 +453,16 @@ def test_large_buckets_are_searched_whole(spark, docs, monkeypatch):
     assert by_operator(N, d) == by_likely_pairs(N, d)
     d = docs(drifting(2, 20, 2, 5, 100))  # texts unlike each other
     assert by_operator(N, d) == by_likely_pairs(N, d)
+
+
+def test_small_buckets_settle_all_likely_pairs(spark, docs):
+    from quarterdeck.llm import near_duplicates as N
+
+    rows, w = [], prose(7, 150).split()
+    r = random.Random(7)
+    for i in range(10):  # pairs of about the threshold
+        x = list(w)
+        for at in r.sample(range(150), 2):
+            x[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(x)))
+    assert by_operator(N, docs(rows)) == by_likely_pairs(N, docs(rows))
