@@ -151,8 +151,6 @@ class CachedEncoder:
         return ids
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.pieces.clear()
         if len(self.cores) > CACHE_WORDS:
             self.cores.clear()
         for piece in new:
@@ -166,15 +164,12 @@ class CachedEncoder:
     def encode(self, text: bytes, end_id: int) -> np.ndarray:
         words = text.split()
         new = set(words).difference(self.pieces)
+        if len(self.pieces) + len(new) > CACHE_PIECES:  # starts anew with all that this text needs, however many
+            self.pieces.clear()
+            new = set(words)
         if new:
             self._learn(new)
-            if len(self.pieces) < len(new):
-                self._learn(set(words).difference(self.pieces))
-        try:
-            ids = list(chain.from_iterable(map(self.pieces.__getitem__, words)))
-        except KeyError:  # the cache started anew within this text
-            self._learn(set(words).difference(self.pieces))
-            ids = list(chain.from_iterable(map(self.pieces.__getitem__, words)))
+        ids = list(chain.from_iterable(map(self.pieces.__getitem__, words)))
         ids.append(end_id)
         return np.array(ids, np.uint32)
 

@@ -466,3 +466,15 @@ def test_small_buckets_settle_all_likely_pairs(spark, docs):
             x[at] = f"e{i}x{at}"
         rows.append((i, " ".join(x)))
     assert by_operator(N, docs(rows)) == by_likely_pairs(N, docs(rows))
+
+
+def test_text_with_more_pieces_than_the_warm_cache(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from quarterdeck.llm import token_store as S
+
+    monkeypatch.setattr(S, "CACHE_PIECES", 8)
+    path = public.path("word_bpe_49k.json")
+    t, encoder = tokenizers.Tokenizer.from_file(path), S.CachedEncoder(path)
+    for text in ("one two three", "one two " + " ".join(WORDS), "one two", " ".join(WORDS) + " one"):
+        assert encoder.encode(text.encode(), 1).tolist() == t.encode(text, add_special_tokens=False).ids + [1]
