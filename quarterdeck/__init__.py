@@ -7,8 +7,15 @@ import tempfile
 import zipfile
 
 
+#: Bytes of an Arrow batch where the session keeps Spark's own bound: 10,000 long texts at once would fill a Python worker.
+SPARKS_BOUND, BATCH_BYTES = "67108864b", 8 << 20
+
+
 def ship(spark) -> None:
-    """Send this package to the executors' Python workers, once a Spark context."""
+    """Send this package to the executors' Python workers, once a Spark context; bound their Arrow batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == SPARKS_BOUND:
+        spark.conf.set(name, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_quarterdeck_shipped", False):
         return
