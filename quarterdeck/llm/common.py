@@ -5,11 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,9 +22,11 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share; one of our own only in local mode, where the session names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -37,15 +41,59 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.quarterdeck_path = path
+    return table
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now, not when the driver next collects its garbage."""
+def store_of(uri: str):
+    """A file system of pyarrow and the path in it, for a folder that all executors share."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if urlsplit(uri).scheme else (fs.LocalFileSystem(), uri)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing unfinished reads, and let Spark drop the shuffle files of finished steps now,
+    not when the driver next collects its garbage."""
+    for table in tables:
+        store, path = store_of(table.quarterdeck_path)
+        store.delete_dir(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def slots(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The slots (leading bits) of a column h of 64-bit hashes as a bit table of a fixed 2**bits bits.
+
+    It spares rows that are surely not wanted a shuffle; it never loses one.
+    """
+    slot = F.shiftrightunsigned("h", 64 - bits) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    out = np.zeros(max(1 << (bits - 3), 4096), np.uint8)
+    for r in rows:
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def in_slots(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    slot = h.view(np.uint64) >> np.uint64(64 - bits)
+    return table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def only_slots(df: DataFrame, hashes: DataFrame, bits: int = 24) -> DataFrame:
+    """Rows of df whose column h may be in the column h of hashes, without h; df's h must be its last column."""
+    table = df.sparkSession.sparkContext.broadcast(slots(hashes, bits))
+    schema = T.StructType(df.schema.fields[:-1])
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(in_slots(table.value, h, bits)))
+
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -5,10 +5,12 @@ gram of LENGTH / 2 bytes is its trigger, and a phrase is the run of windows that
 on a window's bytes alone, so equal windows have equal triggers at equal places, wherever they stand.  The dictionary
 is the set of distinct phrases and the parse their occurrences.
 
-A repeated string of LENGTH bytes is a pair of neighbours in corpus order with a common prefix of LENGTH.  Two cases
-give all of them: a phrase that occurs twice in the parse repeats whole; and phrases of one trigger that differ share
-some windows only, which are found by grouping the LENGTH-byte prefixes of those dictionary phrases' suffixes.  Only
-that prefix matters, so grouping takes the place of sorting the suffixes further.
+A repeated string of LENGTH bytes is a pair of neighbours in corpus order with a common prefix of LENGTH.  Windows lie
+in one phrase each, so two steps give that order to the depth LENGTH: the parse in order of its phrases shows those
+that occur twice, which repeat whole; suffix arrays of the dictionary, sorted by prefix doubling to the depth LENGTH,
+show the windows that different phrases share.  Phrases of different triggers share none, so a suffix array is built a
+block of whole triggers.  A trigger with so many phrases that it may not fit a block (HOT_KINDS) goes another way:
+the hashes of its windows, first of their cores, are counted by Spark wherever its phrases are.
 """
 
 from __future__ import annotations
@@ -18,18 +20,20 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, release, text_buffers, written
+from .common import in_slots, mix64, release, slots, text_buffers, written
 
 LENGTH = 200
 #: Window starts that the kernel takes at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 17
 #: Bytes of text over which a task first joins equal phrases.
 HELD = 24 << 20
 #: Bits of the tables of hashes to look at again, which spare the rows of the others; they never lose one.
 SLOT_BITS = 27
+#: Different phrases of a trigger up to which they are sorted together, and bytes of the phrases of a suffix array.
+HOT_KINDS, BLOCK = 4096, 4 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x5851F42D4C957F2D
 _BYTE = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,26 +108,15 @@ def _triggers(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            for _, _, h, _ in phrases(data, offsets, length):
-                keys, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(keys.view(np.int64)), "n": pa.array(n)})
+            found = [h for _, _, h, _ in phrases(data, offsets, length)]
+            keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(keys.view(np.int64)), "n": pa.array(n)})
 
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _slots(hashes: DataFrame) -> np.ndarray:
-    """Bits of the slots of a column h of hashes (2**SLOT_BITS bits at any input size)."""
-    slot = F.shiftrightunsigned("h", 64 - SLOT_BITS) + 1
-    rows = hashes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    out = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
-    for r in rows:
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h >> np.uint64(64 - SLOT_BITS)
-    return bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
+    return in_slots(bits, h, SLOT_BITS)
 
 
 def _held(batches, length: int, wanted):
@@ -194,8 +187,76 @@ def _pair(h: np.ndarray, q: np.ndarray) -> np.ndarray:
     return mix64(h * np.uint64(3) + q)
 
 
-def _suffixes(rows: DataFrame, length: int, cells, windows) -> DataFrame:
-    """Of the suffixes of dictionary phrases (h, q, phrase), by hash, what may be shared.
+def shared_windows(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) places of runs of windows of phrases that stand elsewhere in the phrases too.
+
+    text: phrases one after the other; ends: where each ends.  A suffix array by prefix doubling, to the depth length:
+    a suffix keeps its rank while another has the same prefix, and falls out as soon as none has.
+    """
+    n = len(text)
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)  # bytes to the phrase's end
+    width = min(8, length)
+    key = np.zeros(max(0, n - width + 1), np.uint64)
+    for k in range(width):  # the order of the prefixes' bytes
+        key = key << np.uint64(8) | text[k : n - width + 1 + k]
+    at, rank = np.flatnonzero(left[: len(key)] >= width), np.full(n + length, -1, np.int32)
+    key = key[at]
+    while True:
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        single = new & np.append(new[1:], True)
+        ranks = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        ranks[single] = -1
+        rank[at] = -1
+        rank[at[order]] = ranks
+        at = at[rank[at] >= 0]
+        if width == length:
+            break
+        step = min(width, length - width)
+        fits = (left[at] >= width + step) & (rank[at + step] >= 0)
+        longer = at[fits]
+        key = rank[longer].astype(np.uint64) << np.uint64(32) | rank[longer + step].astype(np.uint32)
+        rank[at[~fits]] = -1
+        at, width = longer, width + step
+    first = np.ones(len(at), bool)
+    first[1:] = (at[1:] != at[:-1] + 1) | (left[at[1:]] > left[at[:-1]])
+    cut = np.flatnonzero(first)
+    return at[cut], at[np.append(cut[1:], len(at)) - 1] if len(cut) else at[cut]
+
+
+def _sorted_dictionary(phrases_: DataFrame, length: int) -> DataFrame:
+    """(h, q, s, e): stretches of dictionary phrases that others share.  phrases_: h, q, phrase, once or more."""
+
+    def run(batches):
+        hs, qs, texts, size = [], [], [], 0
+
+        def found(upto):
+            first, last = shared_windows(np.frombuffer(b"".join(texts[:upto]), np.uint8), np.cumsum([len(x) for x in texts[:upto]]), length)
+            ends = np.cumsum([len(x) for x in texts[:upto]])
+            owner = np.searchsorted(ends, first, side="right")
+            start = (ends - [len(x) for x in texts[:upto]])[owner]
+            return pa.RecordBatch.from_pydict({"h": pa.array(np.array(hs[:upto], np.int64)[owner]), "q": pa.array(np.array(qs[:upto], np.int64)[owner]), "s": pa.array((first - start).astype(np.int32)), "e": pa.array((last - start + length).astype(np.int32))})
+
+        for batch in batches:
+            for h, q, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if hs and hs[-1] == h and qs[-1] == q:
+                    continue  # the phrase of another run of text
+                if size >= BLOCK and hs[-1] != h:
+                    yield found(len(hs))
+                    hs, qs, texts, size = [], [], [], 0
+                hs.append(h)
+                qs.append(q)
+                texts.append(phrase)
+                size += len(phrase)
+        if hs:
+            yield found(len(hs))
+
+    return phrases_.repartition("h").sortWithinPartitions("h", "q").mapInArrow(run, "h long, q long, s int, e int")
+
+
+def _hot_suffixes(rows: DataFrame, length: int, cells, windows) -> DataFrame:
+    """Of the suffixes of a hot trigger's dictionary phrases (h, q, phrase), by hash, what may be shared.
 
     Windows go in cells, runs of starts counted from the trigger; all windows of a cell hold its core, so a window can
     be shared only if its core is.  Without cells: (x) the cores' hashes.  With cells, the slots of repeated cores:
@@ -247,51 +308,53 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """(key, spans): for each text with repeats, by md5, arrays of (s, e) bytes to remove; spans may overlap."""
     spark = docs.sparkSession
 
-    def slots(hashes: DataFrame):
-        bits = spark.sparkContext.broadcast(_slots(hashes))
+    def shared(hashes: DataFrame):
+        bits = spark.sparkContext.broadcast(slots(hashes, SLOT_BITS))
         release(spark)
         return bits
 
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    triggers = slots(_triggers(texts, length).where(F.col("n") > 1))
-    # a phrase has a row a run of text, so that even a hot one has few rows to number
-    same = Window.partitionBy("h", "q")
+    triggers = shared(_triggers(texts, length).where(F.col("n") > 1))
     parsed = written(_parse(texts, triggers, length), "pfp-parse")
-    counted = parsed.where(F.col("n") > 0).withColumns({"total": F.sum("n").over(same), "row": F.row_number().over(same.orderBy("key", "a"))})
-    counted = written(counted, "pfp-counted")
-    release(spark)
-    one = counted.where(F.col("row") == 1)
-    mixed = one.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1).select("h")
-    differ = written(one.join(mixed.hint("merge"), "h").select("h", "q", "total", "key", "a"), "pfp-differ")
-    wanted = slots(differ.select("h", "q").mapInArrow(_pairs, "h long"))
-    found = _dictionary(texts, wanted, length).join(differ.select("h", "q").hint("merge"), ["h", "q"], "left_semi")
-    phrase = written(found.groupBy("h", "q").agg(F.min("phrase").alias("phrase")), "pfp-dictionary")
-    release(spark)
-    cells = slots(_repeated(_suffixes(phrase, length, None, None)))
-    windows = slots(_repeated(_suffixes(phrase, length, cells, None)))
-    likely = written(_suffixes(phrase, length, cells, windows), "pfp-suffixes")
-    shared = likely.groupBy("h", "w").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") > 1).select("h", "w")
-    single = differ.where(F.col("total") == 1).select("h", "q", "key", "a")
-    part = likely.join(shared.hint("merge"), ["h", "w"]).select("h", "q", "at").join(single.hint("merge"), ["h", "q"]).select("key", (F.col("a") + F.col("at")).alias("s"), (F.col("a") + F.col("at") + length).alias("e"))
-    part = written(part.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("p")).select("key", F.explode(_joined(F.col("p"))).alias("x")).select("key", "x.s", "x.e"), "pfp-part")
-    release(spark)
+    triggers.unpersist()
+    # the parse in order of its phrases: how often each occurs, and where if once
+    where = F.struct("key", "a")
+    ranked = parsed.where(F.col("n") > 0).groupBy("h", "q").agg(F.sum("n").alias("total"), F.min(where).alias("at"))
+    ranked = written(ranked.select("h", "q", "total", "at.key", "at.a"), "pfp-phrases")
+    kinds = ranked.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+    differ = written(ranked.join(kinds.hint("merge"), "h").select("h", "q", "total", "key", "a", (F.col("kinds") > HOT_KINDS).alias("hot")), "pfp-differ")
+    often = ranked.where(F.col("total") > 1).select("h", "q")
     span = lambda df: df.select("key", F.col("a").alias("s"), (F.col("a") + F.col("size")).alias("e"))
-    spans = span(parsed.where(F.col("n") == 0)).unionByName(span(counted.where((F.col("n") == 1) & (F.col("total") > 1)))).unionByName(part)
-    spans = written(spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "pfp-spans")
-    release(spark)
+    again = parsed.where(F.col("n") == 1).join(often.hint("merge"), ["h", "q"], "left_semi")
+    whole = written(span(parsed.where(F.col("n") == 0)).unionByName(span(again)), "pfp-whole")
+    release(spark, parsed, ranked)
+    wanted = shared(differ.select("h", "q").mapInArrow(_pairs, "h long"))
+    heat = differ.where("hot").select("h")
+    any_hot = bool(heat.head(1))
+    dictionary = _dictionary(texts, wanted, length)
+    if any_hot:
+        dictionary = written(dictionary.join(differ.select("h", "q", "hot").hint("merge"), ["h", "q"]), "pfp-dictionary")
+        part = _sorted_dictionary(dictionary.where(~F.col("hot")).select("h", "q", "phrase"), length)
+        part = part.unionByName(_hot_shared(dictionary.where("hot"), length, shared))
+    else:
+        part = _sorted_dictionary(dictionary, length)
+    single = differ.where(F.col("total") == 1).select("h", "q", "key", "a")
+    part = part.join(single.hint("merge"), ["h", "q"]).select("key", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
+    spans = whole.unionByName(part).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = written(spans, "pfp-spans")
+    wanted.unpersist()
+    release(spark, whole, differ, *([dictionary] if any_hot else []))
     return spans
 
 
-def _joined(spans):
-    """Sorted spans with those that touch made one."""
-    start = F.array().cast("array<struct<s:bigint,e:bigint>>")
-
-    def step(out, x):
-        last = F.get(out, F.size(out) - 1)
-        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(out) > 0) & (x["s"] <= last["e"]), longer).otherwise(F.concat(out, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
-
-    return F.aggregate(spans, start, step)
+def _hot_shared(rows: DataFrame, length: int, shared) -> DataFrame:
+    """(h, q, s, e) of windows that different phrases of a hot trigger share; rows: h, q, phrase, once or more."""
+    phrase = written(rows.groupBy("h", "q").agg(F.min("phrase").alias("phrase")), "pfp-hot")
+    cells = shared(_repeated(_hot_suffixes(phrase, length, None, None)))
+    windows = shared(_repeated(_hot_suffixes(phrase, length, cells, None)))
+    likely = written(_hot_suffixes(phrase, length, cells, windows), "pfp-hot-windows")
+    both = likely.groupBy("h", "w").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") > 1).select("h", "w")
+    return likely.join(both.hint("merge"), ["h", "w"]).select("h", "q", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
 
 
 def _pairs(batches):

@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import zlib
 from itertools import chain
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_buffers
+from .common import fresh_path, store_of, text_buffers
 
 BLOCK = 128
 #: Rank of the difference whose width a block takes: the 90th percentile.
@@ -183,13 +182,6 @@ def _encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def _store(uri: str):
-    """A file system of pyarrow and the path in it, for a folder that all executors share."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if urlsplit(uri).scheme else (fs.LocalFileSystem(), uri)
-
-
 MANIFEST = "part int, piece int, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -205,7 +197,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, id_
         part = TaskContext.get().partitionId()
         attempt = TaskContext.get().taskAttemptId()
         encoder = _encoder(tokenizer_path)
-        store, root = _store(folder)
+        store, root = store_of(folder)
         ids, keys, held, piece = [], [], 0, 0
 
         def flush():
@@ -229,7 +221,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, id_
         if ids:
             yield flush()
 
-    store, root = _store(folder)
+    store, root = store_of(folder)
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_column).cast("long").alias("k"), F.col(text_column).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
     ordered = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")

@@ -230,6 +230,35 @@ def test_repeated_strings(spark, docs):
     assert remove_repeats(docs([])).count() == 0
 
 
+def test_repeated_strings_of_hot_triggers_and_small_blocks(spark, docs, monkeypatch):
+    from quarterdeck.llm import suffix_dedup as S
+
+    common = prose(3, 40)[:220]  # one trigger in many different phrases
+    rows = [(i, prose(100 + i, 20) + common[i % 7 : 215 + i % 5] + prose(200 + i, 20 + i)) for i in range(60)] + [(70, "abc" * 500), (71, "\xe9" * 400)]
+    want = sorted((r[0], *x) for r, x in zip(rows, brute_spans([r[1].encode() for r in rows])))
+    for kinds, block in ((3, 4 << 20), (4096, 300), (8, 300)):
+        monkeypatch.setattr(S, "HOT_KINDS", kinds)
+        monkeypatch.setattr(S, "BLOCK", block)
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(docs(rows)).collect())
+        assert got == want
+
+
+def test_suffix_array_to_a_depth():
+    from quarterdeck.llm.suffix_dedup import shared_windows
+
+    r = random.Random(5)
+    for trial in range(200):
+        length = r.choice([1, 2, 5, 8, 9, 16, 20])
+        texts = [bytes(r.choice(b"ab") for _ in range(r.randint(length, 40))) for _ in range(r.randint(0, 8))]
+        c = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+        want, place = set(), 0
+        for t in texts:
+            want |= {place + i for i in range(len(t) - length + 1) if c[t[i : i + length]] > 1}
+            place += len(t)
+        first, last = shared_windows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64), length)
+        assert {p for a, b in zip(first, last) for p in range(a, b + 1)} == want
+
+
 def test_context_tree_scoring(spark, docs):
     from quarterdeck.llm.lm_scoring import score
 
