@@ -12,8 +12,9 @@ exception difference uint32, document length uint64, document id int64, document
 from __future__ import annotations
 
 import re
+import sys
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ RANK = 115
 MAGIC = b"QPF1"
 #: Ids after which a shard file ends at the next document, so that a file and its reader stay small.
 SHARD_IDS = 2 << 20
-#: Pieces and words kept by a worker's caches before they start anew.
-CACHE_PIECES, CACHE_WORDS = 200_000, 400_000
+#: Bytes of the pieces that a worker keeps, twice at most, and what an entry takes besides its bytes.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 160
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
@@ -107,6 +108,42 @@ def decode_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, list]:
     return ids, lengths.astype(np.int64), [int(k) if g else None for k, g in zip(keys, given)]
 
 
+#: ASCII marks that the pre-tokenizer parts from the letters before them.
+MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Pieces(dict):
+    """Piece → its ids as little-endian uint32 bytes; a missing one is encoded when it is looked up.
+
+    Bounded by bytes: a full cache becomes the old one, whose entries come back as they are met.
+    """
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit, self.size, self.old = encode, limit, 0, {}
+
+    def __missing__(self, piece):
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        cost = len(piece) + len(ids) + ENTRY_BYTES
+        if cost > self.limit // 64:
+            return ids  # so long a piece hardly comes again
+        if self.size + cost > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
+        self[piece] = ids
+        self.size += cost
+        return ids
+
+
 class CachedEncoder:
     """Encodes white-space-delimited pieces once; the tokenizer drops white space, so pieces are independent.
 
@@ -126,51 +163,40 @@ class CachedEncoder:
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
         #: Cutting a piece is right only for a tokenizer that separates letters from marks and lowers case.
         self.cuts = self._same("Abc,") and self._same("ÉÀñß.") and self._same("THE!!")
-        self.pieces: dict[bytes, list[int]] = {}
-        self.cores: dict[str, list[int]] = {}
+        self.pieces = Pieces(self._piece, CACHE_BYTES)
+        self.cores = Pieces(self._model, CACHE_BYTES // 2)
 
     def _same(self, text: str) -> bool:
         core, tail = self.PLAIN.match(text).groups()
-        whole = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return whole == self._model(core.lower()) + self.tokenizer.encode(tail, add_special_tokens=False).ids
-
-    def _model(self, core: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(core.translate(self.letters))]
-
-    def _core(self, core: str) -> list[int]:
-        ids = self.cores.get(core)
+        return self._whole(text) == self._model(core.lower()) + self._whole(tail)
+
+    def _whole(self, text: str) -> bytes:
+        return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _model(self, core: str) -> bytes:
+        return _little([t.id for t in self.model.tokenize(core if core.isascii() else core.translate(self.letters))])
+
+    def _piece(self, piece: bytes) -> bytes:
+        if self.cuts and (core := piece.rstrip(MARKS)).isalpha():  # ASCII letters, the most frequent case
+            tail = piece[len(core) :]
+            return self.cores[core.lower().decode()] + (self._tail(tail.decode()) if tail else b"")
+        text = piece.decode("utf-8", "replace")
+        if not self.cuts or not (m := self.PLAIN.match(text)):
+            return self._whole(text)
+        core, tail = m.groups()
+        return self.cores[core.lower()] + (self._tail(tail) if tail else b"")
+
+    def _tail(self, tail: str) -> bytes:
+        ids = self.cores.get(tail)  # letters and marks don't meet
         if ids is None:
-            ids = self.cores[core] = self._model(core)
+            ids = self._whole(tail)
+            if len(tail) < 4:
+                self.cores[tail] = ids  # few there are
         return ids
 
-    def _tail(self, tail: str) -> list[int]:
-        ids = self.cores.get(tail)
-        if ids is None:
-            ids = self.cores[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
-        return ids
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.cores) > CACHE_WORDS:
-            self.cores.clear()
-        for piece in new:
-            text = piece.decode("utf-8", "replace")
-            if self.cuts and (m := self.PLAIN.match(text)):
-                core, tail = m.groups()
-                self.pieces[piece] = self._core(core.lower()) + (self._tail(tail) if tail else [])
-            else:
-                self.pieces[piece] = self.tokenizer.encode(text, add_special_tokens=False).ids
-
     def encode(self, text: bytes, end_id: int) -> np.ndarray:
-        words = text.split()
-        new = set(words).difference(self.pieces)
-        if len(self.pieces) + len(new) > CACHE_PIECES:  # starts anew with all that this text needs, however many
-            self.pieces.clear()
-            new = set(words)
-        if new:
-            self._learn(new)
-        ids = list(chain.from_iterable(map(self.pieces.__getitem__, words)))
-        ids.append(end_id)
-        return np.array(ids, np.uint32)
+        ids = b"".join(map(self.pieces.__getitem__, text.split()))
+        return np.frombuffer(ids + end_id.to_bytes(4, "little"), "<u4")
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -203,9 +229,9 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, id_
         def flush():
             data = encode_shard(np.concatenate(ids), np.array([len(x) for x in ids]), keys)
             name = f"{root}/shard-{part:06d}-{piece:05d}.qpf"
-            with store.open_output_stream(f"{root}/_tmp-{attempt}-{piece}") as out:
+            with store.open_output_stream(f"{root}/_tmp/{attempt}-{piece}") as out:
                 out.write(data)
-            store.move(f"{root}/_tmp-{attempt}-{piece}", name)
+            store.move(f"{root}/_tmp/{attempt}-{piece}", name)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "piece": pa.array([piece], pa.int32()), "n_docs": [len(keys)], "n_tokens": [held], "n_bytes": [len(data)]})
 
         for batch in batches:
@@ -222,10 +248,11 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, id_
             yield flush()
 
     store, root = store_of(folder)
-    store.create_dir(root, recursive=True)
+    store.create_dir(f"{root}/_tmp", recursive=True)
     rows = docs.select(F.col(id_column).cast("long").alias("k"), F.col(text_column).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
     ordered = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
     manifest = ordered.mapInArrow(write, MANIFEST).collect()  # a row a file
+    store.delete_dir(f"{root}/_tmp")  # what failed attempts left
     return sorted(manifest, key=lambda r: (r["part"], r["piece"]))
 
 

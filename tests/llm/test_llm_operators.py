@@ -497,13 +497,16 @@ def test_small_buckets_settle_all_likely_pairs(spark, docs):
     assert by_operator(N, docs(rows)) == by_likely_pairs(N, docs(rows))
 
 
-def test_text_with_more_pieces_than_the_warm_cache(monkeypatch):
+def test_texts_with_more_pieces_than_the_cache(monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
     from quarterdeck.llm import token_store as S
 
-    monkeypatch.setattr(S, "CACHE_PIECES", 8)
     path = public.path("word_bpe_49k.json")
-    t, encoder = tokenizers.Tokenizer.from_file(path), S.CachedEncoder(path)
-    for text in ("one two three", "one two " + " ".join(WORDS), "one two", " ".join(WORDS) + " one"):
-        assert encoder.encode(text.encode(), 1).tolist() == t.encode(text, add_special_tokens=False).ids + [1]
+    t = tokenizers.Tokenizer.from_file(path)
+    for limit in (64, 1_500, 16_000, 64 << 20):
+        monkeypatch.setattr(S, "CACHE_BYTES", limit)
+        encoder = S.CachedEncoder(path)
+        for text in ("one two three", "one two " + " ".join(WORDS), "one two", "A" * 3000 + " b!? " + "!" * 3000, " ".join(WORDS) + " one,"):
+            assert encoder.encode(text.encode(), 1).tolist() == t.encode(text, add_special_tokens=False).ids + [1]
+            assert encoder.pieces.size <= limit and len(encoder.pieces.old) * S.ENTRY_BYTES <= limit
