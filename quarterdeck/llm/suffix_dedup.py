@@ -33,7 +33,7 @@ HELD = 24 << 20
 #: Bits of the tables of hashes to look at again, which spare the rows of the others; they never lose one.
 SLOT_BITS = 27
 #: Different phrases of a trigger up to which they are sorted together, and bytes of the phrases of a suffix array.
-HOT_KINDS, BLOCK = 4096, 4 << 20
+HOT_KINDS, BLOCK = 1024, 4 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x5851F42D4C957F2D
 _BYTE = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -321,8 +321,10 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     where = F.struct("key", "a")
     ranked = parsed.where(F.col("n") > 0).groupBy("h", "q").agg(F.sum("n").alias("total"), F.min(where).alias("at"))
     ranked = written(ranked.select("h", "q", "total", "at.key", "at.a"), "pfp-phrases")
+    release(spark)
     kinds = ranked.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
     differ = written(ranked.join(kinds.hint("merge"), "h").select("h", "q", "total", "key", "a", (F.col("kinds") > HOT_KINDS).alias("hot")), "pfp-differ")
+    release(spark)
     often = ranked.where(F.col("total") > 1).select("h", "q")
     span = lambda df: df.select("key", F.col("a").alias("s"), (F.col("a") + F.col("size")).alias("e"))
     again = parsed.where(F.col("n") == 1).join(often.hint("merge"), ["h", "q"], "left_semi")
