@@ -1,8 +1,11 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified exactly.
 
 A text's set is its 5-word shingles (of lower-cased words without marks) weighted by count times inverse document
-frequency.  Frequencies are counted over all texts in 2**20 hashed buckets, as the hashing trick does, so that the
-table's size is fixed.  Each sample of a text keeps a shingle with probability proportional to its weight, and two
+frequency, 1 + log((texts + 1) / (texts with the shingle + 1)).  Shingles of less than RARE_SHARE of all texts weigh as
+those of that share: what half the corpus repeats counts less, but an edit of a copy doesn't count more than the words
+that it left.  Frequencies are counted over all texts in 2**20 hashed buckets, as the hashing trick does, so that the
+table's size is fixed; other shingles of its bucket add about (shingles a text) / 2**20 to a shingle's share at any
+size of the corpus, far below RARE_SHARE.  Each sample of a text keeps a shingle with probability proportional to its weight, and two
 texts agree on a sample with the probability of their weighted Jaccard similarity.
 
 Texts that share a band meet in a bucket.  A bucket of up to GROUP texts compares all signatures in memory and hands
@@ -23,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, pieces, text_buffers, written
+from .common import mix64, only_slots, pieces, release, text_buffers, written
 from .decontamination import normal_words
 
 SHINGLE = 5
@@ -36,9 +39,9 @@ SAMPLES = BANDS * ROWS
 SIMILARITY = 0.8
 #: Least share of equal samples of a pair to verify: five standard deviations below the threshold.
 LIKELY = 0.55
-#: Of the inverse frequency's logarithm in a weight.  In a large group of near copies what they share is frequent and
-#: each edit is rare, so that at full strength copies that share 19 of 20 shingles would count as different.
-IDF_STRENGTH = 0.05
+#: Share of texts below which shingles are all equally rare.  Without it, each edit in a group of near copies would weigh
+#: several times what the copies share, the more the larger the group is, and copies of 19 equal shingles in 20 would differ.
+RARE_SHARE = 1 / 16
 GROUP = 400
 #: Likely pairs of a class that a unit hands on, by round; the last round hands on all.
 ROUNDS = (4, 64, None)
@@ -141,21 +144,27 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     seen, n = document_frequencies(docs)
-    return (1 + IDF_STRENGTH * np.log((n + 1.0) / (np.minimum(seen, n) + 1.0))).astype(np.float32)  # a shingle of every text still counts
+    share = (np.minimum(seen, n) + 1.0) / (n + 1.0)
+    return (1 - np.log(np.maximum(share, RARE_SHARE))).astype(np.float32)  # a shingle of every text still counts
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, nd_text: 16 bytes that stand for the text, none for a null."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", text.alias("text"), F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("nd_text"))
 
 
 def signed(docs: DataFrame, sampler) -> DataFrame:
-    """The rows of docs with nd_bands (array<long>, null without words) and nd_sig (16 bits of each sample)."""
-    fields, at = docs.schema.fields, docs.columns.index("text")
-    schema = T.StructType([*fields, T.StructField("nd_bands", T.ArrayType(T.LongType())), T.StructField("nd_sig", T.BinaryType())])
+    """doc_id, nd_text, nd_bands (array<long>, null without words) and nd_sig (16 bits of each sample) of every row."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("nd_text", T.BinaryType()), T.StructField("nd_bands", T.ArrayType(T.LongType())), T.StructField("nd_sig", T.BinaryType())])
 
     def run(batches):
         sample = sampler.value
         for batch in batches:
-            _, offsets = text_buffers(batch.column(at))
+            _, offsets = text_buffers(batch.column(1))
             bands, sigs = [], []
             for i, j in pieces(offsets, 1 << 20):
-                found = [_SHINGLER(t) for t in batch.column(at).slice(i, j - i).to_pylist()]
+                found = [_SHINGLER(t) for t in batch.column(1).slice(i, j - i).to_pylist()]
                 sizes = np.array([len(h) for h, _ in found])
                 full = np.flatnonzero(sizes)
                 own: list = [None] * len(found)
@@ -172,10 +181,30 @@ def signed(docs: DataFrame, sampler) -> DataFrame:
                         own[k], sig[k] = keys[row].astype(np.int64).tolist(), short[row].tobytes()
                 bands += own
                 sigs += sig
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=schema.names)
         _SHINGLER.cache.clear()
 
-    return docs.mapInArrow(run, schema)
+    return _keyed(docs).mapInArrow(run, schema)
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of nodes (nd_text, node): only their texts are shuffled, an often repeated one once a task."""
+
+    def first(batches):
+        seen: set = set()
+        for batch in batches:
+            fresh = []
+            for key in batch.column(0).to_pylist():
+                fresh.append(key not in seen)
+                seen.add(key)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    h = F.xxhash64("nd_text").alias("h")
+    likely = only_slots(_keyed(docs).where(F.length("nd_text") > 0).select("nd_text", "text", h), nodes.select(h))
+    once = likely.mapInArrow(first, likely.schema).groupBy("nd_text").agg(F.first("text").alias("text"))
+    return once.join(nodes.hint("merge"), "nd_text").select("node", "text")
 
 
 def _near(ids: np.ndarray, sig: np.ndarray, pairs: set) -> None:
@@ -323,8 +352,10 @@ def _verified(links: DataFrame, texts: DataFrame, sampler) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
         _SHINGLER.cache.clear()
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    ends = links.select(F.xxhash64("a").alias("h")).unionByName(links.select(F.xxhash64("b").alias("h")))
+    some = only_slots(texts.select("node", "text", F.xxhash64("node").alias("h")), ends)
+    left = some.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    right = some.select(F.col("node").alias("b"), F.col("text").alias("y"))
     joined = links.hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
@@ -336,44 +367,53 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
     label = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), f"{name}-labels")
+    old = label
     while True:
         spread = both.join(label.withColumnsRenamed({"node": "b", "label": "other"}).hint("merge"), "b").groupBy("a").agg(F.min("other").alias("other"))
         lower = label.join(spread.withColumnRenamed("a", "node").hint("merge"), "node").select("node", "label", F.least("label", "other").alias("next"))
         jump = label.select(F.col("node").alias("next"), F.col("label").alias("far"))
         new = written(lower.join(jump.hint("merge"), "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")), f"{name}-labels")
-        label = new.select("node", "label")
+        release(links.sparkSession, old)
+        label, old = new.select("node", "label"), new
         if not new.where("moved").head(1):
+            release(links.sparkSession, both)
+            label.quarterdeck_path = new.quarterdeck_path
             return label
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs (text, doc_id, any others) with nd_row, nd_label and nd_first.
+    """doc_id, nd_text, nd_row (a number of the row), nd_label (the same for all rows of a class), one row a document.
 
-    nd_label is the least row number of the class; nd_first marks that row.  Texts without words (null, empty, marks
-    only) are near nothing and are classes of one; equal texts are one class; a text of under 5 words is one shingle.
+    Texts without words (null, empty, marks only) are near nothing and are classes of one; equal texts are one class; a
+    text of under 5 words is one shingle.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    idf = inverse_frequencies(docs)
-    sampler = spark.sparkContext.broadcast(Sampler(idf))
-    rows = written(signed(docs, sampler).withColumn("nd_row", F.monotonically_increasing_id()).withColumn("nd_text", F.md5(F.col("text").cast("binary"))), "nd-rows")
+    sampler = spark.sparkContext.broadcast(Sampler(inverse_frequencies(docs)))
+    rows = written(signed(docs, sampler).withColumn("nd_row", F.monotonically_increasing_id()), "nd-rows")
+    release(spark)
     some = rows.where(F.col("nd_bands").isNotNull())
     nodes = written(some.groupBy("nd_text").agg(F.min("nd_row").alias("node")), "nd-nodes")
     firsts = written(some.select("nd_row", "nd_bands", "nd_sig").join(nodes.select(F.col("node").alias("nd_row")).hint("merge"), "nd_row", "left_semi").withColumnRenamed("nd_row", "node"), "nd-firsts")
+    release(spark)
     sigs = firsts.select("node", "nd_sig")
     place = firsts.select("node", F.posexplode("nd_bands").alias("band", "v"))
-    texts = some.select(F.col("nd_row").alias("node"), F.col("text").cast("string").alias("text"))
-    held, tested, members, met, turn = [], [], place, None, 0
+    old, held, tested, members, met, texts, turn = [], [], [], place, None, None, 0
     while True:
         order = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
         buckets = members.groupBy("band", "v").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where(F.col("n") > 1).select("band", "v", "n", F.col("first.node").alias("leader"))
         members = written(members.join(buckets.hint("merge"), ["band", "v"]), "nd-members")
-        met = members if met is None else met
+        if met is None:
+            met = members
+            texts = written(_texts(docs, nodes.join(met.select("node").distinct().hint("merge"), "node", "left_semi")), "nd-texts")
+        release(spark, *old)
+        old = [] if members is met else [members]
         small, large = members.where(F.col("n") <= GROUP), members.where(F.col("n") > GROUP)
         near = _bucket_links(small.join(sigs.hint("merge"), "node"))
         starred = large.where(F.col("node") != F.col("leader"))
         star = starred.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        links = _verified(written(near.unionByName(star).distinct(), "nd-links"), texts, sampler)
-        checked = written(links, "nd-checked")
+        pairs = written(near.unionByName(star).distinct(), "nd-links")
+        checked = written(_verified(pairs, texts, sampler), "nd-checked")
+        release(spark, pairs)
         tested.append(checked.select("a", "b"))
         held.append(checked.where(F.col("similarity") >= similarity).select("a", "b"))
         if not large.head(1):
@@ -384,34 +424,60 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
             parts = F.ceil(F.col("n") / (0.75 * GROUP))
             again = again.withColumn("v", F.xxhash64("v", F.pmod(F.xxhash64("node", "band", F.lit(turn)), parts)))
         members = written(again.select("node", "band", "v"), "nd-again")
+        old.append(members)
         turn += 1
         if not members.head(1):
             break
     labels = components(reduce(DataFrame.unionByName, held), "nd")
-    met = met.where(F.col("n") > 2)  # a bucket of two is settled
-    for most in ROUNDS if met.head(1) else ():
-        pairs = written(_unsettled(met, sigs, labels, most), "nd-unsettled")
+    release(spark, *old)
+    some_met = met.where(F.col("n") > 2)  # a bucket of two is settled
+    for most in ROUNDS if some_met.head(1) else ():
+        pairs = written(_unsettled(some_met, sigs, labels, most), "nd-unsettled")
+        release(spark)
         new = written(pairs.where(F.col("a") >= 0).join(reduce(DataFrame.unionByName, tested).hint("merge"), ["a", "b"], "left_anti"), "nd-links")
+        more = bool(pairs.where(F.col("a") < 0).head(1))
         if new.head(1):
             checked = written(_verified(new, texts, sampler), "nd-checked")
+            release(spark, pairs, new, labels)
             tested.append(checked.select("a", "b"))
             held.append(checked.where(F.col("similarity") >= similarity).select("a", "b"))
             labels = components(reduce(DataFrame.unionByName, held), "nd")
-        if not pairs.where(F.col("a") < 0).head(1):
+            release(spark)
+        else:
+            release(spark, pairs, new)
+        if not more:
             break
     by_text = nodes.join(labels.hint("merge"), "node", "left").select("nd_text", F.coalesce("label", "node").alias("nd_label"))
-    out = rows.drop("nd_bands", "nd_sig")
-    joined = out.join(by_text.hint("merge"), "nd_text", "left").drop("nd_text").withColumn("nd_label", F.coalesce("nd_label", "nd_row"))
-    return joined.withColumn("nd_first", F.col("nd_label") == F.col("nd_row"))
+    joined = rows.select("doc_id", "nd_text", "nd_row", F.col("nd_bands").isNotNull().alias("words")).join(by_text.hint("merge"), "nd_text", "left")
+    out = written(joined.select("doc_id", "nd_text", "nd_row", F.when(F.col("words"), F.col("nd_label")).otherwise(F.col("nd_row")).alias("nd_label")), "nd-classes")
+    release(spark, rows, nodes, firsts, met, texts, labels)
+    return out
+
+
+def _heads(found: DataFrame) -> DataFrame:
+    """nd_label, nd_first: of each class its row of the least doc_id (null last), then text, then number."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "nd_text", "nd_row"))
+    return found.groupBy("nd_label").agg(first.alias("nd_first"))
 
 
 def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, class_id (the doc_id of the class's first row), kept (true for that row), one row a document."""
-    found = classes(docs.select("doc_id", "text"), **options).select("doc_id", "nd_row", "nd_label", "nd_first")
-    heads = found.where("nd_first").select(F.col("nd_row").alias("nd_label"), F.col("doc_id").alias("class_id"))
-    return found.join(heads.hint("merge"), "nd_label").select("doc_id", "class_id", F.col("nd_first").alias("kept"))
+    """doc_id, class_id (the least doc_id of the class), kept (true for one row of the class), one row a document."""
+    found = classes(docs, **options)
+    return found.join(_heads(found).hint("merge"), "nd_label").select("doc_id", F.col("nd_first.doc_id").alias("class_id"), (F.col("nd_first.nd_row") == F.col("nd_row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The first row of each class, with the columns of docs."""
-    return classes(docs, **options).where("nd_first").select(*docs.columns)
+    """One row of each class, that of the least doc_id, with the columns of docs.
+
+    Texts are shuffled once, by id and text together, so that copies of a text are spread over the tasks.
+    """
+    found = classes(docs, **options)
+    ident = lambda text: [F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")).alias("\x01id"), text.alias("\x01text")]
+    rest = [f.name for f in docs.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType)) and f.name not in ("doc_id", "text")]
+    heads = _heads(found).select(F.col("nd_first.doc_id").alias("doc_id"), F.col("nd_first.nd_text").alias("nd_text"))
+    heads = written(heads.select(*ident(F.col("nd_text"))).groupBy("\x01id", "\x01text").agg(F.count(F.lit(1)).alias("\x01n")), "nd-heads")
+    release(docs.sparkSession, found)
+    key = F.coalesce(F.unhex(F.md5(F.col("text").cast("string").cast("binary"))), F.lit(b""))
+    mine = docs.select("*", *ident(key)).join(heads.hint("merge"), ["\x01id", "\x01text"])
+    turn = F.row_number().over(Window.partitionBy("\x01id", "\x01text").orderBy(F.xxhash64(*rest) if rest else F.lit(0)))
+    return mine.withColumn("\x01turn", turn).where(F.col("\x01turn") <= F.col("\x01n")).select(*docs.columns)

@@ -431,7 +431,8 @@ def by_likely_pairs(N, d):
     """The classes by brute force: all pairs that share a band, by estimate and then by exact similarity."""
     sampler = N.Sampler(N.inverse_frequencies(d))
     rows = [r for r in N.signed(d, type("Held", (), {"value": sampler})()).collect() if r.nd_bands]
-    sets = [dict(zip(*(x.tolist() for x in N._SHINGLER(r.text)))) for r in rows]
+    text = {r.doc_id: r.text for r in d.collect()}
+    sets = [dict(zip(*(x.tolist() for x in N._SHINGLER(text[r.doc_id])))) for r in rows]
     weight = [dict(zip(s, sampler.weights(np.array(list(s), np.uint64), np.array(list(s.values()))).tolist())) for s in sets]
     sig = np.stack([np.frombuffer(r.nd_sig, "<u2") for r in rows])
     root = list(range(len(rows)))
