@@ -1,8 +1,9 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
 Trained in numpy by backpropagation through time on short windows of labelled texts; every position of a text is
-labelled from the states of both directions, and a document's probability is the mean over its positions.  States
-start anew every WINDOW bytes, so that a long text is many lanes of one step-by-step pass.
+labelled from the states of both directions, and a document's probability is the mean over its positions.  A long text
+is many lanes of one step-by-step pass: a lane labels WINDOW bytes, and each direction first reads the WARM bytes
+before it, so that its states are carried over the lanes' bounds.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from .common import fold, pieces, text_buffers
 
 HIDDEN = 8
-WINDOW = 256
+WINDOW, WARM = 512, 48
 #: Labelled documents a language that the network is trained on, about.
 FIT_DOCS = 1500
 TRAIN_BYTES, BATCH, STEPS, RATE = 64, 256, 260, 0.02
@@ -68,33 +69,46 @@ class LanguageModel:
             first = offsets[i:j][owner] + within * WINDOW
             size = np.minimum(WINDOW, offsets[i + 1 : j + 1][owner] - first)
             order = np.argsort(-size, kind="stable")
-            for part in np.array_split(order, max(1, -(-len(order) // 4096))):
+            before = np.where(within > 0, WARM, 0)
+            after = np.minimum(WARM, offsets[i + 1 : j + 1][owner] - first - size)
+            for part in np.array_split(order, max(1, -(-len(order) // 2048))):
                 if len(part):
-                    sums = self._lanes(data, first[part], size[part])
+                    sums = self._lanes(data, first[part], size[part], before[part], after[part])
                     np.add.at(total, i + owner[part], sums)
         return total / np.maximum(np.diff(offsets), 1)[:, None]
 
-    def _lanes(self, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _warm(self, d: Direction, data: np.ndarray, start: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+        """States after n bytes from start on, by lane; lanes with fewer bytes begin later."""
+        h = np.zeros((len(n), d.state.shape[0]), np.float32)
+        most = int(n.max(initial=0))
+        for t in range(most):
+            on = np.flatnonzero(n >= most - t)
+            h[on] = d.step(data[start[on] + step * (t - most + n[on])], h[on])
+        return h
+
+    def _lanes(self, data: np.ndarray, first: np.ndarray, size: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Sums of position probabilities; lanes are ordered by falling size."""
         steps, lanes, hidden = int(size[0]), len(size), self.forward.state.shape[0]
         active = np.searchsorted(-size, -np.arange(steps), side="left")  # lanes longer than t
         logits = np.empty((steps, lanes, len(self.languages)), np.float32)
-        h = np.zeros((lanes, hidden), np.float32)
+        h = self._warm(self.forward, data, first - before, before, 1)
         for t in range(steps):
             a = active[t]
             h = self.forward.step(data[first[:a] + t], h[:a])
             logits[t, :a] = h @ self.out[:hidden]
         sums = np.zeros((lanes, len(self.languages)), np.float32)
-        h = np.zeros((0, hidden), np.float32)
+        begin = self._warm(self.backward, data, first + size + after - 1, after, -1)
+        h = begin[:0]
         for t in range(steps - 1, -1, -1):
             a = active[t]
             if a > len(h):
-                h = np.concatenate([h, np.zeros((a - len(h), hidden), np.float32)])
+                h = np.concatenate([h, begin[len(h) : a]])
             h = self.backward.step(data[first[:a] + t], h)
             p = logits[t, :a]
             p += h @ self.out[hidden:]
             p += self.bias
-            np.exp(p, out=p)  # the logits are small: weights are kept small in training
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
             sums[:a] += p / p.sum(axis=1, keepdims=True)
         return sums
 
