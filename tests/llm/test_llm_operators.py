@@ -200,6 +200,48 @@ def test_language_id(spark, docs):
     assert identify(docs([]), model).count() == 0 and identify(docs([(1, "x")]), train(docs([]))).count() == 1
 
 
+def test_recurrent_network_by_brute_force():
+    """Every position by plain recursions over the whole text, the gradient by differences, and weights at their bounds."""
+    from quarterdeck.llm import language_id as L
+
+    rng = np.random.default_rng(4)
+    k, langs = 3, ["a", "b", "c"]
+    make = lambda *shape: (rng.standard_normal(shape) * 0.4).astype(np.float32)
+    model = L.LanguageModel(langs, L.Direction(make(256, 3 * k), make(k, 3 * k)), L.Direction(make(256, 3 * k), make(k, 3 * k)), make(2 * k, 3), make(3))
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (1, 5, 511, 512, 513, 700, 1600)] + [b""]
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+
+    def states(d, x):
+        h, out, sig = np.zeros(k), [], lambda v: 1 / (1 + np.exp(-2 * v))
+        for byte in x:
+            a, u = d.table[byte].astype(float), h @ d.state.astype(float)
+            z, r = sig(a[:k] + u[:k]), sig(a[k : 2 * k] + u[k : 2 * k])
+            n = np.tanh(a[2 * k :] + r * u[2 * k :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return np.array(out)
+
+    got = model.documents(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for t, p in zip(texts, got):
+        if t:
+            logits = np.concatenate([states(model.forward, t), states(model.backward, t[::-1])[::-1]], axis=1) @ model.out + model.bias
+            e = np.exp(logits - logits.max(axis=1, keepdims=True))
+            assert np.allclose(p, (e / e.sum(axis=1, keepdims=True)).mean(axis=0), atol=2e-3)
+    d, x = L.Direction(make(256, 3 * k).astype(float), make(k, 3 * k).astype(float)), rng.integers(97, 100, (6, 2))
+    weight = rng.standard_normal((6, 2, k))
+    loss = lambda: float((L._run(d, x)[0] * weight).sum())
+    table, state = L._back(d, x, L._run(d, x)[1], weight)
+    for array, gradient, at in ((d.table, table, (98, 1)), (d.table, table, (99, 5)), (d.table, table, (97, 8)), (d.state, state, (0, 2)), (d.state, state, (2, 4)), (d.state, state, (1, 7))):
+        kept, values = array[at], []
+        for step in (1e-3, -1e-3):
+            array[at] = kept + step
+            values.append(loss())
+        array[at] = kept
+        assert abs((values[0] - values[1]) / 2e-3 - gradient[at]) < 2e-3
+    top = L.LanguageModel(langs, L.Direction(np.full((256, 24), 6, np.float32), np.full((8, 24), 6, np.float32)), L.Direction(np.full((256, 24), 6, np.float32), np.full((8, 24), 6, np.float32)), np.tile(np.array([6, -6, 6], np.float32), (16, 1)), np.full(3, 6, np.float32))
+    assert np.isfinite(top.documents(np.frombuffer(b"".join(texts), np.uint8), offsets)).all()
+
+
 def brute_spans(texts, length=200):
     c = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
@@ -340,6 +382,24 @@ def test_context_tree_mixes_all_depths():
     assert abs(p[state, ord("a")] / float(want) - 1) < 1e-4
 
 
+def test_context_tree_of_a_huge_corpus_is_finite():
+    from quarterdeck.llm.lm_scoring import build_tree, least_share
+
+    rng = np.random.default_rng(3)
+    leaves = np.unique(rng.integers(97, 123, (400, 3)), axis=0)  # contexts of three bytes and their next bytes
+    for scale in (1e3, 1e9, 1e12, 1e14):
+        cells = collections.Counter()
+        for k, (a, b, c) in enumerate(leaves.tolist()):
+            for d, key in ((0, 0), (1, c), (2, b << 8 | c), (3, a << 16 | b << 8 | c)):
+                for byte in (97 + k % 26, 97 + k % 7, 32):
+                    cells[d << 48 | key, byte] += int(scale / len(leaves) * (1 + k % 5))
+        keys = np.unique([k for k, _ in cells])
+        tree = build_tree(keys, np.array([k for k, _ in cells]), np.array([b for _, b in cells]), np.array([*cells.values()]), 3)
+        p = 10.0 ** tree.log10.astype(np.float64).reshape(len(keys), 256)
+        assert np.isfinite(tree.log10).all() and np.allclose(p.sum(axis=1), 1, atol=1e-3)
+    assert [round(-math.log2(least_share(n)), 1) for n in (0, 1 << 20, 1 << 28, 1 << 36, 1 << 50)] == [16, 16, 17, 19, 19]
+
+
 def test_near_duplicates(spark, docs):
     from quarterdeck.llm.near_duplicates import keep_one, near_duplicate_classes
 
