@@ -81,11 +81,48 @@ def test_mixing_meets_targets(spark, docs):
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in out.collect())
     assert words == sum(r.taken for r in got)
     assert targets([10, 10, 10], [5, 2, 1], 1.5, 2.0) == [20.0, 45 * 0 + 25 * 2 / 3, 25 / 3]
-    tree = splitting_tree([7, 100, 0, 3], 5, 1)
+    tree = splitting_tree([7, 100, 0, 3], [1] * 5, 1)
     assert tree.sum(axis=0).tolist() == [7, 100, 0, 3] and tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 3
     assert mix_counts(docs([])).count() == 0 and mix(docs([])).count() == 0
 
 
+def test_mixing_by_brute_force(spark, docs, monkeypatch):
+    """What the dealt units give, over shards, by plain loops over the plan's own permutation."""
+    from quarterdeck.llm import mixing as M
+
+    rows = [(i, prose(i, 3 + i % 30), "en", f"s{i % 3}") for i in range(700)] + [(9000 + i, None, "en", "s1") for i in range(3)] + [(5, "dup x", "en", "s2")] * 3
+    d = docs(rows)
+    monkeypatch.setattr(M, "GROUPS", 4)
+    plan = M.mix_plan(d, shard_words=900).collect()
+    sized = {(r["mix\x01id"], bytes(r["mix\x01text"]), k): r for k, r in enumerate(M._sized(d, 7).collect())}
+    by = collections.defaultdict(list)
+    for r in sized.values():
+        by[r["source"]].append(r)
+    want = collections.Counter()
+    sizes = [sum(r["mix_size"] for r in by[s]) for s in sorted(by)]
+    for source, target, size in zip(sorted(by), M.targets(sizes, M.WEIGHTS, 1.5, 2.0), sizes):
+        blocks = max(1, math.ceil(len(by[source]) / M.BLOCK_DOCS))
+        left = int(target) % size
+        for r in sorted(by[source], key=lambda r: (int(((r["mix_h"] & (2**64 - 1)) >> 11) / 2.0**53 * blocks), r["mix_h"], r["mix_g"], r["doc_id"])):
+            last = min(r["mix_size"], left)
+            left -= last
+            want[r["doc_id"], r["mix_size"], int(target) // size * r["mix_size"] + last] += 1
+    assert collections.Counter((r["doc_id"], r["mix_size"], r["mix_taken"]) for r in plan) == want
+    shards = collections.Counter()
+    for r in plan:
+        for x in r["mix_draws"]:
+            shards[x["shard"]] += x["words"]
+    total = sum(shards.values())
+    assert len(shards) == math.ceil(total / 900) or len(shards) >= 5
+    assert max(shards.values()) < 6 * total / len(shards)
+    text = collections.Counter((r.doc_id, r.text) for r in M.mix(d, shard_words=900).collect())
+    whole = {r[0]: r[1] for r in rows}
+    assert all(t is None or whole[k].startswith(t) for k, t in text)
+    assert sum(n * len((t or "").split()) for (_, t), n in text.items()) == total
+    tree = M.splitting_tree([30, 70], [3, 1, 2], 1)
+    assert tree.sum(axis=0).tolist() == [30, 70] and tree.sum(axis=1).tolist() == [50, 16, 34]
+
+
 def labelled(n):
     """Good prose, and bad texts of shouting or bars, with labels."""
     rows, labels = [], []
