@@ -33,7 +33,7 @@ HELD = 24 << 20
 #: Bits of the tables of hashes to look at again, which spare the rows of the others; they never lose one.
 SLOT_BITS = 27
 #: Different phrases of a trigger up to which they are sorted together, and bytes of the phrases of a suffix array.
-HOT_KINDS, BLOCK = 1024, 4 << 20
+HOT_KINDS, BLOCK = 4096, 4 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x5851F42D4C957F2D
 _BYTE = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,15 +172,15 @@ def _parse(docs: DataFrame, slots, length: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "h long, q long, n long, key binary, a long, size long")
 
 
-def _dictionary(docs: DataFrame, slots, length: int) -> DataFrame:
-    """(h, q, phrase): the bytes of the phrases in slots, once a run of text."""
+def _dictionary(docs: DataFrame, slots, hot, length: int) -> DataFrame:
+    """(h, q, phrase, hot): the bytes of the phrases in slots, once a run of text, and whether their trigger is hot."""
 
     def run(batches):
         for h, q, _, _, _, order, first, _, piece in _held(batches, length, lambda h, q: _in(slots.value, _pair(h, q))):
             one = order[first]
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h[one].view(np.int64)), "q": pa.array(q[one].view(np.int64)), "phrase": pa.array([piece(i) for i in one], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[one].view(np.int64)), "q": pa.array(q[one].view(np.int64)), "phrase": pa.array([piece(i) for i in one], pa.binary()), "hot": pa.array(_in(hot.value, h[one]) if hot else np.zeros(len(one), bool))})
 
-    return docs.select("key", "text").mapInArrow(run, "h long, q long, phrase binary")
+    return docs.select("key", "text").mapInArrow(run, "h long, q long, phrase binary, hot boolean")
 
 
 def _pair(h: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -252,7 +252,7 @@ def _sorted_dictionary(phrases_: DataFrame, length: int) -> DataFrame:
         if hs:
             yield found(len(hs))
 
-    return phrases_.repartition("h").sortWithinPartitions("h", "q").mapInArrow(run, "h long, q long, s int, e int")
+    return phrases_.select("h", "q", "phrase").repartition("h").sortWithinPartitions("h", "q").mapInArrow(run, "h long, q long, s int, e int")
 
 
 def _hot_suffixes(rows: DataFrame, length: int, cells, windows) -> DataFrame:
@@ -332,12 +332,11 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     release(spark, parsed, ranked)
     wanted = shared(differ.select("h", "q").mapInArrow(_pairs, "h long"))
     heat = differ.where("hot").select("h")
-    any_hot = bool(heat.head(1))
-    dictionary = _dictionary(texts, wanted, length)
-    if any_hot:
-        dictionary = written(dictionary.join(differ.select("h", "q", "hot").hint("merge"), ["h", "q"]), "pfp-dictionary")
-        part = _sorted_dictionary(dictionary.where(~F.col("hot")).select("h", "q", "phrase"), length)
-        part = part.unionByName(_hot_shared(dictionary.where("hot"), length, shared))
+    heat = shared(heat) if heat.head(1) else None  # a trigger is hot for all its phrases, so another in its slot loses nothing
+    dictionary = _dictionary(texts, wanted, heat, length)
+    if heat:
+        dictionary = written(dictionary, "pfp-dictionary")
+        part = _sorted_dictionary(dictionary.where(~F.col("hot")), length).unionByName(_hot_shared(dictionary.where("hot"), length, shared))
     else:
         part = _sorted_dictionary(dictionary, length)
     single = differ.where(F.col("total") == 1).select("h", "q", "key", "a")
@@ -345,7 +344,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     spans = whole.unionByName(part).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     spans = written(spans, "pfp-spans")
     wanted.unpersist()
-    release(spark, whole, differ, *([dictionary] if any_hot else []))
+    release(spark, whole, differ, *([dictionary] if heat else []))
     return spans
 
 
