@@ -15,7 +15,8 @@ band.  Links are verified on whole texts, and classes are the connected componen
 
 Those links only join most copies cheaply.  After them, all likely pairs of a bucket's texts that are in
 different classes are verified: first the best few of each class, which join further classes, and at last every pair
-that is left.  A large bucket meets in pairs of parts; texts of its largest class don't meet one another.
+that is left.  A large bucket meets in pairs of parts; texts of its largest class don't meet one another.  A pair is
+left out only where its estimate is under LIKELY or where the shingles that no other text has rule out the threshold.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, only_slots, pieces, release, text_buffers, written
+from .common import in_slots, mix64, only_slots, pieces, release, slots, text_buffers, written
 from .decontamination import normal_words
 
 SHINGLE = 5
@@ -45,6 +46,8 @@ RARE_SHARE = 1 / 16
 GROUP = 400
 #: Likely pairs of a class that a unit hands on, by round; the last round hands on all.
 ROUNDS = (4, 64, None)
+#: Bits of the table of shingles that several texts have.
+SLOT_BITS = 27
 BUCKETS = 1 << 20
 #: Word hashes that a worker keeps.
 CACHE_WORDS = 200_000
@@ -53,27 +56,34 @@ _POOL = 1 << 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+class WordHashes(dict):
+    """Word → 64-bit hash, taken when it is looked up; starts anew when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) < 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
 class Shingler:
     """Shingle hashes and counts of texts; holds a worker's cache of word hashes."""
 
     def __init__(self):
-        self.cache: dict[bytes, int] = {}
+        self.cache = WordHashes()
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = normal_words(text) if text else []
         if not words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        new = set(words).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = set(words)
-        for w in new:
-            self.cache[w] = xxhash.xxh64_intdigest(w)
         x = np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
         n = max(1, len(x) - SHINGLE + 1)  # a shorter text is one shingle
         h = np.zeros(n, np.uint64)
         for k in range(min(SHINGLE, len(x))):
-            h = h * _PRIME + x[k : k + n]
+            h *= _PRIME
+            h += x[k : k + n]
         return np.unique(mix64(h), return_counts=True)
 
 
@@ -263,8 +273,12 @@ def _bucket_links(members: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _apart(ids: np.ndarray, sig: np.ndarray, label: np.ndarray, part: np.ndarray, most: int | None) -> tuple[list, bool]:
-    """(likely pairs of different labels, and parts if there are two, the best of each label; whether there are more)."""
+def _apart(ids: np.ndarray, sig: np.ndarray, label: np.ndarray, part: np.ndarray, whole: np.ndarray, common: np.ndarray, most: int | None) -> tuple[list, bool]:
+    """(likely pairs of different labels, and parts if there are two, the best of each label; whether there are more).
+
+    whole: weight of each text; common: of its shingles that other texts have too.  No two texts have more in common
+    than the less of theirs, which bounds their similarity.
+    """
     across = bool((part != part[0]).any())
     left, right, near = [], [], []
     for i in range(len(ids) - 1):
@@ -272,6 +286,8 @@ def _apart(ids: np.ndarray, sig: np.ndarray, label: np.ndarray, part: np.ndarray
         if across:
             other &= part[i + 1 :] != part[i]
         j = np.flatnonzero(other) + i + 1
+        both = np.minimum(common[i], common[j])
+        j = j[both >= (SIMILARITY - 1e-6) * (whole[i] + whole[j] - both)]
         est = (sig[j] == sig[i]).mean(axis=1) if len(j) else np.zeros(0)
         j, est = j[est >= LIKELY], est[est >= LIKELY]
         left.append(np.full(len(j), i))
@@ -308,7 +324,7 @@ def _unsettled(met: DataFrame, sigs: DataFrame, labels: DataFrame, most: int | N
                         break
                     unit = rows[start:k]
                     if len(unit) > 1:
-                        found, more = _apart(np.array([r[4] for r in unit]), np.stack([np.frombuffer(r[7], "<u2") for r in unit]), np.array([r[5] for r in unit]), np.array([r[6] for r in unit]), most)
+                        found, more = _apart(np.array([r[4] for r in unit]), np.stack([np.frombuffer(r[7], "<u2") for r in unit]), *(np.array([r[k] for r in unit]) for k in (5, 6, 8, 9)), most)
                         pairs.update(found)
                         if more:
                             pairs.add((-1, -1))
@@ -331,11 +347,38 @@ def _unsettled(met: DataFrame, sigs: DataFrame, labels: DataFrame, most: int | N
     last = (F.col("label") == F.col("most")) & (F.col("tops") > 0)
     placed = here.join(buckets.hint("merge"), ["band", "v"]).withColumn("p", F.when(last, F.col("rest") + F.pmod(h, "tops")).otherwise(F.pmod(h, "rest")).cast("int"))
     others = F.sequence(F.lit(0), F.when(last, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1)
-    units = placed.join(sigs.hint("merge"), "node").withColumn("q", F.explode(others)).select("band", "v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "label", "p", "nd_sig")
+    units = placed.join(sigs.hint("merge"), "node").withColumn("q", F.explode(others)).select("band", "v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "label", "p", "nd_sig", "whole", "common")
     key = ["band", "v", "i", "j"]
     return units.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "a long, b long").distinct()
 
 
+def _weights(texts: DataFrame, sampler) -> DataFrame:
+    """(node, whole, common): the weight of each text, and at least that of its shingles that another text has too."""
+
+    def hashes(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                found = [_SHINGLER(t)[0] for t in batch.column(0).slice(i, 256).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(found).view(np.int64))})
+        _SHINGLER.cache.clear()
+
+    again = texts.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    held = texts.sparkSession.sparkContext.broadcast(slots(again, SLOT_BITS))
+
+    def weigh(batches):
+        sample = sampler.value
+        for batch in batches:
+            out = []
+            for t in batch.column(1):
+                h, n = _SHINGLER(t.as_py())
+                w = sample.weights(h, n).astype(np.float64)
+                out.append((float(w.sum()), float(w[in_slots(held.value, h, SLOT_BITS)].sum())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64())], names=["node", "whole", "common"])
+        _SHINGLER.cache.clear()
+
+    return texts.select("node", "text").mapInArrow(weigh, "node long, whole double, common double")
+
+
 def _verified(links: DataFrame, texts: DataFrame, sampler) -> DataFrame:
     """links (a, b) with their weighted Jaccard similarity on whole texts; texts: node, text."""
 
@@ -392,14 +435,14 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     rows = written(signed(docs, sampler).withColumn("nd_row", F.monotonically_increasing_id()), "nd-rows")
     release(spark)
     some = rows.where(F.col("nd_bands").isNotNull())
-    nodes = written(some.groupBy("nd_text").agg(F.min("nd_row").alias("node")), "nd-nodes")
-    firsts = written(some.select("nd_row", "nd_bands", "nd_sig").join(nodes.select(F.col("node").alias("nd_row")).hint("merge"), "nd_row", "left_semi").withColumnRenamed("nd_row", "node"), "nd-firsts")
+    nodes = written(some.groupBy("nd_text").agg(F.min("nd_row").alias("node"), F.count(F.lit(1)).alias("copies")), "nd-nodes")
+    firsts = written(some.select("nd_row", "nd_bands", "nd_sig").join(nodes.select(F.col("node").alias("nd_row"), "copies").hint("merge"), "nd_row").withColumnRenamed("nd_row", "node"), "nd-firsts")
     release(spark)
     sigs = firsts.select("node", "nd_sig")
-    place = firsts.select("node", F.posexplode("nd_bands").alias("band", "v"))
+    place = firsts.select("node", "copies", F.posexplode("nd_bands").alias("band", "v"))
     old, held, tested, members, met, texts, turn = [], [], [], place, None, None, 0
     while True:
-        order = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
+        order = F.struct((-F.col("copies")).alias("c"), F.xxhash64("node").alias("h"), F.col("node"))  # what others copy leads
         buckets = members.groupBy("band", "v").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where(F.col("n") > 1).select("band", "v", "n", F.col("first.node").alias("leader"))
         members = written(members.join(buckets.hint("merge"), ["band", "v"]), "nd-members")
         if met is None:
@@ -423,7 +466,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
         if turn:  # unlike two leaders: meet in random parts from now on, so that groups are small in a few turns
             parts = F.ceil(F.col("n") / (0.75 * GROUP))
             again = again.withColumn("v", F.xxhash64("v", F.pmod(F.xxhash64("node", "band", F.lit(turn)), parts)))
-        members = written(again.select("node", "band", "v"), "nd-again")
+        members = written(again.select("node", "copies", "band", "v"), "nd-again")
         old.append(members)
         turn += 1
         if not members.head(1):
@@ -431,7 +474,13 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     labels = components(reduce(DataFrame.unionByName, held), "nd")
     release(spark, *old)
     some_met = met.where(F.col("n") > 2)  # a bucket of two is settled
+    weights = None
     for most in ROUNDS if some_met.head(1) else ():
+        if weights is None:
+            crowd = some_met.select("node").distinct()
+            weights = written(_weights(texts.join(crowd.hint("merge"), "node", "left_semi"), sampler), "nd-weights")
+            sigs = sigs.join(weights.hint("merge"), "node")
+            release(spark)
         pairs = written(_unsettled(some_met, sigs, labels, most), "nd-unsettled")
         release(spark)
         new = written(pairs.where(F.col("a") >= 0).join(reduce(DataFrame.unionByName, tested).hint("merge"), ["a", "b"], "left_anti"), "nd-links")
@@ -450,7 +499,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     by_text = nodes.join(labels.hint("merge"), "node", "left").select("nd_text", F.coalesce("label", "node").alias("nd_label"))
     joined = rows.select("doc_id", "nd_text", "nd_row", F.col("nd_bands").isNotNull().alias("words")).join(by_text.hint("merge"), "nd_text", "left")
     out = written(joined.select("doc_id", "nd_text", "nd_row", F.when(F.col("words"), F.col("nd_label")).otherwise(F.col("nd_row")).alias("nd_label")), "nd-classes")
-    release(spark, rows, nodes, firsts, met, texts, labels)
+    release(spark, rows, nodes, firsts, met, texts, labels, *([weights] if weights else []))
     return out
 
 
