@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -91,7 +92,7 @@ def only_slots(df: DataFrame, hashes: DataFrame, bits: int = 24) -> DataFrame:
             h = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(in_slots(table.value, h, bits)))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(settled(run), schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +132,22 @@ def label_sample(labels_df: DataFrame, column: str, folds: int, held: int, fit_r
     return known
 
 
+def settled(run):
+    """A mapInArrow function that gives freed memory back at its end: a Python worker lives on for other stages."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return inner
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; null rows are empty."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

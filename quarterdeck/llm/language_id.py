@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, pieces, text_buffers
+from .common import fold, pieces, settled, text_buffers
 
 HIDDEN = 8
 WINDOW, WARM = 512, 48
@@ -207,7 +207,7 @@ def train(docs: DataFrame, *, folds: int = 3, held: int = 1, fit_docs: int = FIT
                     marks.append(mark)
             yield pa.RecordBatch.from_pydict({"w": pa.array(out, pa.binary()), "lang": pa.array(langs, pa.string()), "mark": pa.array(marks, pa.int64())})
 
-    rows = sample.select("text", "lang", "mark").mapInArrow(cut, "w binary, lang string, mark long").collect()  # about 3 * fit_docs a language, 64 bytes each
+    rows = sample.select("text", "lang", "mark").mapInArrow(settled(cut), "w binary, lang string, mark long").collect()  # about 3 * fit_docs a language, 64 bytes each
     rows.sort(key=lambda r: (r["mark"], bytes(r["w"])))
     languages = sorted(share)
     number = {x: i for i, x in enumerate(languages)}
@@ -233,4 +233,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             score = np.where(has, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), letters.alias("letters")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), letters.alias("letters")).mapInArrow(settled(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_slots, mix64, only_slots, pieces, release, slots, text_buffers, written
+from .common import in_slots, mix64, only_slots, pieces, release, settled, slots, text_buffers, written
 from .decontamination import normal_words
 
 SHINGLE = 5
@@ -146,7 +146,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total = np.sum([np.frombuffer(x, "<u8") for x in pdf["data"]], axis=0, dtype=np.uint64)
         return pd.DataFrame({"block": [key[0]], "n": [int(pdf["n"].sum())], "data": [total.astype("<u8").tobytes()]})
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "block int, salt int, n long, data binary")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(settled(count), "block int, salt int, n long, data binary")
     salted = parts.groupBy("block", "salt").applyInPandas(lambda key, pdf: add(key, pdf), "block int, n long, data binary")
     rows = salted.groupBy("block").applyInPandas(add, "block int, n long, data binary").orderBy("block").collect()  # 8 MB
     return np.concatenate([np.frombuffer(r["data"], "<u8") for r in rows]) if rows else np.zeros(BUCKETS, np.uint64), sum(r["n"] for r in rows)
@@ -194,7 +194,7 @@ def signed(docs: DataFrame, sampler) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=schema.names)
         _SHINGLER.cache.clear()
 
-    return _keyed(docs).mapInArrow(run, schema)
+    return _keyed(docs).mapInArrow(settled(run), schema)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     h = F.xxhash64("nd_text").alias("h")
     likely = only_slots(_keyed(docs).where(F.length("nd_text") > 0).select("nd_text", "text", h), nodes.select(h))
-    once = likely.mapInArrow(first, likely.schema).groupBy("nd_text").agg(F.first("text").alias("text"))
+    once = likely.mapInArrow(settled(first), likely.schema).groupBy("nd_text").agg(F.first("text").alias("text"))
     return once.join(nodes.hint("merge"), "nd_text").select("node", "text")
 
 
@@ -270,7 +270,7 @@ def _bucket_links(members: DataFrame) -> DataFrame:
         yield out(groups(held, True)[1])
 
     ordered = members.select("band", "v", "node", "nd_sig").repartition("band", "v").sortWithinPartitions("band", "v", "node")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(settled(run), "a long, b long").distinct()
 
 
 def _apart(ids: np.ndarray, sig: np.ndarray, label: np.ndarray, part: np.ndarray, whole: np.ndarray, common: np.ndarray, most: int | None) -> tuple[list, bool]:
@@ -349,7 +349,7 @@ def _unsettled(met: DataFrame, sigs: DataFrame, labels: DataFrame, most: int | N
     others = F.sequence(F.lit(0), F.when(last, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1)
     units = placed.join(sigs.hint("merge"), "node").withColumn("q", F.explode(others)).select("band", "v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "label", "p", "nd_sig", "whole", "common")
     key = ["band", "v", "i", "j"]
-    return units.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "a long, b long").distinct()
+    return units.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(settled(run), "a long, b long").distinct()
 
 
 def _weights(texts: DataFrame, sampler) -> DataFrame:
@@ -362,7 +362,7 @@ def _weights(texts: DataFrame, sampler) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(found).view(np.int64))})
         _SHINGLER.cache.clear()
 
-    again = texts.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    again = texts.select("text").mapInArrow(settled(hashes), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     held = texts.sparkSession.sparkContext.broadcast(slots(again, SLOT_BITS))
 
     def weigh(batches):
@@ -376,7 +376,7 @@ def _weights(texts: DataFrame, sampler) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64())], names=["node", "whole", "common"])
         _SHINGLER.cache.clear()
 
-    return texts.select("node", "text").mapInArrow(weigh, "node long, whole double, common double")
+    return texts.select("node", "text").mapInArrow(settled(weigh), "node long, whole double, common double")
 
 
 def _verified(links: DataFrame, texts: DataFrame, sampler) -> DataFrame:
@@ -400,7 +400,7 @@ def _verified(links: DataFrame, texts: DataFrame, sampler) -> DataFrame:
     left = some.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = some.select(F.col("node").alias("b"), F.col("text").alias("y"))
     joined = links.hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
+    return joined.select("a", "b", "x", "y").mapInArrow(settled(run), "a long, b long, similarity double")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import label_sample, text_buffers
+from .common import label_sample, settled, text_buffers
 
 FEATURES = ("log_words", "mean_word", "symbols", "upper", "digits", "marks", "distinct_words", "top_word", "dup_lines", "dup_line_bytes", "line_words", "repeat_steps", "bars", "bangs", "punct_ends", "high_bytes")
 #: Labelled rows that the model is fitted on, at most about this many (a hash of the id picks them).
@@ -137,7 +137,7 @@ def document_features(docs: DataFrame, *keep: str) -> DataFrame:
             flat = pa.array(np.array(rows, np.float32).reshape(-1))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES)), flat)], names=schema.names)
 
-    return docs.select(*keep, F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string")).mapInArrow(settled(run), schema)
 
 
 def train(docs: DataFrame, labels_df: DataFrame, *, folds: int = 4, held: int = 2, fit_rows: int = FIT_ROWS) -> AdditiveModel:
@@ -167,4 +167,4 @@ def classify(docs: DataFrame, model: AdditiveModel, *, threshold: float = 0.7, k
             score = model.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*fields, *names])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(settled(run), schema)

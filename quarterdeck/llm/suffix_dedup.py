@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slots, mix64, release, slots, text_buffers, written
+from .common import in_slots, mix64, release, settled, slots, text_buffers, written
 
 LENGTH = 200
 #: Window starts that the kernel takes at once.
@@ -112,7 +112,7 @@ def _triggers(docs: DataFrame, length: int) -> DataFrame:
             keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"h": pa.array(keys.view(np.int64)), "n": pa.array(n)})
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(settled(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def _parse(docs: DataFrame, slots, length: int) -> DataFrame:
                 none = pa.nulls(len(cut), pa.int64())
                 yield pa.RecordBatch.from_pydict({"h": none, "q": none, "n": pa.array(np.zeros(len(cut), np.int64)), "key": keys.take(pa.array(many[cut])), "a": pa.array(s[cut]), "size": pa.array(e[last] - s[cut])})
 
-    return docs.select("key", "text").mapInArrow(run, "h long, q long, n long, key binary, a long, size long")
+    return docs.select("key", "text").mapInArrow(settled(run), "h long, q long, n long, key binary, a long, size long")
 
 
 def _dictionary(docs: DataFrame, slots, hot, length: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _dictionary(docs: DataFrame, slots, hot, length: int) -> DataFrame:
             one = order[first]
             yield pa.RecordBatch.from_pydict({"h": pa.array(h[one].view(np.int64)), "q": pa.array(q[one].view(np.int64)), "phrase": pa.array([piece(i) for i in one], pa.binary()), "hot": pa.array(_in(hot.value, h[one]) if hot else np.zeros(len(one), bool))})
 
-    return docs.select("key", "text").mapInArrow(run, "h long, q long, phrase binary, hot boolean")
+    return docs.select("key", "text").mapInArrow(settled(run), "h long, q long, phrase binary, hot boolean")
 
 
 def _pair(h: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -252,7 +252,7 @@ def _sorted_dictionary(phrases_: DataFrame, length: int) -> DataFrame:
         if hs:
             yield found(len(hs))
 
-    return phrases_.select("h", "q", "phrase").repartition("h").sortWithinPartitions("h", "q").mapInArrow(run, "h long, q long, s int, e int")
+    return phrases_.select("h", "q", "phrase").repartition("h").sortWithinPartitions("h", "q").mapInArrow(settled(run), "h long, q long, s int, e int")
 
 
 def _hot_suffixes(rows: DataFrame, length: int, cells, windows) -> DataFrame:
@@ -297,7 +297,7 @@ def _hot_suffixes(rows: DataFrame, length: int, cells, windows) -> DataFrame:
                 hit = _in(windows.value, x)
                 yield pa.RecordBatch.from_pydict({"h": pa.array(h[i:j][owner[hit]].view(np.int64)), "w": pa.array(w[hit].view(np.int64)), "q": pa.array(q[i:j][owner[hit]].view(np.int64)), "at": pa.array(at[hit].astype(np.int32))})
 
-    return rows.select("h", "q", "phrase").mapInArrow(run, "h long" if windows is None else "h long, w long, q long, at int")
+    return rows.select("h", "q", "phrase").mapInArrow(settled(run), "h long" if windows is None else "h long, w long, q long, at int")
 
 
 def _repeated(hashes: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     again = parsed.where(F.col("n") == 1).join(often.hint("merge"), ["h", "q"], "left_semi")
     whole = written(span(parsed.where(F.col("n") == 0)).unionByName(span(again)), "pfp-whole")
     release(spark, parsed, ranked)
-    wanted = shared(differ.select("h", "q").mapInArrow(_pairs, "h long"))
+    wanted = shared(differ.select("h", "q").mapInArrow(settled(_pairs), "h long"))
     heat = differ.where("hot").select("h")
     heat = shared(heat) if heat.head(1) else None  # a trigger is hot for all its phrases, so another in its slot loses nothing
     dictionary = _dictionary(texts, wanted, heat, length)
@@ -405,4 +405,4 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = F
 
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     joined = texts.withColumn("key", F.unhex(F.md5("text"))).join(spans.hint("merge"), "key", "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "spans").mapInArrow(settled(run), schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, store_of, text_buffers
+from .common import fresh_path, settled, store_of, text_buffers
 
 BLOCK = 128
 #: Rank of the difference whose width a block takes: the 90th percentile.
@@ -251,7 +251,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, id_
     store.create_dir(f"{root}/_tmp", recursive=True)
     rows = docs.select(F.col(id_column).cast("long").alias("k"), F.col(text_column).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
     ordered = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
-    manifest = ordered.mapInArrow(write, MANIFEST).collect()  # a row a file
+    manifest = ordered.mapInArrow(settled(write), MANIFEST).collect()  # a row a file
     store.delete_dir(f"{root}/_tmp")  # what failed attempts left
     return sorted(manifest, key=lambda r: (r["part"], r["piece"]))
 
@@ -279,7 +279,7 @@ def read_token_shards(spark, folder: str, manifest: list, *, with_ids: bool = Fa
                 yield pa.RecordBatch.from_pydict(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.qpf").load(folder).select("path", "content")
-    return files.mapInArrow(read, schema)
+    return files.mapInArrow(settled(read), schema)
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:

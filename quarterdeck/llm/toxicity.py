@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import label_sample, text_buffers
+from .common import label_sample, settled, text_buffers
 
 #: Names that may stand for each other; the caller can give others.
 IDENTITY_TERMS = (
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels_df: DataFrame, *, folds: int = 5, held: int =
     size = known.groupBy("label").count().collect()
     n1 = sum(r["count"] for r in size if r["label"])
     n0 = sum(r["count"] for r in size) - n1
-    counts = texts.mapInArrow(count, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = texts.mapInArrow(settled(count), "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     lift = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
     chosen = counts.where((F.col("n1") >= min_docs) & (lift > 1.5)).withColumn("rank", lift * F.sqrt(F.col("n1").cast("double"))).orderBy(F.desc("rank"), "term").limit(max_terms).collect()
     other = {t.encode(): [u.encode() for u in kind if u != t] for kind in identity for t in kind}
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels_df: DataFrame, *, folds: int = 5, held: int =
 
     numbered = T.ArrayType(T.IntegerType())
     schema = T.StructType([texts.schema["doc_id"], texts.schema["label"], T.StructField("hits", numbered), T.StructField("swapped", T.ArrayType(numbered))])
-    rows = texts.mapInArrow(found, schema).groupBy("doc_id").agg(F.min(F.struct("label", "hits", "swapped")).alias("r")).orderBy("doc_id").select("r.*").collect()  # at most about fit_rows
+    rows = texts.mapInArrow(settled(found), schema).groupBy("doc_id").agg(F.min(F.struct("label", "hits", "swapped")).alias("r")).orderBy("doc_id").select("r.*").collect()  # at most about fit_rows
     hits, y = [list(r["hits"]) for r in rows], np.array([r["label"] for r in rows], float)
     swaps = [(sorted(set(r["hits"]) - set(c)), sorted(set(c) - set(r["hits"]))) for r in rows for c in r["swapped"]]
     w, b = fit(hits, y, len(names), swaps, penalty=penalty)
@@ -151,4 +151,4 @@ def classify(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5) -
             score = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(settled(run), schema)
