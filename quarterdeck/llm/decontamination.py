@@ -1,12 +1,13 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 The CGK walk reads a word, writes it, and moves on or stays by a random bit of (step, word): strings at a small edit
-distance become strings at a small Hamming distance, as the walks meet again after an edit.  A repetition samples a
-few places of the walk as a key.  Windows start at every STRIDE-th word of a text; items are embedded at every offset
+distance become strings at a small Hamming distance, as the walks meet again after an edit.  There are REPEATS walks,
+and each is sampled SAMPLINGS times: the symbols at SAMPLES places of the walk, one from each stretch of it, are a key.  Windows start at every STRIDE-th word of a text; items are embedded at every offset
 below the stride, so one of a passage's windows lines up with one of its item's whatever the passage's place.  A
 window's walk serves every window length, since a shorter window's walk is the start of a longer one's.
 
-Everything but the items stays where it is: texts are not shuffled.  Items come in blocks of bounded size.
+Everything but the items stays where it is: texts are read once and not shuffled.  Items lie in the shared folder in
+blocks of bounded size; a task holds the index of one block at a time and takes the texts in runs of RUN_BYTES.
 """
 
 from __future__ import annotations
@@ -18,14 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import pieces, text_buffers
+from .common import fresh_path, pieces, settled, store_of, text_buffers
 
 #: Items and characters of items in a block, which is what a task holds of the benchmark at once.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+RUN_BYTES = 32 << 20
 #: (fewest words of an item, stride); a window has the item's words less stride - 1, at most.
 GROUPS = ((24, 8), (8, 4), (1, 1))
-REPEATS, SAMPLES, MIN_SIMILARITY = 12, 5, 0.8
+REPEATS, SAMPLINGS, SAMPLES, MIN_SIMILARITY = 10, 5, 4, 0.8
+#: Windows that walk together.
+LANES = 1 << 14
 _MARKS = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,7 +73,7 @@ class WindowIndex:
 
     def __init__(self, items: list[tuple], *, similarity: float = MIN_SIMILARITY, repeats: int = REPEATS, samples: int = SAMPLES, seed: int = 13):
         self.similarity, self.repeats, self.known = similarity, repeats, {}
-        self.ids, self.texts, self.words = [], [], []
+        self.ids, self.texts, self.words, self.tried = [], [], [], 0
         for key, text in items:
             words = normal_words(text or "")
             if words:
@@ -87,24 +93,31 @@ class WindowIndex:
         sizes = sorted({size(self.words[k]) for k in mine})
         steps = {w: max(samples, int(1.5 * w)) for w in sizes}
         walk = [rng.integers(0, 1 << 31, max(steps.values()), dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(self.repeats)]
-        places = [{w: np.sort(rng.choice(steps[w], samples, replace=False)) for w in sizes} for _ in range(self.repeats)]
-        group = {"stride": stride, "walk": walk, "places": places, "keys": []}
+        # by walk and step: the (window length, sample) keys that take the symbol in
+        places: list[dict[int, list]] = [{} for _ in range(self.repeats)]
+        for r in range(self.repeats):
+            for w in sizes:
+                for s in range(SAMPLINGS):
+                    cuts = np.arange(samples + 1) * steps[w] // samples  # a place from each stretch of the walk
+                    for j in rng.integers(cuts[:-1], cuts[1:]):
+                        places[r].setdefault(int(j), []).append((w, s))
+        group = {"stride": stride, "walk": walk, "places": places, "sizes": sizes, "keys": []}
         words = [self.symbols(self.texts[k].encode().split()) for k in mine]
         pad = np.zeros(max(steps.values()) + 1, np.uint32)
         flat = np.concatenate([np.concatenate([w, pad]) for w in words])
         firsts = np.cumsum([0] + [len(w) + len(pad) for w in words[:-1]])
+        at = [(first + d, k, d) for first, k, n in zip(firsts, mine, map(len, words)) for d in range(min(stride, n))]
+        begin, owner = np.array([a[0] for a in at], np.uint32), np.array([(a[1], a[2]) for a in at])
+        sized = np.array([size(self.words[a[1]]) for a in at])
         for r in range(self.repeats):
-            at = [(first + d, k, d) for first, k, n in zip(firsts, mine, map(len, words)) for d in range(min(stride, n))]
-            got = self._embed(flat, np.array([a[0] for a in at], np.uint32), group, r)
-            keys = {}
-            for w in sizes:
-                own = np.array([size(self.words[a[1]]) == w for a in at])
-                owner = np.array([(a[1], a[2]) for a in at])[own]
-                order = np.argsort(got[w][own], kind="stable")
-                key = got[w][own][order]
-                bits = np.zeros(1 << 18, bool)
-                bits[key >> np.uint64(46)] = True
-                keys[w] = (key, owner[order], bits)
+            got, keys = self._embed(flat, begin, group, r), {}
+            for (w, s), key in got.items():
+                order = np.flatnonzero(sized == w)
+                order = order[np.argsort(key[order], kind="stable")]
+                shift = np.uint64(64 - min(20, max(12, (32 * len(order)).bit_length())))
+                bits = np.zeros(1 << (64 - int(shift)), bool)
+                bits[key[order] >> shift] = True
+                keys[w, s] = (key[order], owner[order], bits, shift)
             group["keys"].append(keys)
         return group
 
@@ -118,17 +131,20 @@ class WindowIndex:
             self.cache[w] = zlib.crc32(w) or 1
         return np.fromiter(map(self.cache.__getitem__, words), np.uint32, len(words))
 
-    def _embed(self, symbols: np.ndarray, starts: np.ndarray, group: dict, r: int) -> dict[int, np.ndarray]:
-        """By window length: the key of the walk from each start."""
+    def _embed(self, symbols: np.ndarray, starts: np.ndarray, group: dict, r: int) -> dict[tuple[int, int], np.ndarray]:
+        """By window length and sample: the key of the walk from each start."""
         places = group["places"][r]
-        keys = {w: np.zeros(len(starts), np.uint64) for w in places}
+        keys = {(w, s): np.zeros(len(starts), np.uint64) for w in group["sizes"] for s in range(SAMPLINGS)}
         at, walk = starts.astype(np.uint32), group["walk"][r]
-        for j in range(1 + max(int(p[-1]) for p in places.values())):
+        for j in range(1 + max(places)):
             symbol = symbols[at]
-            for w, p in places.items():
-                if j in p:
-                    keys[w] = (keys[w] ^ symbol) * _P
-            at += (symbol * walk[j]) >> np.uint32(31)
+            for k in places.get(j, ()):
+                key = keys[k]
+                key ^= symbol
+                key *= _P
+            symbol *= walk[j]
+            symbol >>= np.uint32(31)
+            at += symbol
         return keys
 
     def search(self, texts: list[str | None]) -> list[dict[int, int]]:
@@ -136,22 +152,22 @@ class WindowIndex:
         words = [normal_words(t) if t else [] for t in texts]
         found: list[dict[int, int]] = [{} for _ in texts]
         counts = np.array([len(w) for w in words], np.int64)
+        symbols = self.symbols([w for text in words for w in text])
         for group in self.groups:
             pad = max(len(w) for w in group["walk"]) + 1
             flat = np.zeros(int(counts.sum()) + pad * len(words), np.uint32)
             firsts = np.cumsum(counts + pad) - counts - pad
-            for first, w in zip(firsts, words):
-                flat[first : first + len(w)] = self.symbols(w)
+            flat[np.repeat(firsts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)] = symbols
             per = -(-counts // group["stride"])
             owner = np.repeat(np.arange(len(words)), per)
             within = (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * group["stride"]
             starts = (firsts[owner] + within).astype(np.uint32)
             candidates: set[tuple[int, int, int]] = set()
             for r in range(self.repeats):
-                for i in range(0, len(starts), 1 << 16):
-                    for w, key in self._embed(flat, starts[i : i + (1 << 16)], group, r).items():
-                        known, owners, bits = group["keys"][r][w]
-                        hit = np.flatnonzero(bits[key >> np.uint64(46)])
+                for i in range(0, len(starts), LANES):
+                    for k, key in self._embed(flat, starts[i : i + LANES], group, r).items():
+                        known, owners, bits, shift = group["keys"][r][k]
+                        hit = np.flatnonzero(bits[key >> shift])
                         left, right = np.searchsorted(known, key[hit], "left"), np.searchsorted(known, key[hit], "right")
                         for h, a, b in zip(hit[right > left], left[right > left], right[right > left]):
                             for item, offset in owners[a:b]:
@@ -160,77 +176,106 @@ class WindowIndex:
         return found
 
     def _verify(self, words: list, candidates: list, found: list[dict[int, int]]) -> None:
-        last = None
-        for text, item, start in candidates:
+        """candidates: (text, item, start), sorted; starts that are near each other are one passage."""
+        k = 0
+        while k < len(candidates):
+            text, item, start = candidates[k]
             n = self.words[item]
             slack = int((1 - self.similarity) * n) + 2
-            if last == (text, item) and start <= reach and found[text].get(item) == 0:
-                continue  # an exact passage that a near window shows again
-            segment = b" ".join(words[text][max(0, start - slack) : max(0, start) + n + slack]).decode("utf-8", "replace")
+            last = start
+            while k < len(candidates) and candidates[k][:2] == (text, item) and candidates[k][2] <= start + slack:
+                last = candidates[k][2]
+                k += 1
+            segment = b" ".join(words[text][max(0, start - slack) : max(0, last) + n + slack]).decode("utf-8", "replace")
             known = self.known.get((item, segment))
             if known is None:
                 if len(self.known) > 5_000:
                     self.known.clear()
                 known = self.known[item, segment] = edit_distance_in(self.texts[item], segment)
-            last, reach = (text, item), start + slack
+                self.tried += 1
             if known <= (1 - self.similarity) * len(self.texts[item]) + 1e-9 and known < found[text].get(item, 1 << 60):
                 found[text][item] = known
 
 
-def item_blocks(items: DataFrame, id_column: str = "item_id", text_column: str = "text"):
-    """Lists of (id, text): the benchmark in blocks of about BLOCK_ITEMS items and BLOCK_CHARS characters."""
+def item_blocks(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> tuple[str, int]:
+    """(folder, blocks): the benchmark in blocks of about BLOCK_ITEMS items and BLOCK_CHARS characters; 0 without items."""
     rows = items.select(F.col(id_column).alias("i"), F.col(text_column).cast("string").alias("t")).where(F.col("t").isNotNull())
     n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil(chars / BLOCK_CHARS))
-    for b in range(blocks if n else 0):
-        yield [(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()]
+    folder = fresh_path(items.sparkSession, "benchmark")
+    if n:
+        rows.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(blocks))).repartition("b").write.partitionBy("b").parquet(folder)
+    return folder, blocks if n else 0
+
+
+_LAST: dict = {}
+
 
+def _index(folder: str, block: int, options: tuple) -> WindowIndex:
+    """The index of a block; a worker keeps the last one."""
+    import pyarrow.dataset as ds
 
-def _searched(batch: pa.RecordBatch, column: int, index: WindowIndex):
-    """(first row, results) of runs of rows of bounded size."""
-    _, offsets = text_buffers(batch.column(column))
-    for i, j in pieces(offsets):
-        yield i, index.search(batch.column(column).slice(i, j - i).to_pylist())
+    if _LAST.get("of") != (folder, block, options):
+        _LAST.clear()
+        store, path = store_of(f"{folder}/b={block}")
+        known = store.get_file_info(path).type.name == "Directory"  # no item may fall in a block
+        rows = ds.dataset(path, filesystem=store, format="parquet").to_table(columns=["i", "t"]).to_pylist() if known else []
+        _LAST.update(of=(folder, block, options), index=WindowIndex(sorted(((r["i"], r["t"]) for r in rows), key=lambda r: (r[1], str(r[0]))), **dict(options)))
+    return _LAST["index"]
+
+
+def _searched(batches, column: int, folder: str, blocks: int, options: dict):
+    """(batch, for each of its rows the list of (item id, edit distance, the item's characters)), texts in runs."""
+    held, size = [], 0
+
+    def flush():
+        hits = [[[] for _ in range(b.num_rows)] for b in held]
+        for block in range(blocks):
+            index = _index(folder, block, tuple(sorted(options.items())))
+            for batch, mine in zip(held, hits):
+                _, offsets = text_buffers(batch.column(column))
+                for i, j in pieces(offsets):
+                    for k, found in enumerate(index.search(batch.column(column).slice(i, j - i).to_pylist())):
+                        mine[i + k] += [(index.ids[item], d, len(index.texts[item])) for item, d in sorted(found.items())]
+        yield from zip(held, hits)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= RUN_BYTES:
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, edit_distance, item_chars, similarity: every pair of a text and an item with a passage of the
     text at a similarity (1 - edit distance / the item's characters, both lower-cased without marks) of 0.8 or more.
 
-    Found with high probability, verified exactly.  Null and empty texts and items match nothing; repeated rows are
-    searched each; of an item's passages in a text the nearest counts; an empty table on either side gives no rows.
+    Found with high probability where words are changed, put in or left out (0.9 and more at a similarity of 0.8); a
+    passage with a typo in most of its words is seldom found.  Verified exactly.  Null and empty texts and items match
+    nothing; repeated rows are searched each; of an item's passages in a text the nearest counts; an empty table on
+    either side gives no rows.
     """
-    spark = docs.sparkSession
-    id_type, item_type = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType
-    schema = f"doc_id {id_type.simpleString()}, item_id {item_type.simpleString()}, edit_distance int, item_chars int, similarity double"
-    out = spark.createDataFrame([], schema)
-    for block in item_blocks(items):
-        shared = spark.sparkContext.broadcast(block)
+    schema = T.StructType([docs.schema["doc_id"], items.schema["item_id"], T.StructField("edit_distance", T.IntegerType()), T.StructField("item_chars", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
+    folder, blocks = item_blocks(items)
+    kind = to_arrow_type(items.schema["item_id"].dataType)
 
-        def run(batches, shared=shared):
-            index = WindowIndex(shared.value, **options)
-            for batch in batches:
-                for i, found in _searched(batch, 1, index):
-                    keys = batch.column(0).slice(i, len(found)).to_pylist()
-                    rows = [(keys[k], index.ids[item], d, len(index.texts[item])) for k, hits in enumerate(found) for item, d in sorted(hits.items())]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), pa.array([1 - r[2] / r[3] for r in rows], pa.float64())], names=["doc_id", "item_id", "edit_distance", "item_chars", "similarity"])
+    def run(batches):
+        for batch, hits in _searched(batches, 1, folder, blocks, options):
+            rows = [(key, *hit) for key, mine in zip(batch.column(0).to_pylist(), hits) for hit in mine]
+            columns = [[r[k] for r in rows] for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], kind), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array([1 - d / n for d, n in zip(*columns[2:])], pa.float64())], names=schema.names)
 
-        out = out.unionByName(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema))
-    return out
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(settled(run), schema)
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without a passage of an item, all columns kept."""
-    spark, at = docs.sparkSession, docs.columns.index("text")
-    out = docs
-    for block in item_blocks(items):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            index = WindowIndex(shared.value, **options)
-            for batch in batches:
-                keep = [not hits for _, found in _searched(batch, at, index) for hits in found]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    at, (folder, blocks) = docs.columns.index("text"), item_blocks(items)
+
+    def run(batches):
+        for batch, hits in _searched(batches, at, folder, blocks, options):
+            yield batch.filter(pa.array([not mine for mine in hits], pa.bool_()))
+
+    return docs.mapInArrow(settled(run), docs.schema)

@@ -515,6 +515,26 @@ def test_decontamination(spark, docs):
     assert contaminated(docs([]), bench).count() == 0 and clean(d, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_recall_and_blocks(spark, docs, monkeypatch):
+    """Edits down to the threshold against an exact scan of all pairs; items of string ids over several blocks."""
+    from quarterdeck.llm import decontamination as D
+
+    r = random.Random(11)
+    items = [(f"item {i}", prose(4000 + i, 9 + i % 40)) for i in range(60)]
+    rows = []
+    for i, (_, text) in enumerate(items):
+        for share in (0.08, 0.14, 0.18):
+            w = [x for y in text.split() for x in ([y] if r.random() > share else [[r.choice(WORDS)], [], [y, r.choice(WORDS)]][r.randrange(3)])]
+            rows.append((len(rows), prose(len(rows), r.randrange(30)) + " " + " ".join(w) + " " + prose(len(rows) + 1, 25)))
+    normal = lambda t: b" ".join(D.normal_words(t)).decode()
+    want = {(k, i) for k, t in rows for i, x in items if D.edit_distance_in(normal(x), normal(t)) <= 0.2 * len(normal(x)) + 1e-9}
+    assert len(want) > 120
+    for block in (20_000, 25):
+        monkeypatch.setattr(D, "BLOCK_ITEMS", block)
+        got = {(x.doc_id, x.item_id) for x in D.contaminated(docs(rows), spark.createDataFrame(items, "item_id string, text string")).collect()}
+        assert got <= want and len(got) >= 0.93 * len(want)
+
+
 def test_components(spark):
     from quarterdeck.llm.near_duplicates import components
 
