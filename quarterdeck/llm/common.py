@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from urllib.parse import urlsplit
 
@@ -133,12 +134,12 @@ def label_sample(labels_df: DataFrame, column: str, folds: int, held: int, fit_r
 
 
 def settled(run):
-    """A mapInArrow function that gives freed memory back at its end: a Python worker lives on for other stages."""
+    """A mapInArrow function that gives freed memory back after a longer run: a Python worker lives on for other stages."""
 
     def inner(batches):
-        try:
-            yield from run(batches)
-        finally:
+        began = time.monotonic()
+        yield from run(batches)
+        if time.monotonic() - began > 0.5:
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc

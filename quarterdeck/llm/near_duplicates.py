@@ -10,8 +10,8 @@ texts agree on a sample with the probability of their weighted Jaccard similarit
 
 Texts that share a band meet in a bucket.  A bucket of up to GROUP texts compares all signatures in memory and hands
 on, for each text, its nearest two and a spanning forest by estimated similarity; a larger one links all to a leader,
-those that turn out unlike it to another, and those unlike both meet in random parts of bounded size, anew for each
-band.  Links are verified on whole texts, and classes are the connected components of what holds.
+the text with the most exact copies.  Links are verified on whole texts, and classes are the connected components of
+what holds.
 
 Those links only join most copies cheaply.  After them, all likely pairs of a bucket's texts that are in
 different classes are verified: first the best few of each class, which join further classes, and at last every pair
@@ -45,7 +45,9 @@ LIKELY = 0.55
 RARE_SHARE = 1 / 16
 GROUP = 400
 #: Likely pairs of a class that a unit hands on, by round; the last round hands on all.
-ROUNDS = (4, 64, None)
+ROUNDS = (8, None)
+#: Links up to which one task joins them (16 bytes each).
+LOCAL_LINKS = 4_000_000
 #: Bits of the table of shingles that several texts have.
 SLOT_BITS = 27
 BUCKETS = 1 << 20
@@ -136,19 +138,26 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 table += np.bincount((np.concatenate(found) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
         _SHINGLER.cache.clear()  # workers live on for other stages
         salt = TaskContext.get().partitionId() % 256
-        parts = table.astype("<u4" if table.max() < 1 << 32 else "<u8").reshape(-1, _BLOCK)
-        data = [p.astype("<u8").tobytes() for p in parts]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(data)), pa.int32()), "salt": pa.array([salt] * len(data), pa.int32()), "n": pa.array([texts] + [0] * (len(data) - 1), pa.int64()), "data": pa.array(data, pa.binary())})
+        place, data = [], []
+        for part in table.reshape(-1, _BLOCK):
+            at = np.flatnonzero(part)
+            at = at if 2 * len(at) < _BLOCK else np.zeros(0, np.int64)  # few: their places; else the whole block
+            place.append(at.astype("<u2").tobytes())
+            data.append((part[at] if len(at) or not part.any() else part).astype("<u8").tobytes())
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(data)), pa.int32()), "salt": pa.array([salt] * len(data), pa.int32()), "n": pa.array([texts] + [0] * (len(data) - 1), pa.int64()), "at": pa.array(place, pa.binary()), "data": pa.array(data, pa.binary())})
 
     def add(key, pdf):
         import pandas as pd
 
-        total = np.sum([np.frombuffer(x, "<u8") for x in pdf["data"]], axis=0, dtype=np.uint64)
-        return pd.DataFrame({"block": [key[0]], "n": [int(pdf["n"].sum())], "data": [total.astype("<u8").tobytes()]})
+        total = np.zeros(_BLOCK, np.uint64)
+        for at, x in zip(pdf["at"], pdf["data"]):
+            values = np.frombuffer(x, "<u8")
+            total[np.frombuffer(at, "<u2") if len(at) else slice(len(values))] += values
+        return pd.DataFrame({"block": [key[0]], "n": [int(pdf["n"].sum())], "at": [b""], "data": [total.astype("<u8").tobytes()]})
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(settled(count), "block int, salt int, n long, data binary")
-    salted = parts.groupBy("block", "salt").applyInPandas(lambda key, pdf: add(key, pdf), "block int, n long, data binary")
-    rows = salted.groupBy("block").applyInPandas(add, "block int, n long, data binary").orderBy("block").collect()  # 8 MB
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(settled(count), "block int, salt int, n long, at binary, data binary")
+    salted = parts.groupBy("block", "salt").applyInPandas(lambda key, pdf: add(key, pdf), "block int, n long, at binary, data binary")
+    rows = salted.groupBy("block").applyInPandas(add, "block int, n long, at binary, data binary").orderBy("block").collect()  # 8 MB
     return np.concatenate([np.frombuffer(r["data"], "<u8") for r in rows]) if rows else np.zeros(BUCKETS, np.uint64), sum(r["n"] for r in rows)
 
 
@@ -403,12 +412,39 @@ def _verified(links: DataFrame, texts: DataFrame, sampler) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(settled(run), "a long, b long, similarity double")
 
 
+def _joined_links(batches):
+    """(node, label) of all links in the batches, by union of trees."""
+    pairs = [np.stack([c.to_numpy() for c in batch.columns], axis=1) for batch in batches]
+    ends = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    nodes, at = np.unique(ends, return_inverse=True)
+    root = np.arange(len(nodes))
+    left, right = at.reshape(-1, 2).T
+    while True:  # the least label spreads over links, and jumps to its own label
+        low = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        np.minimum.at(new, root, new.copy())
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes.astype(np.int64)), "label": pa.array(nodes[root].astype(np.int64))})
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): the least node of each connected component; nodes without links are not listed.
 
-    Labels spread over links and jump to their label's label, so that rounds grow with the logarithm of a chain.
+    Up to LOCAL_LINKS links are joined in one task's memory.  More spread over links and jump to their label's label, so
+    that rounds grow with the logarithm of a chain.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
+    spark = links.sparkSession
+    links = written(links.select("a", "b"), f"{name}-pairs")
+    if links.count() <= LOCAL_LINKS:
+        label = written(links.coalesce(1).mapInArrow(settled(_joined_links), "node long, label long"), f"{name}-labels")
+        release(spark, links)
+        return label
+    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
     label = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), f"{name}-labels")
     old = label
     while True:
@@ -416,10 +452,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         lower = label.join(spread.withColumnRenamed("a", "node").hint("merge"), "node").select("node", "label", F.least("label", "other").alias("next"))
         jump = label.select(F.col("node").alias("next"), F.col("label").alias("far"))
         new = written(lower.join(jump.hint("merge"), "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")), f"{name}-labels")
-        release(links.sparkSession, old)
+        release(spark, old)
         label, old = new.select("node", "label"), new
         if not new.where("moved").head(1):
-            release(links.sparkSession, both)
+            release(spark, both, links)
             label.quarterdeck_path = new.quarterdeck_path
             return label
 
@@ -440,39 +476,19 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     release(spark)
     sigs = firsts.select("node", "nd_sig")
     place = firsts.select("node", "copies", F.posexplode("nd_bands").alias("band", "v"))
-    old, held, tested, members, met, texts, turn = [], [], [], place, None, None, 0
-    while True:
-        order = F.struct((-F.col("copies")).alias("c"), F.xxhash64("node").alias("h"), F.col("node"))  # what others copy leads
-        buckets = members.groupBy("band", "v").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where(F.col("n") > 1).select("band", "v", "n", F.col("first.node").alias("leader"))
-        members = written(members.join(buckets.hint("merge"), ["band", "v"]), "nd-members")
-        if met is None:
-            met = members
-            texts = written(_texts(docs, nodes.join(met.select("node").distinct().hint("merge"), "node", "left_semi")), "nd-texts")
-        release(spark, *old)
-        old = [] if members is met else [members]
-        small, large = members.where(F.col("n") <= GROUP), members.where(F.col("n") > GROUP)
-        near = _bucket_links(small.join(sigs.hint("merge"), "node"))
-        starred = large.where(F.col("node") != F.col("leader"))
-        star = starred.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pairs = written(near.unionByName(star).distinct(), "nd-links")
-        checked = written(_verified(pairs, texts, sampler), "nd-checked")
-        release(spark, pairs)
-        tested.append(checked.select("a", "b"))
-        held.append(checked.where(F.col("similarity") >= similarity).select("a", "b"))
-        if not large.head(1):
-            break
-        failed = checked.where(F.col("similarity") < similarity).select("a", "b")
-        again = starred.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader")).join(failed.hint("merge"), ["a", "b"], "left_semi")
-        if turn:  # unlike two leaders: meet in random parts from now on, so that groups are small in a few turns
-            parts = F.ceil(F.col("n") / (0.75 * GROUP))
-            again = again.withColumn("v", F.xxhash64("v", F.pmod(F.xxhash64("node", "band", F.lit(turn)), parts)))
-        members = written(again.select("node", "copies", "band", "v"), "nd-again")
-        old.append(members)
-        turn += 1
-        if not members.head(1):
-            break
-    labels = components(reduce(DataFrame.unionByName, held), "nd")
-    release(spark, *old)
+    order = F.struct((-F.col("copies")).alias("c"), F.xxhash64("node").alias("h"), F.col("node"))  # what others copy leads
+    buckets = place.groupBy("band", "v").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where(F.col("n") > 1).select("band", "v", "n", F.col("first.node").alias("leader"))
+    met = written(place.join(buckets.hint("merge"), ["band", "v"]), "nd-members")
+    texts = written(_texts(docs, nodes.join(met.select("node").distinct().hint("merge"), "node", "left_semi")), "nd-texts")
+    release(spark)
+    near = _bucket_links(met.where(F.col("n") <= GROUP).join(sigs.hint("merge"), "node"))
+    starred = met.where((F.col("n") > GROUP) & (F.col("node") != F.col("leader")))
+    star = starred.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    pairs = written(near.unionByName(star).distinct(), "nd-links")
+    checked = written(_verified(pairs, texts, sampler), "nd-checked")
+    release(spark, pairs)
+    tested, held = [checked.select("a", "b")], [checked.where(F.col("similarity") >= similarity).select("a", "b")]
+    labels = components(held[0], "nd")
     some_met = met.where(F.col("n") > 2)  # a bucket of two is settled
     weights = None
     for most in ROUNDS if some_met.head(1) else ():

@@ -535,9 +535,12 @@ def test_decontamination_recall_and_blocks(spark, docs, monkeypatch):
         assert got <= want and len(got) >= 0.93 * len(want)
 
 
-def test_components(spark):
-    from quarterdeck.llm.near_duplicates import components
+@pytest.mark.parametrize("local", (0, 4_000_000))
+def test_components(spark, monkeypatch, local):
+    from quarterdeck.llm import near_duplicates as N
 
+    monkeypatch.setattr(N, "LOCAL_LINKS", local)
+    components = N.components
     edges = [(i, i + 1) for i in range(40)] + [(100, 103), (101, 103), (200, 201), (200, 201)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and got[103] == got[101] == 100 and got[201] == 200
