@@ -57,13 +57,16 @@ def filter_eligible_facts(facts: DataFrame, period_from: str, period_to: str, *,
     return facts.where(keep)
 
 
-def fact_rank(flag: Column) -> Column:
-    return F.when(flag.isin(*SAFE_FLAGS), 3).otherwise(2)
+def fact_rank(flag: Column, method: Column | None = None) -> Column:
+    """3 for safe flags, 1 for rows of the text fallback, else 2."""
+    fallback = F.lit(False) if method is None else F.coalesce(method == "text_table_fallback", F.lit(False))
+    return F.when(fallback, 1).when(flag.isin(*SAFE_FLAGS), 3).otherwise(2)
 
 
 def rank_facts(facts: DataFrame, order: list[str]) -> DataFrame:
-    """One fact a (entity, period, metric): highest trust, then the first by order."""
-    w = Window.partitionBy(*KEY).orderBy(F.desc(fact_rank(F.col("quality_flag"))), *order)
+    """One fact a (entity, period, metric): highest trust (with extraction_method where there is one), then the first by order."""
+    method = F.col("extraction_method") if "extraction_method" in facts.columns else None
+    w = Window.partitionBy(*KEY).orderBy(F.desc(fact_rank(F.col("quality_flag"), method)), *order)
     return facts.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
@@ -104,7 +107,7 @@ def conflict_breakdown(facts: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     key = ["entity", "period", "metric_code", "period_type"]
     rows = facts.groupBy(*key).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("candidates"), F.countDistinct("source_role").alias("roles"), F.array_join(F.array_sort(F.collect_set("source_role")), ",").alias("source_roles"))
     rows = rows.where(F.col("high") - F.col("low") > tolerance)
-    return rows.withColumn("likely_reason", F.when(F.col("roles") > 1, "different_source_roles").otherwise("different_documents")).drop("roles")
+    return rows.withColumn("likely_reason", F.when(F.col("roles") > 1, "different_source_roles").otherwise("different_documents")).withColumn("advice", F.when(F.col("roles") > 1, "prefer_financial_statements").otherwise("review_documents")).drop("roles")
 
 
 def primary_existing_fact(facts: DataFrame) -> DataFrame:
@@ -233,9 +236,13 @@ def golden_accuracy(verified: DataFrame) -> DataFrame:
     return verified.groupBy("entity").agg(F.count(F.lit(1)).alias("checks"), F.count_if("passed").alias("passed_checks"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("accuracy")).withColumn("status", F.when(F.col("accuracy") == 1, "PASS").otherwise("FAIL"))
 
 
+#: What tells golden checks apart; tables may lack the last three.
+GOLDEN_KEY = ("entity", "period", "metric_code", "period_type", "source_role", "origin")
+
+
 def sync_golden(existing: DataFrame, items: DataFrame) -> DataFrame:
     """Null-safe merge: review items fill actual values, the analyst's own fields stay, new items are added."""
-    key = ["entity", "period", "metric_code"]
+    key = [c for c in GOLDEN_KEY if c in existing.columns and c in items.columns]
     e, i = existing.alias("e"), items.alias("i")
     on = None
     for c in key:
@@ -257,10 +264,17 @@ def review_pack(facts: DataFrame, categories: dict[str, tuple[str, ...]], limit:
 
 
 def dedupe_documents(docs: DataFrame) -> DataFrame:
-    """Documents of one content hash collapse onto the first; a null text is a document of its own."""
+    """Documents of one content hash collapse onto the first; a null text is a document of its own.
+
+    With columns period and url, rows of one (period, url) collapse too, onto the first of them.
+    """
+    if {"period", "url"} <= set(docs.columns):
+        docs = docs.join(docs.groupBy("period", "url").agg(F.min("doc_id").alias("link_id")).where(F.col("url").isNotNull() & F.col("period").isNotNull()).hint("merge"), ["period", "url"], "left")
+    else:
+        docs = docs.withColumn("link_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
     rows = docs.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
     firsts = rows.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("doc_id").alias("first_id"))
-    return rows.join(firsts, "content_hash", "left").select("doc_id", "content_hash", F.coalesce("first_id", "doc_id").alias("first_id"), (F.coalesce("first_id", "doc_id") != F.col("doc_id")).alias("is_duplicate"))
+    return rows.join(firsts, "content_hash", "left").select("doc_id", "content_hash", F.least(F.coalesce("first_id", "doc_id"), "link_id").alias("first_id"), (F.least(F.coalesce("first_id", "doc_id"), "link_id") != F.col("doc_id")).alias("is_duplicate"))
 
 
 def resolve_document_periods(facts: DataFrame, forced: DataFrame | None = None) -> DataFrame:

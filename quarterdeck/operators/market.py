@@ -36,7 +36,11 @@ def union_pages(*pages: DataFrame, page_size: int = 500) -> DataFrame:
 
 
 def upsert_candles(existing: DataFrame, new: DataFrame) -> DataFrame:
-    return existing.unionByName(new.join(existing.select("ticker", "date"), ["ticker", "date"], "left_anti"))
+    """existing and the new candles whose (ticker, date, source) it lacks; of repeated new ones the first by close."""
+    key = [c for c in ("ticker", "date", "source") if c in existing.columns and c in new.columns]
+    rest = [c for c in new.columns if c not in key]
+    once = new.groupBy(*key).agg(F.min(F.struct(*sorted(rest, key=lambda c: c != "close"))).alias("r")).select(*key, "r.*")
+    return existing.unionByName(once.join(existing.select(*key), key, "left_anti"))
 
 
 def _tail(n: int):

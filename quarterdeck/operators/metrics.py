@@ -275,3 +275,62 @@ def fact_priorities(audited: DataFrame, facts: DataFrame) -> DataFrame:
 def unlock_plan(priorities: DataFrame) -> DataFrame:
     rows = priorities.groupBy("entity", "unlocks").agg(F.array_join(F.array_sort(F.collect_list("fact")), ",").alias("facts"), F.sum("score").alias("score"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("score"), "unlocks")))
+
+
+# What each warning looks at.
+WARNED_MARGINS = {"ebitda_margin": ("ebitda", "revenue"), "operating_margin": ("operating_profit", "revenue"), "net_margin": ("net_income", "revenue"), "fcf": ("operating_cash_flow", "capex"), "fcf_margin": ("operating_cash_flow", "capex", "revenue")}
+WARNED_SNAPSHOTS = {"current_ratio": ("current_assets", "current_liabilities"), "debt_to_equity": ("total_debt", "total_equity")}
+
+
+def period_compat_warnings(metrics: DataFrame, facts: DataFrame) -> DataFrame:
+    """metrics (entity, period, metric_code, value, quality_flag) with a warning where inputs of different kinds of period meet.
+
+    The value goes where a snapshot is required; an exact metric with a warning counts as derived.
+    """
+    codes = sorted({c for names in (*WARNED_MARGINS.values(), *WARNED_SNAPSHOTS.values()) for c in names} | {"net_income"})
+    types = facts.groupBy("entity", "period").agg(F.map_from_entries(F.collect_set(F.when(F.col("metric_code").isin(codes) & F.col("period_type").isNotNull(), F.struct("metric_code", "period_type")))).alias("types"))
+    rows = metrics.join(types.hint("merge"), ["entity", "period"], "left")
+    kinds = lambda names: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.try_element_at("types", F.lit(n)) for n in names]))))
+    code, warning = F.col("metric_code"), F.lit(None).cast("string")
+    for metric, names in WARNED_MARGINS.items():
+        warning = F.when((code == metric) & (F.size(kinds(names)) > 1), F.concat(F.lit(f"mixed period coverage: {metric}: "), F.array_join(kinds(names), ", "))).otherwise(warning)
+    for metric, names in WARNED_SNAPSHOTS.items():
+        good = (F.array_join(kinds(names), ",") == "balance_sheet_snapshot") | (F.array_join(kinds(names), ",") == "quarter")
+        warning = F.when((code == metric) & (F.size(kinds(names)) > 0) & ~good, "balance_sheet_snapshot inputs of one period are required").otherwise(warning)
+    income = F.try_element_at("types", F.lit("net_income"))
+    warning = F.when(code.isin("roe", "roa") & income.isin("ytd", "annual"), F.concat(F.upper(code), F.lit(" uses "), income, F.lit(" income with snapshots"))).otherwise(warning)
+    out = rows.withColumn("warning", warning)
+    value = F.when(~(code.isin(*WARNED_SNAPSHOTS) & F.col("warning").isNotNull()), F.col("value"))
+    quality = F.when(F.col("warning").isNotNull() & (F.col("quality_flag") == "exact"), "derived").otherwise(F.col("quality_flag"))
+    return out.select("entity", "period", "metric_code", value.alias("value"), quality.alias("quality_flag"), "warning")
+
+
+def metric_lineage(metrics: DataFrame, facts: DataFrame) -> DataFrame:
+    """entity, period, metric_code, required (names), inputs: map of the facts at hand to their document, flag and period type."""
+    names = F.create_map(*[x for code, inputs in AUDIT_INPUTS.items() for x in (F.lit(code), F.array(*map(F.lit, inputs)))])
+    cell = F.struct("document_id", "quality_flag", "period_type")
+    known = facts.groupBy("entity", "period").agg(F.map_from_entries(F.collect_list(F.struct("metric_code", cell.alias("cell")))).alias("facts"))
+    rows = metrics.select("entity", "period", "metric_code", F.coalesce(F.try_element_at(names, F.col("metric_code")), F.array().cast("array<string>")).alias("required"))
+    rows = rows.join(known.hint("merge"), ["entity", "period"], "left")
+    return rows.select("entity", "period", "metric_code", "required", F.map_filter("facts", lambda k, _: F.array_contains("required", k)).alias("inputs"))
+
+
+def missing_details(metrics: DataFrame, facts: DataFrame) -> DataFrame:
+    """entity, period, metric_code, reason, blocking (array) and fix of each metric without a value, by the first cause that fits."""
+    names = F.create_map(*[x for code, inputs in AUDIT_INPUTS.items() for x in (F.lit(code), F.array(*map(F.lit, inputs)))])
+    known = facts.groupBy("entity", "period").agg(F.collect_set("metric_code").alias("have"), F.map_from_entries(F.collect_set(F.struct("metric_code", "period_type"))).alias("types"))
+    rows = metrics.where(F.col("value").isNull() | (F.col("quality_flag") == "missing")).join(known.hint("merge"), ["entity", "period"], "left")
+    code = F.col("metric_code")
+    needs = F.coalesce(F.try_element_at(names, code), F.array().cast("array<string>"))
+    lacks = F.array_sort(F.array_except(needs, F.coalesce("have", F.array().cast("array<string>"))))
+    mixed = F.size(F.array_distinct(F.array_compact(F.transform(needs, lambda n: F.try_element_at("types", n))))) > 1
+    why = lambda reason, fix, *inputs: F.struct(F.lit(reason).alias("reason"), F.array(*map(F.lit, inputs)).cast("array<string>").alias("blocking"), F.lit(fix).alias("fix"))
+    out = (
+        F.when(code.isin("ebitda_margin", "net_debt_to_ebitda"), why("missing_ebitda", "wait for an explicit disclosure", "ebitda"))
+        .when((code == "ev_to_ebitda") & ~F.coalesce(F.array_contains("have", F.lit("ebitda")), F.lit(False)), why("missing_ebitda", "wait for an explicit disclosure and market inputs", "ebitda", "ev")).when(code == "ev_to_ebitda", why("missing_ev", "add the enterprise value from market data", "ev"))
+        .when(code == "pe_ratio", why("missing_market_cap", "add the market capitalisation, or price and shares", "market_cap")).when(code == "dividend_yield", why("missing_dividend", "add dividend and price", "dividends", "price"))
+        .when((code == "revenue_growth") & F.coalesce(F.array_contains("have", F.lit("revenue")), F.lit(False)), why("incompatible_period_semantics", "add the comparable period before", "previous_revenue"))
+        .when(F.size(lacks) > 0, F.struct(F.lit("missing_input_fact").alias("reason"), lacks.alias("blocking"), F.lit("cover the source rows if there are any").alias("fix")))
+        .when(mixed, why("incompatible_period_semantics", "align the inputs' periods")).otherwise(why("not_applicable_to_current_data", "no acceptable calculation from these data"))
+    )
+    return rows.select("entity", "period", "metric_code", out.alias("d")).select("entity", "period", "metric_code", "d.reason", "d.blocking", "d.fix")

@@ -65,10 +65,11 @@ def s4_union_pages(spark, sf_dir):
     return K.union_pages(early, rows, page_size=1)
 
 
-@query("select ticker, date, case when month(date) = 1 then close else -1.0 end as close from candles", CANDLES)
+@query("select ticker, date, 'x' source, case when month(date) = 1 then close else -1.0 end as close from candles union all select ticker, date, 'y', -1.0 from candles where day(date) < 10", CANDLES)
 def s8_upsert_candles(spark, sf_dir):
-    rows = S.candles(spark, sf_dir).select("ticker", "date", "close")
-    return K.upsert_candles(rows.where(F.month("date") == 1), rows.withColumn("close", F.lit(-1.0)))
+    rows = S.candles(spark, sf_dir).select("ticker", "date", F.lit("x").alias("source"), "close")
+    new = rows.withColumn("close", F.lit(-1.0))
+    return K.upsert_candles(rows.where(F.month("date") == 1), new.unionByName(new).unionByName(new.where(F.dayofmonth("date") < 10).withColumn("source", F.lit("y"))))
 
 
 @query(
@@ -151,9 +152,10 @@ def f2_filter_eligible_facts(spark, sf_dir):
     return A.filter_eligible_facts(S.facts(spark, sf_dir), FROM, TO).select("entity", "period", "metric_code", "value", "quality_flag")
 
 
-@query(f"select entity, period, metric_code, document_id, value from (select *, row_number() over (partition by entity, period, metric_code order by case when quality_flag in {SAFE} then 3 else 2 end desc, document_id) r from sources) where r = 1", FACTS, SOURCES)
+@query(f"select entity, period, metric_code, document_id, value from (select *, row_number() over (partition by entity, period, metric_code order by case when k % 4 = 1 and document_id like '%|X' then 1 when quality_flag in {SAFE} then 3 else 2 end desc, document_id) r from sources) where r = 1", FACTS, SOURCES)
 def f3_rank_facts(spark, sf_dir):
-    return A.rank_facts(S.two_sources(spark, sf_dir), ["document_id"]).select("entity", "period", "metric_code", "document_id", "value")
+    method = F.when((F.col("k") % 4 == 1) & F.col("document_id").endswith("|X"), "text_table_fallback")
+    return A.rank_facts(S.two_sources(spark, sf_dir).withColumn("extraction_method", method), ["document_id"]).select("entity", "period", "metric_code", "document_id", "value")
 
 
 @query("select document_id, period, metric_code, confidence, value from (select *, row_number() over (partition by document_id, period, metric_code order by confidence desc, value desc) r from sources) where r = 1", FACTS, SOURCES)
@@ -175,7 +177,7 @@ def f5_reconcile_sources(spark, sf_dir):
 
 
 @query(
-    "select entity, period, metric_code, period_type, min(value) low, max(value) high, count(*) candidates, string_agg(distinct source_role, ',' order by source_role) source_roles, case when count(distinct source_role) > 1 then 'different_source_roles' else 'different_documents' end likely_reason from sources group by all having max(value) - min(value) > 1e-6",
+    "select entity, period, metric_code, period_type, min(value) low, max(value) high, count(*) candidates, string_agg(distinct source_role, ',' order by source_role) source_roles, case when count(distinct source_role) > 1 then 'different_source_roles' else 'different_documents' end likely_reason, case when count(distinct source_role) > 1 then 'prefer_financial_statements' else 'review_documents' end advice from sources group by all having max(value) - min(value) > 1e-6",
     FACTS, SOURCES,
 )
 def f6_conflict_breakdown(spark, sf_dir):
@@ -326,16 +328,17 @@ def f25_golden_accuracy(spark, sf_dir):
     return A.golden_accuracy(_golden(spark, sf_dir))
 
 
-@query("select entity, period, metric_code, case when k % 4 <> 0 then value end actual, case when k % 3 <> 0 then value + 1 end expected, case when k % 3 = 0 then 'added' when k % 4 = 0 then 'unchanged' else 'filled' end as action from facts where k % 3 <> 0 or k % 4 <> 0", FACTS)
+@query("select entity, period, metric_code, period_type, case when k % 4 <> 0 then value end actual, case when k % 3 <> 0 then value + 1 end expected, case when k % 3 = 0 then 'added' when k % 4 = 0 then 'unchanged' else 'filled' end as action from facts where k % 3 <> 0 or k % 4 <> 0", FACTS)
 def f26_sync_golden(spark, sf_dir):
     base = S.facts(spark, sf_dir)
-    old = base.where(F.col("k") % 3 != 0).select("entity", "period", "metric_code", F.lit(None).cast("double").alias("actual"), (F.col("value") + 1).alias("expected"))
-    return A.sync_golden(old, base.where(F.col("k") % 4 != 0).select("entity", "period", "metric_code", F.col("value").alias("actual")))
+    old = base.where(F.col("k") % 3 != 0).select("entity", "period", "metric_code", "period_type", F.lit(None).cast("double").alias("actual"), (F.col("value") + 1).alias("expected"))
+    return A.sync_golden(old, base.where(F.col("k") % 4 != 0).select("entity", "period", "metric_code", "period_type", F.col("value").alias("actual")))
 
 
-@query("select doc_id, sha256(text) content_hash, coalesce(first_id, doc_id) first_id, coalesce(first_id, doc_id) <> doc_id is_duplicate from (select doc_id, text, case when text is not null then min(doc_id) over (partition by text) end first_id from documents)")
+@query("select doc_id, sha256(text) content_hash, first_id, first_id <> doc_id is_duplicate from (select doc_id, text, least(case when text is not null then min(doc_id) over (partition by text) else doc_id end, case when doc_id % 3 <> 0 then min(doc_id) over (partition by lang, case when doc_id % 3 <> 0 then source || doc_id // 40 end) end) first_id from documents)")
 def f31_dedupe_documents(spark, sf_dir):
-    return A.dedupe_documents(S.table(spark, sf_dir, "documents"))
+    url = F.when(F.col("doc_id") % 3 != 0, F.concat("source", F.floor(F.col("doc_id") / 40)))
+    return A.dedupe_documents(S.table(spark, sf_dir, "documents").withColumns({"period": F.col("lang"), "url": url}))
 
 
 # ---- metrics ----
