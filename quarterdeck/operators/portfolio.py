@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import periods as P
 from ..functions.numbers import contains_any
-from ..functions.text import topic_tags
+from ..functions.text import matching_text, topic_tags
 
 #: Fixed values.
 BANK_MARKERS = ("bank", "банк", "credit institution", "кредитн")
@@ -45,8 +45,9 @@ def load_registry(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def tag_topics(docs: DataFrame, topics=None) -> DataFrame:
-    tags = topic_tags(F.col("text"), topics)
-    return docs.select("doc_id", tags.alias("tags")).withColumn("relevance", F.when(F.size("tags") >= 2, "high").when(F.size("tags") == 1, "medium").otherwise("low"))
+    # bound in a projection of its own, so that the two patterns of the normal form run once a text
+    normal = docs.select("doc_id", matching_text(F.col("text")).alias("normal"))
+    return normal.select("doc_id", topic_tags(F.col("normal"), topics).alias("tags")).withColumn("relevance", F.when(F.size("tags") >= 2, "high").when(F.size("tags") == 1, "medium").otherwise("low"))
 
 
 def topic_counts(tagged: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def test_text(spark):
     role = lambda v: X.link_role(v, "IFRS")
     assert [r.role for r in column(spark, ["IFRS consolidated financial statements", "годовой отчет", "x"], role)] == ["financial_statements", "annual_report", "unknown"]
     assert column(spark, ["2021 Q3", "nine months 2019", "2019", "annual report 2020"], X.link_period) == ["2021Q3", "2019Q3", None, "2020Q4"]
-    assert column(spark, ["Total debt and bonds; income tax", None], X.topic_tags) == [["debt_disclosure", "tax_disclosure"], []]
+    assert column(spark, ["Total debt and bonds; income tax", None], lambda c: X.topic_tags(X.matching_text(c))) == [["debt_disclosure", "tax_disclosure"], []]
     assert column(spark, ["Recommendation: sell, not buy", "**HOLD** buy", "buy or hold", "", None], X.verdict) == ["SELL", "HOLD", "BUY", "N/A", "N/A"]
     assert column(spark, ["Total assets", "total current assets", "assets", "x"], lambda v: X.match_label(v, [("assets", "a"), ("total assets", "t"), ("current assets", "c")])) == ["t", "c", "a", None]
 
