@@ -52,6 +52,11 @@ def counterfactuals(words: set[bytes], other: dict[bytes, list[bytes]]) -> list[
     return [(words - {t}) | {u} for t in sorted(words & other.keys()) for u in other[t]]
 
 
+def _change(own: list[int], other: list[int]) -> list[list[int]]:
+    """Terms that a counterfactual loses, and those it gains."""
+    return [sorted(set(own) - set(other)), sorted(set(other) - set(own))]
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[bytes, float]
@@ -125,14 +130,14 @@ def train(docs: DataFrame, labels_df: DataFrame, *, folds: int = 5, held: int =
             data, offsets = text_buffers(batch.column(1))
             words = [words_of(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
             hits = [numbers(w) for w in words]
-            swapped = [[numbers(c) for c in counterfactuals(w, other)] for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "label", "hits", "swapped"])
+            swapped = [[_change(h, numbers(c)) for c in counterfactuals(w, other)] for w, h in zip(words, hits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.list_(pa.int32()))))], names=["doc_id", "label", "hits", "swapped"])
 
     numbered = T.ArrayType(T.IntegerType())
-    schema = T.StructType([texts.schema["doc_id"], texts.schema["label"], T.StructField("hits", numbered), T.StructField("swapped", T.ArrayType(numbered))])
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["label"], T.StructField("hits", numbered), T.StructField("swapped", T.ArrayType(T.ArrayType(numbered)))])
     rows = texts.mapInArrow(settled(found), schema).groupBy("doc_id").agg(F.min(F.struct("label", "hits", "swapped")).alias("r")).orderBy("doc_id").select("r.*").collect()  # at most about fit_rows
     hits, y = [list(r["hits"]) for r in rows], np.array([r["label"] for r in rows], float)
-    swaps = [(sorted(set(r["hits"]) - set(c)), sorted(set(c) - set(r["hits"]))) for r in rows for c in r["swapped"]]
+    swaps = [(list(lost), list(gained)) for r in rows for lost, gained in r["swapped"]]
     w, b = fit(hits, y, len(names), swaps, penalty=penalty)
     return ToxicityModel({t: float(w[i]) for t, i in place.items() if w[i] != 0}, b)
 

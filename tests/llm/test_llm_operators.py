@@ -631,3 +631,87 @@ def test_texts_with_more_pieces_than_the_cache(monkeypatch):
         for text in ("one two three", "one two " + " ".join(WORDS), "one two", "A" * 3000 + " b!? " + "!" * 3000, " ".join(WORDS) + " one,"):
             assert encoder.encode(text.encode(), 1).tolist() == t.encode(text, add_special_tokens=False).ids + [1]
             assert encoder.pieces.size <= limit and len(encoder.pieces.old) * S.ENTRY_BYTES <= limit
+
+
+def test_pipeline_stage_by_stage(spark, docs, tmp_path):
+    """Every stage's rows against what its operator says of its input, on texts with copies, a leak, nulls and edge rows."""
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+    from quarterdeck.llm import common, mixing, quality
+    from quarterdeck.llm.near_duplicates import near_duplicate_classes
+    from quarterdeck.llm.queries import vocabulary_path
+
+    rows, labels = labelled(120)
+    item = prose(777, 30)
+    rows += [(1000, prose(50, 80) + " " + item), (1001, rows[1][1]), (1002, rows[1][1] + " end"), *EDGE]
+    d = docs(rows)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "minhash", "decontamination", "mixing", "tokens"]
+    bag = lambda frame: collections.Counter((r.doc_id, r.text) for r in frame.select("doc_id", "text").collect())
+    out, before = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.written(stage(spark, before, str(tmp_path)), f"test-{name}")
+        out[name] = after
+        if name != "tokens":
+            assert after.columns == d.columns
+            before = after
+    model = quality.train(d, common.labels(spark, str(tmp_path)))
+    verdict = {(r.doc_id, r.text): r["\x01p"] for r in quality.classify(d, model, keep=("doc_id", "text"), names=("\x01s", "\x01p")).collect()}
+    assert bag(out["quality"]) == collections.Counter({k: n for k, n in bag(d).items() if verdict[k]})
+    classes = near_duplicate_classes(out["quality"]).collect()
+    assert sum(bag(out["minhash"]).values()) == sum(r.kept for r in classes) and not bag(out["minhash"]) - bag(out["quality"])
+    assert bag(out["decontamination"]) == collections.Counter({k: n for k, n in bag(out["minhash"]).items() if item not in (k[1] or "")})
+    taken = sum(r.taken for r in mixing.mix_counts(out["decontamination"]).collect())
+    assert sum(len((t or "").split()) * n for (_, t), n in bag(out["mixing"]).items()) == taken
+    t = tokenizers.Tokenizer.from_file(vocabulary_path())
+    want = collections.Counter((k, len(t.encode(x or "", add_special_tokens=False).ids) + 1) for (k, x), n in bag(out["mixing"]).items() for _ in range(n))
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in out["tokens"].collect()) == want
+    assert 1000 not in {k for k, _ in bag(out["decontamination"])} and 10 in {k for k, _ in bag(out["decontamination"])}
+    empty = d.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
+
+
+def test_toxicity_fit_by_brute_force(spark, docs):
+    """Logits by plain sums over words and prefixes, and the loss at its minimum: its gradient by differences is flat."""
+    from quarterdeck.llm import toxicity as X
+
+    rng = np.random.default_rng(8)
+    rows = [sorted(set(rng.integers(0, 6, rng.integers(1, 4)).tolist())) for _ in range(80)]
+    y = np.array([float(0 in r or rng.random() < 0.2) for r in rows])
+    swaps = [([4], [5]), ([5], [4]), ([1], [2])]
+    w, b = X.fit(rows, y, 6, swaps, ridge=0.5, penalty=2.0, steps=4000, rate=0.01)
+
+    def loss(w, b):
+        z = np.array([b + sum(w[c] for c in r) for r in rows])
+        change = [sum(w[c] for c in lost) - sum(w[c] for c in gained) for lost, gained in swaps]
+        return np.mean(np.log1p(np.exp(z)) - y * z) + 0.25 * float(w @ w) / len(y) + 2.0 * np.mean(np.square(change))
+
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-4
+        slope = (loss(w + step[:6], b + step[6]) - loss(w - step[:6], b - step[6])) / 2e-4
+        assert abs(slope) < 5e-3
+    model = X.ToxicityModel({b"scum": 2.0, b"wort*": 0.5, b"worth*": 0.25}, -1.0)
+    assert [round(model.logit(t), 6) for t in (b"", b"SCUM! scum", b"worthless scum", b"worth")] == [-1.0, 1.0, 1.75, -0.5]
+
+
+def test_additive_model_by_brute_force(spark, docs):
+    """A document's logit is the intercept and its bins' entries, each looked up one by one."""
+    from quarterdeck.llm import quality as Q
+
+    rows, labels = labelled(160)
+    d = docs(rows)
+    model = Q.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    want = {}
+    for key, text in rows:
+        f = Q.features(text.encode())
+        bins = [int(np.searchsorted(model.edges[j], np.float32(f[j]), side="right")) for j in range(len(f))]
+        total = model.intercept + sum(model.tables[j][bins[j]] for j in range(len(f)))
+        total += sum(model.pair_tables[p][bins[i] * Q.PAIR_BINS // Q.BINS][bins[j] * Q.PAIR_BINS // Q.BINS] for p, (i, j) in enumerate(model.pairs))
+        want[key] = 1 / (1 + math.exp(-total))
+    got = {r.doc_id: r.score for r in Q.classify(d, model).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
