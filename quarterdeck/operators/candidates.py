@@ -82,7 +82,7 @@ def statement_coverage(tables: DataFrame, required=("balance_sheet", "income_sta
     """Per entity and required family: found, tables, sorted periods."""
     grid = tables.select("entity").distinct().select("entity", F.explode(F.array(*map(F.lit, required))).alias("family"))
     seen = tables.groupBy("entity", F.col("statement_type").alias("family")).agg(F.count(F.lit(1)).alias("tables"), F.array_join(F.array_sort(F.collect_set("period")), ",").alias("periods"))
-    rows = grid.join(seen, ["entity", "family"], "left")
+    rows = grid.join(seen.hint("merge"), ["entity", "family"], "left")
     return rows.select("entity", "family", F.col("tables").isNotNull().alias("found"), F.coalesce("tables", F.lit(0).cast("long")).alias("tables"), F.coalesce("periods", F.lit("")).alias("periods"))
 
 

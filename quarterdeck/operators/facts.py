@@ -163,14 +163,14 @@ def fact_coverage_grid(facts: DataFrame, period_from: str, period_to: str, codes
     """Every entity's wanted periods and facts: missing, extracted, low_confidence or conflicting."""
     a, b = P.range_bounds(period_from, period_to)
     grid = facts.select("entity").distinct().select("entity", F.explode(F.sequence(F.lit(a), F.lit(b))).alias("i")).select("entity", P.period_from_index(F.col("i")).alias("period"), F.explode(F.array(*map(F.lit, codes))).alias("metric_code"))
-    rows = grid.join(facts.select(*KEY, "value", "quality_flag"), [*KEY], "left")
+    rows = grid.join(facts.select(*KEY, "value", "quality_flag").hint("merge"), [*KEY], "left")
     status = F.when(F.col("quality_flag").isNull(), "missing").when(F.col("quality_flag") == "conflicting_sources", "conflicting").when(F.col("quality_flag") == "low_confidence_parse", "low_confidence").otherwise("extracted")
     return rows.withColumn("status", status)
 
 
 def missing_expected_facts(facts: DataFrame, expected=KEY_FACTS) -> DataFrame:
     entities = facts.select("entity").distinct().select("entity", F.explode(F.array(*map(F.lit, expected))).alias("metric_code"))
-    return entities.join(facts.select("entity", "metric_code"), ["entity", "metric_code"], "left_anti")
+    return entities.join(facts.select("entity", "metric_code").hint("merge"), ["entity", "metric_code"], "left_anti")
 
 
 def fact_summary(facts: DataFrame) -> DataFrame:

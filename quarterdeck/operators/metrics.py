@@ -95,7 +95,7 @@ def ttm_sum(wide: DataFrame, code: str, period_from: str, period_to: str) -> Dat
     last4 = Window.partitionBy("entity").orderBy("i").rowsBetween(-3, 0)
     sums = rows.select("entity", "i", F.when((F.count(F.lit(1)).over(last4) == 4) & (F.count("x").over(last4) == 4), F.sum("x").over(last4)).alias("ttm"), F.lit(True).alias("present"))
     grid = wide.select("entity").distinct().select("entity", F.explode(F.sequence(F.lit(a), F.lit(b))).alias("i"))
-    both = sums.join(grid.withColumn("asked", F.lit(True)), ["entity", "i"], "full_outer")
+    both = sums.join(grid.withColumn("asked", F.lit(True)).hint("merge"), ["entity", "i"], "full_outer")
     latest = F.last(F.when(F.col("present"), F.struct("ttm")), ignorenulls=True).over(Window.partitionBy("entity").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("latest", latest).where("asked").select("entity", P.period_from_index(F.col("i")).alias("period"), F.col("latest.ttm").alias("ttm"))
 
@@ -118,9 +118,10 @@ def strict_ratios(facts: DataFrame, period_from: str, period_to: str, banks: Dat
     wide = facts.withColumn("cell", cell).groupBy("entity", P.period_index(F.col("period")).alias("i")).pivot("metric_code", list(CODES)).agg(F.first("cell"))
     grid = facts.select("entity").distinct().select("entity", F.explode(F.sequence(F.lit(a), F.lit(b))).alias("i"))
     base = ("revenue", "total_equity", "total_assets")
-    before = wide.select("entity", (F.col("i") + 1).alias("i"), *[F.col(c).alias(f"q_{c}") for c in base])
-    year = wide.select("entity", (F.col("i") + 4).alias("i"), *[F.col(c).alias(f"y_{c}") for c in base])
-    rows = grid.join(wide, ["entity", "i"], "left").join(before, ["entity", "i"], "left").join(year, ["entity", "i"], "left")
+    # the quarter and the year before come from one sort of an entity's quarters, asked for or not
+    back = lambda c, n: F.first(c).over(Window.partitionBy("entity").orderBy("i").rangeBetween(-n, -n))
+    rows = wide.join(grid.withColumn("asked", F.lit(True)).hint("merge"), ["entity", "i"], "full_outer")
+    rows = rows.withColumns({f"q_{c}": back(c, 1) for c in base} | {f"y_{c}": back(c, 4) for c in base}).where("asked").drop("asked")
     if banks is not None:
         rows = rows.join(banks.select("entity", F.lit(True).alias("bank")), "entity", "left")
     else:
@@ -202,7 +203,7 @@ def audit_metrics(metrics: DataFrame, facts: DataFrame) -> DataFrame:
     inputs = F.create_map(*[x for code, names in AUDIT_INPUTS.items() for x in (F.lit(code), F.array(*map(F.lit, names)))])
     rows = metrics.select("entity", "period", "metric_code", "value", "quality_flag", F.explode_outer(F.try_element_at(inputs, F.col("metric_code"))).alias("input"))
     known = facts.select("entity", "period", F.col("metric_code").alias("input"), F.col("quality_flag").alias("flag"), F.col("period_type").alias("type"))
-    joined = rows.join(known, ["entity", "period", "input"], "left").groupBy("entity", "period", "metric_code").agg(
+    joined = rows.join(known.hint("merge"), ["entity", "period", "input"], "left").groupBy("entity", "period", "metric_code").agg(
         F.first("value").alias("value"), F.first("quality_flag").alias("quality_flag"), F.coalesce(F.bool_or(F.col("flag") == "conflicting_sources"), F.lit(False)).alias("conflict"), F.coalesce(F.bool_or(F.col("flag") == "low_confidence_parse"), F.lit(False)).alias("low"),
         F.coalesce(F.bool_or(F.col("flag") == "derived"), F.lit(False)).alias("derived"), F.count_distinct("type").alias("types"), F.coalesce(F.bool_and(F.col("type") == "balance_sheet_snapshot"), F.lit(True)).alias("snapshots"), F.max(F.when(F.col("input") == "revenue", F.col("type"))).alias("revenue_type"),
     )
@@ -235,7 +236,7 @@ def metric_decisions(audited: DataFrame) -> DataFrame:
 def metric_coverage_grid(metrics: DataFrame, codes=STRICT_CODES) -> DataFrame:
     """Every entity's periods and key metrics: calculated, derived or missing."""
     grid = metrics.select("entity", "period").distinct().select("entity", "period", F.explode(F.array(*map(F.lit, codes))).alias("metric_code"))
-    rows = grid.join(metrics.select("entity", "period", "metric_code", "value", "quality_flag"), ["entity", "period", "metric_code"], "left")
+    rows = grid.join(metrics.select("entity", "period", "metric_code", "value", "quality_flag").hint("merge"), ["entity", "period", "metric_code"], "left")
     return rows.select("entity", "period", "metric_code", F.when(F.col("value").isNull(), "missing").when(F.col("quality_flag") == "derived", "derived").otherwise("calculated").alias("status"))
 
 
@@ -267,7 +268,7 @@ def fact_priorities(audited: DataFrame, facts: DataFrame) -> DataFrame:
     """Per (entity, fact that isn't there): the metrics and periods it would unlock and a score, best first."""
     inputs = F.create_map(*[x for code, names in AUDIT_INPUTS.items() for x in (F.lit(code), F.array(*map(F.lit, names)))])
     wanted = audited.where(F.col("status") == "missing").select("entity", "period", "metric_code", F.explode(F.try_element_at(inputs, F.col("metric_code"))).alias("fact"))
-    gaps = wanted.join(facts.select("entity", "period", F.col("metric_code").alias("fact")), ["entity", "period", "fact"], "left_anti")
+    gaps = wanted.join(facts.select("entity", "period", F.col("metric_code").alias("fact")).hint("merge"), ["entity", "period", "fact"], "left_anti")
     rows = gaps.groupBy("entity", "fact").agg(F.countDistinct("metric_code").alias("metrics"), F.countDistinct("period").alias("periods"), F.array_join(F.array_sort(F.collect_set("metric_code")), ",").alias("unlocks"))
     return rows.withColumn("score", 4 * F.col("metrics") + 2 * F.col("periods"))
 

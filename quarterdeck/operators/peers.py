@@ -36,7 +36,7 @@ def comparison_table(peers: DataFrame, ratios: DataFrame, period: str, codes) ->
     members = peers.select("target", F.col("peer").alias("entity"), F.lit("peer").alias("role")).unionByName(peers.select("target", F.col("target").alias("entity"), F.lit("target").alias("role")).distinct())
     grid = members.select("*", F.explode(F.array(*map(F.lit, codes))).alias("metric_code"))
     known = ratios.where(F.col("period") == period).select("entity", "metric_code", "value", "status")
-    return grid.join(known, ["entity", "metric_code"], "left").select("target", "entity", "role", "metric_code", "value", F.coalesce("status", F.lit("metric_missing")).alias("status"))
+    return grid.join(known.hint("merge"), ["entity", "metric_code"], "left").select("target", "entity", "role", "metric_code", "value", F.coalesce("status", F.lit("metric_missing")).alias("status"))
 
 
 def comparison_readiness(table: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def blocker_summary(items: DataFrame, priority: dict[str, int]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("blocker").orderBy("entity"))
     sample = rows.withColumn("p", place).where("p <= 5").groupBy("blocker").agg(F.array_join(F.array_sort(F.collect_list("entity")), ",").alias("sample"))
     counts = rows.groupBy("blocker").agg(F.count(F.lit(1)).alias("entities"))
-    return counts.join(sample, "blocker").withColumn("priority", order)
+    return counts.join(sample.hint("merge"), "blocker").withColumn("priority", order)
 
 
 def coverage_level(summary: DataFrame) -> DataFrame:

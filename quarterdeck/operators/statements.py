@@ -384,3 +384,66 @@ def download_acceptance(candidates: DataFrame) -> DataFrame:
         .when(role == "financial_statements", F.when(~statements, "document_role_not_financial_statements")).when(role.isin("annual_report", "issuer_report", "press_release"), F.when(~whole, "embedded_financial_statements_not_proven")).otherwise("unsupported_source_role")
     )
     return candidates.withColumns({"accepted": reason.isNull(), "reason": reason})
+
+
+# Titles that show a statement on a page whose tables are weak.
+RECOVERY_TITLES = ("consolidated statement of profit or loss", "statement of comprehensive income", "отчет о прибылях и убытках", "statement of financial position", "balance sheet", "statement of cash flows", "cash flows from operating activities", "statement of changes in equity")
+
+
+def pages_needing_recovery(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """document_id, page, family, needs: whether an IFRS page's statement must be taken from its text.
+
+    pages: document_id, page, text, reporting_standard; tables: document_id, page, statement_type, strong (has a row
+    with a label and values).  A page that is a statement needs it if no table of its family is there, or none is
+    strong while a line of two values or a title is; an unclassified one only if a table is weak and such a line exists.
+    """
+    t, raw = matching_text(F.col("text")), F.col("text")
+    number = r"\(?-?\d{1,3}(?:[ ,]\d{3})*(?:[.,]\d+)?\)?"
+    line = F.exists(F.split(raw, "\n"), lambda x: x.rlike(rf"^\s*\p{{L}}\S*\s+\p{{L}}.*?\s{{2,}}{number}\s{{2,}}{number}\s*$"))
+    shown = with_statement_family(pages).withColumns({"apart": is_contents_page(t) | contains_any(t, NOTES) | contains_any(t, AUDITOR), "line": F.coalesce(line, F.lit(False)), "title": contains_any(t, RECOVERY_TITLES)})
+    mine = tables.groupBy("document_id", "page").agg(F.collect_set("statement_type").alias("types"), F.collect_set(F.when(F.col("strong"), F.col("statement_type"))).alias("firm"), F.bool_or(~F.col("strong")).alias("weak"))
+    rows = shown.join(mine.hint("merge"), ["document_id", "page"], "left")
+    family = F.col("primary_family")
+    has = lambda c: F.coalesce(F.array_contains(c, family), F.lit(False))
+    needs = F.when((F.upper("reporting_standard") != "IFRS") | F.col("apart"), False).when(family == "unknown", F.coalesce(F.col("weak"), F.lit(False)) & F.col("line"))
+    needs = needs.when(~has("types"), True).when(has("firm"), False).otherwise(F.col("line") | F.col("title"))
+    return rows.select("document_id", "page", family.alias("family"), needs.alias("needs"))
+
+
+def methodology_notes(metrics: DataFrame, notes: DataFrame) -> DataFrame:
+    """metrics (entity, metric_code, inputs, warnings, ...) with the notes of their entity added once.
+
+    notes: entity, metrics (array), input, note: a note holds for its metrics and for any that uses its input.
+    """
+    rules = notes.groupBy("entity").agg(F.collect_list(F.struct("metrics", "input", "note")).alias("rules"))
+    fits = F.filter(F.coalesce("rules", F.array().cast(rules.schema["rules"].dataType)), lambda r: F.array_contains(r["metrics"], F.col("metric_code")) | F.array_contains(F.col("inputs"), r["input"]))
+    return metrics.join(rules.hint("merge"), "entity", "left").withColumn("warnings", F.array_union("warnings", F.transform(fits, lambda r: r["note"]))).drop("rules")
+
+
+def source_candidates(candidates: DataFrame, domains: list[str], limit: int = 10) -> DataFrame:
+    """The best candidates of each query with their trust; whether one may be taken by itself.
+
+    candidates: q, entity, provider, url (may be null), confidence.  A domain off the list is rejected; where a query
+    matches several entities, all are ambiguous.  Order: confidence, provider, url, all descending.
+    """
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    several = F.size(F.collect_set("entity").over(Window.partitionBy("q"))) > 1
+    rows = candidates.withColumn("trust", F.when(F.col("url").isNotNull() & ~F.coalesce(host.isin(*domains), F.lit(False)), "rejected").when(several, "ambiguous").otherwise("trusted_candidate"))
+    rows = rows.withColumn("several", several).where(F.col("trust") != "rejected")
+    order = Window.partitionBy("q").orderBy(F.desc("confidence"), F.desc("provider"), F.desc(F.coalesce("url", F.lit(""))), "entity")
+    kept = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    alone = F.count(F.lit(1)).over(Window.partitionBy("q")) == 1
+    return kept.select("q", "entity", "provider", "url", "trust", "place", (alone & ~F.col("several") & (F.col("confidence") >= 0.85)).alias("auto_select"))
+
+
+def catalog_summary(companies: DataFrame, reports: DataFrame, download: bool = True) -> DataFrame:
+    """entity, status (PASS, PARTIAL, BLOCKED) and counts of a catalogue's companies.
+
+    companies: entity, page_status; reports: entity, source_role, downloaded, validated (one row a candidate).
+    """
+    found = reports.groupBy("entity").agg(F.count(F.lit(1)).alias("candidates"), F.bool_or(F.col("source_role") == "financial_statements").alias("statements"), F.count_if(F.col("downloaded")).alias("downloads"), F.count_if(F.col("validated")).alias("valid"))
+    rows = companies.join(found.hint("merge"), "entity", "left").fillna(0, ["candidates", "downloads", "valid"]).fillna(False, ["statements"])
+    best = F.when(F.col("statements"), "PASS").otherwise("PARTIAL")
+    status = F.when((F.col("page_status") == "BLOCKED") | (F.col("candidates") == 0), "BLOCKED")
+    status = status.when(F.col("valid") > 0, best).when(F.col("downloads") > 0, "PARTIAL").otherwise("BLOCKED") if download else status.otherwise(best)
+    return rows.select("entity", status.alias("status"), "candidates", "downloads", "valid", ((F.col("page_status") == "PASS") & (F.col("candidates") == 0)).alias("requires_js_adapter"), (F.col("valid") == 0).alias("requires_manual_upload"))

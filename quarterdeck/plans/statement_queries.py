@@ -305,3 +305,55 @@ def c13_download_acceptance(spark, sf_dir):
         F.when(k % 3 == 0, "financial_statements").when(k % 3 == 1, "annual_report").otherwise("blog").alias("source_role"), F.when(k % 2 == 0, "press_release").otherwise("financial_statements").alias("detected_role"), markers.alias("markers"),
     )
     return R.download_acceptance(rows).select("o_orderkey", "accepted", "reason")
+
+
+@query(
+    "select doc_id document_id, page, family, case when std <> 'IFRS' or apart then false when family = 'unknown' then k = 2 and line when k = 0 or k = 2 and family = 'cash_flow' then true when k = 1 then false else line or title end needs from (select *, (doc_id // 32) % 3 k, doc_id % 9 page, doc_id % 2 = 0 line,"
+    f" {TOC_SQL} or {NOTES_SQL} or {AUDIT_SQL} apart, " + _has("t", "consolidated statement of profit or loss", "statement of comprehensive income", "отчет о прибылях и убытках", "statement of financial position", "balance sheet", "statement of cash flows", "cash flows from operating activities", "statement of changes in equity") + " title,"
+    f" case when t = '' or {TOC_SQL} or {NOTES_SQL} or {AUDIT_SQL} then 'unknown' {RAS_SQL} when {B_TITLE} and {B_ROWS} then 'balance_sheet' when {I_TITLE} and {I_ROWS} then 'income_statement' when {CASH_SQL} then 'cash_flow' else 'unknown' end family from (select * exclude (t), trim(t || case when doc_id % 2 = 0 then ' other items 1 234 567' else '' end) t from plain))",
+    PAGES,
+)
+def t36_pages_needing_recovery(spark, sf_dir):
+    k = F.floor(F.col("doc_id") / 32) % 3
+    text = F.concat(_pick(TITLES, F.col("doc_id") % 16), F.lit(" "), F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, "\nOther items  1 234  567").otherwise(""))
+    docs = S.table(spark, sf_dir, "documents")
+    pages = docs.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 9).alias("page"), text.alias("text"), F.when(F.floor(F.col("doc_id") / 16) % 2 == 0, "IFRS").otherwise("RAS").alias("reporting_standard"))
+    kinds = F.explode(F.array(*map(F.lit, ("balance_sheet", "income_statement", "cash_flow")))).alias("statement_type")
+    tables = docs.where(k > 0).select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 9).alias("page"), (k == 1).alias("strong"), k.alias("k"), kinds)
+    return R.pages_needing_recovery(pages, tables.where((F.col("k") == 1) | (F.col("statement_type") != "cash_flow")).drop("k"))
+
+
+@query("select entity, period, metric_code, 'a' || case when nation % 2 = 0 and metric_code = 'capex' then ',second' else '' end || case when nation % 3 = 0 and metric_code in ('capex', 'revenue', 'net_income', 'total_debt') then ',segment capex' else '' end warnings from facts", FACTS)
+def m21_methodology_notes(spark, sf_dir):
+    code = F.col("metric_code")
+    rows = S.facts(spark, sf_dir).select("entity", "period", "metric_code", F.when(code.isin("net_income", "total_debt"), F.array(F.lit("capex_input"))).otherwise(F.array(F.lit("x"))).alias("inputs"), F.array(F.lit("a")).alias("warnings"))
+    nations = S.table(spark, sf_dir, "nation")
+    first = nations.where("n_nationkey % 3 = 0").select(F.concat(F.lit("N"), "n_nationkey").alias("entity"), F.array(F.lit("capex"), F.lit("revenue")).alias("metrics"), F.lit("capex_input").alias("input"), F.lit("segment capex").alias("note"))
+    second = nations.where("n_nationkey % 2 = 0").select(F.concat(F.lit("N"), "n_nationkey").alias("entity"), F.array(F.lit("capex")).alias("metrics"), F.lit("none").alias("input"), F.lit("second").alias("note"))
+    out = R.methodology_notes(rows, first.unionByName(second))
+    return out.select("entity", "period", "metric_code", F.array_join(F.array_sort("warnings"), ",").alias("warnings"))
+
+
+CANDS = "cands as (select o_custkey % 200 q, case when o_custkey % 200 % 3 = 0 then o_custkey else o_custkey % 200 end entity, ['registry','exchange','issuer'][o_orderkey % 3 + 1] provider, case when o_orderkey % 5 = 0 then null when o_orderkey % 7 = 0 then 'bad.example' else 'good.example' end host, o_orderkey k, (o_orderkey % 11) / 10.0 confidence from orders)"
+
+
+@query(
+    "select q, entity, provider, case when host is not null then 'https://' || host || '/' || k end url, case when n > 1 then 'ambiguous' else 'trusted_candidate' end trust, place, count(*) over (partition by q) = 1 and n = 1 and confidence >= 0.85 auto_select from (select *, row_number() over (partition by q order by confidence desc, provider desc, coalesce('https://' || host || '/' || k, '') desc, entity) place from (select c.*, n from cands c join (select q, count(distinct entity) n from cands group by q) using (q)) where host is null or host = 'good.example') where place <= 10",
+    CANDS,
+)
+def c11_source_candidates(spark, sf_dir):
+    o, q = F.col("o_orderkey"), F.col("o_custkey") % 200
+    url = F.when(o % 5 != 0, F.concat(F.when(o % 7 == 0, "https://bad.example/").otherwise("https://good.example/"), o))
+    rows = S.table(spark, sf_dir, "orders").select(q.alias("q"), F.when(q % 3 == 0, F.col("o_custkey")).otherwise(q).alias("entity"), _pick(("registry", "exchange", "issuer"), o % 3).alias("provider"), url.alias("url"), ((o % 11) / 10).alias("confidence"))
+    return R.source_candidates(rows, ["good.example"])
+
+
+@query(
+    "select c_custkey entity, case when c_custkey % 7 = 0 or n = 0 then 'BLOCKED' when v > 0 then case when fs then 'PASS' else 'PARTIAL' end when d > 0 then 'PARTIAL' else 'BLOCKED' end status, n candidates, d downloads, v valid, c_custkey % 7 <> 0 and n = 0 requires_js_adapter, v = 0 requires_manual_upload"
+    " from (select c_custkey, count(o_orderkey) n, coalesce(bool_or(o_orderkey % 3 = 0), false) fs, count(*) filter (o_orderkey % 2 = 0) d, count(*) filter (o_orderkey % 4 = 0) v from customer left join orders on o_custkey = c_custkey and o_orderkey % 5 = 0 group by c_custkey)"
+)
+def c12_catalog_summary(spark, sf_dir):
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    companies = S.table(spark, sf_dir, "customer").select(k.alias("entity"), F.when(k % 7 == 0, "BLOCKED").otherwise("PASS").alias("page_status"))
+    reports = S.table(spark, sf_dir, "orders").where(o % 5 == 0).select(F.col("o_custkey").alias("entity"), F.when(o % 3 == 0, "financial_statements").otherwise("press_release").alias("source_role"), (o % 2 == 0).alias("downloaded"), (o % 4 == 0).alias("validated"))
+    return R.catalog_summary(companies, reports)
