@@ -8,7 +8,7 @@ import zipfile
 
 
 #: Bytes of an Arrow batch where the session keeps Spark's own bound: 10,000 long texts at once would fill a Python worker.
-SPARKS_BOUND, BATCH_BYTES = "67108864b", 8 << 20
+SPARKS_BOUND, BATCH_BYTES = "67108864b", 4 << 20
 
 
 def ship(spark) -> None:
