@@ -83,15 +83,26 @@ def in_slots(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
-def only_slots(df: DataFrame, hashes: DataFrame, bits: int = 24) -> DataFrame:
-    """Rows of df whose column h may be in the column h of hashes, without h; df's h must be its last column."""
+def only_slots(df: DataFrame, hashes: DataFrame, bits: int = 24, *, once: bool = False) -> DataFrame:
+    """Rows of df whose column h may be in the column h of hashes, without h; df's h must be its last column.
+
+    once: of rows equal in the first column a task passes on the first.
+    """
     table = df.sparkSession.sparkContext.broadcast(slots(hashes, bits))
     schema = T.StructType(df.schema.fields[:-1])
 
     def run(batches):
+        seen: set = set()
         for batch in batches:
             h = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(in_slots(table.value, h, bits)))
+            keep = in_slots(table.value, h, bits)
+            for k in np.flatnonzero(keep) if once else ():
+                key = batch.column(0)[k].as_py()
+                keep[k] = key not in seen
+                seen.add(key)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep))
 
     return df.mapInArrow(settled(run), schema)
 
@@ -139,7 +150,7 @@ def settled(run):
     def inner(batches):
         began = time.monotonic()
         yield from run(batches)
-        if time.monotonic() - began > 0.5:
+        if time.monotonic() - began > 0.2:
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc

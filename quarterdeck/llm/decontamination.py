@@ -234,7 +234,7 @@ def _searched(batches, column: int, folder: str, blocks: int, options: dict):
             index = _index(folder, block, tuple(sorted(options.items())))
             for batch, mine in zip(held, hits):
                 _, offsets = text_buffers(batch.column(column))
-                for i, j in pieces(offsets):
+                for i, j in pieces(offsets, 1 << 20):
                     for k, found in enumerate(index.search(batch.column(column).slice(i, j - i).to_pylist())):
                         mine[i + k] += [(index.ids[item], d, len(index.texts[item])) for item, d in sorted(found.items())]
         yield from zip(held, hits)
@@ -242,7 +242,7 @@ def _searched(batches, column: int, folder: str, blocks: int, options: dict):
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= RUN_BYTES:
+        if blocks == 1 or size >= RUN_BYTES:
             yield from flush()
             held, size = [], 0
     yield from flush()

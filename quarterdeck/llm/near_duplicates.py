@@ -209,20 +209,9 @@ def signed(docs: DataFrame, sampler) -> DataFrame:
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of nodes (nd_text, node): only their texts are shuffled, an often repeated one once a task."""
 
-    def first(batches):
-        seen: set = set()
-        for batch in batches:
-            fresh = []
-            for key in batch.column(0).to_pylist():
-                fresh.append(key not in seen)
-                seen.add(key)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield batch.filter(pa.array(fresh, pa.bool_()))
-
     h = F.xxhash64("nd_text").alias("h")
-    likely = only_slots(_keyed(docs).where(F.length("nd_text") > 0).select("nd_text", "text", h), nodes.select(h))
-    once = likely.mapInArrow(settled(first), likely.schema).groupBy("nd_text").agg(F.first("text").alias("text"))
+    likely = only_slots(_keyed(docs).where(F.length("nd_text") > 0).select("nd_text", "text", h), nodes.select(h), once=True)
+    once = likely.groupBy("nd_text").agg(F.first("text").alias("text"))
     return once.join(nodes.hint("merge"), "nd_text").select("node", "text")
 
 
