@@ -12,14 +12,16 @@ and length; they are counted on their way, and the groups count the nodes below
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, pieces, release, settled, text_buffers, written
+from .common import LOWER, mix64, release, settled, text_buffers, written
 
 MIN_COUNT, DEPTH, TOP = 10, 3, 2000
 #: Suffixes of a group, half of which its prefixes hold on average, and least number of groups.
@@ -36,13 +38,13 @@ _STRETCH = 1 << 20
 
 
 def _tokens(text: bytes):
-    """Lower-cased words of a text, with a line feed between its pieces; empty tokens are to be skipped."""
+    """Lists of lower-cased words of a text, with a line feed between its pieces; empty tokens are to be skipped."""
     text, at = text.translate(_MAP), 0
     while at < len(text):
         end = min(at + _STRETCH, len(text))
         while end < len(text) and text[end] not in (32, 10):
             end += 1
-        yield from text[at:end].replace(b"\n", b" \n ").split(b" ")
+        yield text[at:end].replace(b"\n", b" \n ").split(b" ")
         at = end
 
 
@@ -54,22 +56,25 @@ class _Counter:
         self.clear()
 
     def clear(self) -> None:
-        self.table = {b"": 0, b"\n": 1}
+        numbers = count()
+        self.table = defaultdict(numbers.__next__)
+        self.table[b""], self.table[b"\n"]  # numbers 0 and 1
         self.parts: dict[str, list[np.ndarray]] = {}
         self.size = 0
 
     def add(self, lang: str, text: bytes) -> None:
-        table = self.table
-        ids = np.fromiter((table.setdefault(w, len(table)) for w in _tokens(text)), np.int32)
-        part = np.append(ids[ids > 0], np.int32(1))
-        self.parts.setdefault(lang, []).append(part)
-        self.size += len(part)
+        parts = self.parts.setdefault(lang, [])
+        for tokens in _tokens(text):
+            ids = np.fromiter(map(self.table.__getitem__, tokens), np.int32, len(tokens))
+            parts.append(ids[ids > 0])
+            self.size += len(parts[-1])
+        parts.append(np.ones(1, np.int32))
 
     def full(self) -> bool:
         return self.size >= _WORDS or len(self.parts) >= _HELD
 
     def counted(self):
-        """(language, phrases, counts) of the texts so far; suffixes at the end of a piece are shorter."""
+        """(language, words, columns of word numbers, counts) of the texts so far; after a piece's end the number is 1."""
         words = np.array(list(self.table), object)
         for lang, parts in self.parts.items():
             x = np.concatenate(parts)
@@ -80,123 +85,166 @@ class _Counter:
             for k in range(1, self.depth):
                 nxt = np.append(x, np.ones(k, np.int32))[at + k]
                 rows.append(np.where((rows[-1] > 1) & (nxt > 1), nxt, 1))
-            if len(words) < 1 << _BITS and self.depth <= 3:
-                key = rows[0].astype(np.int64)
-                for r in rows[1:]:
-                    key = key << _BITS | r
-                key, n = np.unique(key, return_counts=True)
-                mask = (1 << _BITS) - 1
-                columns = [(key >> _BITS * (self.depth - 1 - k)) & mask for k in range(self.depth)]
-            else:
-                order = np.lexsort(rows[::-1])
-                columns = [r[order] for r in rows]
-                new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-                first = np.concatenate([[0], np.flatnonzero(new) + 1])
-                n = np.diff(np.append(first, len(order)))
-                columns = [c[first] for c in columns]
-            text = words[columns[0]]
-            for c in columns[1:]:
-                more = c > 1
-                text[more] = text[more] + b" " + words[c[more]]
-            yield lang, text, n
+            columns, n, _ = _summed(rows)
+            yield lang, words, columns, n
         self.clear()
 
 
-def _phrase_rows(docs: DataFrame, depth: int, only: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, n): suffixes cut to depth words, counted a task's run of text at a time; only: hashes of the first
-    words of those wanted."""
-    wanted = docs.sparkSession.sparkContext.broadcast(only) if only is not None else None
+def _summed(columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct rows of columns of small numbers, in order, with their counts (or the sums of n) and a place of each."""
+    if len(columns) <= 3 and max(int(c.max()) for c in columns) < 1 << _BITS:
+        key = columns[0].astype(np.int64)
+        for c in columns[1:]:
+            key = key << _BITS | c
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    else:
+        order = np.lexsort(columns[::-1])
+        rows = [c[order] for c in columns]
+        first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in rows], axis=0)]))
+    total = np.diff(np.append(first, len(order))) if n is None else np.add.reduceat(n[order], first)
+    at = order[first]
+    return [c[at] for c in columns], total, at
+
+
+def _joined(words: np.ndarray, columns: list[np.ndarray]) -> list[bytes]:
+    """The phrases of rows of word numbers, all of the same length."""
+    text = words[columns[0]]
+    for c in columns[1:]:
+        text = text + b" " + words[c]
+    return text.tolist()
+
 
-    def emitted(counter):
-        for lang, text, n in counter.counted():
-            if wanted is not None:
-                heads = [t.split(b" ", 1)[0] for t in text]
-                keep = np.isin(_hashes(lang, heads), wanted.value) & np.array([len(t) > len(h) for t, h in zip(text, heads, strict=True)])
-                text, n = text[keep], n[keep]
-            for k in range(0, len(text), 50_000):
-                some = pa.array(text[k : k + 50_000].tolist(), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[k : k + 50_000], pa.int64())], names=["lang", "phrase", "n"])
+def _counters(docs: DataFrame, depth: int, emitted, schema: str) -> DataFrame:
+    """What emitted makes of each run of text: a function of (language, words, columns, counts)."""
 
     def run(batches):
         counter = _Counter(depth)
+
+        def flush():
+            for found in counter.counted():
+                yield from emitted(*found)
+
         for batch in batches:
             langs = batch.column(0).to_pylist()
             data, offsets = text_buffers(batch.column(1))
-            for i, j in pieces(offsets):
-                for k in range(i, j):
-                    counter.add(langs[k], data[offsets[k] : offsets[k + 1]].tobytes())
-                    if counter.full():
-                        yield from emitted(counter)
-        yield from emitted(counter)
+            for k in range(len(langs)):
+                counter.add(langs[k], data[offsets[k] : offsets[k + 1]].tobytes())
+                if counter.full():
+                    yield from flush()
+        yield from flush()
 
     named = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    return named.mapInArrow(settled(run), "lang string, phrase string, n long")
+    return named.mapInArrow(settled(run), schema)
+
 
+_PHRASES = "lang string, phrase string, n long"
 
-def _hashes(lang: str, prefixes) -> np.ndarray:
+
+def _phrase_rows(docs: DataFrame, depth: int, only: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, n) of phrases of depth words, a task's run of text at a time; only: hashes of the words that they
+    consist of."""
+    wanted = docs.sparkSession.sparkContext.broadcast(only) if only is not None else None
+
+    def emitted(lang, words, columns, n):
+        keep = columns[-1] > 1
+        if wanted is not None:
+            known = np.isin(_hashes(lang, words), wanted.value)
+            for c in columns:
+                keep = keep & known[c]
+        columns, n = [c[keep] for c in columns], n[keep]
+        for k in range(0, len(n), 50_000):
+            some = pa.array(_joined(words, [c[k : k + 50_000] for c in columns]), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[k : k + 50_000], pa.int64())], names=["lang", "phrase", "n"])
+
+    return _counters(docs, depth, emitted, _PHRASES)
+
+
+def _hashes(lang: str, words) -> np.ndarray:
     head = lang.encode() + b"\n"
-    return np.fromiter((xxhash.xxh64_intdigest(head + p) for p in prefixes), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(head + w) for w in words), np.uint64, len(words))
+
+
+def _extended(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a prefix and the word that follows it."""
+    return mix64(prefix * np.uint64(3) + word)
 
 
 def _large(prefixes: DataFrame) -> np.ndarray:
     """Hashes of prefixes (lang, phrase), of which there are few: each holds a share of a group."""
-    rows = prefixes.select("lang", "phrase").collect()
-    found = [_hashes(r["lang"], [r["phrase"].encode()]) for r in rows]
+    found = []
+    for r in prefixes.select("lang", "phrase").collect():
+        h = _hashes(r["lang"], r["phrase"].encode().split(b" "))
+        key = h[:1]
+        for k in range(1, len(h)):
+            key = _extended(key, h[k : k + 1])
+        found.append(key)
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _grouped(suffixes: DataFrame, large: list[np.ndarray], groups: int) -> DataFrame:
-    """suffixes with the group of their prefix (its first words, one more while those before are large) and its words in
-    number: shorter nodes are large, and were counted before."""
-    wanted = suffixes.sparkSession.sparkContext.broadcast(large)
+def _grouped(docs: DataFrame, depth: int, large: list[np.ndarray], groups: int) -> DataFrame:
+    """(group, lang, words, ids, n, top): the suffixes of a run of text, one row a group that has any.
 
-    def run(batches):
-        for batch in batches:
-            langs, phrases = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            words = [p.split(b" ") for p in phrases]
-            heads = [lang.encode() + b"\n" for lang in langs]
-            prefix = [h + w[0] for h, w in zip(heads, words, strict=True)]
-            h = np.fromiter(map(xxhash.xxh64_intdigest, prefix), np.uint64, len(prefix))
-            top, open_ = np.ones(len(prefix), np.int8), np.arange(len(prefix))
-            for k, large in enumerate(wanted.value, 1):
-                open_ = open_[np.isin(h[open_], large)]
-                top[open_] = k + 1
-                open_ = np.array([i for i in open_ if len(words[i]) > k], np.int64)
-                for i in open_:
-                    prefix[i] += b" " + words[i][k]
-                    h[i] = xxhash.xxh64_intdigest(prefix[i])
-            group = (h % np.uint64(groups)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(top), *batch.columns], names=["group", "top", "lang", "phrase", "n"])
-
-    return suffixes.mapInArrow(settled(run), "group int, top byte, lang string, phrase string, n long")
+    The group is that of the suffix's prefix: its first word, and one more while those before are large; top is the
+    prefix's length, as shorter nodes are large and were counted before.  words: the distinct words, a line each; ids: three
+    columns of their numbers from 1 on (0: no word), n: counts, top: lengths, as arrays of whole numbers.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(large)
+
+    def emitted(lang, words, columns, n):
+        h = _hashes(lang, words)
+        prefix, top, at = h[columns[0]], np.ones(len(n), np.uint8), np.arange(len(n))
+        for k, some in enumerate(wanted.value, 1):
+            at = at[np.isin(prefix[at], some)]
+            top[at] = k + 1
+            at = at[columns[k][at] > 1] if k < depth else at[:0]
+            prefix[at] = _extended(prefix[at], h[columns[k][at]])
+        group = (prefix % np.uint64(groups)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        edge = np.flatnonzero(np.diff(group[order], prepend=-1))
+        for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
+            rows = order[a:b]
+            ids = np.stack([c[rows] for c in columns])
+            used, number = np.unique(np.append(ids.ravel(), 1), return_inverse=True)  # 1, no word, is the least
+            number = number[:-1].astype("<u2" if len(used) < 1 << 16 else "<u4")
+            yield pa.RecordBatch.from_pydict({
+                "group": pa.array([group[rows[0]]], pa.int32()), "lang": [lang], "words": pa.array([b"\n".join(words[used[1:]])], pa.binary()), "ids": pa.array([number.tobytes()], pa.binary()),
+                "n": pa.array([n[rows].astype("<u4").tobytes()], pa.binary()), "top": pa.array([top[rows].tobytes()], pa.binary()),
+            })
+
+    return _counters(docs, depth, emitted, "group int, lang string, words binary, ids binary, n binary, top binary")
 
 
 def _subtrees(depth: int, least: int):
-    """Function of a group's leaves (lang, phrase, n) that gives its nodes of 2 and more words that occur least times."""
+    """Function of a group's leaves (rows of _grouped) that gives its nodes of 2 and more words that occur least times."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.select(["lang", "phrase", "n", "top"]).sort_by([("lang", "ascending"), ("phrase", "ascending")])
-        lang, leaf = table["lang"].combine_chunks(), table["phrase"].combine_chunks()
-        n, top = table["n"].to_numpy(), table["top"].to_numpy()
-        new_lang = np.asarray(pc.not_equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False), bool) if len(lang) > 1 else np.zeros(0, bool)
-        words = pc.split_pattern(leaf, " ")
-        size = np.asarray(pc.list_value_length(words))
+        langs: dict[str, tuple] = {}
+        for r in table.to_batches():
+            for lang, words, ids, n, top in zip(*(r.column(c).to_pylist() for c in ("lang", "words", "ids", "n", "top")), strict=True):
+                numbers, parts = langs.setdefault(lang, (defaultdict(count(2).__next__), []))
+                words = words.split(b"\n")
+                known = np.concatenate([[1], np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))])
+                rows = len(top)
+                ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * depth * rows else "<u4").reshape(depth, rows)
+                parts.append((known[ids], np.frombuffer(n, "<u4").astype(np.int64), np.frombuffer(top, np.uint8)))
         out = []
-        for k in range(2, depth + 1):
-            at = np.flatnonzero((size >= k) & (top <= k))  # leaves below a node of k words
-            if not len(at):
-                continue
-            taken = pa.array(at)
-            node = pc.binary_join(pc.list_slice(words.take(taken), 0, k), " ")
-            cut = np.ones(len(at), bool)
-            if len(at) > 1:
-                other = np.asarray(pc.not_equal(node[1:], node[:-1]).to_numpy(zero_copy_only=False), bool)
-                line = np.concatenate([[0], np.cumsum(new_lang)])[at]
-                cut[1:] = other | (line[1:] != line[:-1])
-            first = np.flatnonzero(cut)
-            total = np.add.reduceat(n[at], first)
-            keep = first[total >= least]
-            out.append(pa.table({"lang": lang.take(taken.take(pa.array(keep))), "phrase": node.take(pa.array(keep)), "n": pa.array(total[total >= least])}))
+        for lang, (numbers, parts) in langs.items():
+            words = np.array([b"", b"", *numbers], object)
+            ids, n, top = (np.concatenate([p[k] for p in parts], axis=-1) for k in range(3))
+            leaves, total, at = _summed(list(ids), n)
+            top = top[at]  # one of a suffix, as its prefix decides
+            for k in range(2, depth + 1):
+                below = (leaves[k - 1] > 1) & (top <= k)  # leaves below a node of k words, which stand together
+                if not below.any():
+                    continue
+                node = [c[below] for c in leaves[:k]]
+                first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in node], axis=0)]))
+                sums = np.add.reduceat(total[below], first)
+                keep = sums >= least
+                text = pa.array(_joined(words, [c[first[keep]] for c in node]), pa.binary()).cast(pa.string()) if keep.any() else pa.array([], pa.string())
+                out.append(pa.table({"lang": pa.array([lang] * len(text), pa.string()), "phrase": text, "n": pa.array(sums[keep], pa.int64())}))
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
         return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
 
@@ -217,15 +265,14 @@ def phrase_counts(docs: DataFrame, *, depth: int = DEPTH, least: int = MIN_COUNT
     groups = max(groups, -(-2 * total // budget))
     limit = max(total // (4 * groups), 1)
     large, counted = [_large(words.where(F.col("n") > limit))], []
-    for k in range(2, depth):  # prefixes of k words, of those whose first word is large
+    for k in range(2, depth):  # prefixes of k words, all of which are large themselves
         if not len(large[-1]):
             break
-        longer = _phrase_rows(docs, k, large[0]).where(F.size(F.split("phrase", " ")) == k).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        longer = _phrase_rows(docs, k, large[0]).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
         counted.append(written(longer.where(F.col("n") > limit), "phrase-prefixes"))
         large.append(_large(counted[-1]))
-    suffixes = _grouped(_phrase_rows(docs, depth), large, groups)
-    leaves = suffixes.repartition("group").groupBy("group")
-    phrases = leaves.applyInArrow(_subtrees(depth, least), "lang string, phrase string, n long")
+    leaves = _grouped(docs, depth, large, groups).repartition("group").groupBy("group")
+    phrases = leaves.applyInArrow(_subtrees(depth, least), _PHRASES)
     for nodes in counted:
         phrases = phrases.unionByName(nodes.where(F.col("n") >= least))
     phrases = written(phrases, "phrases")
