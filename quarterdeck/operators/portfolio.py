@@ -15,18 +15,6 @@ FINANCIAL_MARKERS = ("exchange", "бирж", "insurance", "страх", "leasing
 CLASS_TICKERS = {"industrial_ifrs_retail": ("MGNT", "X5", "FIVE"), "industrial_ifrs_oil_gas": ("LKOH", "GAZP", "ROSN", "SIBN", "TATN", "NVTK"), "industrial_ifrs_metals_mining": ("GMKN", "PLZL", "CHMF", "MAGN", "PHOR")}
 
 
-def search_entities(registry: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """(q, entity, place): names equal to the query first, then those that hold it or that it holds, then by entity.
-
-    The registry is a dimension of companies and the queries a list of a user's; names meet queries pairwise.
-    """
-    names = registry.where("is_active").select("entity", F.explode(F.array_distinct(F.transform(F.concat(F.array("entity", "name"), "aliases"), lambda x: F.lower(F.trim(x))))).alias("n"))
-    q = queries.select("q", F.lower(F.trim("q")).alias("k")).where("k <> ''")
-    hits = names.join(q, F.col("n").contains(F.col("k")) | F.col("k").contains(F.col("n")))
-    ranked = hits.groupBy("q", "entity").agg(F.min((F.col("n") != F.col("k")).cast("int")).alias("rank"))
-    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("rank", "entity"))).where(F.col("place") <= limit)
-
-
 def resolve_entity(hits: DataFrame) -> DataFrame:
     return hits.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("e")).select("q", F.when(F.col("n") == 1, F.col("e")).alias("entity"))
 
@@ -146,14 +134,57 @@ def statement_metric_audit(audited: DataFrame) -> DataFrame:
     return audited.groupBy("entity", "metric_code").agg(F.count(F.lit(1)).alias("periods"), F.count_if(F.col("status") == "valid").alias("valid")).withColumn("share", F.round(F.col("valid") / F.col("periods"), 6))
 
 
-def match_entity_in_text(docs: DataFrame, entities: DataFrame, stopwords=("and", "the", "company", "group")) -> DataFrame:
-    """(doc_id, entity): a name of three characters or more stands in the text, or all of its two or more tokens do, or
-    its only token of five or more does.  entities: entity, name; a dimension of companies, compared with every text."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-zа-я]+", " "))
-    names = entities.select("entity", norm(F.col("name")).alias("n")).where("n <> ''")
-    names = names.withColumn("tokens", F.array_distinct(F.filter(F.split("n", " "), lambda t: (F.length(t) >= 3) & ~t.isin(*stopwords))))
-    texts = docs.select("doc_id", norm(F.col("text")).alias("t")).withColumn("words", F.array_distinct(F.split("t", " ")))
-    whole = (F.length("n") >= 3) & F.col("t").contains(F.col("n"))
-    every = (F.size("tokens") >= 2) & (F.size(F.array_except("tokens", "words")) == 0)
-    single = (F.size("tokens") == 1) & (F.length(F.col("tokens")[0]) >= 5) & F.array_contains("words", F.col("tokens")[0])
-    return texts.join(names.hint("broadcast"), whole | every | single).select("doc_id", "entity")
+# Levels that make a company's main status, and what a blocker asks for.
+MAIN_STATUS = {"FULL_STATEMENT_READY": "READY", "PARTIAL_STATEMENT_READY": "PARTIAL"}
+ACTIONS = {
+    "missing_fy_report": "Improve FY/12M source acquisition, provider access, or use manual upload fallback for an official FY report.",
+    "image_only_primary_statement_pages": "Design OCR/table-image extraction or obtain an alternative machine-readable official source.",
+}
+READY_ACTION = "Package current official pipeline, comparison evidence, and scoped readiness for demo/API presentation."
+
+
+def portfolio_companies(coverage: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row a company: main_status, coverage_level, outputs, blockers, notes and recommended_action.
+
+    coverage: entity, coverage_level, blockers (array), main_blocker, outputs (array), next_action; evidence: entity and counts
+    statement_tables, fact_candidates, matched_facts, manual_documents, candles, peers, compared_metrics, of which any may
+    be null.  Companies without evidence keep what coverage says; a company of a level that isn't ready is blocked.
+    """
+    rows = coverage.hint("merge").join(evidence.hint("merge"), "entity", "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+    none = F.array().cast("array<string>")
+    found = F.array_compact(F.array(
+        F.when(has("statement_tables"), "statement_tables"), F.when(has("statement_tables"), "dataframe_artifacts"), F.when(has("fact_candidates"), "fact_candidates"), F.when(has("matched_facts"), "fact_candidate_comparison"),
+        F.when(has("manual_documents"), "manual_document_analysis"), F.when(has("candles"), "market_technical_analysis"), F.when(has("peers"), "peer_selection"), F.when(has("compared_metrics"), "peer_comparison_report"),
+    ))
+    status = F.lit("BLOCKED")
+    for level, name in MAIN_STATUS.items():
+        status = F.when(F.col("coverage_level") == level, name).otherwise(status)
+    ready = F.col("coverage_level") == "FULL_STATEMENT_READY"
+    notes = F.array_compact(F.array(F.when(ready, "scoped_readiness_only"), F.when(has("matched_facts"), "candidates_are_audit_only"), F.when(has("manual_documents"), "manual_upload_is_lower_trust")))
+    action = F.when(ready, READY_ACTION)
+    for blocker, text in ACTIONS.items():
+        action = action.when(F.col("main_blocker") == blocker, text)
+    return rows.select(
+        "entity", status.alias("main_status"), "coverage_level", F.array_sort(F.array_distinct(F.concat(F.coalesce("outputs", none), found))).alias("outputs"), F.array_distinct(F.coalesce("blockers", none)).alias("blockers"), notes.alias("notes"),
+        action.otherwise(F.coalesce("next_action", F.lit("Review blockers."))).alias("recommended_action"),
+    )
+
+
+def portfolio_report(companies: DataFrame, sample: int = 5) -> DataFrame:
+    """(section, key, companies, entities): totals of portfolio_companies by main status, coverage level, output and blocker, and
+    over all, with the first few companies of each, by name.
+
+    All sections are counted in one pass, in which a company counts once for each of its keys.  An empty portfolio has a total of 0.
+    """
+    label = lambda name, c: F.struct(F.lit(name).alias("section"), c.alias("key"))
+    of = F.concat(
+        F.array(label("total", F.lit("companies")), label("main_status", F.col("main_status")), label("coverage_level", F.col("coverage_level"))),
+        F.transform("blockers", lambda b: label("blocker", b)), F.transform("outputs", lambda o: label("output", o)),
+    )
+    rows = companies.select("entity", F.explode(of).alias("x")).select("entity", "x.section", "x.key")
+    counts = rows.groupBy("section", "key").agg(F.count(F.lit(1)).alias("companies"))
+    place = F.row_number().over(Window.partitionBy("section", "key").orderBy("entity"))
+    first = rows.withColumn("place", place).where(F.col("place") <= sample).groupBy("section", "key").agg(F.array_join(F.array_sort(F.collect_list("entity")), ",").alias("entities"))
+    empty = companies.groupBy().agg(F.count(F.lit(1)).alias("companies")).where("companies = 0").select(F.lit("total").alias("section"), F.lit("companies").alias("key"), "companies", F.lit("").alias("entities"))
+    return counts.hint("merge").join(first.hint("merge"), ["section", "key"]).unionByName(empty)

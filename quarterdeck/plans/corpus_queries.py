@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import facts as A
 from ..operators import metrics as M
 from ..operators import portfolio as C
+from ..operators.entities import match_entity_in_text
 from ..sources import fixtures as S
 from ..sources.html import html_tables
 from .queries import AUDITED, FACTS, REGISTRY, SOURCES, _audited, query
@@ -26,13 +27,13 @@ def t1_normalize_financial_text(spark, sf_dir):
     return S.table(spark, sf_dir, "documents").select("doc_id", X.normalize_financial_text(F.col("text")).alias("text"))
 
 
-NAMES = "ents as (select item_id entity, trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^0-9a-zа-я]+', ' ', 'g')) n from benchmark), etok as (select *, list_distinct(list_filter(string_split(n, ' '), lambda t: length(t) >= 3 and t not in ('and', 'the', 'company', 'group'))) tokens from ents where n <> ''), dtok as (select doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^0-9a-zа-я]+', ' ', 'g')) t from documents)"
+NAMES = "ents as (select item_id entity, trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^0-9a-zа-я]+', ' ', 'g')) n from benchmark), etok as (select *, list_distinct(list_filter(string_split(n, ' '), lambda t: length(t) >= 3 and t not in ('ao', 'company', 'group', 'inc', 'jsc', 'llc', 'pjsc', 'public', 'the'))) tokens from ents where n <> ''), dtok as (select doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^0-9a-zа-я]+', ' ', 'g')) t from documents)"
 
 
 @query("select doc_id, entity from (select *, list_distinct(string_split(t, ' ')) words from dtok) d join etok on (length(n) >= 3 and contains(t, n)) or (len(tokens) >= 2 and list_has_all(words, tokens)) or (len(tokens) = 1 and length(tokens[1]) >= 5 and list_contains(words, tokens[1]))", NAMES)
 def t20_match_entity_in_text(spark, sf_dir):
     names = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
-    return C.match_entity_in_text(S.table(spark, sf_dir, "documents"), names)
+    return match_entity_in_text(S.table(spark, sf_dir, "documents"), names)
 
 
 @query(

@@ -10,6 +10,7 @@ from ..operators import facts as A
 from ..operators import metrics as M
 from ..operators import peers as E
 from ..operators import portfolio as C
+from ..operators.entities import search_entities
 from ..sources import fixtures as S
 from .queries import AUDITED, ELIGIBLE, ENGINE, FACTS, FROM, HISTORY, REGISTRY, STRICT, TO, WIDE, _audited, _engine, _strict, query
 
@@ -113,7 +114,7 @@ HITS = (
 def _hits(spark, sf_dir, limit=20):
     q = S.table(spark, sf_dir, "supplier").select(F.concat(F.lit("nation_"), F.col("s_nationkey") % 7).alias("q")).union(S.table(spark, sf_dir, "customer").select("c_mktsegment")).distinct()
     q = q.union(spark.createDataFrame([("N1",)], "q string"))
-    return C.search_entities(S.registry(spark, sf_dir), q, limit)
+    return search_entities(S.registry(spark, sf_dir), q, limit)
 
 
 @query("select q, entity, \"rank\", place from ranked where place <= 20", REGISTRY, HITS)

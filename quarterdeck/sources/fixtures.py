@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import once
+
 FLOWS = ("revenue", "operating_profit", "net_income", "ebitda", "operating_cash_flow", "capex")
 BALANCES = ("current_assets", "current_liabilities", "total_assets", "total_debt", "total_equity", "cash_and_equivalents")
 
@@ -14,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement facts of the tables, derived once a session: many queries read them several times."""
+    return once(spark, ("facts", sf_dir), lambda: _facts(spark, sf_dir))
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement facts in long form: sums over order lines by customer nation and quarter.
 
     Money is summed in decimals, so the order of rows doesn't matter; customers are joined by key as any table.
@@ -81,6 +88,11 @@ facts as (
 
 
 def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily candles of the tables, derived once a session."""
+    return once(spark, ("candles", sf_dir), lambda: _candles(spark, sf_dir))
+
+
+def _candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily candles by part brand: first and last unit price of the day by (order, line, part, supplier, price)."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker")), "l_partkey")
     rows = lines.select("ticker", F.col("l_shipdate").cast("date").alias("date"), F.expr("l_extendedprice / l_quantity").alias("price"), "l_quantity", F.expr("cast(l_extendedprice as decimal(12,2))").alias("ext"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
