@@ -27,16 +27,26 @@ def metric_quality(audited: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4)).withColumn("status", verdict)
 
 
-def readiness_scopes(metric: DataFrame, parser: DataFrame, checks: DataFrame, *, market: bool = True, threshold: float = 0.75) -> DataFrame:
-    """(entity, scope, status): five output scopes; a failed parser or check holds the statement scope back."""
+def readiness_scopes(metric: DataFrame, parser: DataFrame, checks: DataFrame, *, market: DataFrame | None = None, peers: DataFrame | None = None, sources: DataFrame | None = None, threshold: float = 0.75) -> DataFrame:
+    """(entity, scope, status, supported, blockers): five output scopes of each entity.
+
+    market: entity, candles; peers: entity, compared_metrics; sources: entity, documents_blocked; an entity that isn't in one has
+    no candles, comparable metrics or blocked documents.  Blocked documents, a failed parser or check hold the statement
+    scope back and are its blockers.  Valuation needs inputs that no report holds.
+    """
     rows = metric.select("entity", "calculated", "score", "blockers").join(parser.select("entity", F.col("status").alias("parser_status")), "entity").join(checks.select("entity", "failed_checks"), "entity", "left")
-    stopped = F.col("parser_status").isin("parser_blocked", "fail") | (F.coalesce("failed_checks", F.lit(0)) > 0)
-    statement = F.when(stopped, F.when(F.col("calculated") > 0, "LOW_CONFIDENCE").otherwise("UNSUPPORTED")).when((F.col("score") >= threshold) & (F.col("calculated") > 0) & (F.col("blockers") == 0), "AUTO_READY").when(F.col("calculated") == 0, "UNSUPPORTED").otherwise("AUTO_PARTIAL")
+    for part, column in ((market, "candles"), (peers, "compared_metrics"), (sources, "documents_blocked")):
+        rows = rows.hint("merge").join(part.select("entity", column).hint("merge"), "entity", "left") if part is not None else rows.withColumn(column, F.lit(None))
+    blocked = F.coalesce(F.col("documents_blocked").cast("boolean"), F.lit(False))
+    held = F.array_compact(F.array(F.when(blocked, "source_or_document_blocked"), F.when(F.col("parser_status").isin("parser_blocked", "fail"), "parser_blocked"), F.when(F.coalesce("failed_checks", F.lit(0)) > 0, "consistency_checks_failed")))
+    rows = rows.withColumn("held", held)
+    statement = F.when(F.size("held") > 0, F.when(F.col("calculated") > 0, "LOW_CONFIDENCE").otherwise("UNSUPPORTED")).when((F.col("score") >= threshold) & (F.col("calculated") > 0) & (F.col("blockers") == 0), "AUTO_READY").when(F.col("calculated") == 0, "UNSUPPORTED").otherwise("AUTO_PARTIAL")
+    some = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)) > 0
     scopes = {
-        "statement_based_financials": statement, "market_technical_analysis": F.lit("AUTO_READY" if market else "UNSUPPORTED"), "market_valuation": F.lit("UNAVAILABLE"), "peer_comparison": F.lit("UNSUPPORTED"),
-        "llm_summary": F.when(statement.isin("AUTO_READY", "AUTO_PARTIAL"), "AUTO_READY").otherwise("AUTO_PARTIAL"),
+        "statement_based_financials": statement, "market_technical_analysis": F.when(some("candles"), "AUTO_READY").otherwise("UNSUPPORTED"), "market_valuation": F.lit("UNAVAILABLE"),
+        "peer_comparison": F.when(some("compared_metrics"), "AUTO_PARTIAL").otherwise("UNSUPPORTED"), "llm_summary": F.when(statement.isin("AUTO_READY", "AUTO_PARTIAL"), "AUTO_READY").otherwise("AUTO_PARTIAL"),
     }
-    each = F.array(*[F.struct(F.lit(n).alias("scope"), s.alias("status")) for n, s in scopes.items()])
+    each = F.array(*[F.struct(F.lit(n).alias("scope"), s.alias("status"), (F.array_join("held", ",") if n == "statement_based_financials" else F.lit("")).alias("blockers")) for n, s in scopes.items()])
     return rows.select("entity", F.inline(each)).withColumn("supported", F.col("status").isin("AUTO_READY", "AUTO_PARTIAL"))
 
 

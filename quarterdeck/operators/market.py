@@ -117,17 +117,32 @@ def period_alignment(candles: DataFrame, period_from: str, period_to: str, sourc
     return rows.withColumn("source", F.when(F.col("aligned"), source).otherwise(f"{source}_unaligned")).drop("inside")
 
 
-def market_report(candles: DataFrame, period_from: str, period_to: str) -> DataFrame:
-    """Counts of indicator and liquidity states, the last candle, and the two statuses, a row a ticker."""
+def market_report(candles: DataFrame, period_from: str, period_to: str, context: DataFrame | None = None) -> DataFrame:
+    """Counts of indicator and liquidity states, the last candle, the two statuses and warnings, a row a ticker.
+
+    context: ticker, official (the source is the exchange's), valuation (its inputs are at hand); unknown ones count as
+    official, without valuation inputs.  The audit passes where the source is official, the period aligned, no indicator missing and
+    valuation at hand; a ticker of context without candles fails both.
+    """
     aligned = period_alignment(candles, period_from, period_to)
     audit = indicator_audit(candles, aligned).groupBy("ticker").agg(
         F.count_if(F.col("status") == "valid").alias("valid"), F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "not_applicable_to_requested_period").alias("not_applicable"),
         F.count_if(F.col("indicator_code").isin("ma_20", "ma_50", "rsi_14", "support_level", "resistance_level") & (F.col("status") != "valid")).alias("core_gaps"),
     )
     last = candles.groupBy("ticker").agg(F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_close"), F.count(F.lit(1)).alias("candles"))
-    rows = last.join(audit, "ticker").join(aligned.select("ticker", "aligned", "covered_days"), "ticker")
-    technical = F.when(~F.col("aligned") | (F.col("core_gaps") > 0), "PARTIAL").otherwise("PASS")
-    return rows.withColumn("audit_status", F.lit("PARTIAL")).withColumn("technical_status", technical).drop("core_gaps")  # valuation inputs are never at hand
+    rows = last.hint("merge").join(audit.hint("merge"), "ticker").hint("merge").join(aligned.select("ticker", "aligned", "covered_days").hint("merge"), "ticker")
+    if context is not None:
+        rows = rows.hint("merge").join(context.select("ticker", "official", "valuation").hint("merge"), "ticker", "full_outer")
+    else:
+        rows = rows.withColumns({"official": F.lit(True), "valuation": F.lit(False)})
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("candles", "valid", "missing", "not_applicable")}
+    rows = rows.withColumns(zero | {"aligned": F.coalesce("aligned", F.lit(False)), "official": F.coalesce("official", F.lit(True)), "valuation": F.coalesce("valuation", F.lit(False))})
+    empty = F.col("candles") == 0
+    technical = F.when(empty, "FAIL").when(~F.col("aligned") | (F.col("core_gaps") > 0), "PARTIAL").otherwise("PASS")
+    audited = F.when(empty, "FAIL").when(~F.col("official") | ~F.col("aligned") | (F.col("missing") > 0) | ~F.col("valuation"), "PARTIAL").otherwise("PASS")
+    late = F.col("last_date") < _days(period_from, period_to)[1]
+    warnings = F.array_compact(F.array(F.when(late, "date_to_not_present_if_non_trading_or_provider_omitted"), F.when(~F.col("official"), "source_is_not_the_exchange"), F.when(~F.col("valuation"), "valuation_inputs_missing")))
+    return rows.withColumns({"audit_status": audited, "technical_status": technical, "warnings": F.array_join(warnings, ",")}).drop("core_gaps", "official", "valuation")
 
 
 def candle_range(candles: DataFrame, period_from: str, period_to: str) -> DataFrame:

@@ -255,24 +255,6 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     return side(a, "a").join(side(b, "b"), key, "full_outer").withColumn("difference", F.col("b_value") - F.col("a_value"))
 
 
-def gap_matrix(audited: DataFrame, entities: list[str]) -> DataFrame:
-    """Period by metric, a status column an entity; rows where all are valid are dropped."""
-    wide = audited.where(F.col("entity").isin(*entities)).groupBy("period", "metric_code").pivot("entity", entities).agg(F.first("status"))
-    bad = F.lit(False)
-    for e in entities:
-        bad = bad | (F.coalesce(F.col(e), F.lit("missing")) != "valid")
-    return wide.where(bad)
-
-
-def fact_priorities(audited: DataFrame, facts: DataFrame) -> DataFrame:
-    """Per (entity, fact that isn't there): the metrics and periods it would unlock and a score, best first."""
-    inputs = F.create_map(*[x for code, names in AUDIT_INPUTS.items() for x in (F.lit(code), F.array(*map(F.lit, names)))])
-    wanted = audited.where(F.col("status") == "missing").select("entity", "period", "metric_code", F.explode(F.try_element_at(inputs, F.col("metric_code"))).alias("fact"))
-    gaps = wanted.join(facts.select("entity", "period", F.col("metric_code").alias("fact")).hint("merge"), ["entity", "period", "fact"], "left_anti")
-    rows = gaps.groupBy("entity", "fact").agg(F.countDistinct("metric_code").alias("metrics"), F.countDistinct("period").alias("periods"), F.array_join(F.array_sort(F.collect_set("metric_code")), ",").alias("unlocks"))
-    return rows.withColumn("score", 4 * F.col("metrics") + 2 * F.col("periods"))
-
-
 def unlock_plan(priorities: DataFrame) -> DataFrame:
     rows = priorities.groupBy("entity", "unlocks").agg(F.array_join(F.array_sort(F.collect_list("fact")), ",").alias("facts"), F.sum("score").alias("score"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("score"), "unlocks")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods as P
@@ -129,11 +129,6 @@ def ready_blockers(audited: DataFrame, facts: DataFrame, inputs: DataFrame) -> D
     return gaps.groupBy("entity", "fact_code", "metric_code").agg(F.array_join(F.array_sort(F.collect_set("period")), ",").alias("periods"))
 
 
-def statement_metric_audit(audited: DataFrame) -> DataFrame:
-    """The share of each entity's periods in which each metric is valid, best entities first among equals by name."""
-    return audited.groupBy("entity", "metric_code").agg(F.count(F.lit(1)).alias("periods"), F.count_if(F.col("status") == "valid").alias("valid")).withColumn("share", F.round(F.col("valid") / F.col("periods"), 6))
-
-
 # Levels that make a company's main status, and what a blocker asks for.
 MAIN_STATUS = {"FULL_STATEMENT_READY": "READY", "PARTIAL_STATEMENT_READY": "PARTIAL"}
 ACTIONS = {
@@ -188,3 +183,82 @@ def portfolio_report(companies: DataFrame, sample: int = 5) -> DataFrame:
     first = rows.withColumn("place", place).where(F.col("place") <= sample).groupBy("section", "key").agg(F.array_join(F.array_sort(F.collect_list("entity")), ",").alias("entities"))
     empty = companies.groupBy().agg(F.count(F.lit(1)).alias("companies")).where("companies = 0").select(F.lit("total").alias("section"), F.lit("companies").alias("key"), "companies", F.lit("").alias("entities"))
     return counts.hint("merge").join(first.hint("merge"), ["section", "key"]).unionByName(empty)
+
+
+# Blockers of sources and of parsers, the order in which blockers count, and what each asks for.
+SOURCE_BLOCKERS = (
+    "company_not_resolved", "ambiguous_company_identity", "no_trusted_source_candidates", "missing_period_report", "missing_fy_report", "source_package_not_ready", "tls_download_failed", "document_validation_failed", "wrong_document_role",
+)
+PARSER_BLOCKERS = (
+    "no_cached_documents", "no_primary_statement_tables", "image_only_primary_statement_pages", "table_extraction_failed", "toc_or_notes_only", "no_safe_fact_candidates", "text_fallback_requires_gate", "notes_rejected", "ambiguous_period_column",
+    "missing_source_location", "low_confidence_labels", "missing_expected_statement_facts",
+)
+BLOCKER_ORDER = {
+    "company_not_resolved": 0, "ambiguous_company_identity": 1, "missing_fy_report": 2, "missing_period_report": 3, "source_package_not_ready": 4, "image_only_primary_statement_pages": 5, "no_cached_documents": 6, "no_primary_statement_tables": 7,
+    "no_safe_fact_candidates": 8, "missing_expected_statement_facts": 9, "official_source_missing": 10, "manual_upload_available": 11, "unavailable_valuation_inputs": 50,
+}
+BLOCKER_ACTIONS = {
+    "missing_fy_report": "Improve official FY/12M report discovery or source acquisition.",
+    "missing_period_report": "Improve financial report discovery for missing periods.",
+    "source_package_not_ready": "Verify source package candidates before downstream parsing.",
+    "no_cached_documents": "Run explicit download/validation stage for trusted candidates.",
+    "image_only_primary_statement_pages": "Design an OCR/table-image extraction module.",
+    "no_primary_statement_tables": "Improve statement table extraction for primary statements.",
+    "no_safe_fact_candidates": "Improve DataFrame parser or semantic extraction gates after table artifacts are clean.",
+    "missing_expected_statement_facts": "Extend statement fact mapping for expected statement inputs.",
+    "official_source_missing": "Manual upload is available, but official source discovery/source package remains unresolved.",
+    "manual_upload_available": "Use manual upload only as a fallback; keep official source acquisition as separate work.",
+    "unavailable_valuation_inputs": "Build a separate valuation input module; do not treat as parser work.",
+}
+OTHER_ACTION, NO_BLOCKER_ACTION = "Inspect blocker details and add the narrowest safe pipeline improvement.", "Coverage is usable for the available scoped outputs."
+LAST_ORDER, VALUATION_BLOCKER = 100, "unavailable_valuation_inputs"
+
+
+def _chosen(names: dict, key: Column, other) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), key), F.lit(other))
+
+
+def coverage_levels(items: DataFrame) -> DataFrame:
+    """entity, coverage_level (of six), supported and unsupported outputs, blockers, main_blocker and next_action.
+
+    items: entity, statement_scope, market_scope, documents, table_status, fact_status, blockers (array).  Statements that are
+    ready count first, then blockers of sources, tables with all facts, blockers of parsers or tables that failed, any documents or
+    facts, and a market analysis.  The main blocker is the first by BLOCKER_ORDER, then name.  Nulls count as nothing known.
+    """
+    none = F.array().cast("array<string>")
+    rows = items.withColumn("blockers", F.array_distinct(F.coalesce("blockers", none)))
+    any_of = lambda names: F.arrays_overlap("blockers", F.array(*map(F.lit, names)))
+    said = lambda c, *names: F.coalesce(F.col(c).isin(*names), F.lit(False))
+    market = said("market_scope", "AUTO_READY", "AUTO_PARTIAL")
+    level = (
+        F.when(said("statement_scope", "AUTO_READY"), "FULL_STATEMENT_READY").when(any_of(SOURCE_BLOCKERS), "SOURCE_BLOCKED").when(said("table_status", "TABLES_READY", "TABLES_PARTIAL") & said("fact_status", "FACTS_READY"), "FULL_STATEMENT_READY")
+        .when(any_of(PARSER_BLOCKERS) | said("table_status", "IMAGE_ONLY_PRIMARY_STATEMENTS", "NO_PRIMARY_STATEMENTS", "EXTRACTION_FAILED"), "PARSER_BLOCKED")
+        .when((F.coalesce("documents", F.lit(0)) > 0) | said("fact_status", "FACTS_READY", "FACTS_PARTIAL"), "PARTIAL_STATEMENT_READY").when(market, "MARKET_ONLY").otherwise("UNSUPPORTED")
+    )
+    rows = rows.withColumn("coverage_level", level)
+    ready = F.col("coverage_level").isin("FULL_STATEMENT_READY", "PARTIAL_STATEMENT_READY")
+    listed = lambda *tests: F.array_sort(F.array_compact(F.array(*[F.when(t, name) if t is not None else F.lit(name) for name, t in tests])))
+    supported = listed(("financial_facts", ready), ("financial_metrics", ready), ("market_analysis", market), ("manual_document_analysis", F.array_contains("blockers", "manual_upload_available")))
+    held = any_of(SOURCE_BLOCKERS + PARSER_BLOCKERS)
+    missing = listed(("valuation_metrics", None), ("peer_comparison", None), ("llm_payload", None), ("financial_facts", held), ("financial_metrics", held), ("market_analysis", said("market_scope", "UNSUPPORTED")))
+    main = F.array_min(F.transform("blockers", lambda b: F.struct(_chosen(BLOCKER_ORDER, b, LAST_ORDER).alias("o"), b.alias("b"))))["b"]
+    action = F.when(main.isNull(), NO_BLOCKER_ACTION).otherwise(_chosen(BLOCKER_ACTIONS, main, OTHER_ACTION))
+    return rows.select("entity", "coverage_level", supported.alias("supported"), missing.alias("unsupported"), "blockers", main.alias("main_blocker"), action.alias("next_action"))
+
+
+def blocker_actions(levels: DataFrame, sample: int = 5, top: int = 5) -> DataFrame:
+    """blocker, entities, sample (the first few by name), priority, action, place, is_top and is_next, a row a blocker.
+
+    levels: entity, blockers (array).  Blockers rank by entities, BLOCKER_ORDER and name; is_next marks the first that isn't the
+    want of valuation inputs, or that if there is no other.
+    """
+    rows = levels.select("entity", F.explode(F.array_distinct("blockers")).alias("blocker"))
+    counts = rows.groupBy("blocker").agg(F.count_distinct("entity").alias("entities"))
+    placed = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("blocker").orderBy("entity"))).where(F.col("n") <= sample)
+    shown = placed.groupBy("blocker").agg(F.array_join(F.array_sort(F.collect_list("entity")), ",").alias("sample"))
+    out = counts.hint("merge").join(shown.hint("merge"), "blocker").withColumn("priority", _chosen(BLOCKER_ORDER, F.col("blocker"), LAST_ORDER))
+    order = (F.desc("entities"), "priority", "blocker")
+    apart = (F.col("blocker") == VALUATION_BLOCKER).cast("int")
+    first = F.row_number().over(Window.orderBy(apart, *order)) == 1  # over the names of blockers
+    place = F.row_number().over(Window.orderBy(*order))
+    return out.withColumns({"action": _chosen(BLOCKER_ACTIONS, F.col("blocker"), OTHER_ACTION), "place": place, "is_next": first}).withColumn("is_top", F.col("place") <= top)

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import facts as A
+from ..operators import gaps as H
 from ..operators import metrics as M
 from ..operators import portfolio as C
 from ..operators.entities import match_entity_in_text
 from ..sources import fixtures as S
 from ..sources.html import html_tables
-from .queries import AUDITED, FACTS, REGISTRY, SOURCES, _audited, query
+from .queries import AUDIT_LIST, AUDITED, FACTS, GAPS, REGISTRY, SOURCES, _audited, _gap_rows, query
 
 INPUTS = "(values " + ", ".join(f"('{c}', '{i}')" for c, names in M.AUDIT_INPUTS.items() for i in names) + ") n(code, input)"
 
@@ -61,9 +62,29 @@ def c6_ready_blockers(spark, sf_dir):
     return C.ready_blockers(_audited(spark, sf_dir), S.facts(spark, sf_dir), F.broadcast(inputs))  # fixed rules
 
 
-@query("select entity, metric_code, count(*) periods, count(*) filter (status = 'valid') valid, round(count(*) filter (status = 'valid') / count(*), 6) \"share\" from audited group by all", *AUDITED)
+@query(
+    "select entity, period, metric_code, status, array_to_string(available, ',') available, array_to_string(missing, ',') missing, len(available) > 0 and not list_has_any(available, loose) traced from gaps",
+    *AUDITED, AUDIT_LIST, GAPS,
+)
 def m29_statement_metric_audit(spark, sf_dir):
-    return C.statement_metric_audit(_audited(spark, sf_dir))
+    rows = _gap_rows(spark, sf_dir)
+    return rows.select("entity", "period", "metric_code", "status", F.array_join("available", ",").alias("available"), F.array_join("missing", ",").alias("missing"), "traced")
+
+
+@query(
+    "select entity, count(*) filter (status = 'calculated') calculated, count(*) filter (status = 'missing') missing, count(*) filter (status = 'questionable') questionable, count(*) filter (len(available) > 0 and not list_has_any(available, loose)) traced from gaps group by 1",
+    *AUDITED, AUDIT_LIST, GAPS,
+)
+def m29_input_summary(spark, sf_dir):
+    return H.input_summary(_gap_rows(spark, sf_dir))
+
+
+@query(
+    "select *, row_number() over (order by metrics desc, entity, input) place from (select entity, input, count(*) metrics from (select entity, unnest(missing) input from gaps) group by 1, 2) qualify place <= 15",
+    *AUDITED, AUDIT_LIST, GAPS,
+)
+def m29_top_missing_inputs(spark, sf_dir):
+    return H.top_missing_inputs(_gap_rows(spark, sf_dir))
 
 
 @query(

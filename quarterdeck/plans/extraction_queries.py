@@ -329,3 +329,56 @@ def c17_portfolio_companies(spark, sf_dir):
 )
 def c17_portfolio_report(spark, sf_dir):
     return C.portfolio_report(_companies(spark, sf_dir))
+
+
+COVERED = """
+cv as (
+  select o_custkey c, 'C' || o_custkey entity, count(*) n, count(*) filter (o_orderstatus = 'F') f, count(*) filter (month(o_orderdate) = 12) dec, sum(o_totalprice) > 2000000 large from orders group by 1, 2),
+cs as (
+  select *, n >= 12 and f * 2 >= n auto, c % 3 = 0 market, case when f = 0 then 'NO_PRIMARY_STATEMENTS' when dec = 0 then 'TABLES_PARTIAL' when c % 11 <> 0 then 'TABLES_READY' end tables, case when n >= 7 then 'FACTS_READY' when n >= 4 then 'FACTS_PARTIAL' else 'NO_FACTS' end fstat,
+         list_filter([case when dec = 0 and n < 7 then 'missing_fy_report' end, case when f = 0 then 'no_primary_statement_tables' end, case when n < 2 then 'no_safe_fact_candidates' end, case when not large then 'unavailable_valuation_inputs' end, case when c % 5 = 0 then 'manual_upload_available' end,
+           case when c % 13 = 0 then 'odd_thing' end], lambda x: x is not null) b from cv),
+cl as (
+  select *, list_contains(b, 'missing_fy_report') src, list_has_any(b, ['no_primary_statement_tables', 'no_safe_fact_candidates']) par from cs),
+levelled as (
+  select *, case when auto then 'FULL_STATEMENT_READY' when src then 'SOURCE_BLOCKED' when tables in ('TABLES_READY', 'TABLES_PARTIAL') and fstat = 'FACTS_READY' then 'FULL_STATEMENT_READY' when par or tables = 'NO_PRIMARY_STATEMENTS' then 'PARSER_BLOCKED'
+    when f > 0 or fstat in ('FACTS_READY', 'FACTS_PARTIAL') then 'PARTIAL_STATEMENT_READY' when market then 'MARKET_ONLY' else 'UNSUPPORTED' end lv from cl),
+orders_of(b, o) as (values ('missing_fy_report', 2), ('no_primary_statement_tables', 7), ('no_safe_fact_candidates', 8), ('manual_upload_available', 11), ('unavailable_valuation_inputs', 50), ('odd_thing', 100))"""
+
+
+def _covered(spark, sf_dir):
+    """Coverage of companies, one a customer, by their orders."""
+    o = S.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.month("o_orderdate") == 12).alias("dec"), F.sum("o_totalprice").alias("sum"))
+    c, n, f = F.col("o_custkey"), F.col("n"), F.col("f")
+    tables = F.when(f == 0, "NO_PRIMARY_STATEMENTS").when(F.col("dec") == 0, "TABLES_PARTIAL").when(c % 11 != 0, "TABLES_READY")
+    blockers = F.array_compact(F.array(
+        F.when((F.col("dec") == 0) & (n < 7), "missing_fy_report"), F.when(f == 0, "no_primary_statement_tables"), F.when(n < 2, "no_safe_fact_candidates"), F.when(~(F.col("sum") > 2_000_000), "unavailable_valuation_inputs"), F.when(c % 5 == 0, "manual_upload_available"),
+        F.when(c % 13 == 0, "odd_thing"),
+    ))
+    items = o.select(
+        F.concat(F.lit("C"), c.cast("string")).alias("entity"), F.when((n >= 12) & (f * 2 >= n), "AUTO_READY").otherwise("AUTO_PARTIAL").alias("statement_scope"), F.when(c % 3 == 0, "AUTO_READY").otherwise("UNSUPPORTED").alias("market_scope"), f.alias("documents"),
+        tables.alias("table_status"), F.when(n >= 7, "FACTS_READY").when(n >= 4, "FACTS_PARTIAL").otherwise("NO_FACTS").alias("fact_status"), blockers.alias("blockers"),
+    )
+    return C.coverage_levels(items)
+
+
+@query(
+    """select entity, lv coverage_level, array_to_string(list_sort(list_filter([case when lv in ('FULL_STATEMENT_READY', 'PARTIAL_STATEMENT_READY') then 'financial_facts' end, case when lv in ('FULL_STATEMENT_READY', 'PARTIAL_STATEMENT_READY') then 'financial_metrics' end,
+         case when market then 'market_analysis' end, case when c % 5 = 0 then 'manual_document_analysis' end], lambda x: x is not null)), ',') supported,
+       array_to_string(list_sort(list_filter(['valuation_metrics', 'peer_comparison', 'llm_payload', case when src or par then 'financial_facts' end, case when src or par then 'financial_metrics' end, case when not market then 'market_analysis' end], lambda x: x is not null)), ',') unsupported,
+       array_to_string(b, ',') blockers, (select arg_min(o.b, (o.o, o.b)) from orders_of o where list_contains(levelled.b, o.b)) main_blocker from levelled""",
+    COVERED.strip(),
+)
+def c2_coverage_levels(spark, sf_dir):
+    listed = [F.array_join(c, ",").alias(c) for c in ("supported", "unsupported", "blockers")]
+    return _covered(spark, sf_dir).select("entity", "coverage_level", *listed, "main_blocker")
+
+
+@query(
+    """select blocker, entities, sample, priority, place, place <= 5 is_top, row_number() over (order by blocker = 'unavailable_valuation_inputs', entities desc, priority, blocker) = 1 is_next from (
+         select *, row_number() over (order by entities desc, priority, blocker) place from (
+           select x.b blocker, count(*) entities, array_to_string(list_sort(list(entity))[1:5], ',') sample, any_value(o.o) priority from (select entity, unnest(b) b from levelled) x join orders_of o on o.b = x.b group by 1))""",
+    COVERED.strip(),
+)
+def c3_blocker_actions(spark, sf_dir):
+    return C.blocker_actions(_covered(spark, sf_dir)).drop("action")

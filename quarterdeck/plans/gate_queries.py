@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import facts as A
 from ..operators import gates as G
 from ..sources import fixtures as S
-from .queries import AUDITED, CHECKS, FACTS, ORACLES, SOURCES, _audited, query
+from .queries import AUDITED, CANDLES, CHECKS, FACTS, ORACLES, REGISTRY, SOURCES, _audited, query
 
 PARSER = "parser as (" + ORACLES["f22_parser_quality"].removeprefix("with " + FACTS + "\n") + ")"
 PENALTY = "penalty as (select entity, count(*) filter (not passed) failed_checks, cast(least(1.0, round(count(*) filter (not passed) * 0.05, 4)) as double) penalty from checks group by entity)"
@@ -31,13 +31,25 @@ def m22_metric_quality(spark, sf_dir):
 
 
 @query(
-    "select entity, scope, case scope when 'statement_based_financials' then st when 'market_technical_analysis' then 'AUTO_READY' when 'market_valuation' then 'UNAVAILABLE' when 'peer_comparison' then 'UNSUPPORTED' else case when st in ('AUTO_READY', 'AUTO_PARTIAL') then 'AUTO_READY' else 'AUTO_PARTIAL' end end status, scope in ('market_technical_analysis', 'llm_summary') or (scope = 'statement_based_financials' and st in ('AUTO_READY', 'AUTO_PARTIAL')) supported"
-    " from (select mq.entity, case when parser.status in ('parser_blocked', 'fail') or coalesce(failed_checks, 0) > 0 then case when calculated > 0 then 'LOW_CONFIDENCE' else 'UNSUPPORTED' end when mq.score >= 0.75 and calculated > 0 and mq.blockers = 0 then 'AUTO_READY' when calculated = 0 then 'UNSUPPORTED' else 'AUTO_PARTIAL' end st from mq join parser using (entity) left join penalty using (entity)),"
+    "select entity, scope, case scope when 'statement_based_financials' then st when 'market_technical_analysis' then case when c then 'AUTO_READY' else 'UNSUPPORTED' end when 'market_valuation' then 'UNAVAILABLE'"
+    " when 'peer_comparison' then case when p then 'AUTO_PARTIAL' else 'UNSUPPORTED' end else case when st in ('AUTO_READY', 'AUTO_PARTIAL') then 'AUTO_READY' else 'AUTO_PARTIAL' end end status,"
+    " scope = 'llm_summary' or (scope = 'market_technical_analysis' and c) or (scope = 'peer_comparison' and p) or (scope = 'statement_based_financials' and st in ('AUTO_READY', 'AUTO_PARTIAL')) supported, case when scope = 'statement_based_financials' then held else '' end blockers"
+    " from (select *, case when held <> '' then case when calculated > 0 then 'LOW_CONFIDENCE' else 'UNSUPPORTED' end when score >= 0.75 and calculated > 0 and blockers = 0 then 'AUTO_READY' when calculated = 0 then 'UNSUPPORTED' else 'AUTO_PARTIAL' end st"
+    " from (select mq.entity, calculated, mq.score, mq.blockers, concat_ws(',', case when mq.entity in ('N4', 'N9') then 'source_or_document_blocked' end, case when parser.status in ('parser_blocked', 'fail') then 'parser_blocked' end, case when coalesce(failed_checks, 0) > 0 then 'consistency_checks_failed' end) held,"
+    " mq.entity in (select 'N' || substr(ticker, 7) from candles) c, mq.entity in (select entity from compared) p from mq join parser using (entity) left join penalty using (entity))),"
     " (values ('statement_based_financials'), ('market_technical_analysis'), ('market_valuation'), ('peer_comparison'), ('llm_summary')) v(scope)",
-    *ALL,
-)
+    *ALL, CANDLES, REGISTRY,
+    "compared as (select distinct a.entity from audited a join registry r using (entity) join audited b on b.period = a.period and b.metric_code = a.metric_code and b.entity <> a.entity join registry s on s.entity = b.entity and s.sector = r.sector where a.status = 'valid' and b.status = 'valid' and a.metric_code = 'fcf_margin')",
+)
 def m23_readiness_scopes(spark, sf_dir):
-    return G.readiness_scopes(*_parts(spark, sf_dir))
+    """Brands' candles as those of the entity of the same number; peers are entities of a sector with a valid cash margin in the same quarter."""
+    market = S.candles(spark, sf_dir).groupBy(F.concat(F.lit("N"), F.substring("ticker", 7, 9)).alias("entity")).agg(F.count(F.lit(1)).alias("candles"))
+    valid = _audited(spark, sf_dir).where("status = 'valid' and metric_code = 'fcf_margin'").select("entity", "period")
+    mates = valid.hint("merge").join(S.registry(spark, sf_dir).select("entity", "sector").hint("merge"), "entity")
+    shared = mates.groupBy("sector", "period").agg(F.collect_set("entity").alias("all")).where(F.size("all") > 1)
+    peers = shared.select(F.explode("all").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("compared_metrics"))
+    blocked = S.registry(spark, sf_dir).select("entity", F.col("entity").isin("N4", "N9").alias("documents_blocked"))
+    return G.readiness_scopes(*_parts(spark, sf_dir), market=market, peers=peers, sources=blocked)
 
 
 @query(

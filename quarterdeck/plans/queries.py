@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import periods as P
 from ..operators import facts as A
+from ..operators import gaps as H
 from ..operators import market as K
 from ..operators import metrics as M
 from ..sources import fixtures as S
@@ -516,30 +517,59 @@ def m25_metric_coverage_grid(spark, sf_dir):
     return M.metric_coverage_grid(_engine(spark, sf_dir))
 
 
-@query(
-    "select period, metric_code, max(case when entity = 'N0' then status end) \"N0\", max(case when entity = 'N1' then status end) \"N1\", max(case when entity = 'N2' then status end) \"N2\" from audited where entity in ('N0', 'N1', 'N2') group by period, metric_code"
-    " having coalesce(max(case when entity = 'N0' then status end), 'missing') <> 'valid' or coalesce(max(case when entity = 'N1' then status end), 'missing') <> 'valid' or coalesce(max(case when entity = 'N2' then status end), 'missing') <> 'valid'",
-    *AUDITED,
+AUDIT_LIST = "inputs(code, input) as (values " + ", ".join(f"('{c}', '{i}')" for c, names in M.AUDIT_INPUTS.items() for i in names) + ")"
+GAPS = (
+    "required as (select code, list_sort(list(input)) req from inputs group by code),"
+    "have as (select entity, period, list(distinct metric_code) h, coalesce(list(distinct metric_code) filter (k % 7 = 0), []) loose from facts group by 1, 2),"
+    "gaps as (select entity, period, metric_code, case when status = 'valid' then 'calculated' else status end status, list_filter(coalesce(req, []), lambda x: list_contains(coalesce(h, []), x)) available,"
+    " list_filter(coalesce(req, []), lambda x: not list_contains(coalesce(h, []), x)) missing, coalesce(loose, []) loose from audited left join required on code = metric_code left join have using (entity, period))"
+)
+MATRIX = (
+    "mates as (select sector grp, entity from registry), cells as ("
+    "select grp, c.period, c.metric_code, m.entity, coalesce(case g.status when 'calculated' then 'valid' else g.status end, 'missing') status, coalesce(g.missing, []) missing"
+    " from (select distinct grp, period, metric_code from gaps join mates using (entity)) c join mates m using (grp) left join gaps g on g.entity = m.entity and g.period = c.period and g.metric_code = c.metric_code),"
+    "matrix as (select grp, period, metric_code, count(*) filter (status = 'valid') v, count(*) filter (status = 'missing') gone from cells group by all having count(*) filter (status = 'valid') < count(*))"
 )
+
+
+def _gap_rows(spark, sf_dir):
+    return H.metric_input_audit(_audited(spark, sf_dir), S.facts(spark, sf_dir).withColumn("trace", F.when(F.col("k") % 7 != 0, F.concat(F.lit("p"), F.col("k").cast("string")))))
+
+
+def _matrix(spark, sf_dir):
+    return H.gap_matrix(_gap_rows(spark, sf_dir), S.registry(spark, sf_dir).select(F.col("sector").alias("group"), "entity"))
+
+
+@query(
+    "select grp as \"group\", period, metric_code, (select string_agg(entity || '=' || status, ',' order by entity) from cells c where c.grp = m.grp and c.period = m.period and c.metric_code = m.metric_code) statuses,"
+    " coalesce((select string_agg(entity || ':' || array_to_string(missing, '+'), ',' order by entity) from cells c where c.grp = m.grp and c.period = m.period and c.metric_code = m.metric_code and status = 'missing'), '') missing_inputs,"
+    " case when metric_code in ('pe_ratio', 'ev_to_ebitda', 'dividend_yield') then 'valuation_module' when v > 0 and gone > 0 then 'high' when gone > 0 then 'medium' else 'low' end impact from matrix m",
+    *AUDITED, REGISTRY, AUDIT_LIST, GAPS, MATRIX,
+)
 def m26_gap_matrix(spark, sf_dir):
-    return M.gap_matrix(_audited(spark, sf_dir), ["N0", "N1", "N2"])
+    """Peer groups are the sectors of the registry."""
+    pairs = lambda c, value: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], value(e["value"]))), ",").alias(c)
+    shown = _matrix(spark, sf_dir).withColumn("missing_inputs", F.transform_values("missing_inputs", lambda k, v: F.array_join(v, "+")))
+    return shown.select("group", "period", "metric_code", pairs("statuses", lambda v: F.concat(F.lit("="), v)), pairs("missing_inputs", lambda v: F.concat(F.lit(":"), v)), "impact")
 
 
 PRIORITIES = (
-    "priorities as (select entity, input fact, count(distinct metric_code) metrics, count(distinct period) periods, string_agg(distinct metric_code, ',' order by metric_code) unlocks, 4 * count(distinct metric_code) + 2 * count(distinct period) score from (select a.*, n.input from audited a join (values "
-    + ", ".join(f"('{c}', '{i}')" for c, names in M.AUDIT_INPUTS.items() for i in names)
-    + ") n(code, input) on n.code = a.metric_code where a.status = 'missing' and not exists (select 1 from facts f where f.entity = a.entity and f.period = a.period and f.metric_code = n.input)) group by entity, input)"
+    "lacks as (select grp, entity, period, metric_code, unnest(missing) fact from cells semi join matrix using (grp, period, metric_code) where status = 'missing' and metric_code not in ('pe_ratio', 'ev_to_ebitda', 'dividend_yield')),"
+    "mated as (select l.*, c.entity mate from lacks l left join cells c on c.grp = l.grp and c.period = l.period and c.metric_code = l.metric_code and c.status = 'valid'),"
+    "priorities as (select *, 4 * metrics + 2 * periods + 3 * pairs + case when fact in ('operating_cash_flow', 'capex') then 2 else 5 end score from (select entity, fact, count(distinct metric_code) metrics, count(distinct period) periods, count(distinct mate) pairs,"
+    " string_agg(distinct metric_code, ',' order by metric_code) unlocks from mated where fact <> 'ebitda' group by 1, 2))"
 )
+PRIORITY_PARTS = (*AUDITED, REGISTRY, AUDIT_LIST, GAPS, MATRIX, PRIORITIES)
 
 
-@query("select * from priorities", *AUDITED, PRIORITIES)
+@query("select entity, fact, metrics, periods, pairs, unlocks, score from priorities", *PRIORITY_PARTS)
 def m27_fact_priorities(spark, sf_dir):
-    return M.fact_priorities(_audited(spark, sf_dir), S.facts(spark, sf_dir))
+    return H.fact_priorities(_matrix(spark, sf_dir))
 
 
-@query("select *, row_number() over (partition by entity order by score desc, unlocks) place from (select entity, unlocks, string_agg(fact, ',' order by fact) facts, sum(score)::bigint score from priorities group by entity, unlocks)", *AUDITED, PRIORITIES)
+@query("select *, row_number() over (partition by entity order by score desc, unlocks) place from (select entity, unlocks, string_agg(fact, ',' order by fact) facts, sum(score)::bigint score from priorities group by entity, unlocks)", *PRIORITY_PARTS)
 def m28_unlock_plan(spark, sf_dir):
-    return M.unlock_plan(M.fact_priorities(_audited(spark, sf_dir), S.facts(spark, sf_dir)))
+    return M.unlock_plan(H.fact_priorities(_matrix(spark, sf_dir)))
 
 
 DELTA = "o as (select entity, period, metric_code, value ov from facts where k % 5 <> 0), n as (select entity, period, metric_code, case when k % 7 = 0 then value * 1.5 else value end nv from facts where k % 6 <> 0)"
@@ -634,12 +664,15 @@ def k10_period_alignment(spark, sf_dir):
 
 
 @query(
-    "select l.*, s.valid, s.missing, s.not_applicable, a.aligned, a.covered_days, 'PARTIAL' audit_status, case when not a.aligned or s.gaps > 0 then 'PARTIAL' else 'PASS' end technical_status from (select ticker, max(date) last_date, arg_max(close, date) last_close, count(*) candles from candles group by ticker) l join (select ticker, count(*) filter (status = 'valid') valid,"
+    "select l.* exclude (b), s.valid, s.missing, s.not_applicable, a.aligned, a.covered_days, case when b % 3 = 0 or not a.aligned or s.missing > 0 or b % 2 = 0 then 'PARTIAL' else 'PASS' end audit_status, concat_ws(',', case when last_date < date '1998-12-31' then 'date_to_not_present_if_non_trading_or_provider_omitted' end, case when b % 3 = 0 then 'source_is_not_the_exchange' end, case when b % 2 = 0 then 'valuation_inputs_missing' end) warnings, case when not a.aligned or s.gaps > 0 then 'PARTIAL' else 'PASS' end technical_status from (select ticker, max(date) last_date, arg_max(close, date) last_close, count(*) candles, substr(ticker, 7)::int b from candles group by ticker) l join (select ticker, count(*) filter (status = 'valid') valid,"
     " count(*) filter (status = 'missing') missing, count(*) filter (status = 'not_applicable_to_requested_period') not_applicable, count(*) filter (indicator_code in ('ma_20','ma_50','rsi_14','support_level','resistance_level') and status <> 'valid') gaps from ia group by ticker) s using (ticker) join align a using (ticker)",
     CANDLES, IND, ALIGN, INDAUDIT,
 )
 def k11_market_report(spark, sf_dir):
-    return K.market_report(S.candles(spark, sf_dir), FROM, TO)
+    brand = F.substring("ticker", 7, 9).cast("int")
+    candles = S.candles(spark, sf_dir)
+    context = candles.select("ticker").distinct().select("ticker", (brand % 3 != 0).alias("official"), (brand % 2 != 0).alias("valuation"))
+    return K.market_report(candles, FROM, TO, context)
 
 
 @query("select ticker, date, open, high, low, close, volume, value from candles where date between date '1996-01-01' and date '1998-12-31'", CANDLES)
