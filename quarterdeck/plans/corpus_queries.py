@@ -10,17 +10,37 @@ from ..operators import gaps as H
 from ..operators import metrics as M
 from ..operators import portfolio as C
 from ..operators.entities import match_entity_in_text
+from ..operators.grids import normalize_table_grid
 from ..sources import fixtures as S
-from ..sources.html import html_tables
+from ..sources.html import html_grids, html_tables
 from .queries import AUDIT_LIST, AUDITED, FACTS, GAPS, REGISTRY, SOURCES, _audited, _gap_rows, query
 
 INPUTS = "(values " + ", ".join(f"('{c}', '{i}')" for c, names in M.AUDIT_INPUTS.items() for i in names) + ") n(code, input)"
 
 
-@query("select page_id, cast(0 as integer) \"table\", cast(r as integer) \"row\", cast(c as integer) cell, case when r = 0 then case c when 0 then 'Id' else 'Url' end when c = 0 then cast(page_id as varchar) else url end as text from pages, range(2) a(r), range(2) b(c)")
+PAGE_CELLS = """
+cell(t, r, c) as (values (0, 0, 0), (0, 0, 1), (0, 0, 2), (0, 1, 0), (0, 1, 1), (0, 1, 2), (0, 2, 0), (0, 2, 1), (0, 2, 2), (1, 0, 0)),
+page_cells as (
+  select page_id, t, r, c, case when t = 1 then 'in' when r = 0 then case c when 0 then 'Id' else 'Url' end when c = 0 then page_id::varchar when r = 1 then case c when 1 then url else length(html)::varchar end else 'nested tail' end as text
+  from pages, cell)"""
+
+
+def _pages(spark, sf_dir):
+    """All pages whole, each after a table about itself: a head over two columns, an id over two rows, a table in a cell."""
+    own = ["<p>x</p><TABLE border=1><tr><th> Id<th colspan='2'><b>Url</b></tr><tr><td rowspan=2>", F.col("page_id").cast("string"), "</td>\n<td>", F.replace("url", F.lit("&"), F.lit("&amp;")), "<td>", F.length("html").cast("string"), "<tr><td colspan=2>nested\n<table><tr><td>in</table> tail</table>"]
+    return S.table(spark, sf_dir, "pages").select("page_id", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in own], F.coalesce("html", F.lit(""))).alias("html"))
+
+
+@query('select page_id, t::int "table", r::int "row", c::int cell, text from page_cells', PAGE_CELLS.strip())
 def s10_html_tables(spark, sf_dir):
-    table = F.concat(F.lit("<p>x</p><TABLE border=1><tr><th> Id<th><b>Url</b></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td>\n<td>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</table>"))
-    return html_tables(S.table(spark, sf_dir, "pages").select("page_id", F.concat(table, F.regexp_replace("html", "(?is)<table.*?</table>", "")).alias("html")))
+    return html_tables(_pages(spark, sf_dir))
+
+
+@query()
+def s10_page_grids(spark, sf_dir):
+    """The records of the tables of all pages."""
+    found = normalize_table_grid(html_grids(_pages(spark, sf_dir)))
+    return found.select("document_id", "table_index", "row_index", "line", F.array_join(F.transform(F.map_entries("cells"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("cells"))
 
 
 @query()

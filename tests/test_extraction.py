@@ -329,3 +329,19 @@ def test_coverage_levels_and_blockers(spark):
     }
     actions = {r.blocker: (r.entities, r.sample, r.place, r.is_next) for r in portfolio.blocker_actions(levels).collect()}
     assert actions == {"missing_fy_report": (2, "A,B", 1, True), "unavailable_valuation_inputs": (1, "C", 2, False), "zzz": (1, "E", 3, False)}
+
+
+def test_tables_of_pages_with_spans(spark):
+    from quarterdeck.sources.html import html_grids, parse_tables
+
+    html = "<table><tr><th>a<th colspan=2>b</tr><tr><td rowspan=3>c<td>d<td rowspan='x'>e</tr><tr><td colspan=2>f<table><tr><td>in</td></tr></table> g</tr></table><p>x<table><td rowspan=2 colspan=2>open &amp; wide"
+    assert parse_tables(html) == [
+        (0, 0, 0, "a"), (0, 0, 1, "b"), (0, 0, 2, "b"), (0, 1, 0, "c"), (0, 1, 1, "d"), (0, 1, 2, "e"), (0, 2, 0, "c"), (0, 2, 1, "f g"), (0, 2, 2, "f g"), (1, 0, 0, "in"), (2, 0, 0, "open & wide"), (2, 0, 1, "open & wide"),
+    ]
+    assert parse_tables(None) == parse_tables("") == parse_tables("<tr><td>x</table>") == []
+    assert parse_tables("<table><tr><td>a</tr><tr></tr><tr><td>b<td>c</table>") == [(0, 0, 0, "a"), (0, 2, 0, "b"), (0, 2, 1, "c")]
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<table><tr><td>Item<td>2021<td>2020<tr><td>Cash<td>5<td>6</table>")], "page_id long, html string")
+    got = {(g.document_id, g.table_index): g.rows for g in html_grids(pages).collect()}
+    assert got[1, 0] == [["a", "b", "b"], ["c", "d", "e"], ["c", "f g", "f g"]] and got[3, 0] == [["Item", "2021", "2020"], ["Cash", "5", "6"]] and len(got) == 4
+    records = {(g.document_id, g.table_index): (g.line, g.cells) for g in grids.normalize_table_grid(html_grids(pages)).collect()}
+    assert records[3, 0] == ("Cash", {"2021": "5", "2020": "6"})
