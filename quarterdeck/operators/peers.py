@@ -51,25 +51,86 @@ def peer_table(peers: DataFrame, wide: DataFrame, period: str, codes) -> DataFra
     return rows.select("target", "peer", "place", *codes, F.when(F.col("there").isNull(), "missing").otherwise("exact").alias("quality_flag"))
 
 
-def period_signature(facts: DataFrame, inputs: DataFrame) -> DataFrame:
-    """The period types behind a metric: one type, mixed, or none. inputs: metric_code, input."""
-    rows = inputs.join(facts.select("entity", "period", F.col("metric_code").alias("input"), "period_type"), "input")
-    return rows.groupBy("entity", "period", "metric_code").agg(F.array_sort(F.collect_set("period_type")).alias("t")).select("entity", "period", "metric_code", F.when(F.size("t") == 1, F.col("t")[0]).otherwise(F.concat(F.lit("mixed:"), F.array_join("t", "+"))).alias("signature"))
-
-
-def pair_compatibility(audited: DataFrame, signatures: DataFrame, target: str, peer: str) -> DataFrame:
-    """Each metric and period of two entities: comparable, or the first reason why not."""
-    rows = audited.join(signatures, ["entity", "period", "metric_code"], "left")
-    side = lambda e, p: rows.where(F.col("entity") == e).select("period", "metric_code", F.col("value").alias(f"{p}_value"), F.col("status").alias(f"{p}_status"), F.col("signature").alias(f"{p}_signature"))
-    both = side(target, "t").join(side(peer, "p"), ["period", "metric_code"], "full_outer")
-    either = lambda s: (F.coalesce("t_status", F.lit("missing")) == s) | (F.coalesce("p_status", F.lit("missing")) == s)
-    reason = (
-        F.when(F.col("metric_code").isin("pe_ratio", "ev_to_ebitda", "dividend_yield"), "valuation_metric").when(F.col("metric_code").isin("ebitda_margin", "net_debt_to_ebitda"), "ebitda_metric").when(either("missing"), "missing")
-        .when(either("invalid"), "invalid").when(either("questionable"), "questionable").when(~F.col("t_signature").eqNullSafe(F.col("p_signature")), "period_signature_mismatch")
-    )
-    return both.select("period", "metric_code", "t_value", "p_value", reason.isNull().alias("comparable"), reason.alias("reason"))
+# Metrics that two entities are never compared on, flags that spoil an input, and roles that a source may have.
+VALUATION = ("pe_ratio", "ev_to_ebitda", "dividend_yield")
+EBITDA = ("ebitda_margin", "net_debt_to_ebitda", "ev_to_ebitda")
+BAD_FLAGS = ("low_confidence_parse", "conflicting_sources", "fixture")
+GOOD_ROLES = ("financial_statements", "financial_supplement", "annual_report", "manual_verified")
+#: Comparable metrics from which on a pair is worth reading, and valid ones below which an entity's cover is narrow.
+ENOUGH, NARROW = 5, 10
 
 
-def pair_report(pairs: DataFrame) -> DataFrame:
-    rows = pairs.groupBy("period").agg(F.count_if("comparable").alias("comparable"), F.count_if(~F.col("comparable")).alias("excluded"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
-    return rows.withColumn("readiness", F.when(F.col("comparable") == 0, "not_ready").otherwise("ready"))
+def period_signature(facts: DataFrame, inputs: DataFrame) -> DataFrame:
+    """entity, period, metric_code, period_type, coverage, low, traced, good_roles: what stands behind each metric.
+
+    facts: entity, period, metric_code, period_type, ytd_months, quality_flag, trace, source_role; inputs: metric_code, input.
+    One period type is the type; year-to-date inputs of one length cover so many months, annual ones 12M, others name their
+    type; several types, or none, are mixed.  low: an input of a bad flag; traced: all inputs have a trace; good_roles: all have
+    a role that a source of comparisons may have.
+    """
+    of = facts.select("entity", "period", F.col("metric_code").alias("input"), "period_type", "ytd_months", "quality_flag", "trace", "source_role")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    rows = inputs.hint("merge").join(of.hint("merge"), "input").groupBy("entity", "period", "metric_code").agg(
+        F.array_sort(F.collect_set("period_type")).alias("types"), F.collect_set("ytd_months").alias("months"), F.bool_or(sure(F.col("quality_flag").isin(*BAD_FLAGS))).alias("low"),
+        F.bool_and(F.coalesce("trace", F.lit("")) != "").alias("traced"), F.bool_and(sure(F.col("source_role").isin(*GOOD_ROLES))).alias("good_roles"),
+    )
+    one = F.when(F.size("types") == 1, F.get("types", F.lit(0)))
+    cover = F.when((one == "ytd") & (F.size("months") == 1), F.concat(F.get("months", F.lit(0)).cast("string"), F.lit("M"))).when(one == "annual", "12M").otherwise(F.coalesce(one, F.lit("mixed")))
+    return rows.select("entity", "period", "metric_code", F.coalesce(one, F.lit("mixed")).alias("period_type"), cover.alias("coverage"), "low", "traced", "good_roles")
+
+
+def pair_compatibility(audited: DataFrame, signatures: DataFrame, pairs: DataFrame) -> DataFrame:
+    """target, peer, period, metric_code, target_value, peer_value, comparable, reason, period_type, coverage, target_valid and
+    peer_valid of every metric and quarter that one of a pair has.
+
+    pairs: target, peer.  The first reason counts: valuation and ebitda metrics, then for the target and then for the peer a
+    missing or questionable metric, inputs of bad flags, inputs without a trace, sources of other roles; last, differing
+    period types or coverage.  An entity is not compared with itself; repeated pairs count once.
+    """
+    side = signatures.select("entity", "period", "metric_code", "period_type", "coverage", "low", "traced", "good_roles")
+    rows = audited.select("entity", "period", "metric_code", "value", "status").hint("merge").join(side.hint("merge"), ["entity", "period", "metric_code"], "left")
+    fields = ("value", "status", "period_type", "coverage", "low", "traced", "good_roles")
+    asked = pairs.select("target", "peer").where("target <> peer").distinct()
+
+    def of(who: str) -> DataFrame:
+        own = rows.select(F.col("entity").alias(who), "period", "metric_code", F.struct(*fields).alias(f"{who}_x"))
+        return asked.hint("merge").join(own.hint("merge"), who)
+
+    key = ["target", "peer", "period", "metric_code"]
+    both = of("target").hint("merge").join(of("peer").hint("merge"), key, "full_outer")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    code = F.col("metric_code")
+    reason = F.when(code.isin(*VALUATION), "valuation_inputs_missing").when(code.isin(*EBITDA), "ebitda_missing")
+    for who in ("target", "peer"):
+        x = lambda c, who=who: F.col(f"{who}_x.{c}")
+        reason = (
+            reason.when(sure(x("status") == "questionable"), f"questionable_for_{who}").when(~sure(x("status") == "valid"), f"missing_for_{who}").when(sure(x("low")), f"low_quality_inputs_for_{who}")
+            .when(~sure(x("traced")), f"traceability_missing_for_{who}").when(~sure(x("good_roles")), f"unacceptable_source_role_for_{who}")
+        )
+    same = F.col("target_x.period_type").eqNullSafe(F.col("peer_x.period_type")) & F.col("target_x.coverage").eqNullSafe(F.col("peer_x.coverage"))
+    out = both.withColumn("reason", reason.when(~same, "incompatible_period_coverage"))
+    fine = F.col("reason").isNull()
+    shown = lambda c: F.when(fine, F.col(f"target_x.{c}")).alias(c)
+    valid = lambda who: sure(F.col(f"{who}_x.status") == "valid").alias(f"{who}_valid")
+    return out.select(*key, F.col("target_x.value").alias("target_value"), F.col("peer_x.value").alias("peer_value"), fine.alias("comparable"), "reason", shown("period_type"), shown("coverage"), valid("target"), valid("peer"))
+
+
+def pair_report(compared: DataFrame, documents: DataFrame, last_period: str) -> DataFrame:
+    """A row a pair: comparable and excluded metrics, gaps a side, full_year, status, readiness and warnings.
+
+    compared: of pair_compatibility; documents: entity, period of the reports at hand.  A pair compares a full year where the
+    peer's last quarter is there; fewer than ENOUGH comparable metrics aren't ready, and without a full year they are limited.
+    """
+    whole = documents.where(F.col("period") == last_period).select(F.col("entity").alias("peer"), F.lit(True).alias("full")).distinct()
+    rows = compared.groupBy("target", "peer").agg(
+        F.count_if("comparable").alias("comparable"), F.count_if(~F.col("comparable")).alias("excluded"), F.count_if(~F.col("comparable") & ~F.col("target_valid")).alias("target_gaps"),
+        F.count_if(~F.col("comparable") & ~F.col("peer_valid")).alias("peer_gaps"), F.count_if("peer_valid").alias("peer_metrics"), F.bool_or(F.col("reason") == "ebitda_missing").alias("ebitda"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"),
+    )
+    rows = rows.hint("merge").join(whole.hint("merge"), "peer", "left").withColumn("full_year", F.coalesce("full", F.lit(False)))
+    n = F.col("comparable")
+    readiness = F.when(n < ENOUGH, "not_ready").when(~F.col("full_year"), "limited").otherwise("usable_with_warnings")
+    warnings = F.array_compact(F.array(
+        F.when(F.coalesce("ebitda", F.lit(False)), "ebitda_metrics_unavailable"), F.when(F.col("peer_metrics") < NARROW, "narrow_peer_coverage"), F.when(n == 0, "no_compatible_metrics"), F.lit("partial_comparison"), F.when(~F.col("full_year"), "peer_year_end_missing"),
+        F.lit("valuation_unavailable"),
+    ))
+    return rows.select("target", "peer", "comparable", "excluded", "target_gaps", "peer_gaps", "full_year", F.when(n > 0, "PARTIAL").otherwise("NOT_READY").alias("status"), readiness.alias("readiness"), F.array_join(warnings, ",").alias("warnings"), "reasons")

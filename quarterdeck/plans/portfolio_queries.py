@@ -65,12 +65,23 @@ def e5_peer_table(spark, sf_dir):
     return E.peer_table(_peers(spark, sf_dir), M.wide_facts(S.facts(spark, sf_dir)), TO, ("revenue", "net_income"))
 
 
-SIGNATURES = "signatures as (select entity, period, code metric_code, case when count(distinct period_type) = 1 then any_value(period_type) else 'mixed:' || string_agg(distinct period_type, '+' order by period_type) end signature from facts join (values " + ", ".join(f"('{c}', '{i}')" for c, names in M.AUDIT_INPUTS.items() for i in names) + ") n(code, input) on input = metric_code group by all)"
+SIGNATURES = (
+    "sourced as (select *, case when k % 23 <> 0 then 'p' end trace, case when k % 19 = 0 then 'press_release' else 'financial_statements' end src, case when period_type = 'ytd' then (idx % 4 + 1) * 3 end ytd from facts), inputs as (select * from (values "
+    + ", ".join(f"('{c}', '{i}')" for c, names in M.AUDIT_INPUTS.items() for i in names)
+    + ") n(code, input)),"
+    "behind as (select entity, period, code metric_code, count(distinct period_type) types, any_value(period_type) t, count(distinct ytd) ms, max(ytd) m, bool_or(quality_flag in ('low_confidence_parse', 'conflicting_sources', 'fixture')) low, bool_and(trace is not null) traced, bool_and(src <> 'press_release') good_roles"
+    " from sourced join inputs on input = metric_code group by 1, 2, 3),"
+    "signatures as (select entity, period, metric_code, case when types = 1 then t else 'mixed' end period_type, case when types = 1 and t = 'ytd' and ms = 1 then m || 'M' when types = 1 and t = 'annual' then '12M' when types = 1 then t else 'mixed' end coverage, low, traced, good_roles from behind)"
+)
 
 
 def _signatures(spark, sf_dir):
     inputs = spark.createDataFrame([(c, i) for c, names in M.AUDIT_INPUTS.items() for i in names], "metric_code string, input string")
-    return E.period_signature(S.facts(spark, sf_dir), F.broadcast(inputs))  # fixed rules
+    k = F.col("k")
+    facts = S.facts(spark, sf_dir).withColumns({
+        "trace": F.when(k % 23 != 0, "p"), "source_role": F.when(k % 19 == 0, "press_release").otherwise("financial_statements"), "ytd_months": F.when(F.col("period_type") == "ytd", (F.col("idx") % 4 + 1) * 3),
+    })
+    return E.period_signature(facts, inputs)
 
 
 @query("select * from signatures", FACTS, SIGNATURES)
@@ -79,20 +90,42 @@ def e7_period_signature(spark, sf_dir):
 
 
 PAIRS = (
-    "side as (select a.*, s.signature from audited a left join signatures s using (entity, period, metric_code)), pairs as (select period, metric_code, t.value t_value, p.value p_value, case when metric_code in ('pe_ratio','ev_to_ebitda','dividend_yield') then 'valuation_metric' when metric_code in ('ebitda_margin','net_debt_to_ebitda') then 'ebitda_metric'"
-    " when coalesce(t.status, 'missing') = 'missing' or coalesce(p.status, 'missing') = 'missing' then 'missing' when t.status = 'invalid' or p.status = 'invalid' then 'invalid' when t.status = 'questionable' or p.status = 'questionable' then 'questionable' when t.signature is distinct from p.signature then 'period_signature_mismatch' end reason"
-    " from (select * from side where entity = 'N0') t full outer join (select * from side where entity = 'N4') p using (period, metric_code))"
+    "side as (select a.entity, a.period, a.metric_code, a.value, a.status, s.period_type, s.coverage, s.low, s.traced, s.good_roles from audited a left join signatures s using (entity, period, metric_code)),"
+    "tside as (select p.target, p.peer, s.* from (select distinct target, peer from peers) p join side s on s.entity = p.target), pside as (select p.target, p.peer, s.* from (select distinct target, peer from peers) p join side s on s.entity = p.peer),"
+    "compared as (select target, peer, period, metric_code, t.value t_value, p.value p_value, coalesce(t.status = 'valid', false) t_valid, coalesce(p.status = 'valid', false) p_valid, t.period_type, t.coverage,"
+    " case when metric_code in ('pe_ratio', 'ev_to_ebitda', 'dividend_yield') then 'valuation_inputs_missing' when metric_code in ('ebitda_margin', 'net_debt_to_ebitda') then 'ebitda_missing'"
+    + "".join(
+        f" when {x}.status = 'questionable' then 'questionable_for_{who}' when coalesce({x}.status, '') <> 'valid' then 'missing_for_{who}' when coalesce({x}.low, false) then 'low_quality_inputs_for_{who}'"
+        f" when not coalesce({x}.traced, false) then 'traceability_missing_for_{who}' when not coalesce({x}.good_roles, false) then 'unacceptable_source_role_for_{who}'"
+        for x, who in (("t", "target"), ("p", "peer"))
+    )
+    + " when t.period_type is distinct from p.period_type or t.coverage is distinct from p.coverage then 'incompatible_period_coverage' end reason from tside t full outer join pside p using (target, peer, period, metric_code))"
 )
+COMPARED = (*AUDITED, REGISTRY, PEERS, SIGNATURES, PAIRS)
+
 
+def _compared(spark, sf_dir):
+    return E.pair_compatibility(_audited(spark, sf_dir), _signatures(spark, sf_dir), _peers(spark, sf_dir))
 
-@query("select period, metric_code, round(t_value, 6) t_value, round(p_value, 6) p_value, reason is null comparable, reason from pairs", *AUDITED, SIGNATURES, PAIRS)
+
+@query(
+    "select target, peer, period, metric_code, round(t_value, 6) target_value, round(p_value, 6) peer_value, reason is null comparable, reason, case when reason is null then period_type end period_type, case when reason is null then coverage end coverage, t_valid target_valid, p_valid peer_valid from compared",
+    *COMPARED,
+)
 def e6_pair_compatibility(spark, sf_dir):
-    return E.pair_compatibility(_audited(spark, sf_dir), _signatures(spark, sf_dir), "N0", "N4").withColumns({c: F.round(c, 6) for c in ("t_value", "p_value")})
+    return _compared(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("target_value", "peer_value")})
 
 
-@query("select period, count(*) filter (reason is null) comparable, count(*) filter (reason is not null) excluded, coalesce(string_agg(distinct reason, ',' order by reason), '') reasons, case when count(*) filter (reason is null) = 0 then 'not_ready' else 'ready' end readiness from pairs group by period", *AUDITED, SIGNATURES, PAIRS)
+@query(
+    f"select target, peer, comparable, excluded, target_gaps, peer_gaps, full_year, case when comparable > 0 then 'PARTIAL' else 'NOT_READY' end status, case when comparable < 5 then 'not_ready' when not full_year then 'limited' else 'usable_with_warnings' end readiness,"
+    " concat_ws(',', case when e then 'ebitda_metrics_unavailable' end, case when pm < 10 then 'narrow_peer_coverage' end, case when comparable = 0 then 'no_compatible_metrics' end, 'partial_comparison', case when not full_year then 'peer_year_end_missing' end, 'valuation_unavailable') warnings, reasons"
+    " from (select target, peer, count(*) filter (reason is null) comparable, count(*) filter (reason is not null) excluded, count(*) filter (reason is not null and not t_valid) target_gaps, count(*) filter (reason is not null and not p_valid) peer_gaps, count(*) filter (p_valid) pm,"
+    f" coalesce(bool_or(reason = 'ebitda_missing'), false) e, coalesce(string_agg(distinct reason, ',' order by reason), '') reasons, peer in (select entity from facts where period = '{TO}' and k % 4 <> 1) full_year from compared group by 1, 2)",
+    *COMPARED,
+)
 def e8_pair_report(spark, sf_dir):
-    return E.pair_report(E.pair_compatibility(_audited(spark, sf_dir), _signatures(spark, sf_dir), "N0", "N4"))
+    documents = S.facts(spark, sf_dir).where("k % 4 <> 1").select("entity", "period").distinct()
+    return E.pair_report(_compared(spark, sf_dir), documents, TO)
 
 
 # ---- portfolio ----
