@@ -271,9 +271,11 @@ def _bucket_links(members: DataFrame) -> DataFrame:
     return ordered.mapInArrow(settled(run), "a long, b long").distinct()
 
 
-def _apart(ids: np.ndarray, sig: np.ndarray, label: np.ndarray, part: np.ndarray, whole: np.ndarray, common: np.ndarray, most: int | None) -> tuple[list, bool]:
+def _apart(ids: np.ndarray, sig: np.ndarray, label: np.ndarray, part: np.ndarray, whole: np.ndarray, common: np.ndarray, bands: np.ndarray, band: int, most: int | None) -> tuple[list, bool]:
     """(likely pairs of different labels, and parts if there are two, the best of each label; whether there are more).
 
+    A pair that shares several bands belongs to the first of them, where its bucket compares it, and to no other.
+
     whole: weight of each text; common: of its shingles that other texts have too.  No two texts have more in common
     than the less of theirs, which bounds their similarity.
     """
@@ -288,6 +290,8 @@ def _apart(ids: np.ndarray, sig: np.ndarray, label: np.ndarray, part: np.ndarray
         j = j[both >= (SIMILARITY - 1e-6) * (whole[i] + whole[j] - both)]
         est = (sig[j] == sig[i]).mean(axis=1) if len(j) else np.zeros(0)
         j, est = j[est >= LIKELY], est[est >= LIKELY]
+        mine = (bands[j] == bands[i]).argmax(axis=1) == band if len(j) else np.zeros(0, bool)
+        j, est = j[mine], est[mine]
         left.append(np.full(len(j), i))
         right.append(j)
         near.append(est)
@@ -322,7 +326,7 @@ def _unsettled(met: DataFrame, sigs: DataFrame, labels: DataFrame, most: int | N
                         break
                     unit = rows[start:k]
                     if len(unit) > 1:
-                        found, more = _apart(np.array([r[4] for r in unit]), np.stack([np.frombuffer(r[7], "<u2") for r in unit]), *(np.array([r[k] for r in unit]) for k in (5, 6, 8, 9)), most)
+                        found, more = _apart(np.array([r[4] for r in unit]), np.stack([np.frombuffer(r[7], "<u2") for r in unit]), *(np.array([r[k] for r in unit]) for k in (5, 6, 8, 9, 10)), unit[0][0], most)
                         pairs.update(found)
                         if more:
                             pairs.add((-1, -1))
@@ -345,7 +349,7 @@ def _unsettled(met: DataFrame, sigs: DataFrame, labels: DataFrame, most: int | N
     last = (F.col("label") == F.col("most")) & (F.col("tops") > 0)
     placed = here.join(buckets.hint("merge"), ["band", "v"]).withColumn("p", F.when(last, F.col("rest") + F.pmod(h, "tops")).otherwise(F.pmod(h, "rest")).cast("int"))
     others = F.sequence(F.lit(0), F.when(last, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1)
-    units = placed.join(sigs.hint("merge"), "node").withColumn("q", F.explode(others)).select("band", "v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "label", "p", "nd_sig", "whole", "common")
+    units = placed.join(sigs.hint("merge"), "node").withColumn("q", F.explode(others)).select("band", "v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "label", "p", "nd_sig", "whole", "common", "nd_bands")
     key = ["band", "v", "i", "j"]
     return units.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(settled(run), "a long, b long").distinct()
 
@@ -484,7 +488,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
         if weights is None:
             crowd = some_met.select("node").distinct()
             weights = written(_weights(texts.join(crowd.hint("merge"), "node", "left_semi"), sampler), "nd-weights")
-            sigs = sigs.join(weights.hint("merge"), "node")
+            sigs = firsts.select("node", "nd_sig", "nd_bands").join(weights.hint("merge"), "node")
             release(spark)
         pairs = written(_unsettled(some_met, sigs, labels, most), "nd-unsettled")
         release(spark)
