@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import periods as P
+
 LINE_KINDS = ("statement_line_item", "subtotal", "grand_total")
 KEY = ("entity", "period", "metric_code")
 
@@ -51,7 +53,12 @@ def fuse_candidates(candidates: DataFrame, priority: dict[str, int]) -> DataFram
 
 
 def engine_contribution(fused: DataFrame) -> DataFrame:
-    return fused.select(F.explode(F.split("engines", ",")).alias("engine"), "fusion_status").groupBy("engine").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("fusion_status") == "merged_engines").alias("merged"))
+    """Per engine: items it took part in, those merged, single and kept as conflicts, and those that only optical engines saw."""
+    status = lambda s: F.count_if(F.col("fusion_status") == s)
+    rows = fused.select(F.split("engines", ",").alias("all"), "fusion_status").withColumn("optical", F.forall("all", lambda e: e.contains("ocr")))
+    return rows.select(F.explode("all").alias("engine"), "fusion_status", "optical").groupBy("engine").agg(
+        F.count(F.lit(1)).alias("items"), status("merged_engines").alias("merged"), status("single_engine").alias("single"), status("conflict_retained_as_evidence").alias("conflicts"), F.count_if("optical").alias("ocr_only")
+    )
 
 
 def review_candidates(candidates: DataFrame) -> DataFrame:
@@ -108,17 +115,68 @@ def support_scan(statuses: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return dim.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0).cast("long")).alias("entities"))
 
 
-def source_package(sources: DataFrame) -> DataFrame:
-    """Per entity and period: which roles are there and whether the period is ready."""
-    has = lambda role: F.bool_or(F.col("source_role") == role)
-    rows = sources.groupBy("entity", "period").agg(has("financial_statements").alias("statements"), has("press_release").alias("press_release"), F.countDistinct("document_id").alias("documents"))
-    return rows.withColumn("readiness", F.when(F.col("statements") & (F.col("documents") > 1), "READY").when(F.col("statements"), "PARTIAL").otherwise("NOT_READY"))
+#: Roles of sources that a quarter is ready with, and all that are counted.
+PROPER_ROLES = ("financial_statements", "financial_supplement", "annual_report")
+SOURCE_ROLES = (*PROPER_ROLES, "press_release")
+
+
+def _asked(entities: DataFrame, period_from: str, period_to: str) -> DataFrame:
+    """Every entity and every quarter of the range."""
+    first, last = P.range_bounds(period_from, period_to)
+    rows = entities.select("entity").distinct().select("entity", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("i"))
+    return rows.select("entity", P.period_from_index(F.col("i")).alias("period"))
 
 
-def report_candidates(candidates: DataFrame) -> DataFrame:
-    """Best candidate a (period, url) by confidence, then document."""
-    place = F.row_number().over(Window.partitionBy("period", "url").orderBy(F.desc("confidence"), "document_id"))
-    return candidates.withColumn("place", place).where("place = 1").drop("place")
+def source_package(entities: DataFrame, sources: DataFrame, period_from: str, period_to: str) -> DataFrame:
+    """entity, period, sources, has_ and verified_ flags of each proper role, press_only and readiness: a row for every quarter of
+    the range.
+
+    entities: entity; sources: entity, period, source_role, verified.  A quarter with a proper role is ready, with
+    other sources partial, without any missing.  Sources of other entities and quarters are left out.
+    """
+    role, sure = F.col("source_role"), F.coalesce("verified", F.lit(False))
+    has = [F.bool_or(F.coalesce(role == r, F.lit(False))).alias(f"has_{r}") for r in PROPER_ROLES]
+    verified = [F.bool_or(F.coalesce(role == r, F.lit(False)) & sure).alias(f"verified_{r}") for r in PROPER_ROLES]
+    counts = [F.count_if(role == r).alias(f"n_{r}") for r in SOURCE_ROLES]
+    found = sources.groupBy("entity", "period").agg(F.count(F.lit(1)).alias("sources"), *has, *verified, *counts)
+    rows = _asked(entities, period_from, period_to).hint("merge").join(found.hint("merge"), ["entity", "period"], "left")
+    flags = [f"{k}_{r}" for k in ("has", "verified") for r in PROPER_ROLES]
+    rows = rows.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags} | {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("sources", *[f"n_{r}" for r in SOURCE_ROLES])})
+    proper = F.col(flags[0]) | F.col(flags[1]) | F.col(flags[2])
+    press = (F.col("sources") > 0) & (F.col("sources") == F.col("n_press_release"))
+    return rows.withColumns({"press_only": press, "readiness": F.when(proper, "ready").when(F.col("sources") > 0, "partial").otherwise("missing")})
+
+
+def package_summary(periods: DataFrame, *, verified: bool = False) -> DataFrame:
+    """A row an entity of source_package: quarters by role, role counts, missing quarters and the package's status.
+
+    verified: only verified sources make a package; READY if the quarters of its proper roles are as many as all.
+    """
+    with_role = lambda k, r: F.count_if(f"{k}_{r}").alias(f"periods_{k}_{r}")
+    rows = periods.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("periods"), *[with_role(k, r) for k in ("has", "verified") for r in PROPER_ROLES], F.count_if("press_only").alias("periods_press_only"), *[F.sum(f"n_{r}").alias(f"n_{r}") for r in SOURCE_ROLES],
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("readiness") == "missing", F.col("period")))), ",").alias("missing_periods"),
+    )
+    kind = "verified" if verified else "has"
+    proper = F.col(f"periods_{kind}_{PROPER_ROLES[0]}") + F.col(f"periods_{kind}_{PROPER_ROLES[1]}") + F.col(f"periods_{kind}_{PROPER_ROLES[2]}")
+    return rows.withColumn("status", F.when(proper >= F.col("periods"), "READY").when(proper > 0, "PARTIAL").otherwise("NOT_READY"))
+
+
+def report_candidates(candidates: DataFrame, period_from: str, period_to: str) -> DataFrame:
+    """Candidates of the range, the best of each (entity, period, url) by confidence, then document; nulls come last."""
+    place = F.row_number().over(Window.partitionBy("entity", "period", "url").orderBy(F.desc_nulls_last("confidence"), "document_id"))
+    return candidates.where(F.col("period").between(period_from, period_to)).withColumn("place", place).where("place = 1").drop("place")
+
+
+def discovery_status(entities: DataFrame, best: DataFrame, period_from: str, period_to: str) -> DataFrame:
+    """entity, reports, missing_periods and status of report_candidates: READY if statements cover every quarter of the range,
+    PARTIAL with some candidate, else NOT_FOUND."""
+    covered = best.where(F.col("source_role") == "financial_statements").select("entity", "period").distinct().withColumn("covered", F.lit(True))
+    grid = _asked(entities, period_from, period_to).hint("merge").join(covered.hint("merge"), ["entity", "period"], "left")
+    gaps = grid.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("covered").isNull(), F.col("period")))), ",").alias("missing_periods"))
+    counts = best.groupBy("entity").agg(F.count(F.lit(1)).alias("reports"))
+    rows = gaps.hint("merge").join(counts.hint("merge"), "entity", "left").withColumn("reports", F.coalesce("reports", F.lit(0).cast("long")))
+    return rows.withColumn("status", F.when(F.col("reports") == 0, "NOT_FOUND").when(F.col("missing_periods") == "", "READY").otherwise("PARTIAL"))
 
 
 def rank_providers(providers: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as D
 from ..sources import fixtures as S
-from .queries import AUDITED, CANDLES, FACTS, SOURCES, _audited, query
+from .queries import AUDITED, CANDLES, FACTS, FROM, REGISTRY, SOURCES, TO, _audited, query
 
 
 @query("select ticker id, row_number() over (partition by ticker order by date) - 1 \"row\", date::varchar as date, cast(volume as bigint)::varchar as volume, cast(null as varchar) as error from candles union all select 'none', null, null, null, 'candles block missing'", CANDLES)
@@ -47,7 +47,7 @@ def f13_fuse_candidates(spark, sf_dir):
     return _fused(spark, sf_dir)
 
 
-@query("select engine, count(*) items, count(*) filter (fusion_status = 'merged_engines') merged from (select unnest(string_split(engines, ',')) engine, fusion_status from fused) group by engine", FACTS, SOURCES, FUSED)
+@query("select engine, count(*) items, count(*) filter (fusion_status = 'merged_engines') merged, count(*) filter (fusion_status = 'single_engine') single, count(*) filter (fusion_status = 'conflict_retained_as_evidence') conflicts, count(*) filter (len(list_filter(string_split(engines, ','), lambda x: not contains(x, 'ocr'))) = 0) ocr_only from (select unnest(string_split(engines, ',')) engine, engines, fusion_status from fused) group by engine", FACTS, SOURCES, FUSED)
 def f15_engine_contribution(spark, sf_dir):
     return D.engine_contribution(_fused(spark, sf_dir))
 
@@ -107,15 +107,65 @@ def c5_support_scan(spark, sf_dir):
     return D.support_scan(S.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("status")), ("BUILDING", "MACHINERY", "NEVER", "OTHER"))
 
 
-@query("select *, case when statements and documents > 1 then 'READY' when statements then 'PARTIAL' else 'NOT_READY' end readiness from (select entity, period, bool_or(source_role = 'financial_statements') statements, bool_or(source_role = 'press_release') press_release, count(distinct document_id) documents from (select * from sources where document_id like '%|Y' or k % 2 = 0) group by all)", FACTS, SOURCES)
+PACKAGE = (
+    "src as (select entity, period, case when k % 11 = 0 then 'annual_report' when k % 17 = 0 then 'other' else source_role end r, k % 4 <> 0 ok from sources where nation % 9 <> 5 and idx % 7 <> 3),"
+    f"asked as (select entity, ((i // 4) || 'Q' || (i % 4 + 1)) period from (select distinct entity from registry), range({FROM[:4]} * 4 + {FROM[-1]} - 1, {TO[:4]} * 4 + {TO[-1]}) t(i)),"
+    "package as (select entity, period, count(r) sources, coalesce(bool_or(r = 'financial_statements'), false) a, coalesce(bool_or(r = 'financial_supplement'), false) b, coalesce(bool_or(r = 'annual_report'), false) c, coalesce(bool_or(r = 'financial_statements' and ok), false) va,"
+    " coalesce(bool_or(r = 'financial_supplement' and ok), false) vb, coalesce(bool_or(r = 'annual_report' and ok), false) vc, count(*) filter (r = 'financial_statements') na, count(*) filter (r = 'financial_supplement') nb, count(*) filter (r = 'annual_report') nc, count(*) filter (r = 'press_release') np"
+    " from asked left join src using (entity, period) group by 1, 2)"
+)
+
+
+def _package(spark, sf_dir):
+    k = F.col("k")
+    role = F.when(k % 11 == 0, "annual_report").when(k % 17 == 0, "other").otherwise(F.col("source_role"))
+    sources = S.two_sources(spark, sf_dir).where("nation % 9 <> 5 and idx % 7 <> 3").select("entity", "period", role.alias("source_role"), (k % 4 != 0).alias("verified"))
+    return D.source_package(S.registry(spark, sf_dir), sources, FROM, TO)
+
+
+@query(
+    "select entity, period, sources, a has_financial_statements, b has_financial_supplement, c has_annual_report, va verified_financial_statements, vb verified_financial_supplement, vc verified_annual_report, sources > 0 and sources = np press_only,"
+    " case when a or b or c then 'ready' when sources > 0 then 'partial' else 'missing' end readiness, na n_financial_statements, nb n_financial_supplement, nc n_annual_report, np n_press_release from package",
+    FACTS, SOURCES, REGISTRY, PACKAGE,
+)
 def c7_source_package(spark, sf_dir):
-    return D.source_package(S.two_sources(spark, sf_dir).where(F.col("document_id").endswith("|Y") | (F.col("k") % 2 == 0)))
+    """Sources by rule: some quarters and entities have none."""
+    return _package(spark, sf_dir)
+
 
+@query(
+    "select entity, missing_periods, press periods_press_only, na n_financial_statements, np n_press_release, case when va + vb + vc >= n then 'READY' when va + vb + vc > 0 then 'PARTIAL' else 'NOT_READY' end status from (select entity, count(*) n, sum(va::int) va, sum(vb::int) vb, sum(vc::int) vc,"
+    " count(*) filter (sources > 0 and sources = np) press, sum(na)::bigint na, sum(np)::bigint np, coalesce(string_agg(period, ',' order by period) filter (sources = 0), '') missing_periods from package group by entity)",
+    FACTS, SOURCES, REGISTRY, PACKAGE,
+)
+def c7_package_summary(spark, sf_dir):
+    return D.package_summary(_package(spark, sf_dir), verified=True).select("entity", "missing_periods", "periods_press_only", "n_financial_statements", "n_press_release", "status")
 
-@query("select period, url, document_id, confidence from (select *, row_number() over (partition by period, url order by confidence desc, document_id) r from (select period, 'u' || (nation % 5) url, document_id || metric_code document_id, confidence from sources)) where r = 1", FACTS, SOURCES)
+
+BEST = (
+    f"best as (select entity, period, url, document_id, confidence, r source_role from (select *, row_number() over (partition by entity, period, url order by confidence desc, document_id) n from (select entity, period, 'u' || (k % 3) url, document_id || metric_code document_id, confidence,"
+    f" case when idx % 5 = 0 then 'press_release' else source_role end r from sources where nation % 9 <> 5 and period between '{FROM}' and '{TO}')) where n = 1)"
+)
+
+
+def _best(spark, sf_dir):
+    role = F.when(F.col("idx") % 5 == 0, "press_release").otherwise(F.col("source_role"))
+    rows = S.two_sources(spark, sf_dir).where("nation % 9 <> 5").select("entity", "period", F.concat(F.lit("u"), F.col("k") % 3).alias("url"), F.concat("document_id", "metric_code").alias("document_id"), "confidence", role.alias("source_role"))
+    return D.report_candidates(rows, FROM, TO)
+
+
+@query("select entity, period, url, document_id, confidence, source_role from best", FACTS, SOURCES, BEST)
 def c10_report_candidates(spark, sf_dir):
-    rows = S.two_sources(spark, sf_dir).select("period", F.concat(F.lit("u"), F.col("nation") % 5).alias("url"), F.concat("document_id", "metric_code").alias("document_id"), "confidence")
-    return D.report_candidates(rows)
+    return _best(spark, sf_dir)
+
+
+@query(
+    "select entity, coalesce(n, 0) reports, missing_periods, case when n is null then 'NOT_FOUND' when missing_periods = '' then 'READY' else 'PARTIAL' end status from (select entity, coalesce(string_agg(period, ',' order by period) filter (not exists (select 1 from best b where b.entity = asked.entity and b.period = asked.period"
+    " and b.source_role = 'financial_statements')), '') missing_periods from asked group by entity) left join (select entity, count(*) n from best group by 1) using (entity)",
+    FACTS, SOURCES, REGISTRY, PACKAGE, BEST,
+)
+def c10_discovery_status(spark, sf_dir):
+    return D.discovery_status(S.registry(spark, sf_dir), _best(spark, sf_dir), FROM, TO)
 
 
 @query("select provider, trust, access, data_type, row_number() over (partition by data_type order by case trust when 'high' then 0 when 'medium' then 1 else 2 end, case access when 'open' then 0 when 'key' then 1 else 2 end, provider) place from (select s_name provider, case s_suppkey % 3 when 0 then 'low' when 1 then 'high' else 'medium' end trust, case s_suppkey % 2 when 0 then 'open' else 'paid' end as access, unnest(['facts', 'n' || (s_nationkey % 4)]) data_type from supplier)")
