@@ -215,6 +215,20 @@ def consistency_checks(facts: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return wide.select("entity", "period", F.inline(F.filter(each, lambda x: x["passed"].isNotNull())))
 
 
+def metric_recompute_checks(metrics: DataFrame, facts: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """entity, period, check, left (the metric), right (what its inputs give) and passed, for free cash flow and debt to equity.
+
+    Metrics without a value, without both inputs, or over no equity are left out.
+    """
+    codes = ["operating_cash_flow", "capex", "total_debt", "total_equity"]
+    wide = facts.where(F.col("value").isNotNull()).withColumn("v", economic_value(F.col("value"), F.col("unit_multiplier"))).groupBy("entity", "period").pivot("metric_code", codes).agg(F.max("v"))
+    asked = metrics.where(F.col("metric_code").isin("fcf", "debt_to_equity") & F.col("value").isNotNull()).select("entity", "period", "metric_code", "value")
+    again = F.when(F.col("metric_code") == "fcf", F.col("operating_cash_flow") - F.col("capex")).otherwise(F.try_divide("total_debt", "total_equity"))
+    rows = asked.hint("merge").join(wide.hint("merge"), ["entity", "period"]).withColumn("right", again).where(F.col("right").isNotNull())
+    good = F.abs(F.col("value") - F.col("right")) <= F.greatest(F.lit(tolerance), F.abs("right") * 0.0001)
+    return rows.select("entity", "period", F.concat("metric_code", F.lit("_recomputed")).alias("check"), F.col("value").alias("left"), "right", good.alias("passed"))
+
+
 def duplicate_spread(facts: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Keys with several values and whether these are within a thousandth."""
     rows = facts.where(F.col("value").isNotNull()).groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.min("value").alias("low"), F.max("value").alias("high")).where("copies > 1")

@@ -259,6 +259,15 @@ def t21_classify_link(spark, sf_dir):
     return _said(spark, sf_dir).select("page_id", "pos", X.link_role(F.col("t"), "IFRS").alias("x")).select("page_id", "pos", "x.role", "x.rejection")
 
 
+@query(
+    "select page_id, pos, case when contains(v, 'ras') or contains(v, 'рсбу') then 'financial_statements' when contains(v, 'presentation') then 'issuer_report' else 'unknown' end \"role\", case when contains(v, 'ras') or contains(v, 'рсбу') then null when contains(v, 'presentation') then 'presentation_not_financial_statements'"
+    " else 'required_financial_statement_markers_absent' end rejection from (select *, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) v from said)",
+    LINKS, SAID,
+)
+def t21_classify_link_ras(spark, sf_dir):
+    return _said(spark, sf_dir).select("page_id", "pos", X.link_role(F.col("t"), "RAS").alias("x")).select("page_id", "pos", "x.role", "x.rejection")
+
+
 @query(
     "select page_id, pos, case when regexp_matches(v, '\\b(20\\d{2})\\s*[-_/]?\\s*q([1-4])\\b') then regexp_extract(v, '\\b(20\\d{2})\\s*[-_/]?\\s*q([1-4])\\b', 1) || 'Q' || regexp_extract(v, '\\b(20\\d{2})\\s*[-_/]?\\s*q([1-4])\\b', 2) else nullif(regexp_extract(v, '\\b(20\\d{2})\\b', 1), '') || case when contains(v, '3 months') or contains(v, 'three months') then 'Q1' when contains(v, '6 months') or contains(v, 'six months') or contains(v, 'h1') then 'Q2' when contains(v, '9 months') or contains(v, 'nine months') then 'Q3' when contains(v, '12 months') or contains(v, 'year ended 31 december') or contains(v, 'fy ') or contains(v, 'annual report') then 'Q4' end end period, 'en' lang from (select *, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) v from said)",
     LINKS, SAID,
