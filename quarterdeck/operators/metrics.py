@@ -201,11 +201,17 @@ AUDIT_INPUTS = {
 def audit_metrics(metrics: DataFrame, facts: DataFrame) -> DataFrame:
     """Each metric's status from its value and its inputs' flags and period types: valid, questionable, invalid, missing."""
     inputs = F.create_map(*[x for code, names in AUDIT_INPUTS.items() for x in (F.lit(code), F.array(*map(F.lit, names)))])
-    rows = metrics.select("entity", "period", "metric_code", "value", "quality_flag", F.explode_outer(F.try_element_at(inputs, F.col("metric_code"))).alias("input"))
-    known = facts.select("entity", "period", F.col("metric_code").alias("input"), F.col("quality_flag").alias("flag"), F.col("period_type").alias("type"))
-    joined = rows.join(known.hint("merge"), ["entity", "period", "input"], "left").groupBy("entity", "period", "metric_code").agg(
-        F.first("value").alias("value"), F.first("quality_flag").alias("quality_flag"), F.coalesce(F.bool_or(F.col("flag") == "conflicting_sources"), F.lit(False)).alias("conflict"), F.coalesce(F.bool_or(F.col("flag") == "low_confidence_parse"), F.lit(False)).alias("low"),
-        F.coalesce(F.bool_or(F.col("flag") == "derived"), F.lit(False)).alias("derived"), F.count_distinct("type").alias("types"), F.coalesce(F.bool_and(F.col("type") == "balance_sheet_snapshot"), F.lit(True)).alias("snapshots"), F.max(F.when(F.col("input") == "revenue", F.col("type"))).alias("revenue_type"),
+    # a quarter's facts meet its metrics as one array, so that no row is made for each input
+    known = facts.groupBy("entity", "period").agg(F.collect_list(F.struct(F.col("metric_code").alias("input"), F.col("quality_flag").alias("flag"), F.col("period_type").alias("type"))).alias("all"))
+    rows = metrics.select("entity", "period", "metric_code", "value", "quality_flag").hint("merge").join(known.hint("merge"), ["entity", "period"], "left")
+    names = F.coalesce(F.try_element_at(inputs, F.col("metric_code")), F.array().cast("array<string>"))
+    rows = rows.withColumn("x", F.filter(F.coalesce("all", F.array().cast("array<struct<input:string,flag:string,type:string>>")), lambda x: F.array_contains(names, x["input"]))).drop("all")
+    flagged = lambda flag: F.exists("x", lambda x: F.coalesce(x["flag"] == flag, F.lit(False)))
+    types = F.array_distinct(F.array_compact(F.transform("x", lambda x: x["type"])))
+    revenue = F.array_max(F.transform(F.filter("x", lambda x: x["input"] == "revenue"), lambda x: x["type"]))
+    joined = rows.select(
+        "entity", "period", "metric_code", "value", "quality_flag", flagged("conflicting_sources").alias("conflict"), flagged("low_confidence_parse").alias("low"), flagged("derived").alias("derived"), F.size(types).alias("types"),
+        F.forall(types, lambda t: t == "balance_sheet_snapshot").alias("snapshots"), revenue.alias("revenue_type"),
     )
     code = F.col("metric_code")
     status = (
