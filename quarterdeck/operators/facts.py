@@ -144,10 +144,31 @@ def persist_plan(compared: DataFrame) -> DataFrame:
     return compared.withColumn("action", action).withColumn("required_gate", gate)
 
 
-def persist_eligibility(compared: DataFrame) -> DataFrame:
+#: The trust bucket of facts that only text lines gave.
+FALLBACK_BUCKET = "text_table_fallback_semantic_gate"
+
+
+def trust_buckets(candidates: DataFrame) -> DataFrame:
+    """(entity, bucket, candidates): candidates by the kind of their source, else how they were extracted, else unknown."""
+    kind = F.coalesce(F.nullif("fact_source_kind", F.lit("")), F.nullif("extraction_method", F.lit("")), F.lit("unknown"))
+    return candidates.groupBy("entity", kind.alias("bucket")).agg(F.count(F.lit(1)).alias("candidates"))
+
+
+def persist_eligibility(compared: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
+    """Per entity: hard and soft conflicts, candidates, those of the fallback bucket, eligibility and next action.
+
+    buckets: of trust_buckets.  Hard conflicts block; no candidates, soft conflicts, or more than half from text lines need review.
+    """
     has = lambda x: F.array_contains("conflicts", x)
     rows = compared.groupBy("entity").agg(F.count_if(has("value_conflict") | has("period_type_conflict")).alias("hard_conflicts"), F.count_if(has("source_role_conflict")).alias("soft_conflicts"), F.count("c_value").alias("candidates"))
-    return rows.withColumn("eligibility", F.when(F.col("hard_conflicts") > 0, "blocked").when((F.col("candidates") == 0) | (F.col("soft_conflicts") > 0), "needs_review").otherwise("eligible"))
+    if buckets is None:
+        rows = rows.withColumns({"fallback": F.lit(0).cast("long"), "bucketed": F.lit(0).cast("long")})
+    else:
+        counts = buckets.groupBy("entity").agg(F.sum(F.when(F.col("bucket") == FALLBACK_BUCKET, F.col("candidates")).otherwise(0)).alias("fallback"), F.sum("candidates").alias("bucketed"))
+        rows = rows.hint("merge").join(counts.hint("merge"), "entity", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("fallback", "bucketed")})
+    state = F.when(F.col("hard_conflicts") > 0, "blocked").when((F.col("candidates") == 0) | (F.col("soft_conflicts") > 0) | (2 * F.col("fallback") > F.col("bucketed")), "needs_review").otherwise("eligible")
+    action = F.when(F.col("eligibility") == "blocked", "resolve_conflicts").when(F.col("eligibility") == "needs_review", "review_fallback_bucket").otherwise("run_gated_persist")
+    return rows.withColumn("eligibility", state).withColumn("next_action", action).drop("bucketed")
 
 
 def derive_total_debt(wide: DataFrame) -> DataFrame:

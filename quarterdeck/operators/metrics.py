@@ -255,6 +255,26 @@ def result_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select(*key, "old_value", "new_value", kind.alias("kind"), change.alias("absolute_change"), F.try_divide(change, F.abs("old_value")).alias("relative_change"))
 
 
+def delta_summary(old: DataFrame, new: DataFrame, old_warnings: DataFrame, new_warnings: DataFrame) -> DataFrame:
+    """Per entity of either result: metrics added, removed, changed and unchanged, quarters that only the new one has, and
+    warnings that are new or resolved, as sorted arrays.
+
+    old, new: entity, period, metric_code, value; warnings: entity, warning.  Entities of which one result is missing have
+    everything added or removed; repeated warnings count once.
+    """
+    kinds = result_delta(old, new).groupBy("entity").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "changed", "unchanged")])
+
+    def lists(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.groupBy("entity").agg(F.collect_set(column).alias(name))
+
+    out = kinds
+    for part in (lists(old, "period", "op"), lists(new, "period", "np"), lists(old_warnings, "warning", "ow"), lists(new_warnings, "warning", "nw")):
+        out = out.hint("merge").join(part.hint("merge"), "entity", "left")
+    none = F.array().cast("array<string>")
+    only = lambda a, b: F.array_sort(F.array_except(F.coalesce(a, none), F.coalesce(b, none)))
+    return out.select("entity", "added", "removed", "changed", "unchanged", only("np", "op").alias("added_periods"), only("nw", "ow").alias("new_warnings"), only("ow", "nw").alias("resolved_warnings"))
+
+
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     key = ["entity", "period", "metric_code"]
     side = lambda df, p: df.select(*key, F.col("value").alias(f"{p}_value"), F.col("quality_flag").alias(f"{p}_flag"))

@@ -216,9 +216,29 @@ def f9_persist_plan(spark, sf_dir):
     return A.persist_plan(_compared(spark, sf_dir)).select("entity", "period", "metric_code", "action", "required_gate")
 
 
-@query("select *, case when hard_conflicts > 0 then 'blocked' when candidates = 0 or soft_conflicts > 0 then 'needs_review' else 'eligible' end eligibility from (select entity, count(*) filter (v or t) hard_conflicts, count(*) filter (r) soft_conflicts, count(c_value) candidates from compared group by entity)", FACTS, SOURCES, COMPARED)
+BUCKETS = "buckets as (select entity, case when nation % 4 = 2 or k % 5 = 0 then 'text_table_fallback_semantic_gate' when k % 7 = 0 then 'grid' else 'unknown' end bucket, count(*) candidates from sources where document_id like '%|Y' group by 1, 2)"
+
+
+def _buckets(spark, sf_dir):
+    k = F.col("k")
+    rows = S.two_sources(spark, sf_dir).where(F.col("document_id").endswith("|Y"))
+    kind = F.when((F.col("nation") % 4 == 2) | (k % 5 == 0), A.FALLBACK_BUCKET)
+    return A.trust_buckets(rows.select("entity", kind.alias("fact_source_kind"), F.when(k % 7 == 0, "grid").otherwise("").alias("extraction_method")))
+
+
+@query("select * from buckets", FACTS, SOURCES, BUCKETS)
+def f10_trust_buckets(spark, sf_dir):
+    return _buckets(spark, sf_dir)
+
+
+@query(
+    "select *, case eligibility when 'blocked' then 'resolve_conflicts' when 'needs_review' then 'review_fallback_bucket' else 'run_gated_persist' end next_action from (select entity, hard_conflicts, soft_conflicts, candidates, coalesce(f, 0) fallback, case when hard_conflicts > 0 then 'blocked'"
+    " when candidates = 0 or soft_conflicts > 0 or 2 * coalesce(f, 0) > coalesce(n, 0) then 'needs_review' else 'eligible' end eligibility from (select entity, count(*) filter (v or t) hard_conflicts, count(*) filter (r) soft_conflicts, count(c_value) candidates from compared group by entity)"
+    " left join (select entity, coalesce(sum(candidates) filter (bucket = 'text_table_fallback_semantic_gate'), 0)::bigint f, sum(candidates)::bigint n from buckets group by 1) using (entity))",
+    FACTS, SOURCES, COMPARED, BUCKETS,
+)
 def f10_persist_eligibility(spark, sf_dir):
-    return A.persist_eligibility(_compared(spark, sf_dir))
+    return A.persist_eligibility(_compared(spark, sf_dir), _buckets(spark, sf_dir))
 
 
 @query(
@@ -584,6 +604,22 @@ def m30_result_delta(spark, sf_dir):
     return M.result_delta(base.where(F.col("k") % 5 != 0), base.where(F.col("k") % 6 != 0).withColumn("value", F.when(F.col("k") % 7 == 0, F.col("value") * 1.5).otherwise(F.col("value"))))
 
 
+@query(
+    "select entity, added, removed, changed, unchanged, array_to_string(list_sort(list_filter(coalesce(np, []), lambda x: not list_contains(coalesce(op, []), x))), ',') added_periods, array_to_string(list_sort(list_filter(coalesce(nw, []), lambda x: not list_contains(coalesce(ow, []), x))), ',') new_warnings,"
+    " array_to_string(list_sort(list_filter(coalesce(ow, []), lambda x: not list_contains(coalesce(nw, []), x))), ',') resolved_warnings from (select entity, count(*) filter (ov is null) added, count(*) filter (nv is null) removed, count(*) filter (ov <> nv) changed, count(*) filter (ov = nv) unchanged"
+    " from o full outer join n using (entity, period, metric_code) group by 1) left join (select entity, list(distinct period) op from o where period < '1999Q1' group by 1) using (entity) left join (select entity, list(distinct period) np from n group by 1) using (entity)"
+    " left join (select entity, list(distinct quality_flag || ':' || metric_code) ow from facts where k % 5 <> 0 and k % 3 = 0 group by 1) using (entity) left join (select entity, list(distinct quality_flag || ':' || metric_code) nw from facts where k % 6 <> 0 and k % 4 = 0 group by 1) using (entity)",
+    FACTS,
+    "o as (select entity, period, metric_code, value ov from facts where k % 5 <> 0 and period < '1999Q1'), n as (select entity, period, metric_code, case when k % 7 = 0 then value * 1.5 else value end nv from facts where k % 6 <> 0)",
+)
+def m30_delta_summary(spark, sf_dir):
+    base, k = S.facts(spark, sf_dir), F.col("k")
+    new = base.where(k % 6 != 0).withColumn("value", F.when(k % 7 == 0, F.col("value") * 1.5).otherwise(F.col("value")))
+    said = lambda test: base.where(test).select("entity", F.concat_ws(":", "quality_flag", "metric_code").alias("warning"))
+    found = M.delta_summary(base.where((k % 5 != 0) & (F.col("period") < "1999Q1")), new, said((k % 5 != 0) & (k % 3 == 0)), said((k % 6 != 0) & (k % 4 == 0)))
+    return found.select("entity", "added", "removed", "changed", "unchanged", *[F.array_join(c, ",").alias(c) for c in ("added_periods", "new_warnings", "resolved_warnings")])
+
+
 @query("select entity, period, metric_code, a.value a_value, a.quality_flag a_flag, b.value b_value, b.quality_flag b_flag, b.value - a.value difference from (select * from facts where k % 5 <> 0) a full outer join (select * from facts where k % 6 <> 0) b using (entity, period, metric_code)", FACTS)
 def m31_compare_runs(spark, sf_dir):
     base = S.facts(spark, sf_dir)
