@@ -70,15 +70,38 @@ def review_counts(reviewed: DataFrame) -> DataFrame:
     return reviewed.groupBy("entity").agg(*[F.count_if(F.col("review_status") == s).alias(s) for s in ("eligible", "needs_manual_check", "blocked")])
 
 
-def promote_reviewed(existing: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """What becomes of each reviewed candidate: promoted, skipped for a foreign row of its key, or blocked."""
+def promote_reviewed(existing: DataFrame, reviewed: DataFrame, codes: list[str] | None = None) -> DataFrame:
+    """What becomes of each reviewed candidate: promoted, skipped for a foreign row of its key, or blocked.
+
+    codes: metrics to promote; eligible candidates of others are skipped (None or empty: all).
+    """
     foreign = existing.where(F.col("provenance") != "reviewed_manual_upload").select(*KEY, F.lit(True).alias("foreign"))
     rows = reviewed.join(foreign, [*KEY], "left")
-    action = F.when(F.col("review_status") != "eligible", "blocked").when(F.col("foreign"), "skipped").otherwise("promoted")
+    action = F.when(F.col("review_status") != "eligible", "blocked").when(F.col("foreign"), "skipped")
+    if codes:
+        action = action.when(~F.coalesce(F.col("metric_code").isin(*codes), F.lit(False)), "skipped")
+    action = action.otherwise("promoted")
     done = action == "promoted"
     return rows.select(*KEY, "value", action.alias("action"), F.when(done, "reviewed_manual_upload").alias("quality_flag"), F.when(done, 0.95).alias("confidence"))
 
 
+def promoted_table(existing: DataFrame, promoted: DataFrame) -> DataFrame:
+    """The facts after promote_reviewed: promoted rows in place of those of their key, all others as they were.
+
+    existing: entity, period, metric_code, value, quality_flag, confidence, provenance; one row a key.  New rows are of
+    provenance reviewed_manual_upload; keys with a null stay apart, since null matches nothing.
+    """
+    new = promoted.where(F.col("action") == "promoted").select(*KEY, F.struct("value", "quality_flag", "confidence", F.lit("reviewed_manual_upload").alias("provenance")).alias("new"))
+    old = existing.select(*KEY, F.struct("value", "quality_flag", "confidence", "provenance").alias("old"))
+    rows = old.hint("merge").join(new.hint("merge"), [*KEY], "full_outer")
+    return rows.select(*KEY, F.coalesce("new", "old").alias("row")).select(*KEY, "row.*")
+
+
+def promotion_counts(promoted: DataFrame) -> DataFrame:
+    """entity, promoted, skipped and blocked candidates of promote_reviewed."""
+    return promoted.groupBy("entity").agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("promoted", "skipped", "blocked")])
+
+
 def rejection_counts(rejected: DataFrame) -> DataFrame:
     """Reasons, trimmed and lower-cased with underscores, and their counts; rejected: reasons (comma-separated)."""
     reason = F.regexp_replace(F.lower(F.trim("reason")), r"[\s-]+", "_")
@@ -93,6 +116,40 @@ def statement_coverage(tables: DataFrame, required=("balance_sheet", "income_sta
     return rows.select("entity", "family", F.col("tables").isNotNull().alias("found"), F.coalesce("tables", F.lit(0).cast("long")).alias("tables"), F.coalesce("periods", F.lit("")).alias("periods"))
 
 
+def family_completeness(coverage: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of statement_coverage with facts, key_facts (sorted array of their metrics) and status: complete, detected_without_facts, missing.
+
+    facts: entity, statement_type, metric_code.  Facts of a family without a table leave it missing.
+    """
+    found = facts.groupBy("entity", F.col("statement_type").alias("family")).agg(F.count(F.lit(1)).alias("facts"), F.array_sort(F.collect_set("metric_code")).alias("key_facts"))
+    rows = coverage.hint("merge").join(found.hint("merge"), ["entity", "family"], "left")
+    rows = rows.withColumns({"facts": F.coalesce("facts", F.lit(0).cast("long")), "key_facts": F.coalesce("key_facts", F.array().cast("array<string>"))})
+    return rows.withColumn("status", F.when(~F.col("found"), "missing").when(F.col("facts") > 0, "complete").otherwise("detected_without_facts"))
+
+
+def missing_families(coverage: DataFrame) -> DataFrame:
+    """entity, required_found and missing (sorted array) of the families of statement_coverage."""
+    gone = F.array_sort(F.collect_set(F.when(~F.col("found"), F.col("family"))))
+    return coverage.groupBy("entity").agg(F.bool_and("found").alias("required_found"), gone.alias("missing"))
+
+
+def period_resolution(documents: DataFrame, tables: DataFrame) -> DataFrame:
+    """document_id, effective_period, comparative_period, period_source and period_confidence: those of its surest table.
+
+    documents: document_id, period (the one it was uploaded for); tables: document_id, table_id, effective_period,
+    comparative_period, period_source, period_confidence.  Ties go to the smallest table_id; a null confidence counts as 0.  Without
+    a table that has a period, the document's own stands, at a confidence of 0.1.
+    """
+    sure = F.coalesce(F.col("period_confidence").cast("double"), F.lit(0.0))
+    cell = F.struct(F.col("effective_period").alias("e"), F.col("comparative_period").alias("c"), F.col("period_source").alias("s"), sure.alias("q"))
+    best = tables.where(F.col("effective_period").isNotNull()).groupBy("document_id").agg(F.min_by(cell, F.struct(-sure, F.col("table_id"))).alias("b"))
+    rows = documents.select("document_id", "period").hint("merge").join(best.hint("merge"), "document_id", "left")
+    return rows.select(
+        "document_id", F.coalesce("b.e", "period").alias("effective_period"), F.col("b.c").alias("comparative_period"),
+        F.when(F.col("b").isNull(), "upload_default").otherwise(F.col("b.s")).alias("period_source"), F.coalesce("b.q", F.lit(0.1)).alias("period_confidence"),
+    )
+
+
 def document_final_status(counts: DataFrame) -> DataFrame:
     """FULL, PARTIAL, EVIDENCE_ONLY or BLOCKED from (document_id, facts, rejected, evidence)."""
     status = F.when((F.col("facts") > 0) & (F.col("rejected") + F.col("evidence") == 0), "FULL").when(F.col("facts") > 0, "PARTIAL").when(F.col("evidence") > 0, "EVIDENCE_ONLY").otherwise("BLOCKED")
@@ -107,6 +164,12 @@ def missing_breakdown(audited: DataFrame) -> DataFrame:
     return audited.where(F.col("status") == "missing").groupBy(cause.alias("cause")).agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_set("metric_code")), ",").alias("metrics"))
 
 
+def support_blockers(items: DataFrame, top: int = 10) -> DataFrame:
+    """The top blockers of all entities by number of entities, then name; items: entity, blockers (array).  Repeats in a row count once."""
+    rows = items.select("entity", F.explode(F.array_distinct("blockers")).alias("blocker"))
+    return rows.groupBy("blocker").agg(F.count_distinct("entity").alias("entities")).orderBy(F.desc("entities"), "blocker").limit(top)
+
+
 def support_scan(statuses: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Counts over a fixed list of states; unknown states count as the last, zeros stay."""
     known = F.when(F.col("status").isin(*names), F.col("status")).otherwise(names[-1])

@@ -223,6 +223,110 @@ def parser_quality(facts: DataFrame, key_facts=KEY_FACTS, *, min_facts: int = 10
     return rows.select("entity", "canonical", "confident", "conflicts", "confident_ratio", "key_coverage", F.round(score, 4).alias("score"), F.array_join(blockers, ",").alias("blockers"), status.alias("status"))
 
 
+#: Roles that no primary fact may come from, and roles of documents that are counted.
+FORBIDDEN_ROLES = ("press_release", "fixture")
+COUNTED_ROLES = ("financial_statements", "financial_supplement", "annual_report", "press_release")
+
+
+def parser_completeness(facts: DataFrame) -> DataFrame:
+    """entity, source_location_complete, period_type_complete, statement_context_complete (false without canonical facts) and
+    forbidden_roles (sorted array) of the facts that aren't of low confidence.
+
+    facts: also trace, statement_type, source_role; empty strings count as null.
+    """
+    canonical = F.coalesce(F.col("quality_flag") != "low_confidence_parse", F.lit(True))
+    lacks = lambda c: F.count_if(canonical & (F.coalesce(c, F.lit("")) == ""))
+    forbidden = F.collect_set(F.when(canonical & F.col("source_role").isin(*FORBIDDEN_ROLES), F.col("source_role")))
+    rows = facts.groupBy("entity").agg(F.count_if(canonical).alias("n"), lacks("trace").alias("t"), lacks("period_type").alias("p"), lacks("statement_type").alias("s"), F.array_sort(forbidden).alias("forbidden_roles"))
+    whole = lambda c: (F.col("n") > 0) & (F.col(c) == 0)
+    return rows.select("entity", whole("t").alias("source_location_complete"), whole("p").alias("period_type_complete"), whole("s").alias("statement_context_complete"), "forbidden_roles")
+
+
+def traced_parser_quality(quality: DataFrame, completeness: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """parser_quality with what parser_completeness adds: its blockers, its status, and a tenth of the score for whole traces.
+
+    documents: entity, of whatever columns; an entity without any is blocked (None: not asked).  blockers is a sorted array; a lack
+    of statement context only makes a pass partial.
+    """
+    rows = quality.hint("merge").join(completeness.hint("merge"), "entity", "left")
+    if documents is not None:
+        rows = rows.join(documents.select("entity").distinct().withColumn("documented", F.lit(True)).hint("merge"), "entity", "left")
+    else:
+        rows = rows.withColumn("documented", F.lit(True))
+    flags = ("source_location_complete", "period_type_complete", "statement_context_complete")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags} | {"forbidden_roles": F.coalesce("forbidden_roles", F.array().cast("array<string>"))})
+    own = F.array_compact(
+        F.array(
+            F.when(F.col("documented").isNull(), "no_source_documents"),
+            F.when(F.size("forbidden_roles") > 0, "forbidden_source_roles"),
+            F.when(~F.col("source_location_complete"), "source_location_missing"),
+            F.when(~F.col("period_type_complete"), "period_type_missing"),
+        )
+    )
+    blockers = F.array_sort(F.array_distinct(F.concat(F.filter(F.split("blockers", ","), lambda x: x != ""), own)))
+    score = F.col("score") - F.when((F.col("canonical") > 0) & ~(F.col("source_location_complete") & F.col("period_type_complete")), 0.10).otherwise(0.0)
+    rows = rows.withColumns({"score": F.round(score, 4), "blockers": blockers})
+    status = (
+        F.when(F.col("canonical") == 0, "parser_blocked")
+        .when(F.size("blockers") > 0, "fail")
+        .when((F.col("status") == "pass") & ~F.col("statement_context_complete"), "partial")
+        .otherwise(F.col("status"))
+    )
+    return rows.withColumn("status", status).select("entity", "score", "status", "blockers", *flags, "forbidden_roles")
+
+
+def coverage_warnings(grid: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of fact_coverage_grid with warnings (array): not_extracted, or what a fact's trace lacks: source_url, source_location.
+
+    facts: also source_url, trace; empty strings count as null.  Several facts of one key: what any of them lacks.
+    """
+    lacks = lambda c: F.bool_or(F.coalesce(c, F.lit("")) == "")
+    traces = facts.groupBy(*KEY).agg(lacks("source_url").alias("u"), lacks("trace").alias("t"))
+    rows = grid.hint("merge").join(traces.hint("merge"), [*KEY], "left")
+    found = F.array_compact(F.array(F.when(F.col("u"), "source_url_missing"), F.when(F.col("t"), "source_location_missing")))
+    return rows.withColumn("warnings", F.when(F.col("status") == "missing", F.array(F.lit("not_extracted"))).otherwise(found)).drop("u", "t")
+
+
+def source_summary(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per entity of either: documents by status and role, and facts by role, confidence, conflict and trace.
+
+    documents: entity, status, source_role; facts: also source_role, source_url, trace.  A parsed document counts as downloaded too; a
+    fact without a confidence isn't of low confidence.
+    """
+    role, status = F.col("source_role"), F.col("status")
+    docs = documents.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(status.isin("downloaded", "parsed")).alias("downloaded"), F.count_if(status == "parsed").alias("parsed"), *[F.count_if(role == r).alias(f"documents_{r}") for r in COUNTED_ROLES]
+    )
+    flag, confidence = F.col("quality_flag"), F.col("confidence")
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    found = facts.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("facts"),
+        F.count_if(role == "financial_statements").alias("facts_financial_statements"),
+        F.count_if(role == "press_release").alias("facts_press_release"),
+        F.count_if(flag.isin("exact", "derived") & (F.coalesce(confidence, F.lit(1.0)) >= 0.7)).alias("confident"),
+        F.count_if((F.coalesce(flag, F.lit("")) == "low_confidence_parse") | (F.coalesce(confidence, F.lit(1.0)) < 0.7)).alias("low_confidence"),
+        F.count_if(flag == "conflicting_sources").alias("conflicts"),
+        F.count_if((F.col("period_type") == "quarter") & (flag == "derived")).alias("derived_quarters"),
+        F.count_if(blank("source_url") | blank("trace")).alias("untraced"),
+    )
+    rows = docs.hint("merge").join(found.hint("merge"), "entity", "full_outer")
+    return rows.select("entity", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in rows.columns if c != "entity"])
+
+
+def extraction_verdict(summary: DataFrame, grid: DataFrame) -> DataFrame:
+    """entity, status and missing_key_facts of source_summary, with the gaps of fact_coverage_grid.
+
+    FAIL without documents, facts, confident facts or facts from statements, with press releases only, or where a fact has no
+    trace; PASS if no key fact is missing, of low confidence or in conflict; else PARTIAL.
+    """
+    gaps = grid.groupBy("entity").agg(F.count_if(F.col("status") == "missing").alias("missing_key_facts"))
+    rows = summary.hint("merge").join(gaps.hint("merge"), "entity", "left").withColumn("missing_key_facts", F.coalesce("missing_key_facts", F.lit(0).cast("long")))
+    none = lambda c: F.col(c) == 0
+    fail = none("documents") | none("facts") | none("confident") | none("facts_financial_statements") | (F.col("documents") == F.col("documents_press_release")) | (F.col("untraced") > 0)
+    good = none("missing_key_facts") & none("low_confidence") & none("conflicts")
+    return rows.select("entity", "missing_key_facts", F.when(fail, "FAIL").when(good, "PASS").otherwise("PARTIAL").alias("status"))
+
+
 def consistency_checks(facts: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """One row a check and period: passed, and the two sides; checks without their inputs are left out."""
     codes = ["current_assets", "total_assets", "total_debt", "cash_and_equivalents", "total_liabilities", "total_equity"]

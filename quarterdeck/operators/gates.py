@@ -11,6 +11,10 @@ SENSITIVE = ("revenue_growth", "roe", "roa")
 DISCLOSURE = ("ebitda_margin", "net_debt_to_ebitda")
 VALUATION = ("pe_ratio", "ev_to_ebitda", "dividend_yield")
 PROPER_ROLES = ("financial_statements", "financial_supplement", "annual_report")
+SUPPORT_CLASSES = {"core_statement_based": CORE, "methodology_sensitive": SENSITIVE, "explicit_disclosure_required": DISCLOSURE, "market_valuation_required": VALUATION}
+#: Package states that block a company's sources, and the output scopes that each output needs.
+BLOCKED_PACKAGES = ("NOT_READY", "SOURCE_BLOCKED")
+OUTPUTS = {"financial_facts": "statement_based_financials", "financial_metrics": "statement_based_financials", "market_analysis": "market_technical_analysis", "peer_comparison": "peer_comparison", "llm_payload": "llm_summary"}
 
 
 def metric_quality(audited: DataFrame) -> DataFrame:
@@ -27,6 +31,30 @@ def metric_quality(audited: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4)).withColumn("status", verdict)
 
 
+def metric_quality_items(audited: DataFrame) -> DataFrame:
+    """entity, kind, metric_code, period, status, support_class, reason and required (array of facts): the metrics behind metric_quality's
+    counts, as unsupported_by_policy, missing_but_expected or methodology_sensitive.  Required facts are given for those expected.
+    """
+    from .metrics import AUDIT_INPUTS
+
+    code, missing = F.col("metric_code"), F.col("status") == "missing"
+    kind = (
+        F.when(code.isin(*VALUATION) | (code.isin(*DISCLOSURE) & missing), "unsupported_by_policy")
+        .when(code.isin(*CORE) & missing, "missing_but_expected")
+        .when(code.isin(*SENSITIVE), "methodology_sensitive")
+    )
+    support = F.coalesce(*[F.when(code.isin(*codes), name) for name, codes in SUPPORT_CLASSES.items()])
+    reason = (
+        F.when(code.isin(*VALUATION), "market_or_valuation_inputs_required")
+        .when(code.isin(*DISCLOSURE), "explicit_disclosure_required")
+        .when(code.isin(*CORE), "missing_expected_statement_inputs")
+    )
+    needs = F.create_map(*[x for name in CORE for x in (F.lit(name), F.array(*map(F.lit, AUDIT_INPUTS[name])))])
+    required = F.coalesce(F.try_element_at(needs, code), F.array().cast("array<string>"))
+    rows = audited.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    return rows.select("entity", "kind", "metric_code", "period", "status", support.alias("support_class"), reason.alias("reason"), required.alias("required"))
+
+
 def readiness_scopes(metric: DataFrame, parser: DataFrame, checks: DataFrame, *, market: DataFrame | None = None, peers: DataFrame | None = None, sources: DataFrame | None = None, threshold: float = 0.75) -> DataFrame:
     """(entity, scope, status, supported, blockers): five output scopes of each entity.
 
@@ -58,6 +86,47 @@ def auto_support(source_score: DataFrame, parser: DataFrame, metric: DataFrame,
     return rows.select("entity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"), state.alias("status"), "parser_status", "metric_status")
 
 
+def support_report(parser: DataFrame, metric: DataFrame, checks: DataFrame, scopes: DataFrame, documents: DataFrame) -> DataFrame:
+    """entity, status, document_status, fact_status, blockers (sorted array) and a flag for each of OUTPUTS.
+
+    documents: entity, package_status, documents, passed, usable (those that passed or did in part), press, proper (those of either
+    role).  Entities without a row there have no documents; without checks none failed; without scopes they support no output.
+    """
+    seen = documents.select("entity", "package_status", "documents", "passed", "usable", "press", "proper")
+    supported = scopes.where("supported").groupBy("entity").agg(F.collect_set("scope").alias("scopes"))
+    rows = parser.select("entity", F.col("status").alias("parser_status"), F.col("blockers").alias("parser_blockers"), "confident_ratio", "key_coverage", "conflicts", "canonical")
+    rows = rows.join(metric.select("entity", "calculated", F.col("blockers").alias("metric_blockers")).hint("merge"), "entity")
+    for part in (checks.select("entity", "failed_checks"), supported, seen):
+        rows = rows.join(part.hint("merge"), "entity", "left")
+    counts = ("documents", "passed", "usable", "press", "proper", "failed_checks")
+    rows = rows.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for c in counts})
+    held = F.coalesce(F.col("package_status").isin(*BLOCKED_PACKAGES), F.lit(False))
+    documents_status = F.when(held | (F.col("documents") == 0) | (F.col("usable") == 0), "blocked").when(F.col("passed") == F.col("documents"), "pass").otherwise("partial")
+    rows = rows.withColumn("document_status", documents_status)
+    own = F.array_compact(
+        F.array(
+            F.when(held, F.concat(F.lit("source_package_"), F.lower("package_status"))),
+            F.when(F.col("documents") == 0, "no_documents"),
+            F.when((F.col("document_status") == "blocked") & (F.col("documents") > 0), "no_document_passed"),
+            F.when((F.col("press") > 0) & (F.col("proper") == 0), "press_releases_only"),
+            F.when(F.col("metric_blockers") > 0, "valuation_without_market_inputs"),
+            F.when(F.col("failed_checks") > 0, "consistency_checks_failed"),
+        )
+    )
+    parsers = F.filter(F.split(F.coalesce("parser_blockers", F.lit("")), ","), lambda x: x != "")
+    rows = rows.withColumn("blockers", F.array_sort(F.array_distinct(F.concat(own, parsers))))
+    status = (
+        F.when(F.col("document_status") == "blocked", "SOURCE_BLOCKED")
+        .when(F.col("parser_status") == "parser_blocked", "PARSER_BLOCKED")
+        .when((F.col("confident_ratio") < 0.7) | (F.col("conflicts") > 0), "LOW_CONFIDENCE")
+        .otherwise("AUTO_PARTIAL")
+    )
+    facts = F.when(F.col("key_coverage") >= 0.8, "sufficient").when(F.col("canonical") > 0, "partial").otherwise("missing")
+    has = lambda scope: F.coalesce(F.array_contains("scopes", scope), F.lit(False))
+    outputs = {name: has(scope) & (F.col("calculated") > 0) if name == "financial_metrics" else has(scope) for name, scope in OUTPUTS.items()}
+    return rows.select("entity", status.alias("status"), "document_status", facts.alias("fact_status"), "blockers", *[flag.alias(name) for name, flag in outputs.items()])
+
+
 def peer_source_score(coverage: DataFrame, periods: list[str]) -> DataFrame:
     """Points for interim and year-end sources less penalties, and readiness; coverage: entity, period, source_role, trusted_domain, expected_file_type.
 

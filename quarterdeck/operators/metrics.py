@@ -107,10 +107,11 @@ def average_or_current(wide: DataFrame, code: str) -> DataFrame:
     return rows.join(before, ["entity", "i"], "left").select("entity", "period", value.alias("average"), F.when(F.col("x").isNotNull(), F.when(F.col("p").isNull(), "derived").otherwise("exact")).alias("quality_flag"))
 
 
-def strict_ratios(facts: DataFrame, period_from: str, period_to: str, banks: DataFrame | None = None) -> DataFrame:
+def strict_ratios(facts: DataFrame, period_from: str, period_to: str, banks: DataFrame | None = None, *, inputs: bool = False) -> DataFrame:
     """Ten metrics for every entity and period of the range, with status and reason.
 
     facts: one row a (entity, period, metric), eligible ones.  banks: entities to which industrial metrics don't apply.
+    inputs: also missing_inputs, an array of the facts for want of which a metric isn't there (empty for all others).
     """
     a, b = P.range_bounds(period_from, period_to)
     value = economic_value(F.col("value"), F.col("unit_multiplier"))
@@ -126,11 +127,24 @@ def strict_ratios(facts: DataFrame, period_from: str, period_to: str, banks: Dat
         rows = rows.join(banks.select("entity", F.lit(True).alias("bank")), "entity", "left")
     else:
         rows = rows.withColumn("bank", F.lit(None).cast("boolean"))
-    out = F.array(*[_strict(code) for code in STRICT_CODES])
+    out = F.array(*[_strict(code, inputs) for code in STRICT_CODES])
     return rows.select("entity", P.period_from_index(F.col("i")).alias("period"), F.inline(out))
 
 
-def _strict(code: str) -> Column:
+def _lacking(code: str) -> Column:
+    """The facts for want of which the metric isn't there: the one that its reason names, else all its inputs without a fact."""
+    names = lambda *n: F.array(*map(F.lit, n))
+    if code in ("roe", "roa"):  # the snapshot a quarter or a year before goes by the name of its fact too
+        return F.when(F.col("net_income").isNull(), names("net_income")).otherwise(names("total_equity" if code == "roe" else "total_assets"))
+    if code == "revenue_growth":
+        return F.when(F.col("revenue").isNull(), names("revenue")).otherwise(names("previous_revenue"))
+    gone = F.array_compact(F.array(*[F.when(F.col(n).isNull(), n) for n in AUDIT_INPUTS[code]]))
+    if code == "ebitda_margin":
+        return F.when(F.col("ebitda").isNull(), names("ebitda")).otherwise(gone)
+    return F.when(F.size(gone) > 0, gone).otherwise(names("total_debt"))  # a total that is there, but derived
+
+
+def _strict(code: str, inputs: bool = False) -> Column:
     c = F.col
     snapshot = lambda *names: [c(f"{n}.t") == "balance_sheet_snapshot" for n in names]
     missing, blocker, extra = [], F.lit(None).cast("string"), []
@@ -167,7 +181,11 @@ def _strict(code: str) -> Column:
         status = F.when(test, s) if status is None else status.when(test, s)
         reason = F.when(test, r) if reason is None else reason.when(test, r)
     status = status.otherwise("calculated")
-    return F.struct(F.lit(code).alias("metric_code"), F.when(status == "calculated", F.try_divide(num, den)).alias("value"), status.alias("status"), reason.alias("reason"))
+    lacking = []
+    if inputs:
+        gone = status.isin("missing", "unsupported_by_policy")
+        lacking = [F.when(gone, _lacking(code)).otherwise(F.array().cast("array<string>")).alias("missing_inputs")]
+    return F.struct(F.lit(code).alias("metric_code"), F.when(status == "calculated", F.try_divide(num, den)).alias("value"), status.alias("status"), reason.alias("reason"), *lacking)
 
 
 def bank_ratios(facts: DataFrame) -> DataFrame:
@@ -198,28 +216,81 @@ AUDIT_INPUTS = {
 }
 
 
-def audit_metrics(metrics: DataFrame, facts: DataFrame) -> DataFrame:
-    """Each metric's status from its value and its inputs' flags and period types: valid, questionable, invalid, missing."""
+def _with_inputs(metrics: DataFrame, facts: DataFrame, *kept: str) -> DataFrame:
+    """Metrics beside what is known of their inputs' flags and period types."""
     inputs = F.create_map(*[x for code, names in AUDIT_INPUTS.items() for x in (F.lit(code), F.array(*map(F.lit, names)))])
     # a quarter's facts meet its metrics as one array, so that no row is made for each input
     known = facts.groupBy("entity", "period").agg(F.collect_list(F.struct(F.col("metric_code").alias("input"), F.col("quality_flag").alias("flag"), F.col("period_type").alias("type"))).alias("all"))
-    rows = metrics.select("entity", "period", "metric_code", "value", "quality_flag").hint("merge").join(known.hint("merge"), ["entity", "period"], "left")
+    rows = metrics.select("entity", "period", "metric_code", "value", "quality_flag", *kept).hint("merge").join(known.hint("merge"), ["entity", "period"], "left")
     names = F.coalesce(F.try_element_at(inputs, F.col("metric_code")), F.array().cast("array<string>"))
     rows = rows.withColumn("x", F.filter(F.coalesce("all", F.array().cast("array<struct<input:string,flag:string,type:string>>")), lambda x: F.array_contains(names, x["input"]))).drop("all")
     flagged = lambda flag: F.exists("x", lambda x: F.coalesce(x["flag"] == flag, F.lit(False)))
     types = F.array_distinct(F.array_compact(F.transform("x", lambda x: x["type"])))
     revenue = F.array_max(F.transform(F.filter("x", lambda x: x["input"] == "revenue"), lambda x: x["type"]))
-    joined = rows.select(
-        "entity", "period", "metric_code", "value", "quality_flag", flagged("conflicting_sources").alias("conflict"), flagged("low_confidence_parse").alias("low"), flagged("derived").alias("derived"), F.size(types).alias("types"),
+    other = F.exists("x", lambda x: ~F.coalesce(x["flag"].isin("exact", "derived"), F.lit(False)))
+    return rows.select(
+        "entity", "period", "metric_code", "value", "quality_flag", *kept, other.alias("other"), flagged("conflicting_sources").alias("conflict"), flagged("low_confidence_parse").alias("low"), flagged("derived").alias("derived"), F.size(types).alias("types"),
         F.forall(types, lambda t: t == "balance_sheet_snapshot").alias("snapshots"), revenue.alias("revenue_type"),
     )
+
+
+def _audit_status() -> Column:
     code = F.col("metric_code")
-    status = (
+    return (
         F.when(code.isin(*VALUATION), F.when(F.col("value").isNull(), "missing").otherwise("invalid")).when(F.col("value").isNull() | (F.col("quality_flag") == "missing"), "missing").when(F.col("conflict"), "invalid").when(F.col("low"), "questionable")
         .when(code.isin("ebitda_margin", "operating_margin", "net_margin", "fcf", "fcf_margin"), F.when(F.col("types") == 1, "valid").otherwise("invalid")).when((code == "revenue_growth") & F.col("revenue_type").isin("ytd", "annual"), "questionable")
         .when(code.isin("roe", "roa"), "questionable").when(code.isin("current_ratio", "debt_to_equity"), F.when(F.col("snapshots"), "valid").otherwise("invalid")).when(code == "net_debt_to_ebitda", "missing").otherwise("valid")
     )
-    return joined.withColumn("status", status).select("entity", "period", "metric_code", "value", "status", "derived")
+
+
+def audit_metrics(metrics: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each metric's status from its value and its inputs' flags and period types: valid, questionable, invalid, missing."""
+    rows = _with_inputs(metrics, facts).withColumn("status", _audit_status())
+    return rows.select("entity", "period", "metric_code", "value", "status", "derived")
+
+
+def audit_findings(metrics: DataFrame, facts: DataFrame) -> DataFrame:
+    """entity, period, metric_code, status, warnings (array), questionable_reason and fix_type of each audited metric.
+
+    metrics may have a column warning (of period_compat_warnings); it comes before the audit's own.  The first cause that fits makes
+    the audit's warning, and the first that fits the reason; reasons and fix types are null but for questionable metrics.  Facts without a flag count as unverified.
+    """
+    own = ("warning",) if "warning" in metrics.columns else ()
+    rows = _with_inputs(metrics, facts, *own).withColumn("status", _audit_status())
+    code, status = F.col("metric_code"), F.col("status")
+    said = F.col("warning") if own else F.lit(None).cast("string")
+    found = (
+        F.when(code.isin(*VALUATION), F.when(said.isNull(), "valuation_inputs_unavailable"))
+        .when(F.col("value").isNull() | (F.col("quality_flag") == "missing"), F.lit(None).cast("string"))
+        .when(F.col("conflict"), "conflicting_input")
+        .when(F.col("low"), "low_confidence_input")
+        .when(status == "invalid", F.when(code.isin("current_ratio", "debt_to_equity"), "snapshot_inputs_required").otherwise("mixed_period_coverage"))
+        .when((code == "revenue_growth") & (status == "questionable"), "growth_of_cumulative_periods")
+        .when(code.isin("roe", "roa"), "income_over_snapshots")
+        .when(code == "net_debt_to_ebitda", "ebitda_unavailable")
+    )
+    average = F.coalesce(F.lower(said).rlike("average.*unavailable"), F.lit(False))
+    reason = F.when(
+        status == "questionable",
+        F.when(F.col("derived"), "derived_input_used")
+        .when(F.col("other"), "unverified_fact_input")
+        .when(code.isin("roe", "roa"), F.when(average, "average_balance_sheet_unavailable").otherwise("ytd_income_with_snapshot_balance_sheet"))
+        .when((code == "revenue_growth") & F.col("revenue_type").isin("ytd", "annual"), "incomplete_period_coverage")
+        .otherwise("methodology_warning"),
+    )
+    policy = ("derived_input_used", "average_balance_sheet_unavailable", "ytd_income_with_snapshot_balance_sheet")
+    why = F.col("questionable_reason")
+    fix = F.when(why.isin(*policy), "requires_manual_policy").when(why == "incomplete_period_coverage", "period_semantics").when(why.isNotNull(), "cannot_fix")
+    rows = rows.withColumns({"warnings": F.array_compact(F.array(said, found)), "questionable_reason": reason})
+    return rows.select("entity", "period", "metric_code", "status", "warnings", "questionable_reason", fix.alias("fix_type"))
+
+
+def questionable_breakdown(findings: DataFrame) -> DataFrame:
+    """reason, fix_type, rows, entities and metrics (sorted array) of the questionable metrics of audit_findings."""
+    rows = findings.where(F.col("status") == "questionable")
+    return rows.groupBy(F.col("questionable_reason").alias("reason"), "fix_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("entity").alias("entities"), F.array_sort(F.collect_set("metric_code")).alias("metrics")
+    )
 
 
 def metric_status_counts(audited: DataFrame) -> DataFrame:
@@ -239,6 +310,23 @@ def metric_decisions(audited: DataFrame) -> DataFrame:
     return rows.withColumn("decision", decision).drop("derived")
 
 
+def decision_notes(decisions: DataFrame) -> DataFrame:
+    """Decisions of metric_decisions with a note: what each rests on."""
+    code, decision = F.col("metric_code"), F.col("decision")
+    note = (
+        F.when(decision == "requires_market_data", "needs market value or dividends")
+        .when(decision == "requires_explicit_disclosure", "no EBITDA is stated in the reports")
+        .when(code.isin("roe", "roa") & (F.col("periods_questionable") > 0), "depends on how income is annualised and balances averaged")
+        .when((code == "revenue_growth") & (F.col("periods_questionable") > 0), "growth of cumulative figures, not of single quarters")
+        .when(F.col("periods_invalid") > 0, "inputs of some quarter don't cover the same period")
+        .when(decision == "usable", "every quarter is valid")
+        .when(decision == "not_available", "no quarter is valid")
+        .when((F.col("periods_missing") == 0) & (F.col("periods_questionable") == 0), "an input is derived")
+        .otherwise("some quarters are missing or open to question")
+    )
+    return decisions.withColumn("note", note)
+
+
 def metric_coverage_grid(metrics: DataFrame, codes=STRICT_CODES) -> DataFrame:
     """Every entity's periods and key metrics: calculated, derived or missing."""
     grid = metrics.select("entity", "period").distinct().select("entity", "period", F.explode(F.array(*map(F.lit, codes))).alias("metric_code"))

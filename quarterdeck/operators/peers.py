@@ -46,6 +46,66 @@ def comparison_readiness(table: DataFrame) -> DataFrame:
     return rows.withColumn("readiness", F.when(F.col("compared_metrics") == 0, "blocked").when(F.col("target_gaps") > 0, "partial").otherwise("ready"))
 
 
+def comparison_status(targets: DataFrame, peers: DataFrame, availability: DataFrame, table: DataFrame) -> DataFrame:
+    """entity, peers, usable_peers, compared_metrics, data_status, readiness, blockers and missing_peers (sorted arrays) of each target.
+
+    targets: entity; peers of select_peers; availability of ratio_availability; table of comparison_table.  A target or peer without a
+    row in availability has no report.  Two usable peers, and more than half of all, make ready data; without peers, without the
+    target's report or without any calculated metric nothing is ready.
+    """
+    known = availability.select("entity", F.col("status").alias("report"))
+    mates = peers.select("target", F.col("peer").alias("entity")).join(known.hint("merge"), "entity", "left").withColumn("report", F.coalesce("report", F.lit("missing_report")))
+    counts = mates.groupBy(F.col("target").alias("entity")).agg(
+        F.count(F.lit(1)).alias("peers"),
+        F.count_if(F.col("report") == "available").alias("usable_peers"),
+        F.count_if(F.col("report") == "available_but_low_coverage").alias("low_peers"),
+        F.array_sort(F.collect_set(F.when(F.col("report") == "missing_report", F.col("entity")))).alias("missing_peers"),
+    )
+    done = (F.col("status") == "calculated") & ~F.col("metric_code").isin(*VALUATION)
+    cells = table.groupBy(F.col("target").alias("entity")).agg(F.count_if(done).alias("calculated"), F.count_if(done & (F.col("role") == "peer")).alias("compared_metrics"))
+    rows = targets.select("entity").distinct()
+    for part in (known, counts, cells):
+        rows = rows.join(part.hint("merge"), "entity", "left")
+    numbers = ("peers", "usable_peers", "low_peers", "calculated", "compared_metrics")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in numbers}).withColumns({
+        "report": F.coalesce("report", F.lit("missing_report")), "missing_peers": F.coalesce("missing_peers", F.array().cast("array<string>")),
+    })
+    alone, empty = F.col("peers") == 0, F.col("calculated") == 0
+    data = (
+        F.when((F.col("report") == "missing_report") | alone, "not_ready")
+        .when((F.col("usable_peers") >= 2) & (2 * F.col("usable_peers") > F.col("peers")), "ready")
+        .otherwise("partial")
+    )
+    ready = F.when((F.col("data_status") == "not_ready") | empty, "NOT_READY").when(F.col("usable_peers") >= 2, "READY_WITH_LIMITATIONS").otherwise("PARTIAL")
+    blockers = F.array(
+        F.when(alone, "peer_selection_not_ready"),
+        F.when(F.col("report") == "missing_report", "target_ratios_report_missing"),
+        F.when(F.col("report") == "available_but_low_coverage", "target_ratios_low_coverage"),
+        F.when(F.size("missing_peers") > 0, "peer_ratios_report_missing"),
+        F.when(F.col("low_peers") > 0, "peer_ratios_low_coverage"),
+        F.when(empty, "comparison_table_metrics_unavailable"),
+        F.lit("valuation_inputs_unavailable"),
+    )
+    rows = rows.withColumn("data_status", data).withColumn("blockers", F.array_sort(F.array_compact(blockers)))
+    return rows.select("entity", "peers", "usable_peers", "compared_metrics", "data_status", ready.alias("readiness"), "blockers", "missing_peers")
+
+
+def valuation_cells(table: DataFrame) -> DataFrame:
+    """The table with valuation cells unavailable, and why: no input of theirs comes from a report."""
+    market = F.col("metric_code").isin(*VALUATION)
+    status = F.when(market, "unavailable").otherwise(F.col("status"))
+    reason = F.when(market, "valuation_inputs_unavailable").when(F.col("value").isNull(), F.col("status"))
+    return table.withColumns({"value": F.when(~market, F.col("value")), "status": status, "reason": reason})
+
+
+def peer_counts(table: DataFrame) -> DataFrame:
+    """target, peer_count, available_peer_count and missing_peers (sorted array) of peer_table; targets without peers aren't in it."""
+    gone = F.col("quality_flag") == "missing"
+    return table.groupBy("target").agg(
+        F.count(F.lit(1)).alias("peer_count"), F.count_if(~gone).alias("available_peer_count"), F.array_sort(F.collect_set(F.when(gone, F.col("peer")))).alias("missing_peers")
+    )
+
+
 def peer_table(peers: DataFrame, wide: DataFrame, period: str, codes) -> DataFrame:
     rows = peers.join(wide.where(F.col("period") == period).select(F.col("entity").alias("peer"), *codes, F.lit(True).alias("there")), "peer", "left")
     return rows.select("target", "peer", "place", *codes, F.when(F.col("there").isNull(), "missing").otherwise("exact").alias("quality_flag"))

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from quarterdeck.plans import candidate_queries, corpus_queries, extraction_queries, gate_queries, lineage_queries, portfolio_queries, statement_queries  # noqa: F401  register their queries
+from quarterdeck.plans import candidate_queries, corpus_queries, detail_queries, extraction_queries, gate_queries, lineage_queries, portfolio_queries, statement_queries  # noqa: F401  register their queries
 from quarterdeck.plans.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
