@@ -67,6 +67,82 @@ def blocker_summary(items: DataFrame, priority: dict[str, int]) -> DataFrame:
     return counts.join(sample.hint("merge"), "blocker").withColumn("priority", order)
 
 
+#: What makes a document cached, the roles that count, and per count of ready_counts the column and its values.
+CACHED = ("downloaded", "parsed", "validated")
+STATEMENT_ROLES = ("financial_statements", "financial_supplement", "annual_report")
+READY = {
+    "source_ready_count": ("source_status", ("READY",)), "cached_documents_ready_count": ("documents_status", ("CACHED_VALIDATED",)), "statement_scope_auto_ready_count": ("statement_status", ("AUTO_READY",)),
+    "statement_scope_auto_partial_count": ("statement_status", ("AUTO_PARTIAL",)), "market_technical_ready_count": ("market_status", ("AUTO_READY",)), "valuation_unavailable_count": ("valuation_status", ("UNAVAILABLE", "UNSUPPORTED")),
+}
+
+
+def cached_documents_status(entities: DataFrame, documents: DataFrame, period_from: str, period_to: str) -> DataFrame:
+    """entity and documents_status: NOT_CACHED, else CACHED_VALIDATED or CACHED_PARTIAL by whether the cached documents cover every
+    quarter of the range, with _MANUAL if all, _WITH_MANUAL if some were uploaded by hand.
+
+    documents: entity, period, source_type, status, source_role; fixtures, other roles and documents not downloaded don't count.
+    """
+    a, b = P.range_bounds(period_from, period_to)
+    kind = F.coalesce("source_type", F.lit(""))
+    kept = documents.where(F.col("status").isin(*CACHED) & F.col("source_role").isin(*STATEMENT_ROLES) & (kind != "fixture")).withColumn("i", P.period_index(F.col("period"))).where(F.col("i").between(a, b))
+    seen = kept.groupBy("entity").agg(F.count_distinct("i").alias("n"), F.bool_and(kind == "manual_upload").alias("all_manual"), F.bool_or(kind == "manual_upload").alias("some_manual"))
+    rows = entities.select("entity").distinct().hint("merge").join(seen.hint("merge"), "entity", "left")
+    cover = F.when(F.col("n") == b - a + 1, "CACHED_VALIDATED").otherwise("CACHED_PARTIAL")
+    by_hand = F.when(F.col("all_manual"), "_MANUAL").when(F.col("some_manual"), "_WITH_MANUAL").otherwise("")
+    return rows.select("entity", F.when(F.col("n").isNull(), "NOT_CACHED").otherwise(F.concat(cover, by_hand)).alias("documents_status"))
+
+
+def ready_counts(statuses: DataFrame) -> DataFrame:
+    """One row: entities scanned, and those in each state of READY; statuses: entity and READY's columns.  Null states count nowhere."""
+    return statuses.agg(F.count(F.lit(1)).alias("companies_scanned"), *[F.count_if(F.col(c).isin(*values)).alias(name) for name, (c, values) in READY.items()])
+
+
+def scope_readiness(audited: DataFrame, quality: DataFrame, statement: DataFrame, items: DataFrame, packages: DataFrame) -> DataFrame:
+    """entity, status, score, legacy_score (valid share of all metrics), missing_facts, next_action and weakest of each entity of quality.
+
+    statement: entity, status (of the statement scope); items of metric_quality_items; packages: entity, status.  missing_facts counts
+    the pairs of a metric that is expected but missing and a fact it needs.  The weakest is the entity that isn't ready with the
+    lowest score, then most missing facts, then name.
+    """
+    share = audited.groupBy("entity").agg(F.round(F.count_if(F.col("status") == "valid") / F.count(F.lit(1)), 4).alias("legacy_score"))
+    wanted = items.where(F.col("kind") == "missing_but_expected").select("entity", "metric_code", F.explode("required").alias("fact"))
+    gaps = wanted.groupBy("entity").agg(F.count_distinct("fact", "metric_code").alias("missing_facts"), F.collect_set("fact").alias("facts"))
+    rows = quality.select("entity", "score")
+    for part in (statement.select("entity", "status"), share, gaps, packages.select("entity", F.col("status").alias("package"))):
+        rows = rows.join(part.hint("merge"), "entity", "left")
+    rows = rows.withColumns({"status": F.coalesce("status", F.lit("UNSUPPORTED")), "missing_facts": F.coalesce("missing_facts", F.lit(0).cast("long")), "facts": F.coalesce("facts", F.array().cast("array<string>"))})
+    has = lambda *names: [F.array_contains("facts", n) for n in names]
+    assets, liabilities = has("current_assets", "current_liabilities")
+    profit, income, cash, capex = has("operating_profit", "net_income", "operating_cash_flow", "capex")
+    action = (
+        F.when(F.coalesce("package", F.lit("")) != "READY", "resolve_source_package")
+        .when(F.col("status") == "AUTO_READY", "extend_other_scopes")
+        .when(assets & liabilities, "inspect_balance_sheet")
+        .when(profit | income, "inspect_income_statement")
+        .when(cash | capex, "inspect_cash_flow")
+        .otherwise("review_missing_inputs")
+    )
+    rows = rows.withColumn("next_action", action)
+    worst = rows.where(F.col("status") != "AUTO_READY").agg(F.min_by("entity", F.struct("score", -F.col("missing_facts"), "entity")).alias("worst"))
+    rows = rows.join(F.broadcast(worst), F.lit(True), "left")  # worst is one row
+    return rows.select("entity", "status", "score", "legacy_score", "missing_facts", "next_action", F.coalesce(F.col("entity") == F.col("worst"), F.lit(False)).alias("weakest"))
+
+
+def with_links(top: DataFrame, ids: DataFrame, portal: str) -> DataFrame:
+    """Rows of top_n_by_value with the company's page and report lists on a disclosure portal, or only terms to search for.
+
+    ids: entity, company_id, names (array).  Files of types 4, 3 and 2 are consolidated, standalone and annual reports.  search_terms are
+    the names, the entity and its own name, each once; without a company_id the links are null.
+    """
+    rows = top.hint("merge").join(ids.select("entity", "company_id", "names").hint("merge"), "entity", "left")
+    number = F.nullif(F.trim("company_id"), F.lit(""))
+    terms = F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array(F.col("entity"), F.col("name")))
+    terms = F.array_distinct(F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: F.coalesce(t, F.lit("")) != ""))
+    files = {f"files_type_{t}_url": F.concat(F.lit(f"{portal}/files.aspx?id="), number, F.lit(f"&type={t}")) for t in (4, 3, 2)}
+    status = F.when(number.isNotNull(), "known_company_id").otherwise("search_only")
+    return rows.withColumns({"company_url": F.concat(F.lit(f"{portal}/company.aspx?id="), number), **files, "search_terms": terms, "link_status": status}).drop("company_id", "names")
+
+
 def coverage_level(summary: DataFrame) -> DataFrame:
     """An ordered cascade on counts of calculated and blocked metrics, and the blockers behind it."""
     level = F.when(F.col("calculated_count") == 0, "no_coverage").when(F.col("calculated_count") < F.col("missing_count"), "limited").when(F.col("blocked_count") > 0, "partial").otherwise("full")

@@ -9,6 +9,7 @@ from ..operators import facts as A
 from ..operators import gates as G
 from ..operators import metrics as M
 from ..operators import peers as E
+from ..operators import portfolio as C
 from ..sources import fixtures as S
 from .candidate_queries import REVIEWED, _reviewed
 from .gate_queries import ALL, _parts, m23_readiness_scopes
@@ -281,3 +282,72 @@ def f28_period_resolution(spark, sf_dir):
 )
 def c5_support_blockers(spark, sf_dir):
     return D.support_blockers(_levels(spark, sf_dir))
+
+
+# ---- portfolio ----
+
+
+CACHE = (
+    "cdocs as (select entity, period, idx, source_role, case when nation % 5 = 0 or (nation % 5 = 1 and k % 2 = 0) then 'manual_upload' when nation % 5 = 2 and k % 3 = 0 then 'fixture' else 'web' end st, case when nation % 7 = 6 then 'new' when nation % 3 = 0 and k % 10 = 0 then 'failed' else 'parsed' end state from sources),"
+    "cached as (select r.entity, case when n is null then 'NOT_CACHED' else case when n = 12 then 'CACHED_VALIDATED' else 'CACHED_PARTIAL' end || case when am then '_MANUAL' when sm then '_WITH_MANUAL' else '' end end documents_status from registry r left join"
+    " (select entity, count(distinct idx) n, bool_and(st = 'manual_upload') am, bool_or(st = 'manual_upload') sm from cdocs where state = 'parsed' and source_role = 'financial_statements' and st <> 'fixture' and idx between 7984 and 7995 group by entity) using (entity))"
+)
+
+
+def _cached(spark, sf_dir):
+    k, nation = F.col("k"), F.col("nation")
+    kind = F.when((nation % 5 == 0) | ((nation % 5 == 1) & (k % 2 == 0)), "manual_upload").when((nation % 5 == 2) & (k % 3 == 0), "fixture").otherwise("web")
+    state = F.when(nation % 7 == 6, "new").when((nation % 3 == 0) & (k % 10 == 0), "failed").otherwise("parsed")
+    documents = S.two_sources(spark, sf_dir).select("entity", "period", "source_role", kind.alias("source_type"), state.alias("status"))
+    return C.cached_documents_status(S.registry(spark, sf_dir), documents, FROM, TO)
+
+
+@query("select * from cached", FACTS, SOURCES, REGISTRY, CACHE)
+def c1_cached_documents(spark, sf_dir):
+    return _cached(spark, sf_dir)
+
+
+SCOPES = "scopes as (" + ORACLES["m23_readiness_scopes"] + ")"
+SCOPED = "scoped as (select entity, max(case when scope = 'statement_based_financials' then status end) statement_status, max(case when scope = 'market_technical_analysis' then status end) market_status, max(case when scope = 'market_valuation' then status end) valuation_status from scopes group by entity)"
+
+
+def _scoped(spark, sf_dir):
+    names = {"statement_status": "statement_based_financials", "market_status": "market_technical_analysis", "valuation_status": "market_valuation"}
+    return m23_readiness_scopes(spark, sf_dir).groupBy("entity").agg(*[F.max(F.when(F.col("scope") == scope, F.col("status"))).alias(c) for c, scope in names.items()])
+
+
+@query(
+    "select count(*) companies_scanned, count(*) filter (substr(entity, 2)::int % 4 <> 3) source_ready_count, count(*) filter (documents_status = 'CACHED_VALIDATED') cached_documents_ready_count, count(*) filter (statement_status = 'AUTO_READY') statement_scope_auto_ready_count,"
+    " count(*) filter (statement_status = 'AUTO_PARTIAL') statement_scope_auto_partial_count, count(*) filter (market_status = 'AUTO_READY') market_technical_ready_count, count(*) filter (valuation_status in ('UNAVAILABLE', 'UNSUPPORTED')) valuation_unavailable_count from cached left join scoped using (entity)",
+    *ALL, SOURCES, REGISTRY, CACHE, SCOPES, SCOPED,
+)
+def c4_ready_counts(spark, sf_dir):
+    rows = _cached(spark, sf_dir).hint("merge").join(_scoped(spark, sf_dir).hint("merge"), "entity", "left")
+    return C.ready_counts(rows.withColumn("source_status", F.when(F.substring("entity", 2, 9).cast("int") % 4 != 3, "READY").otherwise("PARTIAL")))
+
+
+@query(
+    "select entity, status, score, legacy_score, missing_facts, next_action, coalesce(entity = (select entity from r6 where status <> 'AUTO_READY' order by score, missing_facts desc, entity limit 1), false) weakest from r6",
+    *ALL, SCOPES, SCOPED,
+    "q6 as (" + ORACLES["m22_quality_items"] + "),"
+    "r6 as (select mq.entity, coalesce(statement_status, 'UNSUPPORTED') status, mq.score, legacy_score, coalesce(n, 0) missing_facts, case when substr(mq.entity, 2)::int % 6 = 5 then 'resolve_source_package' when statement_status = 'AUTO_READY' then 'extend_other_scopes' when list_contains(fs, 'current_assets') and list_contains(fs, 'current_liabilities') then 'inspect_balance_sheet'"
+    " when list_contains(fs, 'operating_profit') or list_contains(fs, 'net_income') then 'inspect_income_statement' when list_contains(fs, 'operating_cash_flow') or list_contains(fs, 'capex') then 'inspect_cash_flow' else 'review_missing_inputs' end next_action from mq left join scoped using (entity)"
+    " left join (select entity, round(count(*) filter (status = 'valid') / count(*), 4) legacy_score from audited group by entity) using (entity) left join (select entity, count(distinct fact || '/' || metric_code) n, list(distinct fact) fs from (select entity, metric_code, unnest(string_split(required, ',')) fact from q6 where kind = 'missing_but_expected') group by entity) using (entity))",
+)
+def c6_scope_readiness(spark, sf_dir):
+    audited = _audited(spark, sf_dir)
+    packages = S.registry(spark, sf_dir).select("entity", F.when(F.substring("entity", 2, 9).cast("int") % 6 == 5, "PARTIAL").otherwise("READY").alias("status"))
+    statement = _scoped(spark, sf_dir).select("entity", F.col("statement_status").alias("status"))
+    return C.scope_readiness(audited, G.metric_quality(audited), statement, G.metric_quality_items(audited), packages)
+
+
+@query(
+    "select *, case when known then 'https://portal.test/company.aspx?id=' || id end company_url, case when known then 'https://portal.test/files.aspx?id=' || id || '&type=4' end files_type_4_url, case when known then 'https://portal.test/files.aspx?id=' || id || '&type=3' end files_type_3_url, case when known then 'https://portal.test/files.aspx?id=' || id || '&type=2' end files_type_2_url,"
+    " lower(name) || ',' || entity || ',' || name search_terms, case when known then 'known_company_id' else 'search_only' end link_status from (" + ORACLES["c8_top_n_by_value"] + "), lateral (select 100 + substr(entity, 2)::int id, substr(entity, 2)::int % 3 <> 1 known)"
+)
+def c8_links(spark, sf_dir):
+    number = F.substring("entity", 2, 9).cast("int")
+    registry = S.registry(spark, sf_dir)
+    ids = registry.select("entity", F.when(number % 3 != 1, (number + 100).cast("string")).alias("company_id"), F.array(F.lower("name"), F.lit(" ")).alias("names"))
+    rows = C.with_links(C.top_n_by_value(registry, 10), ids, "https://portal.test").withColumns({"id": number + 100, "known": number % 3 != 1})
+    return _joined(rows, "search_terms")
