@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 
 def economic_value(value: Column, multiplier: Column) -> Column:
     """Value times its unit; no multiplier, or zero, counts as one."""
     return value * F.coalesce(F.nullif(multiplier, F.lit(0.0)), F.lit(1.0))
 
 
+#: What a double is cast from; the cast of any other text costs an exception.
+_DOUBLE = r"^\s*-?(\d+\.?\d*|\.\d+)\s*$"
+
+
 def parse_number(raw: Column) -> Column:
     """Brackets mean negative; letters and signs of money are dropped; a lone comma groups thousands where three digits
     follow every comma, else it is the decimal mark; what is left and no number is null."""
-    s = F.trim(F.translate(raw, "\u2013\u2014\u2212\u00a0", "--- "))
-    negative = s.startswith("(") & s.endswith(")")
-    n = F.trim(F.regexp_replace(F.btrim(s, F.lit("()")), r"[^0-9,.\-\s]", ""))
-    grouped = n.rlike(r"^[^,]*(,[^,]{3})+$")
-    plain = F.when(n.contains(",") & n.contains("."), F.replace(n, F.lit(","), F.lit(""))).when(grouped, F.replace(n, F.lit(","), F.lit(""))).otherwise(F.replace(n, F.lit(","), F.lit(".")))
-    number = F.regexp_replace(plain, " ", "").try_cast("double")
-    return F.when(negative, -number).otherwise(number)
+    def number(n):
+        thousands = n.contains(".") | n.rlike(r"^[^,]*(,[^,]{3})+$")
+        plain = F.when(~n.contains(","), n).when(thousands, F.replace(n, F.lit(","), F.lit(""))).otherwise(F.replace(n, F.lit(","), F.lit(".")))
+        return bound(F.replace(plain, F.lit(" "), F.lit("")), lambda x: F.when(x.rlike(_DOUBLE), x.try_cast("double")))
+
+    def signed(s):
+        n = F.trim(F.regexp_replace(F.btrim(s, F.lit("()")), r"[^0-9,.\-\s]", ""))
+        return bound(n, number) * F.when(s.startswith("(") & s.endswith(")"), -1.0).otherwise(1.0)
+
+    return bound(F.trim(F.translate(raw, "\u2013\u2014\u2212\u00a0", "--- ")), signed)
 
 
 def contains_any(text: Column, words) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound, once
 from ..functions.numbers import parse_number
 from ..functions.text import contains_marker
 
@@ -20,20 +21,6 @@ def _clean(cell: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with value evaluated once a row, however often use names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """rows with a column that is computed once a row.
-
-    The optimizer copies the expression of a plain column into each filter above it, as often as that names it; a
-    generator's column it leaves where it is.
-    """
-    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
-
-
 def split_inline(text: Column) -> Column:
     """(label, values) of a clean text that ends in one or two numbers after other words, else null."""
     numeric = lambda words, k: parse_number(F.get(words, F.size(words) - k)).isNotNull()

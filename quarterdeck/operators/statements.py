@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound, once
 from ..functions.numbers import contains_any, parse_number
 from ..functions.text import matching_text
 
@@ -87,7 +88,11 @@ def table_role(family: Column, structure: Column, method: Column) -> Column:
 
 def row_kind(label: Column, has_values: Column, has_note: Column, family: Column) -> Column:
     """Kind of a statement row by its label, whether it has values and a note reference, and its statement's family."""
-    t, empty = matching_text(label), F.coalesce(F.trim(label), F.lit("")) == ""
+    return bound(matching_text(label), lambda t: _row_kind(t, label, has_values, has_note, family))
+
+
+def _row_kind(t: Column, label: Column, has_values: Column, has_note: Column, family: Column) -> Column:
+    empty = F.coalesce(F.trim(label), F.lit("")) == ""
     activities = contains_any(t, ("операционной деятельности", "инвестиционной деятельности", "финансовой деятельности", "operating activities", "investing activities", "financing activities"))
     return (
         F.when(empty & has_values, "numeric_fragment").when(empty, "unknown").when(contains_any(t, ("примечание", "note")) | F.trim(label).startswith("*"), "footnote").when(has_note & ~has_values, "note_reference_only")
@@ -104,7 +109,10 @@ def row_confidence(kind: Column, stitched: Column) -> Column:
 
 def row_gate(label: Column, kind: Column, metric: Column, statement: Column, issuer: Column) -> Column:
     """(metric, reason): which metric a row of a statement may give, or why none."""
-    t = matching_text(label)
+    return bound(matching_text(label), lambda t: _row_gate(t, kind, metric, statement, issuer))
+
+
+def _row_gate(t: Column, kind: Column, metric: Column, statement: Column, issuer: Column) -> Column:
     ok, no = F.struct(metric.alias("metric"), F.lit(None).cast("string").alias("reason")), lambda why: F.struct(F.lit(None).cast("string").alias("metric"), F.lit(why).alias("reason"))
     item, line = kind.isin("subtotal", "grand_total"), kind.isin("statement_line_item", "subtotal", "grand_total")
     parts = metric.isin("current_assets", "current_liabilities", "non_current_assets", "non_current_liabilities")
@@ -130,26 +138,34 @@ def current_value(cells: Column, period: Column, statement: Column) -> Column:
     as the period, else the one whose header speaks of it, else the only one; several are ambiguous.
     """
     year, quarter = F.substring(period, 1, 4), F.substring(period, 6, 1)
-    numeric = F.filter(cells, lambda c: parse_number(c["raw"]).isNotNull())
-    money = F.filter(numeric, lambda c: ~F.trim(c["raw"]).rlike(r"^\d{1,2}$"))
-    cells = F.when(F.size(money) > 0, money).otherwise(numeric)
-    head = lambda c: matching_text(c["key"])
-    named = F.filter(cells, lambda c: F.replace(head(c), F.lit(" "), F.lit("")) == F.lower(period))
     words = {"1": ("march", "марта", "3 months", "three months", "3 мес"), "2": ("june", "июня", "6 months", "six months", "6 мес"), "3": ("september", "сентября", "9 months", "nine months", "9 мес"), "4": ("31 december", "31 декабря", "fy", "year", "год")}
 
-    def speaks(c):
-        h, said = head(c), F.lit(False)
+    def speaks(h):
+        said = F.lit(False)
         for q, markers in words.items():
             said = said | ((quarter == q) & contains_any(h, markers))
         return h.contains(year) & (said | (h == year) | (statement == "balance_sheet"))
 
-    near = F.filter(cells, speaks)
-    take = lambda found: F.struct(found[0]["raw"].alias("raw"), found[0]["key"].alias("key"), F.lit(None).cast("string").alias("reason"))
+    def read(c):  # a column's cell, and whether its header is the period or speaks of it
+        return bound(matching_text(c["key"]), lambda h: F.struct(c["key"].alias("key"), c["raw"].alias("raw"), (F.replace(h, F.lit(" "), F.lit("")) == F.lower(period)).alias("named"), speaks(h).alias("near")))
+
+    take = lambda c: F.struct(c["raw"].alias("raw"), c["key"].alias("key"), F.lit(None).cast("string").alias("reason"))
     none = lambda why: F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("key"), F.lit(why).alias("reason"))
-    return (
-        F.when(F.size(cells) == 0, none("numeric_value_not_detected")).when(F.size(named) == 1, take(named)).when(F.size(named) > 1, none("ambiguous_period_column"))
-        .when(F.size(near) == 1, take(near)).when(F.size(near) > 1, none("ambiguous_period_column")).when(F.size(cells) == 1, take(cells)).otherwise(none("ambiguous_period_column"))
-    )
+    first = lambda found: take(F.get(found, F.lit(0)))
+
+    def chosen(cells, named, near):
+        return (
+            F.when(F.size(cells) == 0, none("numeric_value_not_detected")).when(F.size(named) == 1, first(named)).when(F.size(named) > 1, none("ambiguous_period_column"))
+            .when(F.size(near) == 1, first(near)).when(F.size(near) > 1, none("ambiguous_period_column")).when(F.size(cells) == 1, first(cells)).otherwise(none("ambiguous_period_column"))
+        )
+
+    def among(cells):
+        return bound(F.filter(cells, lambda c: c["named"]), lambda named: bound(F.filter(cells, lambda c: c["near"]), lambda near: chosen(cells, named, near)))
+
+    numeric = F.filter(cells, lambda c: parse_number(c["raw"]).isNotNull())
+    money = lambda numeric: F.filter(numeric, lambda c: ~F.trim(c["raw"]).rlike(r"^\d{1,2}$"))
+    counted = bound(numeric, lambda numeric: bound(money(numeric), lambda money: F.when(F.size(money) > 0, money).otherwise(numeric)))
+    return bound(F.transform(counted, read), among)
 
 
 def promotion_reason(statement: Column, label: Column, has_values: Column, document: Column, page: Column, label_conf: Column, owner_conf: Column, period_conf: Column) -> Column:
@@ -161,24 +177,22 @@ def promotion_reason(statement: Column, label: Column, has_values: Column, docum
 
 
 def parse_statement_rows(rows: DataFrame, metric: Column) -> DataFrame:
-    """rows with kind, metric_code, raw_value, value, outcome (fact, rejected, evidence) and reason, in one projection.
+    """rows with kind, metric_code, raw_value, value, outcome (fact, rejected, evidence) and reason, without a shuffle.
 
     rows: document_id, row_index, statement_type, label, cells, note_ref, period, page_number, unit_multiplier,
     issuer_class, label_confidence, ownership_confidence, period_confidence.  Numbers of rows that no metric claims are
     evidence; rows without numbers and without a metric are rejected.
     """
     has = F.exists("cells", lambda c: parse_number(c["raw"]).isNotNull())
-    out = rows.withColumns({"has_values": has, "known": metric})
-    out = out.withColumn("kind", row_kind(F.col("label"), F.col("has_values"), F.col("note_ref").isNotNull(), F.col("statement_type")))
-    out = out.withColumns({
-        "gate": row_gate(F.col("label"), F.col("kind"), F.col("known"), F.col("statement_type"), F.col("issuer_class")),
-        "promoted": promotion_reason(F.col("statement_type"), F.col("label"), F.col("has_values"), F.col("document_id"), F.col("page_number"), F.col("label_confidence"), F.col("ownership_confidence"), F.col("period_confidence")),
-        "picked": current_value(F.col("cells"), F.col("period"), F.col("statement_type")),
-    })
+    out = once(rows, "found", F.struct(has.alias("has_values"), metric.alias("known"))).select("*", "found.*")
+    out = once(out, "kind", row_kind(F.col("label"), F.col("has_values"), F.col("note_ref").isNotNull(), F.col("statement_type")))
+    out = once(out, "gate", row_gate(F.col("label"), F.col("kind"), F.col("known"), F.col("statement_type"), F.col("issuer_class")))
+    promoted = promotion_reason(F.col("statement_type"), F.col("label"), F.col("has_values"), F.col("document_id"), F.col("page_number"), F.col("label_confidence"), F.col("ownership_confidence"), F.col("period_confidence"))
+    out = once(out.withColumn("promoted", promoted), "picked", current_value(F.col("cells"), F.col("period"), F.col("statement_type")))
     reason = F.coalesce("gate.reason", "promoted", "picked.reason")
-    return out.select(
-        "document_id", "row_index", "statement_type", "period", "kind", F.when(reason.isNull(), F.col("gate.metric")).alias("metric_code"), F.when(reason.isNull(), F.col("picked.raw")).alias("raw_value"),
-        F.when(reason.isNull(), parse_number(F.col("picked.raw")) * F.col("unit_multiplier")).alias("value"),
+    value = parse_number(F.col("picked.raw")) * F.col("unit_multiplier")
+    return once(out, "value", F.when(reason.isNull(), value)).select(
+        "document_id", "row_index", "statement_type", "period", "kind", F.when(reason.isNull(), F.col("gate.metric")).alias("metric_code"), F.when(reason.isNull(), F.col("picked.raw")).alias("raw_value"), "value",
         F.when(reason.isNull(), "fact").when((F.col("gate.reason") == "metric_not_mapped") & F.col("has_values"), "evidence").otherwise("rejected").alias("outcome"), reason.alias("reason"),
     )
 
