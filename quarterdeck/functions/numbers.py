@@ -27,7 +27,7 @@ def parse_number(raw: Column) -> Column:
 
     def signed(s):
         n = F.trim(F.regexp_replace(F.btrim(s, F.lit("()")), r"[^0-9,.\-\s]", ""))
-        return bound(n, number) * F.when(s.startswith("(") & s.endswith(")"), -1.0).otherwise(1.0)
+        return F.when(s.rlike("[0-9]"), bound(n, number)) * F.when(s.startswith("(") & s.endswith(")"), -1.0).otherwise(1.0)
 
     return bound(F.trim(F.translate(raw, "\u2013\u2014\u2212\u00a0", "--- ")), signed)
 

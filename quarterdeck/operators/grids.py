@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import bound, once
-from ..functions.numbers import parse_number
-from ..functions.text import contains_marker
+from ..functions.numbers import contains_any, parse_number
+from ..functions.text import contains_marker, matching_text, normal_markers
 
 # What a header says of a date, and of notes.
 DATE_MARKERS = ("31 декабря", "30 сентября", "30 июня", "31 марта", "2020", "2021", "2022", "2023", "2024", "2025", "2026", "2027")
@@ -30,7 +30,7 @@ def split_inline(text: Column) -> Column:
         n = F.size(words) - taken
         return F.when((taken > 0) & (n > 0), F.struct(F.array_join(F.slice(words, 1, n), " ").alias("label"), F.slice(words, n + 1, taken).alias("values")))
 
-    return bound(F.split(text, " "), lambda words: bound(count(words), lambda taken: cut(words, taken)))
+    return F.when(text.rlike("(?s) .*[0-9]"), bound(F.split(text, " "), lambda words: bound(count(words), lambda taken: cut(words, taken))))
 
 
 def _cell(raw: Column) -> Column:
@@ -47,7 +47,7 @@ def _is_header(row: Column) -> Column:
     says = F.exists(row, lambda c: (c["text"] != "") & (_fragment(c) != ""))
     marked = contains_marker(F.array_join(F.transform(row, lambda c: c["text"]), " "), DATE_MARKERS + NOTE_MARKERS)
     few = F.size(F.filter(row, lambda c: c["number"])) <= 1
-    return ~F.exists(row, lambda c: c["inline"].isNotNull()) & (marked | (says & few))
+    return ~F.exists(row, lambda c: c["inline"].isNotNull()) & ((says & few) | marked)
 
 
 def _numbered(names: Column) -> Column:
@@ -90,28 +90,28 @@ def normalize_table_grid(tables: DataFrame) -> DataFrame:
 
     All of it is array work on a table's own row: nothing is shuffled.
     """
-    filled = F.filter("rows", lambda r: F.exists(r, lambda c: _clean(c) != ""))
-    t = tables.select("document_id", "table_index", filled.alias("rows")).where(F.size("rows") > 0)
+    t = once(tables.select("document_id", "table_index", F.col("rows").alias("raw")), "rows", F.filter("raw", lambda r: F.exists(r, lambda c: _clean(c) != ""))).where(F.size("rows") > 0)
     t = t.withColumn("width", F.array_max(F.transform("rows", lambda r: F.size(r))))
     grid = F.transform("rows", lambda r: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: _cell(F.get(r, i))))
-    t = t.select("document_id", "table_index", "width", grid.alias("grid"))
-    flags = F.transform(F.slice("grid", 1, MOST_HEADERS), _is_header)
-    stop = F.array_position(flags, False).cast("int")  # 0: all are headers
-    t = t.withColumn("header_rows", F.greatest(F.when(stop == 0, F.size(flags)).otherwise(stop - 1), F.lit(1)))
+    t = once(t.select("document_id", "table_index", "width", "rows"), "grid", grid).drop("rows")
+    t = once(t, "flags", F.transform(F.slice("grid", 1, MOST_HEADERS), _is_header))
+    stop = F.array_position("flags", False).cast("int")  # 0: all are headers
+    t = t.withColumn("header_rows", F.greatest(F.when(stop == 0, F.size("flags")).otherwise(stop - 1), F.lit(1)))
     heads = F.slice("grid", F.lit(1), F.col("header_rows"))
     said = lambda i: F.array_distinct(F.filter(F.transform(heads, lambda r: F.get(r, i)["text"]), lambda x: x != ""))
     merged = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.nullif(F.array_join(said(i), " "), F.lit("")), F.concat(F.lit("col_"), i.cast("string"))))
     shown = F.filter(F.transform(F.get("grid", F.lit(0)), lambda c: c["text"]), lambda x: x != "")
     t = t.withColumns({"merged": merged, "shown": shown, "data": F.slice("grid", F.col("header_rows") + 1, F.size("grid"))})
     t = t.withColumn("collide", (F.size(F.array_distinct("merged")) < F.size("merged")) | (F.size(F.array_distinct("shown")) < F.size("shown")))
-    t = t.withColumn("names", _numbered(F.col("merged")))
-    dated = F.array_position(F.transform("names", lambda x: contains_marker(x, DATE_MARKERS)), True)
+    t = once(t, "names", _numbered(F.col("merged")))
+    t = once(t, "plain", F.transform("names", matching_text))
+    dated = F.array_position(F.transform("plain", lambda x: contains_any(x, normal_markers(DATE_MARKERS))), True)
     numeric = F.array_position(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.exists("data", lambda r: F.get(r, i)["number"])), True)
     none = F.when(F.size("data") == 0, 0).otherwise(F.col("width"))
     first = F.when(dated > 0, dated - 1).when(numeric > 0, numeric - 1).otherwise(none).cast("int")
-    t = t.withColumns({"first": first, "notes": F.transform("names", lambda x: contains_marker(x, NOTE_MARKERS))})
+    t = t.withColumns({"first": first, "notes": F.transform("plain", lambda x: contains_any(x, normal_markers(NOTE_MARKERS)))})
     wanted = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda i: (i >= F.col("first")) & ~F.get(F.col("notes"), i))
-    t = t.withColumn("active", wanted).withColumn("records", F.transform("data", _record))
+    t = once(once(t, "active", wanted), "records", F.transform("data", _record))
     poor = F.col("collide") | F.exists("records", lambda r: r["rebuilt"]) | ~F.exists("records", lambda r: r["line"].isNotNull())
     t = t.withColumn("columns", F.transform("active", lambda i: F.get(F.col("names"), i))).withColumn("quality", F.when(poor, "degraded").otherwise("standard"))
     # the outer form, as the optimizer would copy the whole array work into a filter on its size below an inner one

@@ -33,3 +33,13 @@ def test_numbers_are_read_without_exceptions(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", parse_number(F.col("raw")).alias("n"))
     assert {r["raw"]: r["n"] for r in rows.collect()} == cases
     assert "RLIKE" in plan(rows).upper()  # what is no number never reaches the cast
+
+
+def test_grids_bind_their_heavy_steps(spark):
+    from quarterdeck.operators.grids import normalize_table_grid
+
+    rows = "array(array('Item', '2021', '2020'), array('Revenue', '1 200', '(30)'), array('Net profit 40 5', null, ''))"
+    found = normalize_table_grid(spark.range(1).selectExpr("id document_id", "0 table_index", f"{rows} rows"))
+    lines = [l for l in plan(found).split("\n") if "RLIKE" in l.upper() or "regexp_replace" in l]
+    assert lines and all("Generate" in l for l in lines)  # none stands in a plain projection, which filters and later steps copy
+    assert [(r["line"], r["cells"], r["recovered"]) for r in found.orderBy("row_index").collect()] == [("Revenue", {"2021": "1 200", "2020": "(30)"}, False), ("Net profit", {"2021": "40", "2020": "5"}, True)]
