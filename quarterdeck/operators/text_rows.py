@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import contains_any, parse_number
 from ..functions.periods import period_index
 from ..functions.text import group_spaced_numbers, matching_text
-from .grids import bound, once
+from ..functions.binding import bound, once
 
 # By statement, the labels of metrics; an equal label counts more than a longer one that holds it.
 LABELS = {
@@ -84,7 +84,7 @@ def label_metric(normal: Column, statement: Column) -> Column:
         equal = F.create_map(*[F.lit(x) for pair in dict(pairs).items() for x in pair])[normal]
         inside = F.array_max(F.array_compact(F.array(*[F.when(normal.contains(alias), F.struct(F.lit(len(alias)).alias("n"), F.lit(-k).alias("k"), F.lit(metric).alias("metric"))) for k, (alias, metric) in enumerate(pairs)])))["metric"]
         said = lambda metric, confidence: F.struct(metric.alias("metric"), F.lit(confidence).alias("confidence"))
-        test = F.when(equal.isNotNull(), said(equal, EXACT)).when(inside.isNotNull(), said(inside, PART))
+        test = F.coalesce(bound(equal, lambda x: F.when(x.isNotNull(), said(x, EXACT))), bound(inside, lambda x: F.when(x.isNotNull(), said(x, PART))))
         if name == "cash_flow":
             first, second = CASH_PARTS
             test = F.when(contains_any(normal, first[2]), said(F.lit(first[0]), first[1])).when(contains_any(normal, second[2]), said(F.lit(second[0]), second[1])).otherwise(test)
@@ -106,7 +106,8 @@ def trailing_numbers(line: Column) -> Column:
         numbers = F.filter(group_spaced_numbers(last), lambda x: parse_number(x).isNotNull())
         return F.when(k > 0, F.struct(label.alias("label"), numbers.alias("numbers")))
 
-    return bound(tail, lambda tail: bound(found, lambda found: cut(tail, found)))
+    # most lines of a text end in no number
+    return F.when(line.rlike(r"[\d,)]\s*$"), bound(tail, lambda tail: bound(found, lambda found: cut(tail, found))))
 
 
 def _year(period: Column) -> Column:
@@ -173,21 +174,28 @@ def text_line_facts(tables: DataFrame) -> DataFrame:
     )
     t = t.withColumn("refused", refused)
     table_key = ("document_id", "table_index")
-    kept = t.where(F.col("refused").isNull()).withColumn("order", _period_order(F.col("header"), F.col("period"), F.col("statement_type")))
-    one = kept.select(*table_key, "statement_type", "period", "order", "unit", "currency", "unit_multiplier", "is_bank", "lines", F.posexplode_outer("lines").alias("line_index", "line"))
-
-    def parsed(rows):
-        out = once(once(rows, "x", trailing_numbers(F.col("line"))), "n", matching_text(F.col("x.label")))
-        return once(out, "m", label_metric(F.col("n"), F.col("statement_type")))
-
-    one = once(parsed(one.where(F.coalesce("line", F.lit("")) != "")), "plain", matching_text(F.col("line"))).withColumn("width", F.lit(1))
+    t = t.withColumn("order", F.when(F.col("refused").isNull(), _period_order(F.col("header"), F.col("period"), F.col("statement_type"))))
+    # one pass: a refused table goes on as a row without a line; a line goes with the few that may make one row with it
+    taken = F.col("refused").isNull()
+    windows = F.when(taken, F.transform("lines", lambda x, i: F.slice("lines", i + 1, WIDEST)))
+    one = t.select(*table_key, "refused", "statement_type", "period", "order", "unit", "currency", "unit_multiplier", "is_bank", F.posexplode_outer(windows).alias("line_index", "group"))
+    one = one.withColumn("line", F.get("group", F.lit(0))).where(~taken | (F.coalesce("line", F.lit("")) != ""))
+    metric = F.when(F.col("n") != "", label_metric(F.col("n"), F.col("statement_type")))
+    one = once(once(once(one, "x", trailing_numbers(F.col("line"))), "n", matching_text(F.col("x.label"))), "m", metric)
     plain = F.col("plain")
     head = contains_any(plain, [w for words in TITLES.values() for w in words] + ["million", "russian rubles"]) | plain.startswith("note")
-    open_ = one.where(~head & ~sure((F.col("x.label") != "") & (F.size("x.numbers") > 0) & F.col("m").isNotNull()))
-    wider = open_.drop("width", "x", "n", "m", "plain").select("*", F.explode(F.array(*[F.lit(k) for k in range(2, WIDEST + 1)])).alias("width"))
-    group = F.slice("lines", F.col("line_index") + 1, F.col("width"))
-    wider = wider.where((F.size(group) == F.col("width")) & ~F.exists(group, lambda x: x == "")).withColumn("line", F.array_join(group, " "))
-    rows = one.drop("plain").unionByName(parsed(wider)).where(sure((F.size("x.numbers") > 0) & (F.col("x.label") != ""))).drop("lines")
+    closed = ~taken | sure((F.col("x.label") != "") & (F.size("x.numbers") > 0) & F.col("m").isNotNull())
+    one = once(once(one, "plain", F.when(~closed, matching_text(F.col("line")))), "open", ~closed & ~sure(head)).drop("plain")
+    widths = F.when(F.col("open"), F.array(*[F.lit(k) for k in range(1, WIDEST + 1)])).otherwise(F.array(F.lit(1)))
+    group = F.slice("group", F.lit(1), F.col("width"))
+    wide = one.select("*", F.explode(widths).alias("width")).where((F.col("width") == 1) | ((F.size(group) == F.col("width")) & ~F.exists(group, lambda x: x == "")))
+
+    def again(rows, name, value):  # of a single line it is known
+        out = once(rows.withColumnRenamed(name, "known"), name, F.when(F.col("width") == 1, F.col("known")).otherwise(value))
+        return out.drop("known")
+
+    rows = again(wide, "x", trailing_numbers(F.array_join(group, " "))).where(~taken | sure((F.size("x.numbers") > 0) & (F.col("x.label") != "")))
+    rows = again(again(rows, "n", matching_text(F.col("x.label"))), "m", metric).drop("group")
     barred = (
         F.when(F.col("n").contains("per share"), "per_share_row_not_statement_fact").when(F.col("n").contains("непрофиль"), "non_core_revenue_not_statement_revenue")
         .when(F.col("n").contains("страхов") & contains_any(F.col("n"), ("выручк", "revenue")), "insurance_revenue_not_total_revenue")
@@ -196,7 +204,7 @@ def text_line_facts(tables: DataFrame) -> DataFrame:
     rows = once(rows, "picked", _selected(F.col("x.numbers"), F.col("order"), F.coalesce("is_bank", F.lit(False)), year, F.concat((_year(F.col("period")) - 1).cast("string"), F.lit("Q4"))))
     based = (F.coalesce("unit", F.lit("")) != "") | (F.coalesce("currency", F.lit("")) != "")
     reason = (
-        F.when(barred.isNotNull(), barred).when(F.col("m").isNull(), F.when(contains_any(F.col("n"), BLOCKED), "unsupported_metric_for_text_fallback").otherwise("")).when(F.size("picked") == 0, "ambiguous_period_column")
+        F.when(~taken, F.col("refused")).when(barred.isNotNull(), barred).when(F.col("m").isNull(), F.when(contains_any(F.col("n"), BLOCKED), "unsupported_metric_for_text_fallback").otherwise("")).when(F.size("picked") == 0, "ambiguous_period_column")
         .when(~based, "unit_or_currency_basis_missing")
     )
     rows = once(rows, "reason", reason).where(F.coalesce("reason", F.lit("-")) != "")
@@ -204,14 +212,11 @@ def text_line_facts(tables: DataFrame) -> DataFrame:
     rows = rows.select("*", F.explode_outer(F.when(F.col("reason").isNull(), F.col("picked"))).alias("pick"))
     warned = F.concat_ws(",", F.lit("derived_from_raw_text_table_requires_extra_caution"), F.when(F.col("order") == "current_first_inferred", "current_period_column_inferred_from_statement_layout").when(F.col("order") == "unknown", "current_period_header_not_detected"))
     fact = F.col("reason").isNull()
-    out = rows.select(
-        *table_key, "line_index", "width", F.when(fact, "fact").otherwise("rejected").alias("outcome"), F.col("x.label").alias("raw_label"), F.when(barred.isNull(), F.col("m.metric")).alias("metric_code"), "pick.period",
+    return rows.select(
+        *table_key, "line_index", F.when(taken, F.col("width")).alias("width"), F.when(fact, "fact").when(taken, "rejected").otherwise("table_rejected").alias("outcome"), F.col("x.label").alias("raw_label"), F.when(barred.isNull(), F.col("m.metric")).alias("metric_code"), "pick.period",
         F.col("pick.raw").alias("raw_value"), (parse_number(F.col("pick.raw")) * F.coalesce(F.nullif(F.col("unit_multiplier"), F.lit(0.0)), F.lit(1.0))).alias("value"), F.when(fact, F.col("m.confidence")).alias("confidence"),
         F.col("pick.column").alias("column_name"), "reason", F.when(fact, warned).alias("warnings"),
     )
-    none = {c: F.lit(None).cast(out.schema[c].dataType) for c in out.columns if c not in (*table_key, "outcome", "reason")}
-    whole = t.where(F.col("refused").isNotNull()).select(*table_key, F.lit("table_rejected").alias("outcome"), F.col("refused").alias("reason")).withColumns(none)
-    return out.unionByName(whole)
 
 
 # The subtotal that the two numbers before a heading of a balance sheet belong to.

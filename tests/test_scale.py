@@ -43,3 +43,26 @@ def test_grids_bind_their_heavy_steps(spark):
     lines = [l for l in plan(found).split("\n") if "RLIKE" in l.upper() or "regexp_replace" in l]
     assert lines and all("Generate" in l for l in lines)  # none stands in a plain projection, which filters and later steps copy
     assert [(r["line"], r["cells"], r["recovered"]) for r in found.orderBy("row_index").collect()] == [("Revenue", {"2021": "1 200", "2020": "(30)"}, False), ("Net profit", {"2021": "40", "2020": "5"}, True)]
+
+
+def test_text_lines_are_read_in_one_pass(spark):
+    from quarterdeck.operators.text_rows import text_line_facts
+
+    lines = "array('Consolidated statement of profit or loss 2021 2020', 'Operating', 'profit 1200 900')"
+    t = spark.range(2).selectExpr(
+        "id document_id", "0 table_index", "'income_statement' statement_type", "'2021Q4' period", "if(id = 0, 'text_table_fallback', 'grid') extraction_method", "'raw_text_table' quality_flag", "'file' source_location", "1 page_number", "'Table' table_title",
+        "cast(null as array<string>) headers", f"{lines} lines", "'million' unit", "cast(null as string) currency", "1e6D unit_multiplier", "false is_bank",
+    )
+    found = text_line_facts(t)
+    assert plan(found).count("Range (") == 1  # three when single lines, wider ones and refused tables each read all
+    got = {(r["document_id"], r["line_index"], r["width"], r["outcome"], r["raw_label"], r["value"], r["reason"]) for r in found.collect()}
+    assert got == {(0, 1, 2, "fact", "Operating profit", 1.2e9, None), (1, None, None, "table_rejected", None, None, "not_text_fallback_raw_table")}
+
+
+def test_spaced_numbers_bind_their_tokens(spark):
+    from quarterdeck.functions.text import group_spaced_numbers
+
+    cases = {"7 1 200 3 400": ["7", "1 200", "3 400"], "12 345,6 1 234,5": ["12 345,6", "1 234,5"], "1 22 333 4": ["1", "22", "333", "4"], "5": ["5"]}
+    rows = spark.createDataFrame([(k,) for k in cases], "line string").select("line", group_spaced_numbers(F.split("line", " ")).alias("numbers"))
+    assert {r["line"]: r["numbers"] for r in rows.collect()} == cases
+    assert plan(rows).count("split(line") == 1
