@@ -266,7 +266,10 @@ def inline_values(line: Column) -> Column:
 
 def _signs(text: Column) -> Column:
     """What a text says of its period: months covered, a named report year, the last day's year and quarter, all years."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    return bound(F.lower(F.coalesce(text, F.lit(""))), _said)  # whole texts are lowered once
+
+
+def _said(t: Column) -> Column:
     months = F.when(t.rlike(r"\byear ended\b|\b12 months\b|\b12 месяцев\b"), 12).when(t.rlike(r"\b(nine|9) months\b|\b9 месяцев\b"), 9).when(t.rlike(r"\b(six|6) months\b|\b6 месяцев\b"), 6).when(t.rlike(r"\b(three|3) months\b|\b3 месяца\b"), 3)
     said = F.regexp_extract(t, r"\b(?:for|year)\s+(20\d{2})\b", 1).try_cast("int")
     dated = r"\b(?:31|30)\s+(march|june|september|december|марта|июня|сентября|декабря)\s+(20\d{2})\b"

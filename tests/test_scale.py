@@ -66,3 +66,15 @@ def test_spaced_numbers_bind_their_tokens(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "line string").select("line", group_spaced_numbers(F.split("line", " ")).alias("numbers"))
     assert {r["line"]: r["numbers"] for r in rows.collect()} == cases
     assert plan(rows).count("split(line") == 1
+
+
+def test_mentions_need_no_array_of_a_texts_words(spark):
+    from quarterdeck.operators.validation import document_markers, mentions
+
+    cases = [("bank of acme holdings", "acme holdings", True), ("acme and its holdings", "acme holdings", True), ("acmes and holdings", "acme holdings", False), ("rosneft", "rosneft", True), ("xx ab", "ab", False), ("", "acme", False), ("acme", "", False), (None, "acme", False)]
+    rows = spark.createDataFrame(cases, "t string, n string, want boolean").select("want", mentions(F.col("t"), F.col("n")).alias("got"))
+    assert all(r["want"] == r["got"] for r in rows.collect())
+    docs = spark.range(1).selectExpr("'Acme annual report 31 December 2021' text", "array('ACM') names", "'https://a.b/c.pdf' source_url", "'c.pdf' file_name", "'pdf' file_type", "'h' content_hash", "cast(null as string) report_period", "'IFRS' reporting_standard", "'annual_report' source_role")
+    found = document_markers(docs.union(docs.limit(0)), ("a.b",))
+    assert "array_distinct(split(" not in plan(found)
+    assert found.first()["detected_role"] == "annual_report"
