@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods as P
@@ -28,6 +28,18 @@ def derive_customer_accounts(facts: DataFrame) -> DataFrame:
     return rows.select("document_id", "period", F.lit("customer_accounts").alias("metric_code"), (F.col("r") + F.col("c")).alias("value"), "confidence")
 
 
+def conflict_reason(a: Column, b: Column) -> Column:
+    """Why two candidates of a row don't merge, null if they do; the same whichever of them comes first.
+
+    a, b: structs of label_text, current_value, statement_family, effective_period, sign_hint, page and row_kind.
+    """
+    differ = lambda c: a[c] != b[c]  # noqa: E731  null where either is
+    reason = F.when(differ("statement_family"), "statement_family_conflict").when(differ("effective_period"), "period_conflict").when(differ("sign_hint"), "sign_conflict").when(differ("page"), "page_relation_conflict").when(differ("row_kind"), "row_alignment_conflict")
+    odd = lambda x: ~F.coalesce(x["row_kind"], F.lit(LINE_KINDS[0])).isin(*LINE_KINDS)
+    empty = F.coalesce(a["label_text"], b["label_text"]).isNull() | F.coalesce(a["current_value"], b["current_value"]).isNull()
+    return reason.when(odd(a) | odd(b) | F.coalesce(differ("label_text"), F.lit(False)) | F.coalesce(differ("current_value"), F.lit(False)) | empty, "weak_alignment")
+
+
 def fuse_candidates(candidates: DataFrame, priority: dict[str, int]) -> DataFrame:
     """The two best candidates of a row, by engine priority and confidence, merged or kept apart with the reason.
 
@@ -41,12 +53,7 @@ def fuse_candidates(candidates: DataFrame, priority: dict[str, int]) -> DataFram
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc(order), F.desc("confidence"), "engine"))
     ranked = candidates.withColumn("place", place).withColumn("x", F.struct(*fields))
     rows = ranked.groupBy(*KEY).agg(F.first(F.when(F.col("place") == 1, F.col("x")), True).alias("a"), F.first(F.when(F.col("place") == 2, F.col("x")), True).alias("b"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"), F.bool_and(F.col("engine").contains("ocr")).alias("ocr"))
-    differ = lambda c: F.col(f"a.{c}") != F.col(f"b.{c}")  # noqa: E731  null where either is
-    reason = F.when(differ("statement_family"), "statement_family_conflict").when(differ("effective_period"), "period_conflict").when(differ("sign_hint"), "sign_conflict").when(differ("page"), "page_relation_conflict").when(differ("row_kind"), "row_alignment_conflict")
-    odd = lambda p: ~F.coalesce(F.col(f"{p}.row_kind"), F.lit(LINE_KINDS[0])).isin(*LINE_KINDS)
-    empty = F.coalesce("a.label_text", "b.label_text").isNull() | F.coalesce("a.current_value", "b.current_value").isNull()
-    reason = reason.when(odd("a") | odd("b") | F.coalesce(differ("label_text"), F.lit(False)) | F.coalesce(differ("current_value"), F.lit(False)) | empty, "weak_alignment")
-    reason = F.when(F.col("b").isNotNull(), reason)
+    reason = F.when(F.col("b").isNotNull(), conflict_reason(F.col("a"), F.col("b")))
     status = F.when(F.col("b").isNull(), "single_engine").when(reason.isNull(), "merged_engines").otherwise("conflict_retained_as_evidence")
     merged = lambda c: F.when(status != "conflict_retained_as_evidence", F.coalesce(f"a.{c}", f"b.{c}"))
     return rows.select(*KEY, status.alias("fusion_status"), reason.alias("reason"), "engines", merged("current_value").alias("value"), merged("label_text").alias("label_text"), F.when(status != "conflict_retained_as_evidence", F.greatest("a.confidence", "b.confidence")).alias("confidence"), F.when(F.col("ocr"), "ocr_only_lower_trust").alias("warning"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import kept
-from .candidates import fuse_candidates
+from .candidates import conflict_reason
 from .grids import once
 from .statements import label_tokens, labels_match
 
@@ -32,7 +32,11 @@ def match_tables(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     a primary statement on the page.  One that meets none is added if it knows its statement, else ignored.  Tables that
     disagree on family, period or comparative period conflict; unknown values agree with all.
     """
-    e, c = _tables(existing), _tables(candidates).withColumnRenamed("table_index", "candidate_index")
+    return _matched(_tables(existing), _tables(candidates))
+
+
+def _matched(existing: DataFrame, candidates: DataFrame) -> DataFrame:
+    e, c = existing, candidates.withColumnRenamed("table_index", "candidate_index")
     e = e.withColumn("statement", _known("statement_type"))
     first = e.groupBy("document_id", "page_number", "statement").agg(F.min("table_index").alias("same"))
     primary = e.where((F.col("statement") != "unknown") & F.coalesce(F.col("table_role").startswith("primary_statement"), F.lit(False)))
@@ -50,35 +54,40 @@ def match_tables(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.select("document_id", "candidate_index", "table_index", outcome.alias("outcome"), F.when(F.col("table_index").isNotNull(), apart).alias("reason"))
 
 
-def _row_pairs(base: DataFrame, new: DataFrame) -> DataFrame:
-    """Likely pairs (document_id, table_index, row_index, candidate_index, candidate_row, way) of rows of matched tables.
+def _chosen_pairs(base: DataFrame, new: DataFrame) -> DataFrame:
+    """One row a row of base that takes one of new: document_id, table_index, row_index, candidate_index, candidate_row, way.
 
-    Rows meet by equal labels, equal metrics, shared label words or equal places, never table by table.
+    Rows meet by shared label words, equal metrics, equal labels without a word, or places next to each other where one of
+    them is blank or goes on, never table by table.
     """
-    table, keys = ["document_id", "table_index"], ["document_id", "table_index", "row_index", "candidate_index", "candidate_row"]
-    place = lambda rows, *order: rows.withColumn("place", F.row_number().over(Window.partitionBy(*table, *order[:-1]).orderBy(order[-1])))
+    table = ["document_id", "table_index"]
+    place = lambda rows, *order: rows.withColumn("place", F.row_number().over(Window.partitionBy(*table).orderBy(*order)))
     valued = (F.coalesce("current", F.lit("")) != "") | (F.coalesce("comparative", F.lit("")) != "")
     shape = lambda rows: once(rows.withColumns({"l": F.lower(F.trim(F.coalesce("label", F.lit("")))), "valued": valued}), "tokens", label_tokens(F.col("l")))
-    of = lambda rows, tag: rows.select(*table, *[F.col(c).alias(f"{tag}_{c}") for c in ("l", "tokens", "metric_code", "row_kind", "valued", "place")], *[c for c in keys[2:] if c in rows.columns])
-    a, b = of(place(shape(base), "row_index"), "a"), of(place(shape(new), "candidate_index", "candidate_row"), "b")
-
-    def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        return left.hint("merge").join(right.hint("merge"), [*table, *on])
-
-    keyed = lambda rows, value: rows.withColumn("k", value)
-    equal = met(keyed(a.where("a_l <> ''"), F.col("a_l")), keyed(b.where("b_l <> ''"), F.col("b_l")), ["k"])
-    metric = met(keyed(a.where("a_metric_code is not null"), F.col("a_metric_code")), keyed(b.where("b_metric_code is not null"), F.col("b_metric_code")), ["k"])
-    word = met(a.select("*", F.explode("a_tokens").alias("k")), b.select("*", F.explode("b_tokens").alias("k")), ["k"])
-    beside = lambda step: met(keyed(a, F.col("a_place") + step), keyed(b, F.col("b_place").cast("int")), ["k"]).drop("k")
-    seen = equal.drop("k").unionByName(metric.drop("k")).unionByName(word.drop("k")).unionByName(beside(0)).unionByName(beside(1))
+    blank, at = F.col("l") == "", lambda mark, n=0: F.concat(F.lit(mark), (F.col("place") + n).cast("string"))
+    opens = ~F.col("valued") & ~blank & (F.size(F.split("l", " ")) >= 2)
+    goes_on = F.col("valued") & F.col("l").rlike(r"^(and|or|of|for|to|in|net|и|или|от|для|по|в|на)\b")
+
+    def keyed(rows, tag, ids, role, beside):
+        """A row for each thing by which a row meets others."""
+        common = [F.when(~blank & (F.size("tokens") == 0), F.concat(F.lit("label "), "l")), F.concat(F.lit("metric "), "metric_code")]
+        keys = F.concat(F.array_compact(F.array(*common, *beside)), F.transform("tokens", lambda t: F.concat(F.lit("word "), t)))
+        kept = [F.col(c).alias(f"{tag}_{c}") for c in ("l", "tokens", "metric_code", "row_kind", "place", "part")]
+        return rows.withColumn("part", role).select(*table, *ids, *kept, F.explode(keys).alias("k"))
+
+    a = keyed(shape(place(base, "row_index")), "a", ["row_index"], opens, [F.when(blank, at("blank ")).otherwise(at("full ")), F.when(opens, at("next ")), F.when(opens, at("next ", 1))])
+    b = keyed(shape(place(new, "candidate_index", "candidate_row")), "b", ["candidate_index", "candidate_row"], goes_on, [F.when(blank, at("full ")).otherwise(at("blank ")), F.when(goes_on, at("next "))])
+    seen = a.hint("merge").join(b.hint("merge"), [*table, "k"])
     kind = F.coalesce((F.col("a_row_kind") == F.col("b_row_kind")) | (F.col("a_row_kind") == "") | (F.col("b_row_kind") == ""), F.lit(True))
-    blank = (F.col("a_l") == "") != (F.col("b_l") == "")
-    goes_on = ~F.col("a_valued") & F.col("b_valued") & (F.col("a_l") != "") & (F.size(F.split("a_l", " ")) >= 2) & F.col("b_l").rlike(r"^(and|or|of|for|to|in|net|и|или|от|для|по|в|на)\b")
+    one_blank = (F.col("a_l") == "") != (F.col("b_l") == "")
     way = (
         F.when((F.col("a_l") == F.col("b_l")) & (F.col("a_l") != ""), LABEL).when(labels_match(F.col("a_tokens"), F.col("b_tokens"), F.col("a_metric_code"), F.col("b_metric_code")), SIMILAR)
-        .when(goes_on, CONTINUED).when(blank & (F.col("a_place") == F.col("b_place")), BLANK)
+        .when(F.col("a_part") & F.col("b_part"), CONTINUED).when(one_blank & (F.col("a_place") == F.col("b_place")), BLANK)
     )
-    return seen.where(kind).withColumn("way", way).where(F.col("way").isNotNull()).groupBy(*keys).agg(F.min("way").alias("way"))
+    pairs = seen.where(kind).select(*table, "row_index", "candidate_index", "candidate_row", way.alias("way")).where(F.col("way").isNotNull())
+    mine = pairs.groupBy("document_id", "candidate_index", "candidate_row").agg(F.min(F.struct("way", "row_index", "table_index")).alias("x")).select("document_id", "candidate_index", "candidate_row", "x.*")
+    its = mine.groupBy(*table, "row_index").agg(F.min(F.struct("way", "candidate_index", "candidate_row")).alias("x"))
+    return its.select(*table, "row_index", "x.*")
 
 
 def merge_engine_tables(existing: DataFrame, candidates: DataFrame, priority: dict[str, int]) -> DataFrame:
@@ -93,64 +102,66 @@ def merge_engine_tables(existing: DataFrame, candidates: DataFrame, priority: di
     A row takes one candidate row at most and gives itself to one: of its possible rows a candidate chooses the surest match, then
     the first row; of several candidates a row keeps the surest, then the first, and the others are appended.  Rows of
     the same kind match by equal labels, similar ones (labels_match), as a continuation, or with one label empty at the same place.
-    Similar and continued rows are merged, the others fused by fuse_candidates.  Context that a table lacks is filled from its
-    candidates.  Null labels count as empty; empty inputs are allowed.
+    Similar and continued rows are merged, the others fused as by fuse_candidates, where the order of two candidates, and so priority,
+    doesn't change whether they merge.  Context that a table lacks is filled from its candidates.  Null labels count as
+    empty; empty inputs are allowed.  Both inputs are read three times: write out what is costly to derive.
     """
-    existing, candidates = kept(existing, "engine-rows"), kept(candidates, "engine-rows")
-    tables = kept(match_tables(existing, candidates), "engine-tables")
-    new = candidates.withColumnsRenamed({"table_index": "candidate_index", "row_index": "candidate_row"}).hint("merge").join(tables.hint("merge"), ["document_id", "candidate_index"])
-    merging = new.where("outcome = 'merge'")
-    pairs = _row_pairs(existing, merging)
-    mine = Window.partitionBy("document_id", "candidate_index", "candidate_row").orderBy("way", "row_index")
-    its = Window.partitionBy("document_id", "table_index", "row_index").orderBy("way", "candidate_index", "candidate_row")
-    chosen = pairs.withColumn("n", F.row_number().over(mine)).where("n = 1").withColumn("n", F.row_number().over(its)).where("n = 1").drop("n")
-    chosen = kept(chosen, "engine-pairs")
-
-    key = ["document_id", "table_index", "row_index"]
+    e, c = kept(_tables(existing), "engine-tables"), kept(_tables(candidates), "engine-tables")
+    tables = kept(_matched(e, c), "engine-matches")
+    met = tables.where("outcome = 'merge'").select("document_id", "candidate_index", "table_index")
+    given = c.withColumnRenamed("table_index", "candidate_index").select("document_id", "candidate_index", *CONTEXT[:2]).hint("merge").join(met.hint("merge"), ["document_id", "candidate_index"])
+    given = given.groupBy("document_id", "table_index").agg(*[F.min(F.nullif(F.col(x), F.lit(""))).alias(f"new_{x}") for x in CONTEXT[:2]])
+    context = e.select("document_id", "table_index", *CONTEXT[:2]).hint("merge").join(given.hint("merge"), ["document_id", "table_index"], "left")
+    context = context.select("document_id", "table_index", *[F.coalesce(F.nullif(F.col(x), F.lit("")), F.col(f"new_{x}")).alias(x) for x in CONTEXT[:2]])
+    context = kept(context, "engine-context")
+
+    new = candidates.withColumnsRenamed({"table_index": "candidate_index", "row_index": "candidate_row"})
+    merging = new.select("document_id", "candidate_index", "candidate_row", "label", "current", "comparative", "metric_code", "row_kind").hint("merge").join(met.hint("merge"), ["document_id", "candidate_index"])
+    chosen = kept(_chosen_pairs(existing.select("document_id", "table_index", "row_index", "label", "current", "comparative", "metric_code", "row_kind"), merging), "engine-pairs")
+
+    # every row once, beside the one it was chosen with
     fields = ("label", "current", "comparative", "row_kind", "engine", "confidence", "statement_family", "statement_type", "period", "page_number")
-    a = existing.select(*key, F.struct(*fields).alias("a"))
-    b = merging.select("document_id", "candidate_index", "candidate_row", F.struct(*fields).alias("b"))
-    both = chosen.hint("merge").join(a.hint("merge"), key).hint("merge").join(b.hint("merge"), ["document_id", "candidate_index", "candidate_row"])
-    name = F.concat_ws("|", F.col("document_id").cast("string"), F.col("table_index").cast("string"))
-    side = lambda x: both.select(
-        name.alias("entity"), F.col("row_index").cast("string").alias("period"), F.lit("row").alias("metric_code"), F.col(f"{x}.engine").alias("engine"), F.nullif(F.trim(F.col(f"{x}.label")), F.lit("")).alias("label_text"),
-        F.nullif(F.col(f"{x}.current"), F.lit("")).alias("current_value"), F.nullif(F.coalesce(F.col(f"{x}.statement_family"), F.col(f"{x}.statement_type")), F.lit("unknown")).alias("statement_family"), F.col(f"{x}.period").alias("effective_period"),
-        F.lit(None).cast("string").alias("sign_hint"), F.col(f"{x}.page_number").alias("page"), F.col(f"{x}.row_kind").alias("row_kind"), F.col(f"{x}.confidence").alias("confidence"),
+    named = lambda *names: [F.col(n).alias(f"{n}_") for n in names]
+    own = context.select("document_id", "table_index", F.struct(*CONTEXT[:2]).alias("a_context"))
+    old = existing.select("document_id", "table_index", "row_index", F.struct(*fields).alias("a")).hint("merge").join(own.hint("merge"), ["document_id", "table_index"], "left")
+    old = old.hint("merge").join(chosen.hint("merge"), ["document_id", "table_index", "row_index"], "left")
+    target = tables.where("outcome <> 'ignore'").withColumn("at", F.coalesce("table_index", "candidate_index")).drop("table_index").hint("merge")
+    target = target.join(own.select("document_id", F.col("table_index").alias("at"), F.col("a_context").alias("b_context")).hint("merge"), ["document_id", "at"], "left")
+    new = new.select("document_id", "candidate_index", "candidate_row", F.struct(*fields).alias("b")).hint("merge").join(target.hint("merge"), ["document_id", "candidate_index"])
+    new = new.select(*named("document_id", "candidate_index", "candidate_row"), "b", "at", "outcome", F.col("reason").alias("table_reason"), "b_context")
+    same = (F.col("document_id") == F.col("document_id_")) & (F.col("candidate_index") == F.col("candidate_index_")) & (F.col("candidate_row") == F.col("candidate_row_"))
+    both = old.hint("merge").join(new.hint("merge"), same, "full")
+
+    side = lambda x: F.struct(
+        F.nullif(F.trim(F.col(f"{x}.label")), F.lit("")).alias("label_text"), F.nullif(F.col(f"{x}.current"), F.lit("")).alias("current_value"), F.nullif(F.coalesce(F.col(f"{x}.statement_family"), F.col(f"{x}.statement_type")), F.lit("unknown")).alias("statement_family"),
+        F.col(f"{x}.period").alias("effective_period"), F.lit(None).cast("string").alias("sign_hint"), F.col(f"{x}.page_number").alias("page"), F.col(f"{x}.row_kind").alias("row_kind"),
     )
-    fused = fuse_candidates(side("a").unionByName(side("b")), priority).select("entity", F.col("period").alias("row_key"), "fusion_status", "reason", F.col("warning").alias("fused_warning"))
-    rows = both.withColumns({"entity": name, "row_key": F.col("row_index").cast("string")}).hint("merge").join(fused.hint("merge"), ["entity", "row_key"])
-    rows = kept(rows, "engine-fused")
     direct = F.col("way").isin(SIMILAR, CONTINUED)
-    filled = lambda c: F.coalesce(F.nullif(F.col(f"a.{c}"), F.lit("")), F.col(f"b.{c}"))
+    pair = F.col("a").isNotNull() & F.col("b").isNotNull()
+    both = once(both, "odd", F.when(pair & ~direct, conflict_reason(side("a"), side("b"))))
+    filled = lambda x: F.coalesce(F.nullif(F.col(f"a.{x}"), F.lit("")), F.col(f"b.{x}"))
     # of two similar labels the longer stays, the first of equals
     longer = F.when(F.length(F.trim("b.label")) > F.length(F.trim("a.label")), F.trim("b.label")).otherwise(F.trim("a.label"))
     label = F.when(F.col("way") == CONTINUED, F.concat_ws(" ", F.trim("a.label"), F.trim("b.label"))).when(F.col("way") == SIMILAR, longer).otherwise(filled("label"))
     engines = F.array_join(F.array_sort(F.array_distinct(F.array("a.engine", "b.engine"))), ",")
     ocr = F.col("a.engine").contains("ocr") & F.col("b.engine").contains("ocr")
-    status = F.when(direct, "merged_engines").otherwise(F.col("fusion_status"))
-    rows = rows.withColumns({"status": status, "kept": status == "conflict_retained_as_evidence"})
-    merged = rows.where(~F.col("kept")).select(
-        *key, F.lit("merged").alias("origin"), label.alias("label"), filled("current").alias("current"), filled("comparative").alias("comparative"), filled("row_kind").alias("row_kind"), engines.alias("engines"), F.col("status").alias("fusion_status"),
-        F.when(F.col("way") == SIMILAR, "semantic_row_identity_merge").when(F.col("way") == CONTINUED, "continuation_row_merge").otherwise("fused_row").alias("mode"), F.lit(None).cast("string").alias("reason"), F.when(ocr, "ocr_only_lower_trust").alias("warning"),
+    none = F.lit(None).cast("string")
+
+    def row(at, index, origin, values, engines, status, mode, reason, warning, context):
+        shown = {"table_index": at, "row_index": index, "origin": origin, **values, "engines": engines, "fusion_status": status, "mode": mode, "reason": reason, "warning": warning, **{x: F.col(f"{context}.{x}") for x in CONTEXT[:2]}}
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in shown.items()])
+
+    shown = ("label", "current", "comparative", "row_kind")
+    as_was = lambda x: {f: F.col(f"{x}.{f}") for f in shown}
+    merged = row(
+        F.col("table_index"), F.col("row_index"), "merged", {"label": label, **{f: filled(f) for f in shown[1:]}}, engines, "merged_engines",
+        F.when(F.col("way") == SIMILAR, "semantic_row_identity_merge").when(F.col("way") == CONTINUED, "continuation_row_merge").otherwise("fused_row"), none, F.when(ocr, "ocr_only_lower_trust"), "a_context",
     )
-    odd = rows.where("kept").select("document_id", "candidate_index", "candidate_row", F.col("reason").alias("row_reason"), engines.alias("both_engines"))
-    used = rows.where(~F.col("kept")).select("document_id", "candidate_index", "candidate_row")
-    rest = new.where("outcome <> 'ignore'").hint("merge").join(used.hint("merge"), ["document_id", "candidate_index", "candidate_row"], "left_anti")
-    rest = rest.hint("merge").join(odd.hint("merge"), ["document_id", "candidate_index", "candidate_row"], "left")
-    apart = (F.col("outcome") == "conflict") | F.col("row_reason").isNotNull()
-    others = rest.select(
-        "document_id", F.coalesce("table_index", "candidate_index").alias("table_index"), F.col("candidate_row").alias("row_index"), F.when(F.col("outcome") == "add", "added").when(apart, "evidence").otherwise("appended").alias("origin"), "label", "current",
-        "comparative", "row_kind", F.coalesce("both_engines", "engine").alias("engines"), F.when(apart, "conflict_retained_as_evidence").otherwise("single_engine").alias("fusion_status"), F.lit(None).cast("string").alias("mode"),
-        F.coalesce("row_reason", "reason").alias("reason"), F.when(F.col("outcome") == "conflict", "table_context_conflict_retained_as_evidence").alias("warning"),
+    existed = row(F.col("table_index"), F.col("row_index"), "existing", as_was("a"), F.col("a.engine"), "single_engine", none, none, none, "a_context")
+    apart = (F.col("outcome") == "conflict") | F.col("odd").isNotNull()
+    beside = row(
+        F.col("at"), F.col("candidate_row_"), F.when(F.col("outcome") == "add", "added").when(apart, "evidence").otherwise("appended"), as_was("b"), F.when(F.col("odd").isNotNull(), engines).otherwise(F.col("b.engine")),
+        F.when(apart, "conflict_retained_as_evidence").otherwise("single_engine"), none, F.coalesce("odd", "table_reason"), F.when(F.col("outcome") == "conflict", "table_context_conflict_retained_as_evidence"), "b_context",
     )
-    same = existing.hint("merge").join(merged.select(*key).hint("merge"), key, "left_anti").select(
-        *key, F.lit("existing").alias("origin"), "label", "current", "comparative", "row_kind", F.col("engine").alias("engines"), F.lit("single_engine").alias("fusion_status"), *[F.lit(None).cast("string").alias(c) for c in ("mode", "reason", "warning")]
-    )
-    own = _tables(existing).select("document_id", "table_index", *[F.col(c).alias(f"own_{c}") for c in CONTEXT[:2]])
-    met = tables.where("outcome = 'merge'").select("document_id", "candidate_index", "table_index")
-    given = _tables(candidates).withColumnRenamed("table_index", "candidate_index").hint("merge").join(met.hint("merge"), ["document_id", "candidate_index"])
-    given = given.groupBy("document_id", "table_index").agg(*[F.min(F.nullif(F.col(c), F.lit(""))).alias(f"new_{c}") for c in CONTEXT[:2]])
-    context = own.hint("merge").join(given.hint("merge"), ["document_id", "table_index"], "left")
-    context = context.select("document_id", "table_index", *[F.coalesce(F.nullif(F.col(f"own_{c}"), F.lit("")), F.col(f"new_{c}")).alias(c) for c in CONTEXT[:2]])
-    out = same.unionByName(merged).unionByName(others)
-    return out.hint("merge").join(context.hint("merge"), ["document_id", "table_index"], "left")
+    rows = F.when(pair & F.col("odd").isNull(), F.array(merged)).when(pair, F.array(existed, beside)).when(F.col("a").isNotNull(), F.array(existed)).otherwise(F.array(beside))
+    return both.select(F.coalesce("document_id", "document_id_").alias("document_id"), F.inline(rows))

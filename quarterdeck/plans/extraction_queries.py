@@ -12,6 +12,7 @@ from ..operators.statements import download_acceptance
 from ..operators.text_rows import split_merged_rows, text_line_facts
 from ..operators.validation import MARKERS, STATEMENTS_RU, document_markers
 from ..sources import fixtures as S
+from ..storage import kept
 from .queries import query
 
 # ---- grids ----
@@ -271,11 +272,12 @@ def f14_merge_engine_tables(spark, sf_dir):
     """One table an order from a native engine, and again from another: equal rows, changed values, plural labels, other rows and
     rows without labels; tables of an unknown statement, on other pages and of another period."""
     orders = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("document_id"))
-    lines = S.table(spark, sf_dir, "lineitem").hint("merge").join(orders.hint("merge"), "l_orderkey")
     place = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)")
+    lines = S.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", place.alias("row_index")).hint("merge").join(orders.hint("merge"), "l_orderkey")
     k, none = F.col("l_orderkey"), F.lit(None).cast("string")
-    rows = lines.select("document_id", k.alias("table_index"), place.alias("row_index"), F.floor("l_extendedprice").cast("string").alias("current"), F.floor(F.col("l_extendedprice") / 2).cast("string").alias("half"))
+    rows = lines.select("document_id", k.alias("table_index"), "row_index", F.floor("l_extendedprice").cast("string").alias("current"), F.floor(F.col("l_extendedprice") / 2).cast("string").alias("half"))
     rows = rows.withColumn("label", F.concat(F.lit("r"), F.col("table_index").cast("string"), F.lit("n"), F.col("row_index").cast("string")))
+    rows = kept(rows, "engine-lines")
     t, s = F.col("table_index"), F.col("row_index") % 5
     same = {"statement_family": none, "table_role": F.lit("primary_statement"), "row_kind": F.lit("statement_line_item"), "metric_code": none, "comparative_period": none, "currency": none}
     old = rows.withColumns(same | {"page_number": t, "statement_type": F.lit("income_statement"), "period": F.lit("2021Q4"), "engine": F.lit("native"), "comparative": none, "confidence": F.lit(0.9), "unit": F.when(t % 3 == 0, "million")}).drop("half")

@@ -78,3 +78,21 @@ def test_mentions_need_no_array_of_a_texts_words(spark):
     found = document_markers(docs.union(docs.limit(0)), ("a.b",))
     assert "array_distinct(split(" not in plan(found)
     assert found.first()["detected_role"] == "annual_report"
+
+
+def test_engine_rows_meet_in_one_join(spark, monkeypatch):
+    from quarterdeck.operators import engines
+
+    written = {}
+    write = engines.kept
+    monkeypatch.setattr(engines, "kept", lambda df, name: written.setdefault(name, []).append(plan(df)) or write(df, name))
+    columns = "'d' document_id, 0 table_index, 1 page_number, 'income_statement' statement_type, cast(null as string) statement_family, 'primary_statement' table_role, '2021Q4' period, cast(null as string) comparative_period, cast(null as string) unit, cast(null as string) currency"
+    row = lambda engine, k, label, current, metric="null": spark.sql(f"select {columns}, '{engine}' engine, {k} row_index, 'statement_line_item' row_kind, cast({metric} as string) metric_code, {label} label, {current} current, cast(null as string) comparative, 0.9D confidence")
+    old = row("native", 0, "'Deferred tax'", "cast(null as string)").union(row("native", 1, "''", "'7'")).union(row("native", 2, "'2021'", "'5'")).union(row("native", 3, "'Sales'", "'1'", "'revenue'")).union(row("native", 4, "'Other'", "'3'"))
+    new = row("ocr", 0, "'of the group'", "'9'").union(row("ocr", 1, "'Interest'", "'7'")).union(row("ocr", 2, "'2021'", "'5'")).union(row("ocr", 3, "'Turnover'", "'1'", "'revenue'")).union(row("ocr", 4, "'Rent'", "'3'"))
+    got = engines.merge_engine_tables(old, new, {})
+    assert written["engine-pairs"][0].count("Join ") <= 2  # six when each way to meet joined the rows again
+    assert plan(got).count("left_anti") + plan(got).count("LeftAnti") == 0  # every row is read once, not again by what is left of it
+    shown = sorted((r["row_index"], r["origin"], r["label"], r["mode"]) for r in got.collect() if r["origin"] != "appended")
+    assert shown == [(0, "merged", "Deferred tax of the group", "continuation_row_merge"), (1, "merged", "Interest", "fused_row"), (2, "merged", "2021", "fused_row"), (3, "merged", "Turnover", "semantic_row_identity_merge"), (4, "existing", "Other", None)]
+    assert [(r["row_index"], r["label"]) for r in got.collect() if r["origin"] == "appended"] == [(4, "Rent")]
