@@ -29,7 +29,8 @@ def parse_number(raw: Column) -> Column:
         n = F.trim(F.regexp_replace(F.btrim(s, F.lit("()")), r"[^0-9,.\-\s]", ""))
         return F.when(s.rlike("[0-9]"), bound(n, number)) * F.when(s.startswith("(") & s.endswith(")"), -1.0).otherwise(1.0)
 
-    return bound(F.trim(F.translate(raw, "\u2013\u2014\u2212\u00a0", "--- ")), signed)
+    plain = F.when(raw.rlike(r"^[0-9 ]*[0-9][0-9 ]*$"), F.replace(raw, F.lit(" "), F.lit("")).try_cast("double"))  # most cells of a report
+    return plain.when(raw.rlike("[0-9]"), bound(F.trim(F.translate(raw, "\u2013\u2014\u2212\u00a0", "--- ")), signed))
 
 
 def contains_any(text: Column, words) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binding import bound, once
+from ..functions.binding import bound, computed, once
 from ..functions.numbers import contains_any, parse_number
 from ..functions.text import matching_text
 
@@ -131,12 +133,22 @@ def _row_gate(t: Column, kind: Column, metric: Column, statement: Column, issuer
     return F.when(metric.isNull(), no("metric_not_mapped")).when(statement == "balance_sheet", balance).when(statement == "income_statement", income).when(statement == "cash_flow", flow).when(statement == "changes_in_equity", equity).otherwise(no("statement_family_ambiguous"))
 
 
+def read_cells(cells: Column) -> Column:
+    """cells, an array of (key, raw) in the order of the columns, with their numbers."""
+    return F.transform(cells, lambda c: F.struct(c["key"].alias("key"), c["raw"].alias("raw"), parse_number(c["raw"]).alias("number")))
+
+
 def current_value(cells: Column, period: Column, statement: Column) -> Column:
-    """(raw, key, reason): the cell of the current period.  cells: array of (key, raw) in the order of the columns.
+    """(raw, key, number, reason): the cell of the current period.  cells: array of (key, raw) in the order of the columns.
 
     Numeric cells count, and one or two bare digits (a note reference) only if there is nothing else.  The column named
     as the period, else the one whose header speaks of it, else the only one; several are ambiguous.
     """
+    return picked_value(read_cells(cells), period, statement)
+
+
+def picked_value(cells: Column, period: Column, statement: Column) -> Column:
+    """current_value of cells that read_cells has read."""
     year, quarter = F.substring(period, 1, 4), F.substring(period, 6, 1)
     words = {"1": ("march", "марта", "3 months", "three months", "3 мес"), "2": ("june", "июня", "6 months", "six months", "6 мес"), "3": ("september", "сентября", "9 months", "nine months", "9 мес"), "4": ("31 december", "31 декабря", "fy", "year", "год")}
 
@@ -146,26 +158,26 @@ def current_value(cells: Column, period: Column, statement: Column) -> Column:
             said = said | ((quarter == q) & contains_any(h, markers))
         return h.contains(year) & (said | (h == year) | (statement == "balance_sheet"))
 
-    def read(c):  # a column's cell, and whether its header is the period or speaks of it
-        return bound(matching_text(c["key"]), lambda h: F.struct(c["key"].alias("key"), c["raw"].alias("raw"), (F.replace(h, F.lit(" "), F.lit("")) == F.lower(period)).alias("named"), speaks(h).alias("near")))
+    def read(c):  # a column's cell, its header and whether that is the period
+        return bound(matching_text(c["key"]), lambda h: F.struct(c["key"].alias("key"), c["raw"].alias("raw"), c["number"].alias("number"), (F.replace(h, F.lit(" "), F.lit("")) == F.lower(period)).alias("named"), h.alias("header")))
 
-    take = lambda c: F.struct(c["raw"].alias("raw"), c["key"].alias("key"), F.lit(None).cast("string").alias("reason"))
-    none = lambda why: F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("key"), F.lit(why).alias("reason"))
+    take = lambda c: F.struct(c["raw"].alias("raw"), c["key"].alias("key"), c["number"].alias("number"), F.lit(None).cast("string").alias("reason"))
+    none = lambda why: F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("number"), F.lit(why).alias("reason"))
     first = lambda found: take(F.get(found, F.lit(0)))
 
-    def chosen(cells, named, near):
-        return (
-            F.when(F.size(cells) == 0, none("numeric_value_not_detected")).when(F.size(named) == 1, first(named)).when(F.size(named) > 1, none("ambiguous_period_column"))
-            .when(F.size(near) == 1, first(near)).when(F.size(near) > 1, none("ambiguous_period_column")).when(F.size(cells) == 1, first(cells)).otherwise(none("ambiguous_period_column"))
-        )
+    def sole(near):
+        return F.when(F.size(near) == 1, first(near)).otherwise(none("ambiguous_period_column"))
+
+    def among(cells):  # of two or more: headers that speak of the period matter only if none is the period
+        return bound(F.filter(cells, lambda c: c["named"]), lambda named: F.when(F.size(named) == 1, first(named)).when(F.size(named) > 1, none("ambiguous_period_column")).otherwise(bound(F.filter(cells, lambda c: speaks(c["header"])), sole)))
 
-    def among(cells):
-        return bound(F.filter(cells, lambda c: c["named"]), lambda named: bound(F.filter(cells, lambda c: c["near"]), lambda near: chosen(cells, named, near)))
+    def chosen(cells):
+        return F.when(F.size(cells) == 0, none("numeric_value_not_detected")).when(F.size(cells) == 1, first(cells)).otherwise(bound(F.transform(cells, read), among))
 
-    numeric = F.filter(cells, lambda c: parse_number(c["raw"]).isNotNull())
+    numeric = F.filter(cells, lambda c: c["number"].isNotNull())
     money = lambda numeric: F.filter(numeric, lambda c: ~F.trim(c["raw"]).rlike(r"^\d{1,2}$"))
     counted = bound(numeric, lambda numeric: bound(money(numeric), lambda money: F.when(F.size(money) > 0, money).otherwise(numeric)))
-    return bound(F.transform(counted, read), among)
+    return bound(counted, chosen)
 
 
 def promotion_reason(statement: Column, label: Column, has_values: Column, document: Column, page: Column, label_conf: Column, owner_conf: Column, period_conf: Column) -> Column:
@@ -176,21 +188,23 @@ def promotion_reason(statement: Column, label: Column, has_values: Column, docum
     )
 
 
-def parse_statement_rows(rows: DataFrame, metric: Column) -> DataFrame:
+def parse_statement_rows(rows: DataFrame, metric: Column | Callable[[Column], Column]) -> DataFrame:
     """rows with kind, metric_code, raw_value, value, outcome (fact, rejected, evidence) and reason, without a shuffle.
 
     rows: document_id, row_index, statement_type, label, cells, note_ref, period, page_number, unit_multiplier,
     issuer_class, label_confidence, ownership_confidence, period_confidence.  Numbers of rows that no metric claims are
-    evidence; rows without numbers and without a metric are rejected.
+    evidence; rows without numbers and without a metric are rejected.  metric: a column, or what gives it from the
+    label's normal form (match_normal), which is cheaper.
     """
-    has = F.exists("cells", lambda c: parse_number(c["raw"]).isNotNull())
-    out = once(rows, "found", F.struct(has.alias("has_values"), metric.alias("known"))).select("*", "found.*")
-    out = once(out, "kind", row_kind(F.col("label"), F.col("has_values"), F.col("note_ref").isNotNull(), F.col("statement_type")))
-    out = once(out, "gate", row_gate(F.col("label"), F.col("kind"), F.col("known"), F.col("statement_type"), F.col("issuer_class")))
+    out = once(computed(rows, "numbers", read_cells(F.col("cells"))), "plain", matching_text(F.col("label")))
+    out = computed(out, "known", metric if isinstance(metric, Column) else metric(F.col("plain")))
+    out = computed(out, "has_values", F.exists("numbers", lambda c: c["number"].isNotNull()))
+    out = once(out, "kind", _row_kind(F.col("plain"), F.col("label"), F.col("has_values"), F.col("note_ref").isNotNull(), F.col("statement_type")))
+    out = once(out, "gate", _row_gate(F.col("plain"), F.col("kind"), F.col("known"), F.col("statement_type"), F.col("issuer_class")))
     promoted = promotion_reason(F.col("statement_type"), F.col("label"), F.col("has_values"), F.col("document_id"), F.col("page_number"), F.col("label_confidence"), F.col("ownership_confidence"), F.col("period_confidence"))
-    out = once(out.withColumn("promoted", promoted), "picked", current_value(F.col("cells"), F.col("period"), F.col("statement_type")))
+    out = computed(out.withColumn("promoted", promoted), "picked", picked_value(F.col("numbers"), F.col("period"), F.col("statement_type")))
     reason = F.coalesce("gate.reason", "promoted", "picked.reason")
-    value = parse_number(F.col("picked.raw")) * F.col("unit_multiplier")
+    value = F.col("picked.number") * F.col("unit_multiplier")
     return once(out, "value", F.when(reason.isNull(), value)).select(
         "document_id", "row_index", "statement_type", "period", "kind", F.when(reason.isNull(), F.col("gate.metric")).alias("metric_code"), F.when(reason.isNull(), F.col("picked.raw")).alias("raw_value"), "value",
         F.when(reason.isNull(), "fact").when((F.col("gate.reason") == "metric_not_mapped") & F.col("has_values"), "evidence").otherwise("rejected").alias("outcome"), reason.alias("reason"),

@@ -96,3 +96,20 @@ def test_engine_rows_meet_in_one_join(spark, monkeypatch):
     shown = sorted((r["row_index"], r["origin"], r["label"], r["mode"]) for r in got.collect() if r["origin"] != "appended")
     assert shown == [(0, "merged", "Deferred tax of the group", "continuation_row_merge"), (1, "merged", "Interest", "fused_row"), (2, "merged", "2021", "fused_row"), (3, "merged", "Turnover", "semantic_row_identity_merge"), (4, "existing", "Other", None)]
     assert [(r["row_index"], r["label"]) for r in got.collect() if r["origin"] == "appended"] == [(4, "Rent")]
+
+
+def test_statement_rows_read_each_number_once(spark):
+    from quarterdeck.functions.text import match_normal
+
+    cell = lambda k, v: F.struct(F.lit(k).alias("key"), F.lit(v).cast("string").alias("raw"))
+    cases = {0: [("note", "7"), ("amount", "(1,5)")], 1: [("2021Q4", "1 200"), ("2021 year", "5 000")], 2: [("a", "12"), ("b", "34")], 3: [("x", "n/a"), ("y", None)], 4: [("31 December 2021", "900"), ("31 December 2020", "800")], 5: [("2021q4", "100"), ("2021 Q4", "200")]}
+    cells = F.coalesce(*[F.when(F.col("id") == n, F.array(*[cell(k, v) for k, v in row])) for n, row in cases.items()])
+    base = statement_rows(spark)
+    rows = spark.range(7).select(*[cells.alias("cells") if c == "cells" else F.col("id").alias(c) if c in ("document_id", "row_index") else F.lit(base.first()[c]).cast(base.schema[c].dataType).alias(c) for c in base.columns])
+    found = R.parse_statement_rows(rows, lambda plain: match_normal(plain, [("total assets", "total_assets"), ("assets", "other")]))
+    assert plan(found).count("[^0-9,.\\-\\s]") == 1  # three when the number of a cell was read for each use
+    assert "array_max" not in plan(found)
+    got = {r["row_index"]: (r["value"], r["raw_value"], r["reason"], r["metric_code"]) for r in found.collect()}
+    ambiguous = (None, None, "ambiguous_period_column", None)  # two notes, two columns of the period
+    assert {n: got[n] for n in (0, 1, 2, 4, 5)} == {0: (-1500.0, "(1,5)", None, "total_assets"), 1: (1_200_000.0, "1 200", None, "total_assets"), 2: ambiguous, 4: (900_000.0, "900", None, "total_assets"), 5: ambiguous}
+    assert got[3][0] is None and got[3][2] is not None
