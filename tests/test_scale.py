@@ -113,3 +113,16 @@ def test_statement_rows_read_each_number_once(spark):
     ambiguous = (None, None, "ambiguous_period_column", None)  # two notes, two columns of the period
     assert {n: got[n] for n in (0, 1, 2, 4, 5)} == {0: (-1500.0, "(1,5)", None, "total_assets"), 1: (1_200_000.0, "1 200", None, "total_assets"), 2: ambiguous, 4: (900_000.0, "900", None, "total_assets"), 5: ambiguous}
     assert got[3][0] is None and got[3][2] is not None
+
+
+def test_readiness_and_labels_need_no_arrays(spark):
+    from quarterdeck.functions.text import matching_text
+
+    facts = R.parse_statement_rows(statement_rows(spark), match_label(F.col("label"), [("assets", "other"), ("total assets", "total_assets")]))
+    ready = R.analysis_readiness(facts, ["total_assets", "revenue"])
+    assert plan(ready).count("[^0-9,.\\-\\s]") == 1 and "array_max" not in plan(ready)
+    assert [(r["facts"], r["missing"]) for r in ready.collect()] == [(1, "revenue")] * 3
+    labels = {"Total  Assets": "b", "net total assets": "b", "assets": "a", "x assets": "a", "Ёлка—2": "c", "": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in labels], "label string").select("label", match_label(F.col("label"), [("assets", "a"), ("total assets", "b"), ("елка 2", "c"), ("елка", "d")]).alias("m"), matching_text(F.col("label")).alias("t"))
+    assert {r["label"]: r["m"] for r in rows.collect()} == labels
+    assert plan(rows).count("regexp_replace") == 2  # one pass a normal form; it was two
