@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import once
+
 _FLOW, _BALANCE = ("ytd", "annual", "balance_sheet_snapshot"), ("balance_sheet_snapshot",)
 
 # Fixed values: (concept, contexts, label patterns, excluded patterns, period types); the first that fits counts.
@@ -58,9 +62,20 @@ CHECKS = ("label_match", "statement_context_allowed", "period_type_allowed", "un
 
 
 def _any(patterns) -> str:
+    """One pattern for any of patterns.  Where all start at the label's start it does too, so that it's tried there only."""
+    if all(p.startswith("^") and "|" not in p for p in patterns):
+        return f"^(?:{'|'.join(p[1:] for p in patterns)})"
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def _fits(label: Column, patterns) -> Column:
+    """Whether a label fits any of patterns; whole labels without a special sign are compared, not searched."""
+    whole = [p[1:-1] for p in patterns if re.fullmatch(r"\^[\w ,-]+\$", p)]
+    rest = [p for p in patterns if not re.fullmatch(r"\^[\w ,-]+\$", p)]
+    tests = [label.isin(*whole)] * bool(whole) + [label.rlike(_any(rest))] * bool(rest)
+    return tests[0] | tests[1] if len(tests) == 2 else tests[0] if tests else F.lit(False)
+
+
 def score_concepts(rows: DataFrame, concepts=CONCEPTS, issuers=ISSUERS) -> DataFrame:
     """rows with concept_code, confidence, is_strong, reason, checks (struct of six booleans) and issuer_rules.
 
@@ -75,13 +90,13 @@ def score_concepts(rows: DataFrame, concepts=CONCEPTS, issuers=ISSUERS) -> DataF
     for name, (_, _, contexts) in issuers.items():
         for alias, of in contexts.items():
             context = F.when((ticker == name) & (F.col("statement_context") == alias), of).otherwise(context)
-    bound = rows.withColumns({"\x01label": label, "\x01ticker": ticker, "\x01context": context})
+    bound = once(rows.withColumns({"\x01ticker": ticker, "\x01context": context}), "\x01label", label)
 
     def fits(patterns, at: int, code: str) -> Column:
-        test = F.col("\x01label").rlike(_any(patterns)) if patterns else F.lit(False)
+        test = _fits(F.col("\x01label"), patterns)
         for name, issuer in issuers.items():
             more = issuer[at].get(code)
-            test = test | ((F.col("\x01ticker") == name) & F.col("\x01label").rlike(_any(more))) if more else test
+            test = test | ((F.col("\x01ticker") == name) & _fits(F.col("\x01label"), more)) if more else test
         return test
 
     found = None
@@ -89,7 +104,7 @@ def score_concepts(rows: DataFrame, concepts=CONCEPTS, issuers=ISSUERS) -> DataF
         said = F.struct(F.lit(code).alias("code"), fits(excluded, 1, code).alias("excluded"), F.col("\x01context").isin(*contexts).alias("context"), F.col("period_type").isin(*periods).alias("period"))
         found = F.when(fits(patterns, 0, code), said) if found is None else found.when(fits(patterns, 0, code), said)
     sure = lambda c: F.coalesce(c, F.lit(False))
-    out = bound.withColumn("\x01c", found)
+    out = once(bound, "\x01c", found)
     tests = [F.col("\x01c").isNotNull(), F.col("\x01c.context"), F.col("\x01c.period"), F.col("unit_detected"), F.col("currency_detected"), F.col("source_location_exists")]
     out = out.withColumn("checks", F.struct(*[sure(t).alias(n) for t, n in zip(tests, CHECKS, strict=True)]))
     failed = F.coalesce(*[F.when(~F.col(f"checks.{n}"), n) for n in CHECKS])

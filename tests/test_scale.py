@@ -126,3 +126,17 @@ def test_readiness_and_labels_need_no_arrays(spark):
     rows = spark.createDataFrame([(k,) for k in labels], "label string").select("label", match_label(F.col("label"), [("assets", "a"), ("total assets", "b"), ("елка 2", "c"), ("елка", "d")]).alias("m"), matching_text(F.col("label")).alias("t"))
     assert {r["label"]: r["m"] for r in rows.collect()} == labels
     assert plan(rows).count("regexp_replace") == 2  # one pass a normal form; it was two
+
+
+def test_concept_patterns_are_tried_at_the_start_only(spark):
+    import re
+
+    from quarterdeck.operators.concepts import CONCEPTS, ISSUERS, _any, score_concepts
+
+    own = [patterns for _, _, patterns, _, _ in CONCEPTS] + [patterns for issuer in ISSUERS.values() for patterns in issuer[0].values()]
+    assert all(_any(patterns).startswith("^(?:") for patterns in own)  # each alternative was tried at every place of a label
+    labels = ["revenue", "total revenue", "sales (including excise and export tariffs), net", "profit for the year attributable", "net sales", "чистые процентные доходы", "ebitda x", ""]
+    for patterns in [*own, ("^a$|b", "^c"), ("x", "^y"), ("attributable to", "comprehensive")]:
+        assert [bool(re.search(_any(patterns), label)) for label in labels] == [any(re.search(p, label) for p in patterns) for label in labels]
+    rows = spark.createDataFrame([("Total Revenue",), ("revenues",)], "raw_label string").selectExpr("raw_label", "'profit_or_loss' statement_context", "'annual' period_type", "true unit_detected", "true currency_detected", "true source_location_exists", "'' ticker")
+    assert {r["raw_label"]: r["concept_code"] for r in score_concepts(rows).collect()} == {"Total Revenue": None, "revenues": "revenue"}
