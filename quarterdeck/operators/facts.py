@@ -407,13 +407,19 @@ def dedupe_documents(docs: DataFrame) -> DataFrame:
 
     With columns period and url, rows of one (period, url) collapse too, onto the first of them.
     """
+    rows = docs.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
+    first = F.coalesce("first_id", "doc_id")
     if {"period", "url"} <= set(docs.columns):
-        docs = docs.join(docs.groupBy("period", "url").agg(F.min("doc_id").alias("link_id")).where(F.col("url").isNotNull() & F.col("period").isNotNull()).hint("merge"), ["period", "url"], "left")
+        rows = rows.select("doc_id", "content_hash", "period", "url")  # no join carries texts
+        linked = F.col("url").isNotNull() & F.col("period").isNotNull()
+        links = rows.where(linked).groupBy("period", "url").agg(F.min("doc_id").alias("link_id"))
+        alone = rows.where(~linked).select("doc_id", "content_hash", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("link_id"))  # of one key, they'd meet in one task
+        rows = rows.where(linked).hint("merge").join(links.hint("merge"), ["period", "url"]).select("doc_id", "content_hash", "link_id").unionByName(alone)
+        first = F.least(first, "link_id")
     else:
-        docs = docs.withColumn("link_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
-    rows = docs.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
+        rows = rows.select("doc_id", "content_hash")
     firsts = rows.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("doc_id").alias("first_id"))
-    return rows.join(firsts, "content_hash", "left").select("doc_id", "content_hash", F.least(F.coalesce("first_id", "doc_id"), "link_id").alias("first_id"), (F.least(F.coalesce("first_id", "doc_id"), "link_id") != F.col("doc_id")).alias("is_duplicate"))
+    return rows.hint("merge").join(firsts.hint("merge"), "content_hash", "left").select("doc_id", "content_hash", first.alias("first_id"), (first != F.col("doc_id")).alias("is_duplicate"))
 
 
 def resolve_document_periods(facts: DataFrame, forced: DataFrame | None = None) -> DataFrame:

@@ -140,3 +140,14 @@ def test_concept_patterns_are_tried_at_the_start_only(spark):
         assert [bool(re.search(_any(patterns), label)) for label in labels] == [any(re.search(p, label) for p in patterns) for label in labels]
     rows = spark.createDataFrame([("Total Revenue",), ("revenues",)], "raw_label string").selectExpr("raw_label", "'profit_or_loss' statement_context", "'annual' period_type", "true unit_detected", "true currency_detected", "true source_location_exists", "'' ticker")
     assert {r["raw_label"]: r["concept_code"] for r in score_concepts(rows).collect()} == {"Total Revenue": None, "revenues": "revenue"}
+
+
+def test_duplicates_are_found_without_carrying_texts(spark):
+    from quarterdeck.operators.facts import dedupe_documents
+
+    rows = [(1, "a", "p", "u"), (2, "b", "p", "u"), (3, "a", "p", None), (4, None, "p", None), (5, None, None, "u"), (6, "c", "p", None), (7, "c", "q", "u")]
+    found = dedupe_documents(spark.createDataFrame(rows, "doc_id int, text string, period string, url string"))
+    assert {r["doc_id"]: (r["first_id"], r["is_duplicate"]) for r in found.collect()} == {1: (1, False), 2: (1, True), 3: (1, True), 4: (4, False), 5: (5, False), 6: (6, False), 7: (6, True)}
+    lines = plan(found).split("\n")
+    fed = [lines[n + 1] for n, line in enumerate(lines) if "Join " in line]
+    assert fed and all(any(w in line for w in ("Project", "Union", "Aggregate")) for line in fed)  # whole rows, with their texts, were joined
