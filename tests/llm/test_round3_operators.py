@@ -242,3 +242,34 @@ def test_op13_oracle(spark):
     duck = duckdb.connect()
     duck.sql(f"create view documents as from '{data}/documents.parquet'")
     assert {tuple(r) for r in op13_collocations(spark, data).collect()} == set(duck.sql(ORACLES["op13_collocations"]).fetchall())
+
+
+def test_context_tree_holds_only_what_training_saw():
+    """Its tables grow with the cells, not with 256 bytes a state; unseen bytes and contexts still score as the whole table says."""
+    import pickle
+
+    import numpy as np
+
+    from quarterdeck.llm.lm_scoring import END, build_tree, grams, stream
+
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(2, 9, 60)]
+    text = b" ".join(words[k] for k in rng.integers(0, 60, 4000))
+    x, starts = stream(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 3)
+    g, n = grams(x, starts, np.array([len(text)]), 3)
+    level = np.arange(4).repeat(len(g))
+    code, n = np.tile(g.astype(np.int64), 4), np.tile(n, 4)
+    keys = (level << 48) | ((code >> 8) & ((1 << 8 * level) - 1))
+    known = np.unique(keys)
+    tree = build_tree(known, keys, code & 255, n, 3)
+    assert len(pickle.dumps(tree, 5)) < 600 * len(known)  # 2,048 bytes a state when each had a row of all bytes
+    table, state = tree.log10.reshape(len(known), 256), 0
+    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-4)
+    other = stream(np.frombuffer("Zażółć, 0 ".encode() + text[:300] + b"\x00~" * 4, np.uint8), np.array([0, 20, 20, 300]), 3)[0]
+    got = tree.lines(other[3:])
+    past = [END] * 3
+    for value, byte in zip(got.tolist(), other[3:].tolist()):
+        context = [(d << 48) | int.from_bytes(bytes(past[3 - d :])) for d in range(4)]
+        state = max(int(i) for k in context if (i := np.searchsorted(known, k)) < len(known) and known[i] == k)
+        assert abs(value - table[state, byte]) < 1e-5
+        past = [*past[1:], byte]
