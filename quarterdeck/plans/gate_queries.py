@@ -43,7 +43,7 @@ def m22_metric_quality(spark, sf_dir):
 )
 def m23_readiness_scopes(spark, sf_dir):
     """Brands' candles as those of the entity of the same number; peers are entities of a sector with a valid cash margin in the same quarter."""
-    market = S.candles(spark, sf_dir).groupBy(F.concat(F.lit("N"), F.substring("ticker", 7, 9)).alias("entity")).agg(F.count(F.lit(1)).alias("candles"))
+    market = S.candle_days(spark, sf_dir).groupBy(F.concat(F.lit("N"), F.substring("ticker", 7, 9)).alias("entity")).agg(F.sum("days").alias("candles"))
     valid = _audited(spark, sf_dir).where("status = 'valid' and metric_code = 'fcf_margin'").select("entity", "period")
     mates = valid.hint("merge").join(S.registry(spark, sf_dir).select("entity", "sector").hint("merge"), "entity")
     shared = mates.groupBy("sector", "period").agg(F.collect_set("entity").alias("all")).where(F.size("all") > 1)

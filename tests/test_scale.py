@@ -151,3 +151,40 @@ def test_duplicates_are_found_without_carrying_texts(spark):
     lines = plan(found).split("\n")
     fed = [lines[n + 1] for n, line in enumerate(lines) if "Join " in line]
     assert fed and all(any(w in line for w in ("Project", "Union", "Aggregate")) for line in fed)  # whole rows, with their texts, were joined
+
+
+def test_facts_shuffle_lines_once_and_sum_them_by_kind(spark, tmp_path):
+    from datetime import datetime
+
+    from quarterdeck.sources import fixtures
+
+    line = "l_orderkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    lines = [(1, 2.0, 100.0, 0.1, 0.05, "R"), (1, 1.0, 50.5, 0.02, 0.01, "A"), (2, 3.0, 70.0, None, 0.05, "N"), (2, 4.0, 80.0, 0.05, None, "A"), (3, 5.0, 9.99, 0.1, 0.08, None), (4, None, None, 0.1, 0.1, "A"), (9, 1.0, 1.0, 0.0, 0.0, "A")]
+    tables = {
+        "lineitem": (lines, line), "customer": ([(1, 4), (2, 4), (3, None)], "c_custkey long, c_nationkey long"),
+        "orders": ([(1, 1, "O", datetime(1996, 1, 5)), (2, 2, "F", datetime(1996, 2, 5)), (3, 2, None, datetime(1996, 3, 5)), (4, 1, "O", datetime(1997, 1, 5)), (5, 7, "O", datetime(1997, 1, 5))], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = fixtures._facts(spark, str(tmp_path))
+    got = {(r["period"], r["metric_code"]): round(r["value"], 4) for r in found.collect()}
+    net = 90.0 + 50.5 * 0.98 + 80.0 * 0.95 + 9.99 * 0.9  # without the line that has no discount
+    taxed = 100 * 0.05 + 50.5 * 0.01 + 70 * 0.05 + 9.99 * 0.08
+    want = {
+        "revenue": net, "operating_profit": 50.5 * 0.98 + 76.0 - taxed, "net_income": net - (15.0 + 50.5 * 0.03 + 9.99 * 0.18) - 100, "ebitda": 50.5 * 0.98 + 76.0, "operating_cash_flow": 15000.0, "capex": taxed,
+        "current_assets": 130.5, "current_liabilities": 70.0, "total_assets": 310.49, "total_debt": 150.5, "total_equity": 150.0, "cash_and_equivalents": 10 + 1.01 + 4 + 0.999,
+    }
+    assert {k[1]: v for k, v in got.items() if k[0] == "1996Q1"} == {k: round(v, 4) for k, v in want.items()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "1997Q1"} == {"current_liabilities": 0.0, "total_equity": 0.0}
+    before = plan(found).split("Aggregate")[-1]  # what lies below the sums of lines
+    assert before.count("Join ") == 2 and "Relation [l_orderkey" in before.split("Join ")[1] and "Relation [c_custkey" not in before.split("Join ")[1]  # lines met the orders, then all of them the customers
+
+
+def test_readiness_derives_no_prices(spark, monkeypatch):
+    from quarterdeck.plans.gate_queries import m23_readiness_scopes
+    from quarterdeck.sources import fixtures
+
+    monkeypatch.setitem(spark.__dict__, "_quarterdeck_tables", {})
+    monkeypatch.setattr(fixtures, "_candles", lambda *_: 1 / 0)  # all opening and closing prices were derived to learn who has any
+    got = m23_readiness_scopes(spark, "/root/testdata/sf0.001").where("scope = 'market_technical_analysis' and supported").count()
+    assert got > 0
