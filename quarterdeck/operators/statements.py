@@ -356,8 +356,10 @@ def bank_parser_quality(facts: DataFrame, banks: DataFrame) -> DataFrame:
 def analysis_readiness(outcomes: DataFrame, expected: list[str]) -> DataFrame:
     """A row a document: counts of facts, rejected rows and evidence, missing expected metrics, readiness and grade."""
     n = lambda o: F.count_if(F.col("outcome") == o)
-    got = outcomes.groupBy("document_id").agg(n("fact").alias("facts"), n("rejected").alias("rejected"), n("evidence").alias("evidence"), F.collect_set("metric_code").alias("have"))
-    missing = F.array_sort(F.array_except(F.array(*map(F.lit, expected)), "have"))
+    codes = sorted(set(expected))
+    lacks = [(F.count_if(F.col("metric_code") == c) == 0).alias(f"lacks_{k}") for k, c in enumerate(codes)]  # a set of codes would be an object a document, which sorts the rows
+    got = outcomes.groupBy("document_id").agg(n("fact").alias("facts"), n("rejected").alias("rejected"), n("evidence").alias("evidence"), *lacks)
+    missing = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.col(f"lacks_{k}"), c) for k, c in enumerate(codes)]))
     ready = F.col("facts") > 0
     grade = F.when(ready & (F.size(missing) <= F.greatest(F.lit(2), F.floor(F.col("facts") / 6))), "strong").when(ready, "partial").when(F.col("evidence") > 0, "weak").otherwise("blocked")
     return got.select("document_id", "facts", "rejected", "evidence", F.array_join(missing, ",").alias("missing"), F.when(ready, "true").when(F.col("evidence") > 0, "limited_evidence_only").otherwise("false").alias("llm_ready"), grade.alias("grade"))

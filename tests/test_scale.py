@@ -188,3 +188,13 @@ def test_readiness_derives_no_prices(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "_candles", lambda *_: 1 / 0)  # all opening and closing prices were derived to learn who has any
     got = m23_readiness_scopes(spark, "/root/testdata/sf0.001").where("scope = 'market_technical_analysis' and supported").count()
     assert got > 0
+
+
+def test_readiness_is_counted_without_objects(spark):
+    rows = [(1, "fact", "revenue"), (1, "fact", "x"), (1, "rejected", None), (2, "evidence", None), (None, "fact", "b"), (None, "fact", "a"), (3, "rejected", None)]
+    outcomes = spark.createDataFrame(rows, "document_id long, outcome string, metric_code string")
+    got = R.analysis_readiness(outcomes, ["revenue", "b", "a", "a"])
+    found = {r["document_id"]: (r["facts"], r["rejected"], r["evidence"], r["missing"], r["llm_ready"], r["grade"]) for r in got.collect()}
+    assert found == {1: (2, 1, 0, "a,b", "true", "strong"), 2: (0, 0, 1, "a,b,revenue", "limited_evidence_only", "weak"), None: (2, 0, 0, "revenue", "true", "strong"), 3: (0, 1, 0, "a,b,revenue", "false", "blocked")}
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["missing"] for r in R.analysis_readiness(outcomes, []).collect()} == {""}
