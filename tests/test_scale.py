@@ -198,3 +198,20 @@ def test_readiness_is_counted_without_objects(spark):
     assert found == {1: (2, 1, 0, "a,b", "true", "strong"), 2: (0, 0, 1, "a,b,revenue", "limited_evidence_only", "weak"), None: (2, 0, 0, "revenue", "true", "strong"), 3: (0, 1, 0, "a,b,revenue", "false", "blocked")}
     assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r["missing"] for r in R.analysis_readiness(outcomes, []).collect()} == {""}
+
+
+def test_names_meet_few_words_of_texts(spark):
+    from quarterdeck.operators import entities
+    from quarterdeck.operators.validation import entity_text
+
+    texts = [(1, "Northern, Oil & Gas"), (1, "Northern, Oil & Gas"), (2, "the sea-bank of Ёлка"), (3, None), (4, "?!"), (5, "gas of the north sea bank")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    assert [r["t"] for r in docs.select(entity_text(F.col("text")).alias("t")).collect()] == ["northern oil gas", "northern oil gas", "the sea bank of елка", "", "", "gas of the north sea bank"]
+    names = spark.createDataFrame([("a", "Northern oil"), ("a", "oil, gas"), ("b", "Oil gas"), ("b", "OIL GAS"), ("c", "sea bank"), ("d", "елка"), ("e", "of"), ("f", None), ("g", "gas sea north")], "entity string, name string")
+    found = entities.match_entity_in_text(docs, names)
+    got = sorted((r["doc_id"], r["entity"]) for r in found.collect())
+    assert got == [(1, "a"), (1, "a"), (1, "b"), (1, "b"), (2, "c"), (2, "d"), (5, "c"), (5, "g")]  # two names of "a" stand in a text, and one row
+    assert plan(found).count("coalesce(text#") == 2  # once a reading; more when filters had copies
+    assert "LeftSemi" in plan(found)  # words that no name needs are dropped before they are shuffled
+    index = plan(entities.contained(names.select(F.col("name").alias("n")), "n", docs.select(F.col("text").alias("w")), "w"))
+    assert "LeftSemi" in index
