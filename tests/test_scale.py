@@ -215,3 +215,24 @@ def test_names_meet_few_words_of_texts(spark):
     assert "LeftSemi" in plan(found)  # words that no name needs are dropped before they are shuffled
     index = plan(entities.contained(names.select(F.col("name").alias("n")), "n", docs.select(F.col("text").alias("w")), "w"))
     assert "LeftSemi" in index
+
+
+def test_engine_rows_are_dealt_by_document_once(spark, monkeypatch):
+    from quarterdeck.operators import engines
+
+    written = {}
+    write = engines.kept
+    monkeypatch.setattr(engines, "kept", lambda df, name: written.setdefault(name, []).append(plan(df)) or write(df, name))
+    schema = "document_id string, table_index int, page_number int, statement_type string, statement_family string, table_role string, period string, comparative_period string, unit string, currency string, engine string, row_index int, row_kind string, metric_code string, label string, current string, comparative string, confidence double"
+    row = lambda d, table, k, label, engine="ocr", page=1, unit=None, kind="income_statement": (d, table, page, kind, None, "primary_statement", "2021Q4", None, unit, None, engine, k, "statement_line_item", None, label, "1", None, 0.9)
+    old = [row("d", 7, 0, "Sales", "native"), row("d", 7, 1, "Rent", "native"), row("e", 7, 0, "Sales", "native"), row("d", 8, 0, "Sales", "native", page=2)]
+    # two engines' rows of one place, a row twice that none takes, a second table for the same one, a table of its own
+    new = [row("d", 0, 0, "Sales", unit="million"), row("d", 0, 0, "Sales", "camelot"), row("d", 0, 1, "Tax"), row("d", 0, 1, "Tax"), row("d", 1, 0, "Rents"), row("e", 3, 0, "Cash", page=9)]
+    got = engines.merge_engine_tables(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), {})
+    shown = sorted((r["document_id"], r["table_index"], r["origin"], r["row_index"], r["label"], r["engines"], r["unit"] or "") for r in got.collect())
+    assert shown == [
+        ("d", 7, "appended", 1, "Tax", "ocr", "million"), ("d", 7, "appended", 1, "Tax", "ocr", "million"), ("d", 7, "merged", 0, "Sales", "camelot,native", "million"), ("d", 7, "merged", 0, "Sales", "native,ocr", "million"),
+        ("d", 7, "merged", 1, "Rents", "native,ocr", "million"), ("d", 8, "existing", 0, "Sales", "native", ""), ("e", 3, "added", 0, "Cash", "ocr", ""), ("e", 7, "existing", 0, "Sales", "native", ""),
+    ]
+    for text in (plan(got), written["engine-pairs"][0]):  # once, not for each join in turn
+        assert "Join " not in text and text.count("RepartitionByExpression") == 1
