@@ -273,3 +273,79 @@ def test_context_tree_holds_only_what_training_saw():
         state = max(int(i) for k in context if (i := np.searchsorted(known, k)) < len(known) and known[i] == k)
         assert abs(value - table[state, byte]) < 1e-5
         past = [*past[1:], byte]
+
+
+def _whole(texts, depth):
+    """build_tree with every context that the texts have."""
+    import numpy as np
+
+    from quarterdeck.llm.lm_scoring import build_tree, grams, stream
+
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    x, starts = stream(data, offsets, depth)
+    g, n = grams(x, starts, np.diff(offsets), depth)
+    level = np.arange(depth + 1).repeat(len(g))
+    code, n = np.tile(g.astype(np.int64), depth + 1), np.tile(n, depth + 1)
+    keys = (level << 48) | ((code >> 8) & ((1 << 8 * level) - 1))
+    return build_tree(np.unique(keys), keys, code & 255, n, depth)
+
+
+def test_context_forest_is_the_whole_tree(monkeypatch):
+    """Roots mixed apart, from several lots, give what one tree of every context gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quarterdeck.llm import context_forest as C
+
+    monkeypatch.setattr(C, "ROW_CODES", 7)
+    monkeypatch.setattr(C, "ROOT_CODES", 100)
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(2, 9, 60)]
+    train = [b" ".join(words[k] for k in rng.integers(0, 60, 100)) for _ in range(4)] + [b"", b"aaaa" * 1500]
+    held = ["Zażółć, 0 ".encode() + train[0][:100] + b"\x00~" * 4, b"", b"zzz q"]
+    for depth in (6, 3, 2, 1, 0):
+        sent, lots = [], [(train[:3] + held[:1], [True] * 3 + [False]), (train[3:], [True] * 3), (held[1:], [False] * 2)]
+        for lot, (texts, learnt) in enumerate(lots):
+            offsets = np.cumsum([0, *map(len, texts)])
+            code = C.codes(np.frombuffer(b"".join(texts), np.uint8), offsets, depth)
+            lots[lot] = texts, code, np.cumsum(np.diff(offsets) + 1)
+            known, n = C.distinct(code, np.repeat(learnt, np.diff(offsets) + 1))
+            sent += [(root, lot, part, C.packed_codes(known[a:b], n[a:b])) for part, (root, a, b) in enumerate(C.rows_of(known, depth))]
+        sent.sort(key=lambda x: x[0])
+        batches = lambda: [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sent[k : k + 9])], names=["root", "lot", "part", "codes"]) for k in range(0, len(sent), 9)]
+        top = None
+        if depth:
+            up = [C.Levels(code, n, depth).above() for _, code, n, _ in C.roots(batches(), depth)]
+            assert depth < 2 or len(up) > 1
+            key, (a, b, weighted) = np.concatenate([x[0] for x in up]), np.concatenate([x[1] for x in up], axis=1)
+            top = C.top_levels(key, a, b, weighted, depth)
+        back = {}
+        for rows, code, n, place in C.roots(batches(), depth):
+            value, at = C.Levels(code, n, depth).log10(top).astype(np.float32)[place], 0
+            for _, lot, part, size in rows:
+                back[lot, part] = value[at : at + size]
+                at += size
+        tree = _whole(train, depth)
+        for lot, (texts, code, ends) in enumerate(lots):
+            values = np.concatenate([v for (k, _), v in sorted(back.items()) if k == lot])
+            want = tree.texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+            assert np.allclose(C.sums(code, values, ends), want, rtol=2e-5, atol=1e-3)
+
+
+def test_scores_use_every_context_of_training(spark):
+    """Contexts of one or two positions in 2**16 had no nodes of their own."""
+    import zlib
+
+    import numpy as np
+
+    from quarterdeck.llm.lm_scoring import score
+
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(3, 9, 6000)]
+    texts = {k: b" ".join(words[i] for i in rng.integers(0, 6000, 300)) for k in range(120)}  # a word stands some five times
+    held = {k for k in texts if zlib.crc32(str(k).encode()) % 7 == 2}
+    rows = spark.createDataFrame([(k, t.decode()) for k, t in texts.items()], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["score"] for r in score(rows).collect()}
+    tree = _whole([t for k, t in texts.items() if k not in held], 6)
+    want = {k: float(tree.texts(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]) for k, t in texts.items()}
+    assert all(abs(got[k] - want[k]) < 1e-3 * abs(want[k]) for k in texts)
